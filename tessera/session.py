@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -35,6 +36,13 @@ def checkpoint_root(spark: SparkSession) -> str:
     return named
 
 
+def as_uri(path: str) -> str:
+    """``path`` with a scheme; a local path gets ``file://``."""
+    if m := re.match(r"file:/*(?=/)", path):
+        return "file://" + path[m.end() :].rstrip("/")
+    return path.rstrip("/") if re.match(r"[A-Za-z][A-Za-z0-9+.-]*://", path) else "file://" + os.path.abspath(path)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_root(df.sparkSession)
