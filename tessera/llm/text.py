@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def only(df: DataFrame, **columns: Column) -> DataFrame:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int):
     """Row ranges of ``batch`` whose ``column`` holds about ``limit`` bytes at most, one row at least."""
-    lengths = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+    lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
     start, held = 0, 0
     for i, n in enumerate(lengths):
         if held and held + n > limit:
