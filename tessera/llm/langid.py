@@ -35,7 +35,7 @@ PENALTY, WORD_WEIGHT, SMOOTH, LEAST_SHARE = 8.0, 1.0, 0.2, 0.002
 #: More languages than this are refused: the model is sent to every executor.
 MOST_LANGUAGES = 512
 #: Bytes of text handled at once in a worker.
-PIECE = 4 << 20
+PIECE = 1 << 20
 
 # First and last code points of scripts' main blocks.
 SCRIPTS = [
@@ -235,16 +235,23 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
 
 
 def label(model: Model, texts: list[str | None]):
-    """(words, labels) of the texts."""
-    parts, held, size = [], [], 0
+    """Words by piece, their number in each text, and their labels."""
+    parts, scores, held, size = [], [], [], 0
+
+    def add():
+        w = Words(held)
+        scores.append(model.scores(w))
+        w.gram = w.word = w.whole = w.first = None  # only the words themselves are needed from here on
+        parts.append(w)
+
     for t in texts:
         held.append(t)
         size += len(t or "")
         if size >= PIECE:
-            parts.append(Words(held))
+            add()
             held, size = [], 0
-    parts.append(Words(held))
-    scores = np.concatenate([model.scores(w) for w in parts])
+    add()
+    scores = np.concatenate(scores)
     lengths = np.concatenate([np.bincount(w.doc, minlength=len(w.lengths)) for w in parts])
     return parts, lengths, viterbi(scores, lengths, model.prior)
 
