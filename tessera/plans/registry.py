@@ -1,4 +1,595 @@
-"""Registered queries and their SQL counterparts, keyed by name."""
+"""Registered queries and their SQL counterparts, keyed by name.
 
-QUERIES = {}
-ORACLES = {}
+The test tables stand in for structures: ``embeddings`` gives points (ten times the first three
+dimensions; dimensions four to six are a second conformer), its label the group, ``lineitem`` edge
+lists, chains and positions.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import conflict, hamming_prefix, next_state, node_gradient, residue_code, segment_distance, squared_distance
+from tessera.operators import align, evaluate, graph, points, spectral, stats, traverse, walks
+from tessera.session import checkpoint
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+K, RADIUS, A, B = 12, 0.8, 0, 100
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def cloud(spark: SparkSession, sf: str, at: int = 0) -> DataFrame:
+    e = _table(spark, sf, "embeddings")
+    return e.select(F.col("vec_id").alias("id"), *[(10 * F.col("embedding")[at + i].cast("double")).alias(a) for i, a in enumerate("xyz")], F.col("label").alias("entity"))
+
+
+def knn_graph_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return checkpoint(graph.symmetrize(graph.knn_edges(cloud(spark, sf), K)))
+
+
+def radius_graph_edges(spark: SparkSession, sf: str, keys=()) -> DataFrame:
+    return checkpoint(graph.radius_edges(cloud(spark, sf), RADIUS, keys).select(*keys, "src", "dst"))
+
+
+P = """p AS (SELECT vec_id AS id, 10*CAST(embedding[1] AS DOUBLE) AS x, 10*CAST(embedding[2] AS DOUBLE) AS y, 10*CAST(embedding[3] AS DOUBLE) AS z, label AS entity FROM embeddings)"""
+P2 = """q AS (SELECT vec_id AS id, 10*CAST(embedding[4] AS DOUBLE) AS x, 10*CAST(embedding[5] AS DOUBLE) AS y, 10*CAST(embedding[6] AS DOUBLE) AS z, label AS entity FROM embeddings)"""
+D2 = "(a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y)+(a.z-b.z)*(a.z-b.z)"
+KNN = f"""{P}, near AS (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS rn FROM p a JOIN p b ON a.id <> b.id),
+k AS (SELECT src, dst FROM near WHERE rn <= {K}), e AS (SELECT src, dst FROM k UNION SELECT dst, src FROM k)"""
+RAD = f"""{P}, e AS (SELECT a.id AS src, b.id AS dst, a.entity AS ea, b.entity AS eb FROM p a JOIN p b ON a.id <> b.id WHERE {D2} <= CAST({RADIUS} AS DOUBLE)*CAST({RADIUS} AS DOUBLE))"""
+
+
+def bfs_sql(name: str, seed: int, depth: int = 40) -> str:
+    return f"""w_{name}(id, frame) AS (SELECT CAST({seed} AS BIGINT), 0 UNION SELECT e.dst, w_{name}.frame + 1 FROM w_{name} JOIN e ON e.src = w_{name}.id WHERE w_{name}.frame < {depth}),
+{name} AS (SELECT id, min(frame) AS frame FROM w_{name} GROUP BY id)"""
+
+
+# ---- scans, seeds and point tables
+
+
+@query(f"WITH {P}, c AS (SELECT avg(x) cx, avg(y) cy, avg(z) cz FROM p), d AS (SELECT id, (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) AS d2 FROM p, c) SELECT id, round(d2, 6) AS d2 FROM d ORDER BY d.d2, id LIMIT 1")
+def seed_nearest_com(spark, sf):
+    return points.nearest_to_centroid(cloud(spark, sf)).select("id", F.round("d2", 6).alias("d2"))
+
+
+@query("""WITH pr AS (SELECT DISTINCT l_partkey AS s, l_suppkey + 10000000 AS t FROM lineitem), e AS (SELECT s AS id FROM pr UNION ALL SELECT t FROM pr), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id)
+SELECT min(id) AS id FROM d WHERE degree >= (SELECT quantile_cont(degree, 0.99) FROM d)""")
+def seed_high_degree(spark, sf):
+    return points.seed_high_degree(graph.degrees(_supply_edges(spark, sf)))
+
+
+def _supply_edges(spark, sf):
+    pairs = _table(spark, sf, "lineitem").select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + 10_000_000).alias("dst"))
+    return graph.symmetrize(pairs)
+
+
+@query(f"WITH {KNN}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT min(p.id) AS id FROM p JOIN d ON p.id = d.id WHERE p.entity = 3 AND d.degree > 0")
+def seed_by_state(spark, sf):
+    nodes = cloud(spark, sf).join(graph.degrees(knn_graph_edges(spark, sf)), "id", "left").select("id", F.when(F.col("entity") == 3, 1).otherwise(0).alias("state"), F.coalesce("degree", F.lit(0)).alias("degree"))
+    return points.seed_by_state(nodes)
+
+
+@query(f"""WITH {P}, own AS (SELECT * FROM p WHERE entity = 2), c AS (SELECT avg(x) cx, avg(y) cy, avg(z) cz FROM own)
+SELECT id FROM (SELECT id, CASE WHEN id % 50 = 49 AND id < 0 THEN 0 WHEN id IN (-1, -2) THEN 1 ELSE 2 END AS r, (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) AS d2 FROM own, c) t ORDER BY r, d2, id LIMIT 1""")
+def seed_cascade(spark, sf):
+    p = cloud(spark, sf).select("id", "x", "y", "z", F.col("entity").alias("subchain"), F.col("id").alias("seq_id"))
+    return points.seed_cascade(p, 2, -3, [-1, -2])
+
+
+@query(f"WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY id) AS rn FROM p) SELECT entity, id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r WHERE rn = 1")
+def first_point_per_group(spark, sf):
+    p = cloud(spark, sf)
+    return points.first_per_key(p, ["entity"], "id").select("entity", "id", *[F.round(a, 6).alias(a) for a in "xyz"])
+
+
+@query(f"WITH {P} SELECT entity, count(*) AS n, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy, round(avg(z), 6) AS cz FROM p GROUP BY entity")
+def group_centroids(spark, sf):
+    p = cloud(spark, sf)
+    n = p.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return points.centroid(p, ["entity"]).join(n, "entity").select("entity", "n", *[F.round(c, 6).alias(c) for c in ("cx", "cy", "cz")])
+
+
+@query(f"""WITH {P}, c AS (SELECT entity, avg(x) cx, avg(y) cy, avg(z) cz FROM p GROUP BY entity), a AS (SELECT cx ax, cy ay, cz az FROM c WHERE entity = 0)
+SELECT entity, round((cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az), 6) AS d2 FROM c, a WHERE entity <> 0 ORDER BY (cx-ax)*(cx-ax)+(cy-ay)*(cy-ay)+(cz-az)*(cz-az), entity LIMIT 1""")
+def nearest_centroid_pick(spark, sf):
+    p = cloud(spark, sf)
+    anchor = points.centroid(p.where("entity = 0")).select(*[F.col(f"c{a}").alias(f"a{a}") for a in "xyz"])
+    return points.nearest_group(p.where("entity <> 0"), "entity", anchor).select("entity", F.round("d2", 6).alias("d2"))
+
+
+@query("SELECT vec_id AS id, row_number() OVER (ORDER BY label, vec_id) - 1 AS node FROM embeddings")
+def canonical_node_ids(spark, sf):
+    return points.canonical_ids(cloud(spark, sf).select("id", "entity"), ["entity", "id"]).select("id", "node")
+
+
+@query("SELECT n_nationkey AS id, CASE upper(substr(n_name, 1, 3)) WHEN 'ALA' THEN 'A' WHEN 'ARG' THEN 'R' WHEN 'ASN' THEN 'N' WHEN 'ASP' THEN 'D' WHEN 'CYS' THEN 'C' WHEN 'GLN' THEN 'Q' WHEN 'GLU' THEN 'E' WHEN 'GLY' THEN 'G' WHEN 'HIS' THEN 'H' WHEN 'ILE' THEN 'I' WHEN 'LEU' THEN 'L' WHEN 'LYS' THEN 'K' WHEN 'MET' THEN 'M' WHEN 'PHE' THEN 'F' WHEN 'PRO' THEN 'P' WHEN 'SER' THEN 'S' WHEN 'THR' THEN 'T' WHEN 'TRP' THEN 'W' WHEN 'TYR' THEN 'Y' WHEN 'VAL' THEN 'V' ELSE 'X' END AS code FROM nation")
+def residue_codes(spark, sf):
+    return _table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), residue_code(F.substring("n_name", 1, 3)).alias("code"))
+
+
+@query("SELECT event_id AS id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def json_fields(spark, sf):
+    e = _table(spark, sf, "events")
+    return e.select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query(f"WITH {P}, c AS (SELECT entity, count(*) AS n FROM p GROUP BY entity), pick AS (SELECT min(entity) AS entity FROM c WHERE n >= 30) SELECT p.entity, p.id FROM p JOIN pick ON p.entity = pick.entity")
+def chain_with_fallback(spark, sf):
+    p = cloud(spark, sf).select("id", F.lpad(F.col("entity").cast("string"), 4, "0").alias("chain"), "entity", F.struct("entity", "id").alias("position"))
+    return points.chain_or_first(p, "none such").select("entity", "id")
+
+
+@query("SELECT l_partkey AS part, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_suppliers FROM lineitem GROUP BY l_partkey")
+def distinct_counts(spark, sf):
+    return _table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("part")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("l_suppkey").alias("n_suppliers"))
+
+
+# ---- graph builders
+
+
+@query(f"WITH {KNN} SELECT src, dst FROM e")
+def knn_graph(spark, sf):
+    return knn_graph_edges(spark, sf)
+
+
+@query(f"WITH {P}, near AS (SELECT a.id AS src, b.id AS dst, {D2} AS d2, row_number() OVER (PARTITION BY a.id ORDER BY {D2}, b.id) AS rn FROM p a JOIN p b ON a.id <> b.id) SELECT src, dst, round(d2, 6) AS d2 FROM near WHERE rn <= {K}")
+def knn_growing_grid(spark, sf):
+    return graph.knn_grid(cloud(spark, sf), K).select("src", "dst", F.round("d2", 6).alias("d2"))
+
+
+@query(f"""WITH v AS (SELECT vec_id AS id, embedding AS e FROM embeddings), near AS (SELECT a.id AS src, b.id AS dst, row_number() OVER (PARTITION BY a.id ORDER BY list_sum(list_transform(range(1, 65), lambda i: (CAST(a.e[i] AS DOUBLE) - CAST(b.e[i] AS DOUBLE)) * (CAST(a.e[i] AS DOUBLE) - CAST(b.e[i] AS DOUBLE)))), b.id) AS rn FROM v a JOIN v b ON a.id <> b.id)
+SELECT src, dst FROM near WHERE rn <= {K}""")
+def knn_wide_vectors(spark, sf):
+    e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return graph.knn_blocks(e, K, vector="embedding").select("src", "dst")
+
+
+@query(f"WITH {RAD} SELECT src, dst FROM e")
+def radius_graph_voxel(spark, sf):
+    return graph.radius_edges(cloud(spark, sf), RADIUS).select("src", "dst")
+
+
+@query(f"WITH {RAD}, d AS (SELECT p.id, count(e.src) AS degree FROM p LEFT JOIN e ON e.src = p.id GROUP BY p.id) SELECT count(*) AS n_nodes, CAST(sum(degree) AS BIGINT) AS n_edges, min(degree) AS min_degree, max(degree) AS max_degree, CAST(count(*) FILTER (WHERE degree = 0) AS BIGINT) AS n_isolated, round(avg(degree), 6) AS mean_degree FROM d")
+def degree_stats(spark, sf):
+    d = graph.degrees(radius_graph_edges(spark, sf), cloud(spark, sf))
+    return graph.degree_stats(d).withColumn("mean_degree", F.round("mean_degree", 6))
+
+
+@query(f"WITH {KNN}, d AS (SELECT p.id, count(e.src) AS degree FROM p LEFT JOIN e ON e.src = p.id GROUP BY p.id) SELECT id, degree, CAST(sum(degree) OVER (ORDER BY id) - degree AS BIGINT) AS \"offset\" FROM d")
+def csr_offsets(spark, sf):
+    return graph.csr_offsets(knn_graph_edges(spark, sf), cloud(spark, sf))
+
+
+@query(f"WITH {KNN} SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM e GROUP BY src")
+def adjacency_lists(spark, sf):
+    return graph.adjacency(knn_graph_edges(spark, sf)).select("id", F.array_join(F.transform("neighbours", lambda x: x.cast("string")), ",").alias("neighbours"))
+
+
+@query(f"WITH {KNN} SELECT src, dst FROM e")
+def csr_decode(spark, sf):
+    return graph.csr_decode(graph.adjacency(knn_graph_edges(spark, sf)))
+
+
+@query("WITH pr AS (SELECT l_partkey AS s, l_suppkey + 10000000 AS t FROM lineitem) SELECT s AS src, t AS dst FROM pr UNION SELECT t, s FROM pr")
+def edge_list_symmetrize(spark, sf):
+    return _supply_edges(spark, sf)
+
+
+@query(f"WITH {KNN} SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM e")
+def undirected_edges(spark, sf):
+    return graph.undirected(knn_graph_edges(spark, sf))
+
+
+@query(f"WITH {RAD} SELECT src AS i, dst AS j, CAST(-1 AS DOUBLE) AS v FROM e UNION ALL SELECT p.id, p.id, CAST(count(e.src) AS DOUBLE) FROM p LEFT JOIN e ON e.src = p.id GROUP BY p.id")
+def laplacian_triples(spark, sf):
+    return graph.laplacian(radius_graph_edges(spark, sf), cloud(spark, sf))
+
+
+# ---- traversals
+
+
+@query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', A)} SELECT p.id, coalesce(f.frame, -1) AS frame FROM p LEFT JOIN f ON p.id = f.id")
+def bfs_levels(spark, sf):
+    return traverse.with_unreached(traverse.bfs(knn_graph_edges(spark, sf), A), cloud(spark, sf))
+
+
+@query(f"WITH RECURSIVE {RAD}, {bfs_sql('f', A)} SELECT p.id, coalesce(f.frame, -1) AS frame FROM p LEFT JOIN f ON p.id = f.id")
+def bfs_join_loop(spark, sf):
+    return traverse.with_unreached(traverse.bfs(radius_graph_edges(spark, sf), A, plan="loop"), cloud(spark, sf))
+
+
+@query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', A)} SELECT frame, count(*) AS n FROM f GROUP BY frame")
+def bfs_level_histogram(spark, sf):
+    return traverse.level_histogram(traverse.bfs(knn_graph_edges(spark, sf), A))
+
+
+@query(f"WITH RECURSIVE {RAD}, {bfs_sql('f', A)} SELECT count(*) AS reached, max(frame) AS max_frame, max(frame) + 1 AS n_frames FROM f")
+def bfs_reach(spark, sf):
+    return traverse.reach(traverse.bfs(radius_graph_edges(spark, sf), A))
+
+
+@query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', A)} SELECT p.entity, count(*) AS n, round(avg(frame), 6) AS mean_frame, round(median(frame), 6) AS median_frame, max(frame) AS max_frame FROM f JOIN p ON p.id = f.id GROUP BY p.entity")
+def bfs_group_summary(spark, sf):
+    f = traverse.bfs(knn_graph_edges(spark, sf), A).join(cloud(spark, sf).select("id", "entity"), "id")
+    return f.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("frame"), 6).alias("mean_frame"), F.round(F.median("frame"), 6).alias("median_frame"), F.max("frame").alias("max_frame"))
+
+
+@query(f"WITH RECURSIVE {KNN}, {bfs_sql('fa', A)}, {bfs_sql('fb', B)}, {bfs_sql('fc', 7)} SELECT CAST({A} AS BIGINT) AS seed, id, frame FROM fa UNION ALL SELECT CAST({B} AS BIGINT), id, frame FROM fb UNION ALL SELECT CAST(7 AS BIGINT), id, frame FROM fc")
+def bfs_multi_seed(spark, sf):
+    return traverse.bfs_multi(knn_graph_edges(spark, sf), [A, B, 7])
+
+
+@query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', 5, 2)} SELECT id, frame FROM f")
+def k_hop(spark, sf):
+    return traverse.k_hop(knn_graph_edges(spark, sf), 5, 2)
+
+
+@query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', 5, 2)} SELECT e.src, e.dst FROM e JOIN f a ON a.id = e.src JOIN f b ON b.id = e.dst")
+def k_hop_subgraph(spark, sf):
+    e = knn_graph_edges(spark, sf)
+    return traverse.induced(e, traverse.k_hop(e, 5, 2))
+
+
+TUBE = f"""{KNN}, {bfs_sql('fa', A)}, {bfs_sql('fb', B)}, len AS (SELECT frame AS l FROM fa WHERE id = {B}),
+tube AS (SELECT fa.id, fa.frame AS d_a, fb.frame AS d_b, l AS length FROM fa JOIN fb ON fa.id = fb.id, len WHERE fa.frame + fb.frame <= l + 1 AND fa.id NOT IN ({A}, {B}))"""
+SEG = f"""ends AS (SELECT a.x ax, a.y ay, a.z az, b.x bx, b.y by_, b.z bz FROM p a, p b WHERE a.id = {A} AND b.id = {B}),
+tt AS (SELECT p.id, x, y, z, ax, ay, az, bx, by_, bz, greatest(0.0, least(1.0, ((x-ax)*(bx-ax)+(y-ay)*(by_-ay)+(z-az)*(bz-az)) / ((bx-ax)*(bx-ax)+(by_-ay)*(by_-ay)+(bz-az)*(bz-az)))) AS t FROM p, ends WHERE p.id NOT IN ({A}, {B})),
+seg AS (SELECT id, sqrt((x-(ax+t*(bx-ax)))*(x-(ax+t*(bx-ax)))+(y-(ay+t*(by_-ay)))*(y-(ay+t*(by_-ay)))+(z-(az+t*(bz-az)))*(z-(az+t*(bz-az)))) AS dist FROM tt)"""
+CYL = f"{TUBE}, {SEG}, cyl AS (SELECT id, dist FROM (SELECT id, dist, row_number() OVER (ORDER BY dist, id) AS rn FROM seg) s WHERE rn <= (SELECT count(*) FROM tube))"
+
+
+@query(f"WITH RECURSIVE {TUBE} SELECT id, d_a, d_b, length FROM tube")
+def tube(spark, sf):
+    return traverse.tube(knn_graph_edges(spark, sf), A, B)
+
+
+@query(f"WITH RECURSIVE {TUBE} SELECT 'OK' AS status, CAST(NULL AS VARCHAR) AS reason, max(length) AS length, count(*) AS size FROM tube")
+def tube_status(spark, sf):
+    return traverse.tube_status(knn_graph_edges(spark, sf), A, B)
+
+
+def _tube_and_cylinder(spark, sf):
+    p = cloud(spark, sf)
+    t = checkpoint(traverse.tube(knn_graph_edges(spark, sf), A, B))
+    m = t.agg(F.count(F.lit(1)).alias("m"))
+    return t, evaluate.cylinder(p, evaluate.ends_of(p, A, B), m)
+
+
+@query(f"WITH {P}, {SEG} SELECT id, round(dist, 6) AS dist FROM seg")
+def segment_distances(spark, sf):
+    p = cloud(spark, sf)
+    one = p.where(~F.col("id").isin(A, B)).join(F.broadcast(evaluate.ends_of(p, A, B)))
+    return one.select("id", F.round(segment_distance(*[[F.col(f"{s}{a}") for a in "xyz"] for s in ("", "a", "b")]), 6).alias("dist"))
+
+
+@query(f"WITH RECURSIVE {CYL} SELECT id, round(dist, 6) AS dist FROM cyl")
+def cylinder_top_m(spark, sf):
+    return _tube_and_cylinder(spark, sf)[1].select("id", F.round("dist", 6).alias("dist"))
+
+
+@query(f"WITH RECURSIVE {CYL} SELECT coalesce(t.id, c.id) AS id, CASE WHEN c.id IS NULL THEN 'TUBE_ONLY' WHEN t.id IS NULL THEN 'CYLINDER_ONLY' ELSE 'BOTH' END AS part FROM tube t FULL OUTER JOIN cyl c ON t.id = c.id")
+def tube_cylinder_partition(spark, sf):
+    return evaluate.partition_sets(*_tube_and_cylinder(spark, sf), names=("TUBE_ONLY", "CYLINDER_ONLY", "BOTH"))
+
+
+PRF = """CAST(CASE WHEN n_pred = 0 AND n_truth = 0 THEN 1 WHEN n_pred = 0 OR n_truth = 0 THEN 0 ELSE pred_hits / CAST(n_pred AS DOUBLE) END AS DOUBLE) AS precision, CAST(CASE WHEN n_pred = 0 AND n_truth = 0 THEN 1 WHEN n_pred = 0 OR n_truth = 0 THEN 0 ELSE truth_hits / CAST(n_truth AS DOUBLE) END AS DOUBLE) AS recall"""
+
+
+@query(f"""WITH pred AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0), truth AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 11 = 0),
+h AS (SELECT (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM pred a WHERE EXISTS (SELECT 1 FROM truth b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS pred_hits, (SELECT count(*) FROM truth a WHERE EXISTS (SELECT 1 FROM pred b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS truth_hits),
+s AS (SELECT *, {PRF} FROM h)
+SELECT n_pred, n_truth, pred_hits, truth_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0 END, 6) AS f1 FROM s""")
+def windowed_prf1(spark, sf):
+    rows = _table(spark, sf, "lineitem").select("l_linenumber", "l_orderkey", (F.col("l_orderkey") % 50).alias("chain"), F.col("l_partkey").alias("seq"))
+    pred = rows.where((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 == 0))
+    truth = rows.where((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 11 == 0))
+    return evaluate.score(evaluate.windowed_hits(pred, truth)).select("n_pred", "n_truth", "pred_hits", "truth_hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+COHORT = """d AS (SELECT l_suppkey AS system, avg(l_discount) - avg(l_tax) AS delta FROM lineitem GROUP BY l_suppkey)"""
+
+
+@query(f"""WITH {COHORT}, c AS (SELECT count(*) AS n, median(delta) AS m, count(*) FILTER (WHERE delta > 0) AS wins FROM d), w AS (SELECT *, 100.0 * wins / n AS win_pct FROM c)
+SELECT n, round(m, 6) AS median_delta, wins, n - wins AS losses, round(CAST(win_pct AS DOUBLE), 6) AS win_pct, CASE WHEN m >= 0.05 AND win_pct >= 70 THEN 'ESTABLISH' WHEN m <= 0.01 OR 100 - win_pct >= 50 THEN 'REJECT' ELSE 'INCONCLUSIVE' END AS verdict FROM w""")
+def cohort_verdict(spark, sf):
+    d = _table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("system")).agg((F.avg("l_discount") - F.avg("l_tax")).alias("delta"))
+    return evaluate.cohort(d).withColumns({c: F.round(c, 6) for c in ("median_delta", "win_pct")})
+
+
+@query("""WITH r AS (SELECT l_suppkey, avg(l_quantity) / avg(l_linenumber) AS ratio FROM lineitem GROUP BY l_suppkey) SELECT count(*) AS n, round(median(ratio), 6) AS median_ratio, CASE WHEN median(ratio) > 10 THEN 'PASS' ELSE 'FAIL' END AS gate FROM r""")
+def ratio_gate(spark, sf):
+    r = _table(spark, sf, "lineitem").groupBy("l_suppkey").agg((F.avg("l_quantity") / F.avg("l_linenumber")).alias("ratio"))
+    return evaluate.ratio_gate(r, "ratio", 10).withColumn("median_ratio", F.round("median_ratio", 6))
+
+
+@query(f"WITH RECURSIVE {RAD}, {bfs_sql('fa', A)}, {bfs_sql('fb', 1)} SELECT coalesce(fa.id, fb.id) AS id, CASE WHEN fa.frame >= 0 AND fb.frame >= 0 THEN greatest(fa.frame, fb.frame) ELSE -1 END AS arrival FROM fa FULL OUTER JOIN fb ON fa.id = fb.id")
+def meet_in_middle(spark, sf):
+    both = checkpoint(traverse.bfs_multi(radius_graph_edges(spark, sf), [A, 1]))
+    return walks.meet(*[both.where(F.col("seed") == s).select("id", "frame") for s in (A, 1)])
+
+
+@query(f"WITH RECURSIVE {RAD}, w(id, c) AS (SELECT id, id FROM p UNION SELECT e.dst, w.c FROM w JOIN e ON e.src = w.id) SELECT id, min(c) AS component FROM w GROUP BY id")
+def connected_components(spark, sf):
+    return traverse.components(radius_graph_edges(spark, sf), cloud(spark, sf))
+
+
+# ---- walks and spectra
+
+
+@query(f"""WITH {P}, {P2}, v AS (SELECT p.entity, p.id, p.x AS va, q.x AS vb0 FROM p JOIN q ON p.id = q.id), s AS (SELECT entity, sum(va * vb0) AS dot FROM v GROUP BY entity),
+m AS (SELECT v.entity, v.id, (CASE WHEN dot < 0 THEN -vb0 ELSE vb0 END) - va AS dv FROM v JOIN s ON v.entity = s.entity), n AS (SELECT entity, count(*) FILTER (WHERE dv > 0) AS c FROM m GROUP BY entity),
+r AS (SELECT m.entity, id, dv, c, CASE WHEN dv > 0 THEN row_number() OVER (PARTITION BY m.entity, dv > 0 ORDER BY dv DESC, id) ELSE -1 END AS snap_rank FROM m JOIN n ON m.entity = n.entity)
+SELECT entity, id, round(dv, 6) AS dv, CAST(snap_rank AS INTEGER) AS snap_rank, CAST(CASE WHEN snap_rank > 0 THEN c + 1 - snap_rank ELSE 0 END AS BIGINT) AS pms FROM r""")
+def snap_rank_pms(spark, sf):
+    a, b = cloud(spark, sf), cloud(spark, sf, 3)
+    v = a.select("entity", "id", F.col("x").alias("va")).join(b.select("id", F.col("x").alias("vb")), "id")
+    return spectral.snap(v, "entity").select("entity", "id", F.round("dv", 6).alias("dv"), "snap_rank", "pms")
+
+
+@query(f"WITH {P} SELECT entity, id FROM (SELECT entity, id, row_number() OVER (PARTITION BY entity ORDER BY abs(x) DESC, id) AS rn FROM p) t WHERE rn = 1")
+def hinge_seed(spark, sf):
+    return spectral.hinge(cloud(spark, sf).select("entity", "id", F.col("x").alias("va")), "entity")
+
+
+@query(f"""WITH {KNN}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), s AS (SELECT id, CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END AS state FROM p),
+g AS (SELECT e.src AS id, sum(d.degree * ((CASE WHEN a.state = b.state THEN 1 ELSE 0 END) - (CASE WHEN (CASE a.state WHEN -1 THEN 0 WHEN 0 THEN 1 ELSE -1 END) = b.state THEN 1 ELSE 0 END))) AS gain, count(*) FILTER (WHERE a.state = b.state) AS conflicts FROM e JOIN s a ON a.id = e.src JOIN s b ON b.id = e.dst JOIN d ON d.id = e.dst GROUP BY e.src)
+SELECT id, CAST(gain AS BIGINT) AS gain, CAST(conflicts AS BIGINT) AS conflicts FROM g""")
+def ratchet_gradient_step(spark, sf):
+    e = knn_graph_edges(spark, sf)
+    s = cloud(spark, sf).select("id", F.when(F.col("id") % 5 == 0, 1).otherwise(0).alias("state"))
+    d = graph.degrees(e)
+    near = e.join(s.select(F.col("id").alias("src"), F.col("state").alias("sa")), "src").join(s.join(d, "id").select(F.col("id").alias("dst"), F.col("state").alias("sb"), "degree"), "dst")
+    return near.groupBy(F.col("src").alias("id")).agg(F.sum(node_gradient(F.col("sa"), F.col("sb"), F.col("degree"))).alias("gain"), F.sum(conflict(F.col("sa"), F.col("sb")).cast("long")).alias("conflicts"))
+
+
+@query(f"WITH {P}, s AS (SELECT (id % 3) - 1 AS state FROM p) SELECT CAST(CASE state WHEN -1 THEN 0 WHEN 0 THEN 1 ELSE -1 END AS INTEGER) AS state, count(*) AS n FROM s GROUP BY 1")
+def state_histogram(spark, sf):
+    s = cloud(spark, sf).select(next_state((F.col("id") % 3 - 1).cast("int")).alias("state"))
+    return walks.state_histogram(s)
+
+
+@query()
+def ratchet_walk(spark, sf):
+    e = knn_graph_edges(spark, sf)
+    return walks.ratchet_walk(e, spark.createDataFrame([(A,)], "seed long"))
+
+
+@query()
+def ratchet_first_flip(spark, sf):
+    e = radius_graph_edges(spark, sf, ["entity"])
+    seeds = e.groupBy("entity").agg(F.min("src").alias("seed"))
+    return walks.ratchet_walk(e, seeds, ["entity"]).groupBy("entity", "n").agg(F.min("f").alias("f"))
+
+
+@query(f"""WITH {KNN}, f0 AS (SELECT CAST({A} AS BIGINT) AS id), f1 AS (SELECT DISTINCT e.dst AS id FROM f0 JOIN e ON e.src = f0.id), f2 AS (SELECT DISTINCT e.dst AS id FROM f1 JOIN e ON e.src = f1.id), f3 AS (SELECT DISTINCT e.dst AS id FROM f2 JOIN e ON e.src = f2.id)
+SELECT 0 AS frame, id FROM f0 UNION ALL SELECT 1, id FROM f1 UNION ALL SELECT 2, id FROM f2 UNION ALL SELECT 3, id FROM f3""")
+def excitable_wave_bounded(spark, sf):
+    return walks.excitable_wave(knn_graph_edges(spark, sf), A, 3)
+
+
+@query()
+def fiedler(spark, sf):
+    return spectral.fiedler(radius_graph_edges(spark, sf, ["entity"]), cloud(spark, sf), "entity").select("entity", "id", F.round("v", 6).alias("v"), F.round("eigenvalue", 6).alias("eigenvalue"), "n_components", "status", "reason")
+
+
+@query()
+def spectral_pairs(spark, sf):
+    """Per group: both conformers' Fiedler vectors, snap ranks, displacement after alignment, and their rank correlation."""
+    a, b = cloud(spark, sf), cloud(spark, sf, 3)
+    va, vb = (spectral.fiedler(graph.radius_edges(p, 4.0, ["entity"]), p, "entity").select("entity", "id", F.col("v").alias(n)) for p, n in ((a, "va"), (b, "vb")))
+    snapped = spectral.snap(va.join(vb, ["entity", "id"]), "entity")
+    pairs = align.pair(a, b, ["entity", "id"])
+    moved = align.displacements(align.apply_transform(pairs, align.kabsch(pairs, ["entity"], 20), ["entity"]))
+    rows = checkpoint(snapped.join(moved.select("entity", "id", "disp"), ["entity", "id"]))
+    return stats.with_p_value(stats.spearman(rows, "pms", "disp", ["entity"]), "rho").select("entity", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+
+
+# ---- alignment
+
+
+def _pairs(spark, sf):
+    return align.pair(cloud(spark, sf), cloud(spark, sf, 3), ["id"])
+
+
+@query(f"""WITH {P}, {P2} SELECT count(*) AS n, {", ".join(f"round(covar_pop(q.{i}, p.{j}) * count(*), 4) AS h{a}{b}" for a, i in enumerate("xyz") for b, j in enumerate("xyz"))} FROM p JOIN q ON p.id = q.id""")
+def kabsch_covariance(spark, sf):
+    return align.covariance(_pairs(spark, sf)).select("n", *[F.round(f"h{i}{j}", 4).alias(f"h{i}{j}") for i in range(3) for j in range(3)])
+
+
+@query()
+def kabsch_rt(spark, sf):
+    return align.kabsch(_pairs(spark, sf)).select("n", *[F.round(c, 6).alias(c) for c in align.RT])
+
+
+# A rotation by a right angle about z and a shift.
+FIXED = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 0.5, -0.25, 1.0]
+
+
+@query(f"WITH {P}, {P2} SELECT p.id, round(sqrt((p.x-(-q.y+0.5))*(p.x-(-q.y+0.5))+(p.y-(q.x-0.25))*(p.y-(q.x-0.25))+(p.z-(q.z+1.0))*(p.z-(q.z+1.0))), 6) AS disp FROM p JOIN q ON p.id = q.id")
+def displacement_fixed_transform(spark, sf):
+    rt = spark.createDataFrame([FIXED], ", ".join(f"{c} double" for c in align.RT))
+    return align.displacements(align.apply_transform(_pairs(spark, sf), rt)).select("id", F.round("disp", 6).alias("disp"))
+
+
+@query(f"WITH {P}, {P2} SELECT p.entity, count(*) AS n, round(sqrt(avg((p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)+(p.z-q.z)*(p.z-q.z))), 6) AS rmsd FROM p JOIN q ON p.id = q.id GROUP BY p.entity")
+def rmsd(spark, sf):
+    p = align.pair(cloud(spark, sf), cloud(spark, sf, 3), ["entity", "id"])
+    d = p.withColumn("disp", F.sqrt(squared_distance([F.col(c) for c in align.P], [F.col(c) for c in align.Q])))
+    return align.rmsd(d, ["entity"]).withColumn("rmsd", F.round("rmsd", 6))
+
+
+@query()
+def aligned_displacement_summary(spark, sf):
+    pairs = _pairs(spark, sf)
+    moved = align.displacements(align.apply_transform(pairs, align.kabsch(pairs)))
+    return stats.describe(moved, "disp").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "p95", "p99", "max")])
+
+
+@query()
+def all_pairs_rmsd(spark, sf):
+    a, b = (cloud(spark, sf, k).select((F.col("id") % 50).alias("key"), F.col("entity").alias("group"), "x", "y", "z", "id") for k in (0, 3))
+    a, b = points.last_per_key(a, ["group", "key"], "id"), points.last_per_key(b, ["group", "key"], "id")
+    return align.all_pairs_rmsd(a.where("group < 4"), b.where("group < 4"), ["key"], least=5).withColumn("rmsd", F.round("rmsd", 6))
+
+
+@query("""WITH a AS (SELECT l_orderkey AS k1, l_linenumber AS k2, max(l_partkey) AS pa FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT l_orderkey AS k1, l_linenumber AS k2, max(l_partkey) AS pb FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1, 2) SELECT a.k1, a.k2, a.pa, b.pb FROM a JOIN b ON a.k1 = b.k1 AND a.k2 = b.k2""")
+def key_alignment_join(spark, sf):
+    rows = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("part"), "l_suppkey")
+    side = lambda rest, n: points.last_per_key(rows.where(F.col("l_suppkey") % 2 == rest).drop("l_suppkey").withColumn("at", F.col("part")), ["k1", "k2"], "at").select("k1", "k2", F.col("part").alias(n))
+    return side(0, "pa").join(side(1, "pb"), ["k1", "k2"])
+
+
+@query("SELECT l.l_orderkey AS k1, l.l_linenumber AS k2, l.l_partkey AS part, o.o_totalprice AS price FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F'")
+def lookup_left_join(spark, sf):
+    o = _table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("k1"), F.col("o_totalprice").alias("price"))
+    rows = _table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("k1"), F.col("l_linenumber").alias("k2"), F.col("l_partkey").alias("part"))
+    return rows.join(o, "k1", "left").select("k1", "k2", "part", "price")
+
+
+def _entities(spark, sf, low, high):
+    d = _table(spark, sf, "documents").where(F.col("text").isNotNull())
+    d = d.select(F.col("doc_id").alias("entity"), F.split(F.substring("text", 1, 200), "").alias("seq"), "n_chars")
+    return d.where((F.col("entity") % 4 >= low) & (F.col("entity") % 4 < high)).drop("n_chars")
+
+
+@query("""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT a.doc_id AS ea, b.doc_id AS eb, a.t AS sa, b.t AS sb FROM d a JOIN d b ON a.doc_id + 1 = b.doc_id)
+SELECT ea, eb, CAST(list_sum(list_transform(range(1, least(80, length(sa), length(sb)) + 1), lambda i: CASE WHEN substr(sa, i, 1) <> substr(sb, i, 1) THEN 1 ELSE 0 END)) AS INTEGER) AS mismatches FROM c""")
+def hamming_prefix_codes(spark, sf):
+    d = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ea"), F.split(F.substring("text", 1, 200), "").alias("sa"))
+    b = d.select((F.col("ea") - 1).alias("ea"), F.col("ea").alias("eb"), F.col("sa").alias("sb"))
+    return d.join(b, "ea").select("ea", "eb", hamming_prefix(F.col("sa"), F.col("sb")).alias("mismatches"))
+
+
+@query()
+def entity_match(spark, sf):
+    return align.entity_match(_entities(spark, sf, 0, 2), _entities(spark, sf, 2, 4))
+
+
+@query()
+def window_match_greedy(spark, sf):
+    rows = _table(spark, sf, "lineitem").select((F.col("l_orderkey") % 97).alias("chain"), F.col("l_partkey").alias("seq_id"), "l_linenumber").distinct()
+    return align.window_match(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), "chain")
+
+
+@query()
+def assign_two_copies(spark, sf):
+    a, b = (cloud(spark, sf, k).select((F.col("id") % 50).alias("key"), F.col("entity").alias("group"), "x", "y", "z", "id").where("group < 2") for k in (0, 3))
+    a, b = points.last_per_key(a, ["group", "key"], "id"), points.last_per_key(b, ["group", "key"], "id")
+    return align.assign_two(align.all_pairs_rmsd(a, b, ["key"], least=5)).withColumn("rmsd", F.round("rmsd", 6))
+
+
+# ---- statistics
+
+
+@query("SELECT count(*) AS n, round(avg(l_extendedprice), 4) AS mean, round(median(l_extendedprice), 4) AS median, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, round(quantile_cont(l_extendedprice, 0.95), 4) AS p95, round(quantile_cont(l_extendedprice, 0.99), 4) AS p99, round(max(l_extendedprice), 4) AS max FROM lineitem")
+def percentile_summary(spark, sf):
+    return stats.describe(_table(spark, sf, "lineitem"), "l_extendedprice").select("n", *[F.round(c, 4).alias(c) for c in ("mean", "median", "p90", "p95", "p99", "max")])
+
+
+@query("SELECT l_suppkey AS entity, count(*) AS n, round(median(l_linenumber), 6) AS median_frame, round(median(l_discount), 6) AS median_disp, round(avg(l_discount), 6) AS mean_disp FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 5 ORDER BY avg(l_discount) DESC, l_suppkey LIMIT 15")
+def group_summary_having(spark, sf):
+    rows = _table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "entity")
+    return stats.group_summary(rows, "entity", "l_linenumber", "l_discount").select("entity", "n", *[F.round(c, 6).alias(c) for c in ("median_frame", "median_disp", "mean_disp")])
+
+
+@query("WITH c AS (SELECT quantile_cont(l_extendedprice, 0.95) AS cut FROM lineitem) SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem, c WHERE l_extendedprice >= cut GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 15")
+def top5pct_contributors(spark, sf):
+    return stats.top_contributors(_table(spark, sf, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
+
+
+@query("SELECT count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r FROM lineitem")
+def pearson(spark, sf):
+    return stats.pearson(_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").withColumn("r", F.round("r", 6))
+
+
+@query("""WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem) SELECT count(*) AS n, round(corr(a, b), 6) AS rho FROM r""")
+def spearman(spark, sf):
+    return stats.spearman(_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 6))
+
+
+@query()
+def correlation_p_values(spark, sf):
+    rows = _table(spark, sf, "lineitem")
+    return stats.with_p_value(stats.pearson(rows, "l_discount", "l_tax", ["l_returnflag"])).withColumns({c: F.round(c, 6) for c in ("r", "p")})
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 4) AS price FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 30")
+def top_movers(spark, sf):
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    return stats.top_movers(_table(spark, sf, "lineitem"), "l_extendedprice", keys).select(*keys, F.round("l_extendedprice", 4).alias("price"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(o.o_orderkey) AS BIGINT) AS matched, CAST(count(*) FILTER (WHERE o.o_totalprice > 100000) AS BIGINT) AS large FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey")
+def coverage_counts(spark, sf):
+    o = _table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
+    return _table(spark, sf, "lineitem").select("l_orderkey").join(o, "l_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count("o_totalprice").alias("matched"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
+
+
+@query(f"SELECT count(*) AS n FROM (SELECT l_partkey AS k FROM lineitem WHERE l_suppkey % 3 = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 3 = 1) t")
+def key_intersection(spark, sf):
+    rows = _table(spark, sf, "lineitem")
+    side = lambda r: rows.where(F.col("l_suppkey") % 3 == r).select("l_partkey")
+    return side(0).intersect(side(1)).agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---- whole pipelines
+
+
+@query()
+def system_cohort(spark, sf):
+    """Ten systems by label: kNN graph, tube and cylinder between two seeds, windowed F1 of each, per system."""
+    p = checkpoint(cloud(spark, sf))
+    seeds = p.groupBy("entity").agg(F.min("id").alias("a"), F.max("id").alias("b"))
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        ids, xyz = pdf["id"].to_numpy(np.int64), pdf[["x", "y", "z"]].to_numpy()
+        s, d, _ = graph._top_k(ids, xyz, ids, xyz, min(6, len(ids) - 1)) if len(ids) > 1 else [np.empty(0, np.int64)] * 3
+        src, dst = np.r_[s, d].astype(np.int64), np.r_[d, s].astype(np.int64)
+        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
+        seed, node, frame = traverse.expand(src, dst, [a, b])
+        fa, fb = dict(zip(node[seed == a], frame[seed == a])), dict(zip(node[seed == b], frame[seed == b]))
+        if b not in fa:
+            return pd.DataFrame([[key[0], -1, "PIPELINE_FAILURE", "seeds are disconnected"]], columns=["entity", "id", "status", "reason"])
+        hit = [n for n in fa if n in fb and fa[n] + fb[n] <= fa[b] + 1 and n not in (a, b)]
+        if not hit:
+            return pd.DataFrame([[key[0], -1, "PIPELINE_FAILURE", "tube is empty"]], columns=["entity", "id", "status", "reason"])
+        return pd.DataFrame({"entity": key[0], "id": hit, "status": "OK", "reason": None})
+
+    tubes = checkpoint(p.join(seeds, "entity").groupBy("entity").applyInPandas(run, "entity int, id long, status string, reason string"))
+    ok = tubes.where("status = 'OK'")
+    ends = seeds
+    for s in "ab":
+        ends = ends.join(p.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}{c}") for c in "xyz"]), s)
+    cyl = evaluate.cylinder(p, ends, ok.groupBy("entity").agg(F.count(F.lit(1)).alias("m")), ["entity"])
+    truth = p.where("id % 7 = 0").select("entity", F.lit(0).alias("chain"), F.col("id").alias("seq"))
+    f1 = lambda d, n: evaluate.score(evaluate.windowed_hits(d.select("entity", F.lit(0).alias("chain"), F.col("id").alias("seq")), truth.join(ok.select("entity").distinct(), "entity", "left_semi"), 2, ["entity"])).select("entity", F.col("f1").alias(n))
+    scores = f1(ok, "f1_tube").join(f1(cyl, "f1_cylinder"), "entity")
+    status = tubes.groupBy("entity").agg(F.max("status").alias("status"), F.max("reason").alias("reason"), F.count_if(F.col("status") == "OK").alias("m"))
+    out = status.join(scores, "entity", "left")
+    return out.select("entity", "status", "reason", "m", *[F.round(c, 6).alias(c) for c in ("f1_tube", "f1_cylinder")], F.round(F.col("f1_tube") - F.col("f1_cylinder"), 6).alias("delta"))
+
+
+@query()
+def system_cohort_verdict(spark, sf):
+    return evaluate.cohort(system_cohort(spark, sf)).withColumns({c: F.round(c, 6) for c in ("median_delta", "win_pct")})

@@ -1 +1,7 @@
+"""Readers: structure text, edge lists, CSR binaries and nested JSON."""
 
+from tessera.sources.edges import matrix_market, read_edges, snap_edges
+from tessera.sources.files import csr_binary, file_lengths, residue_index
+from tessera.sources.structure import ATOMS, atoms
+
+__all__ = ["ATOMS", "atoms", "csr_binary", "file_lengths", "matrix_market", "read_edges", "residue_index", "snap_edges"]
