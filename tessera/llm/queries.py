@@ -65,6 +65,10 @@ QUERIES = {
     "op10_warc": op10_warc,
 }
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+TOKENS = f"regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+')"
+
 ORACLES = {
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -73,4 +77,47 @@ ORACLES = {
                d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op7_ngram_jaccard_join": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+             g AS (SELECT doc_id, w, least(4, len(w)) AS k FROM d WHERE len(w) > 0),
+             p AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM g),
+             s AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, s, s + k - 1), ' ') AS gram FROM p),
+             n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+             c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+             l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 85 * (x.n + y.n - c.c)),
+             e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+             r(id, c) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id),
+             m AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id
+        FROM d JOIN m ON m.id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+    "op8_benchmark_decontamination": f"""
+        WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
+             b AS (SELECT item_id, {WORDS} AS v FROM benchmark),
+             i AS (SELECT item_id, v, least(10, len(v)) AS k FROM b WHERE len(v) > 0),
+             q AS (SELECT item_id, v, k, unnest(range(1, len(v) - k + 2)) AS s FROM i),
+             g AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(v, s, s + k - 1), ' ') AS gram FROM q),
+             z AS (SELECT DISTINCT k FROM g),
+             p AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM d, z WHERE len(w) >= k),
+             o AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS gram FROM p),
+             h AS (SELECT o.doc_id, o.s, o.k, g.item_id FROM o JOIN g ON o.k = g.k AND o.gram = g.gram),
+             u AS (SELECT doc_id, unnest(range(s, s + k)) AS place FROM h),
+             c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM u GROUP BY doc_id),
+             t AS (SELECT DISTINCT doc_id, item_id FROM h),
+             n AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM t GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
+               sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+    """,
+    "op10_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+             k AS (SELECT h, max(page_id) AS keep FROM p GROUP BY h),
+             x AS (SELECT p.page_id, p.h, k.keep, sha1(p.h) AS hex FROM p JOIN k ON p.h = k.h),
+             b AS (SELECT *, array_to_string(list_transform(range(1, 41), lambda i: ['0000', '0001', '0010', '0011', '0100', '0101', '0110', '0111', '1000', '1001', '1010', '1011', '1100', '1101', '1110', '1111'][strpos('0123456789abcdef', substr(hex, i, 1))]), '') AS bits FROM x)
+        SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda j: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + 16 * CAST(substr(bits, j * 5 + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, j * 5 + 2, 1) AS INTEGER) + 4 * CAST(substr(bits, j * 5 + 3, 1) AS INTEGER) + 2 * CAST(substr(bits, j * 5 + 4, 1) AS INTEGER) + CAST(substr(bits, j * 5 + 5, 1) AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
+        FROM b
+    """,
 }
