@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, table, unpack
-from tessera.llm.text import Vocabulary, mix64, space_tokens
+from tessera.llm.text import mix64, token_hashes
 from tessera.operators.components import connected_components
 from tessera.session import checkpoint, saved
 
@@ -38,24 +38,28 @@ WORDS, PERCENT = 5, 80
 #: Documents of a neighbourhood in one task, and in a part of a larger one.
 TASK_DOCS, PART_DOCS = 6000, 3000
 SHINGLES, TEXTS, FIRST = 0, 9, 8
+BLOCK_BYTES = 16 << 20
+#: Odd multipliers by place in a shingle.
+_FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(texts: list[str | None], words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashed distinct shingles of the texts, one after another, each text's sorted; and how many each has."""
-    v = Vocabulary()
-    parts = [v.ids(space_tokens(t)) for t in texts]
-    h = v.hashes()
+    h, n = token_hashes(texts)
+    at = np.r_[0, np.cumsum(n)]
+    whole = np.zeros(max(0, len(h) - words + 1), np.uint64)
+    for j in range(words):
+        whole += h[j : j + len(whole)] * _FACTORS[j]
+    whole = mix64(whole)
     out, sizes = [], np.zeros(len(texts), np.int64)
-    for i, p in enumerate(parts):
-        if not len(p):
-            continue
-        k = min(words, len(p))
-        x = np.full(len(p) - k + 1, k, np.uint64)
-        for j in range(k):
-            x = mix64(x * np.uint64(0x9E3779B97F4A7C15) + h[p[j : j + len(x)]])
-        u = np.unique(x)
-        out.append(u)
-        sizes[i] = len(u)
+    for i in np.flatnonzero(n):
+        lo, hi = int(at[i]), int(at[i + 1])
+        if hi - lo >= words:
+            x = np.unique(whole[lo : hi - words + 1])
+        else:
+            x = mix64((h[lo:hi] * _FACTORS[: hi - lo]).sum(keepdims=True) + np.uint64(hi - lo))
+        out.append(x)
+        sizes[i] = len(x)
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), sizes
 
 
@@ -161,13 +165,12 @@ def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> np
                     open_[j] = False
                     label[j] = root
                     todo.append(j)
-        label[todo] = root
     return label
 
 
 def _ask(src: DataFrame, words: int, buckets: int) -> DataFrame:
     def ask(batches):
-        for block, (_, texts) in blocks(batches, 1):
+        for block, (_, texts, _) in blocks(batches, 1, BLOCK_BYTES):
             flat, _ = shingle_sets(texts, words)
             keys, n = np.unique(flat, return_counts=True)
             yield message(list(send(SHINGLES, block, buckets, keys, n=n)))
@@ -190,54 +193,34 @@ def _count(group: pa.Table) -> pa.Table:
     return table(rows)
 
 
-def signatures(docs: DataFrame, words: int = WORDS, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """row, doc_id, n and a signature (s1, s2) of the set of every row."""
-    src = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("t"), docs[doc_id].cast("long").alias("doc_id"))
-
+def signatures(src: DataFrame, words: int) -> DataFrame:
+    """block, row, doc_id, n and a signature (s1, s2) of the set of every row."""
     def sign(batches):
-        for b in batches:
-            for _, (rows, texts, ids) in _cut(b):
-                flat, n = shingle_sets(texts, words)
-                at = np.r_[0, np.cumsum(n)]
-                one, two = (np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)] for x in (mix64(flat), mix64(flat ^ np.uint64(0x5851F42D4C957F2D))))
-                yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n), pa.array((one[at[1:]] - one[at[:-1]]).view(np.int64)), pa.array((two[at[1:]] - two[at[:-1]]).view(np.int64))], names=["row", "doc_id", "n", "s1", "s2"])
-
-    return src.mapInArrow(sign, "row long, doc_id long, n long, s1 long, s2 long")
+        for block, (rows, texts, ids) in blocks(batches, 1, BLOCK_BYTES):
+            flat, n = shingle_sets(texts, words)
+            at = np.r_[0, np.cumsum(n)]
+            one, two = (np.r_[np.uint64(0), np.cumsum(x, dtype=np.uint64)] for x in (mix64(flat), mix64(flat ^ np.uint64(0x5851F42D4C957F2D))))
+            yield pa.record_batch([pa.array(np.full(len(rows), block, np.int64)), pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array(n), pa.array((one[at[1:]] - one[at[:-1]]).view(np.int64)), pa.array((two[at[1:]] - two[at[:-1]]).view(np.int64))], names=["block", "row", "doc_id", "n", "s1", "s2"])
 
-
-def _cut(batch: pa.RecordBatch, limit: int = 8 << 20):
-    columns, start, held = [c.to_pylist() for c in batch.columns], 0, 0
-    for i, t in enumerate(columns[1]):
-        held += len(t or "")
-        if held >= limit:
-            yield start, [c[start : i + 1] for c in columns]
-            start, held = i + 1, 0
-    if start < batch.num_rows:
-        yield start, [c[start:] for c in columns]
+    return src.mapInArrow(sign, "block long, row long, doc_id long, n long, s1 long, s2 long")
 
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_shingles, component_id, first (the row that stands for its group)."""
     buckets = n_buckets(docs)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("t"), F.spark_partition_id().alias("p"))
-    marked = saved(signatures(docs, words, text, doc_id), "jaccard-rows")
+    src = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("t"), docs[doc_id].cast("long").alias("doc_id"), F.spark_partition_id().alias("p"))
+    marked = saved(signatures(src, words), "jaccard-rows")
     # the first member of a class: smallest doc_id, nulls last, then the first row
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = checkpoint(marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(rank).alias("first")).select("s1", "s2", "n", F.col("first.row").alias("class"), F.col("first.doc_id").alias("class_id")))
 
     def texts(batches):
-        for block, (rows, held) in blocks(batches, 1):
+        for block, (rows, held, _) in blocks(batches, 1, BLOCK_BYTES):
             flat, n = shingle_sets(held, words)
             yield message([(TEXTS, 0, block, pack({"flat": flat, "n": n, "row": np.array(rows, np.int64)}))])
 
-    def where(batches):
-        for block, (rows, _) in blocks(batches, 1):
-            rows = np.array(rows, np.int64)
-            yield pa.record_batch([pa.array(np.full(len(rows), block)), pa.array(rows)], names=["block", "row"])
-
     counts = saved(_ask(src, words, buckets).groupBy("bucket").applyInArrow(_count, MESSAGE), "jaccard-counts")
-    place = src.mapInArrow(where, "block long, row long")
-    firsts = place.join(classes.select(F.col("class").alias("row")), "row", "left_semi")
+    firsts = marked.select("block", "row").join(classes.select(F.col("class").alias("row")), "row", "left_semi")
 
     def listed(group: pa.Table) -> pa.Table:
         return table([(FIRST, 0, group.column("block")[0].as_py(), pack({"row": np.sort(group.column("row").to_numpy())}))])
@@ -251,16 +234,18 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
         out = {k: [] for k in ("row", "n", "prefix", "shared")}
         if own and first and got:
             x = own[0]
-            flat, sizes = x["flat"].astype(np.uint64), x["n"].astype(np.int64)
-            keys = np.unique(flat)
-            df = got["n"][np.searchsorted(keys, flat)]
+            flat, sizes = x["flat"], x["n"].astype(np.int64)
+            order = np.argsort(flat)
+            step = np.r_[False, flat[order[1:]] != flat[order[:-1]]]
+            df = np.empty(len(flat), np.uint8)
+            df[order] = got["n"][np.cumsum(step)]
             at = np.r_[0, np.cumsum(sizes)]
-            for i in np.flatnonzero(np.isin(x["row"], first[0])):
+            together = np.r_[0, np.cumsum(df > 1)]
+            able = (together[at[1:]] - together[at[:-1]] >= least_overlap(sizes, percent)) & (sizes > 0)
+            for i in np.flatnonzero(able & np.isin(x["row"], first[0])):
                 f, h = df[at[i] : at[i + 1]], flat[at[i] : at[i + 1]]
                 n, shared = len(h), f > 1
                 m = int(shared.sum())
-                if m < least_overlap(n, percent):
-                    continue
                 f, h = f[shared], h[shared]
                 order = np.lexsort((h, f))
                 f, h = f[order], h[order]
