@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, table, unpack
-from tessera.llm.text import Vocabulary, mix64, remainder, space_tokens
+from tessera.llm.text import mix64, remainder, token_hashes
 from tessera.session import saved
 
 #: Counts above this are taken as they are.
 K = 5
-END, START = b"\n</s>", b"\n<s>"
+#: Hashes of the end and the start mark; the start sorts after all tokens.
+END, START = np.uint64(2**64 - 2), np.uint64(2**64 - 1)
 WORD, PAIR, HISTORY, TEXTS = 0, 1, 2, 9
+BLOCK_BYTES = 24 << 20
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -46,40 +48,36 @@ def _discounts(n: list[int]) -> np.ndarray:
 
 
 class Block:
-    """Numbered tokens of a block of documents."""
+    """Numbered tokens of a block of documents; the start mark is the last number and no token."""
 
     def __init__(self, texts: list[str | None], held: list[bool]):
-        v = Vocabulary()
-        v[END], v[START]
-        parts = [v.ids(space_tokens(t)) for t in texts]
-        self.sizes = np.array([len(p) + 1 for p in parts], np.int64)
-        flat = np.zeros(int(self.sizes.sum()) + 1, np.int32)
-        stop = np.cumsum(self.sizes)
-        for p, e in zip(parts, stop):
-            flat[e - 1 - len(p) : e - 1] = p
-        self.words = flat[:-1]
-        self.histories = np.r_[np.int32(1), flat[:-2]] if len(flat) > 1 else flat[:0]
-        self.histories[stop[:-1]] = 1
-        self.held = np.repeat(np.array(held, bool), self.sizes)
-        self.hash = v.hashes()
+        tokens, n = token_hashes(texts)
+        self.sizes = n + 1
+        flat = np.full(int(self.sizes.sum()), END, np.uint64)
+        inner = np.ones(len(flat), bool)
+        inner[np.cumsum(self.sizes) - 1] = False
+        flat[inner] = tokens
+        self.keys, words = np.unique(flat, return_inverse=True)
+        self._finish(words, np.array(held, bool))
+
+    def _finish(self, words: np.ndarray, held: np.ndarray) -> None:
+        self.words, self.text_held = words, held
+        self.hash = np.r_[self.keys, START]
+        self.histories = np.empty_like(words)
+        self.histories[1:] = words[:-1]
+        self.histories[np.cumsum(self.sizes) - self.sizes] = len(self.keys)
+        self.held = np.repeat(held, self.sizes)
 
     def columns(self) -> dict:
-        return {"words": self.words, "sizes": self.sizes, "held": self.held[np.cumsum(self.sizes) - self.sizes], "hash": self.hash}
+        return {"words": self.words, "sizes": self.sizes, "held": self.text_held.astype(np.uint8), "sorted": self.keys}
 
     @classmethod
     def load(cls, x: dict) -> Block:
         b = cls.__new__(cls)
-        b.words, b.sizes, b.hash = x["words"].astype(np.int64), x["sizes"].astype(np.int64), x["hash"]
-        b.held = np.repeat(x["held"].astype(bool), b.sizes)
-        b.histories = np.r_[np.int64(1), b.words[:-1]]
-        b.histories[np.cumsum(b.sizes)[:-1]] = 1
+        b.keys, b.sizes = x["sorted"], x["sizes"].astype(np.int64)
+        b._finish(x["words"].astype(np.int64), x["held"].astype(bool))
         return b
 
-    def ask_words(self) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted hashes of the words, and their numbers in that order."""
-        order = np.argsort(self.hash, kind="stable")
-        return self.hash[order], order
-
     def pairs(self):
         """Sorted hashes of the distinct pairs, where each stands first, and the pair at every token."""
         return np.unique(mix64(self.hash[self.histories] * np.uint64(0x9E3779B97F4A7C15) + self.hash[self.words]), return_index=True, return_inverse=True)
@@ -114,13 +112,11 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     src = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"), F.coalesce(held_out, F.lit(False)).alias("h"), F.spark_partition_id().alias("p"))
 
     def ask(batches):
-        for block, (_, texts, held) in blocks(batches, 1):
+        for block, (_, texts, held) in blocks(batches, 1, BLOCK_BYTES):
             b = Block(texts, held)
-            keys, order = b.ask_words()
-            n = np.bincount(b.words[~b.held], minlength=len(keys))
+            rows = list(send(WORD, block, buckets, b.keys, n=np.bincount(b.words[~b.held], minlength=len(b.keys))))
             # the starts of learning texts are counted as a history, not as a token
-            starts = int((~b.held[np.cumsum(b.sizes) - b.sizes]).sum())
-            rows = list(send(WORD, block, buckets, keys, n=n[order]))
+            starts = int((~b.text_held).sum())
             keys, _, at = b.pairs()
             rows += send(PAIR, block, buckets, keys, n=np.bincount(at[~b.held], minlength=len(keys)))
             rows.append((TEXTS, -1, block, pack({"starts": np.array([starts])})))
@@ -153,7 +149,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         return np.where(n > 0, discounted(n, d_word) / max(1, whole), unknown)
 
     def texts(batches):
-        for block, (ids, t, held) in blocks(batches, 1):
+        for block, (ids, t, held) in blocks(batches, 1, BLOCK_BYTES):
             b = Block(t, held)
             null = np.array([i is None for i in ids], np.uint8)
             yield message([(TEXTS, 0, block, pack(b.columns() | {"null": null, "id": np.array([i or 0 for i in ids], np.int64)}))])
@@ -162,16 +158,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         parts = list(received(group))
         x = next(x for k, _, _, x in parts if k == TEXTS)
         b = Block.load(x)
-        _, order = b.ask_words()
-        n = np.zeros(len(order), np.int64)
-        n[order] = answers(parts, WORD)["n"]
-        return parts, x, b, n
-
-    def history_counts(n: np.ndarray) -> np.ndarray:
-        n = n.copy()
-        n[1] = starts
-        n[0] = 0  # nothing follows an end
-        return n
+        return parts, x, b, np.r_[answers(parts, WORD)["n"].astype(np.int64), starts]
 
     def gather(group: pa.Table) -> pa.Table:
         parts, _, b, n = opened(group)
@@ -182,9 +169,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         asked = np.unique(b.histories)
         kept = np.bincount(h, weights=discounted(r, d_pair), minlength=len(n))[asked]
         held = np.bincount(h, weights=word_probability(n[w]), minlength=len(n))[asked]
-        order = np.argsort(b.hash[asked], kind="stable")
-        asked = asked[order]
-        return table(list(send(HISTORY, group.column("block")[0].as_py(), buckets, b.hash[asked], n=history_counts(n)[asked], kept=kept[order], held=held[order])))
+        return table(list(send(HISTORY, group.column("block")[0].as_py(), buckets, b.hash[asked], n=n[asked], kept=kept, held=held)))
 
     def weigh(group: pa.Table) -> pa.Table:
         """Backoff weights of a bucket's histories; negative where the denominator has one more."""
@@ -213,12 +198,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         parts, x, b, n = opened(group)
         _, _, at = b.pairs()
         r = answers(parts, PAIR)["n"].astype(np.int64)[at]
-        asked = np.unique(b.histories)
-        order = np.argsort(b.hash[asked], kind="stable")
         alpha = np.ones(len(n))
-        alpha[asked[order]] = answers(parts, HISTORY)["alpha"]
+        alpha[np.unique(b.histories)] = answers(parts, HISTORY)["alpha"]
         h = b.histories
-        full = history_counts(n)[h] + (alpha[h] < 0)
+        full = n[h] + (alpha[h] < 0)
         p = np.where(r > 0, discounted(r, d_pair) / np.maximum(full, 1), np.abs(alpha[h]) * word_probability(n[b.words]))
         doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
         sums = lambda a: np.bincount(doc, weights=a, minlength=len(b.sizes))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -93,22 +91,6 @@ def _hashes(raw: bytes, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat(part, first), np.diff(cut)
 
 
-class Vocabulary(defaultdict):
-    """Numbers words in the order in which they are first asked for."""
-
-    def __init__(self):
-        super().__init__()
-        self.default_factory = self.__len__
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
-
-    def hashes(self, since: int = 0) -> np.ndarray:
-        """64-bit hashes of the words numbered from ``since`` on."""
-        words = list(self)[since:]
-        return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-
-
 def remainder(doc_id: Column, n: int) -> Column:
     """crc32 of the decimal text of ``doc_id`` modulo ``n``; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
