@@ -21,7 +21,9 @@ def describe(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame
 def pearson(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
     """n and r over rows with both values; null where one side is constant."""
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.nullif(F.corr(x, y), F.lit(float("nan"))).alias("r"))
+    # corr() itself divides by zero where a side is constant
+    spread = F.stddev_pop(x) * F.stddev_pop(y)
+    return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
 def average_rank(rows: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
