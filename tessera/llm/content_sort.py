@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.text import lean
 from tessera.session import checkpoint, saved
 
 #: Characters of the text in a splitter; the hash decides among texts with the same beginning.
@@ -87,6 +88,8 @@ def groups(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     src = docs.select(F.coalesce(F.col(text), F.lit("")).alias("_t"), F.col(doc_id).cast("long").alias("_id"))
     ready = _sorted(src).select("_t", "_id", F.sha2("_t", 256).alias("_s"))
 
+    @lean
+
     def runs(batches):
         pid, run, before, held, sha = TaskContext.get().partitionId(), -1, None, [], None
 
@@ -144,6 +147,8 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     carried = docs.select(F.struct(*[docs[c] for c in names]).alias("_row"), F.coalesce(docs[text], F.lit("")).alias("_t"), docs[doc_id].cast("long").alias("_id"))
     ready = _sorted(carried).select("_row", "_t", "_id", F.sha2("_t", 256).alias("_s"))
 
+    @lean
+
     def heads(batches):
         pid, run, before, size, last = TaskContext.get().partitionId(), -1, None, 0, None
         for b in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import word_tokens
+from tessera.llm.text import lean, word_tokens
 
 WINDOW = 10
 #: Bytes of benchmark text sent to the executors at once.
@@ -173,6 +173,8 @@ def score(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     sets = [spark.sparkContext.broadcast(Index(items, window)) for items in _slices(benchmark, item_id, text, slice_bytes)]
     carried = docs.select(F.col(text).alias("_t"), F.col(doc_id).cast("long").alias("_id"), *[docs[c].alias(f"_c_{c}") for c in carry or []])
 
+    @lean
+
     def judge(batches):
         for b in batches:
             words, hits, items, digest = [], [], [], []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import pieces, remainder
+from tessera.llm.text import lean, pieces, remainder
 
 #: Trigrams are hashed to the first half of the buckets and words to the second.
 BUCKETS = 1 << 17
@@ -35,7 +35,7 @@ PENALTY, WORD_WEIGHT, SMOOTH, LEAST_SHARE = 8.0, 1.0, 0.2, 0.002
 #: More languages than this are refused: the model is sent to every executor.
 MOST_LANGUAGES = 512
 #: Bytes of text handled at once in a worker.
-PIECE = 1 << 20
+PIECE = 512 << 10
 
 # First and last code points of scripts' main blocks.
 SCRIPTS = [
@@ -202,6 +202,7 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, prior: np.ndarray, penalty:
 
 def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | None:
     """Counts over all of ``rows``, summed by language and bucket."""
+    @lean
     def count(batches):
         held: dict[str, np.ndarray] = {}
         for b in batches:
@@ -264,6 +265,8 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: dic
     kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("lang", pa.string())]))
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
+
     def tell(batches):
         m = held.value
         for b in batches:

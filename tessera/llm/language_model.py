@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, table, unpack
-from tessera.llm.text import mix64, remainder, token_hashes
+from tessera.llm.text import lean, mix64, remainder, token_hashes
 from tessera.session import saved
 
 #: Counts above this are taken as they are.
@@ -33,7 +33,7 @@ K = 5
 #: Hashes of the end and the start mark; the start sorts after all tokens.
 END, START = np.uint64(2**64 - 2), np.uint64(2**64 - 1)
 WORD, PAIR, HISTORY, TEXTS = 0, 1, 2, 9
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 12 << 20
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -111,6 +111,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     buckets = n_buckets(docs)
     src = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"), F.coalesce(held_out, F.lit(False)).alias("h"), F.spark_partition_id().alias("p"))
 
+    @lean
+
     def ask(batches):
         for block, (_, texts, held) in blocks(batches, 1, BLOCK_BYTES):
             b = Block(texts, held)
@@ -122,6 +124,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
             rows.append((TEXTS, -1, block, pack({"starts": np.array([starts])})))
             yield message(rows)
 
+    @lean
+
     def tally(group: pa.Table) -> pa.Table:
         if group.column("kind")[0].as_py() != TEXTS:
             return _count(group)
@@ -148,6 +152,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     def word_probability(n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, discounted(n, d_word) / max(1, whole), unknown)
 
+    @lean
+
     def texts(batches):
         for block, (ids, t, held) in blocks(batches, 1, BLOCK_BYTES):
             b = Block(t, held)
@@ -160,6 +166,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         b = Block.load(x)
         return parts, x, b, np.r_[answers(parts, WORD)["n"].astype(np.int64), starts]
 
+    @lean
+
     def gather(group: pa.Table) -> pa.Table:
         parts, _, b, n = opened(group)
         _, first, _ = b.pairs()
@@ -171,6 +179,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
         held = np.bincount(h, weights=word_probability(n[w]), minlength=len(n))[asked]
         return table(list(send(HISTORY, group.column("block")[0].as_py(), buckets, b.hash[asked], n=n[asked], kept=kept, held=held)))
 
+    @lean
+
     def weigh(group: pa.Table) -> pa.Table:
         """Backoff weights of a bucket's histories; negative where the denominator has one more."""
         parts = list(received(group))
@@ -194,6 +204,8 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     told = counts.where("block >= 0")
     weights = saved(asked.unionByName(told).groupBy("block").applyInArrow(gather, MESSAGE).groupBy("bucket").applyInArrow(weigh, MESSAGE), "lm-weights")
 
+    @lean
+
     def judge(group: pa.Table) -> pa.Table:
         parts, x, b, n = opened(group)
         _, _, at = b.pairs()

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, table, unpack
-from tessera.llm.text import mix64, token_hashes
+from tessera.llm.text import lean, mix64, token_hashes
 from tessera.operators.components import connected_components
 from tessera.session import checkpoint, saved
 
@@ -38,7 +38,7 @@ WORDS, PERCENT = 5, 80
 #: Documents of a neighbourhood in one task, and in a part of a larger one.
 TASK_DOCS, PART_DOCS = 6000, 3000
 SHINGLES, TEXTS, FIRST = 0, 9, 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Odd multipliers by place in a shingle.
 _FACTORS = mix64(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
@@ -169,6 +169,7 @@ def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> np
 
 
 def _ask(src: DataFrame, words: int, buckets: int) -> DataFrame:
+    @lean
     def ask(batches):
         for block, (_, texts, _) in blocks(batches, 1, BLOCK_BYTES):
             flat, _ = shingle_sets(texts, words)
@@ -195,6 +196,7 @@ def _count(group: pa.Table) -> pa.Table:
 
 def signatures(src: DataFrame, words: int) -> DataFrame:
     """block, row, doc_id, n and a signature (s1, s2) of the set of every row."""
+    @lean
     def sign(batches):
         for block, (rows, texts, ids) in blocks(batches, 1, BLOCK_BYTES):
             flat, n = shingle_sets(texts, words)
@@ -214,6 +216,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     classes = checkpoint(marked.where("n > 0").groupBy("s1", "s2", "n").agg(F.min(rank).alias("first")).select("s1", "s2", "n", F.col("first.row").alias("class"), F.col("first.doc_id").alias("class_id")))
 
+    @lean
+
     def texts(batches):
         for block, (rows, held, _) in blocks(batches, 1, BLOCK_BYTES):
             flat, n = shingle_sets(held, words)
@@ -225,6 +229,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     def listed(group: pa.Table) -> pa.Table:
         return table([(FIRST, 0, group.column("block")[0].as_py(), pack({"row": np.sort(group.column("row").to_numpy())}))])
 
+    @lean
+
     def choose(group: pa.Table) -> pa.Table:
         """Of each class that can have partners: its shared shingles in order, and the prefix of them."""
         parts = list(received(group))
@@ -261,7 +267,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     # stars: every document of a prefix shingle with the smallest of them
     tokens = chosen.select(F.col("row").alias("u"), F.explode("prefix").alias("token"))
     stars = tokens.groupBy("token").agg(F.min("u").alias("v"), F.count(F.lit(1)).alias("k")).where("k > 1").select("token", "v")
-    near = connected_components(tokens.join(stars, "token").where("u <> v").select("u", "v").distinct())
+    near = connected_components(tokens.join(stars, "token").where("u <> v").select("u", "v"))
     sized = near.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
     sets = chosen.select("row", "n", "shared").join(near.withColumnRenamed("id", "row"), "row").join(sized, "component")
     part = F.when(F.col("k") > TASK_DOCS, F.ceil(F.col("k") / PART_DOCS)).otherwise(1).cast("int")
@@ -271,6 +277,8 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     sets = sets.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
     sets = sets.withColumn("shard", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(8 * buckets))).otherwise(F.xxhash64("component", "a", "b")))
 
+    @lean
+
     def join(group: pa.Table) -> pa.Table:
         edges = [[], []]
         keys = sorted(zip(*[group.column(c).to_pylist() for c in ("component", "a", "b", "row")], range(group.num_rows)))

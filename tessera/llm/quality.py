@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.text import pieces, remainder
+from tessera.llm.text import lean, pieces, release, remainder
 
 BUCKETS, DIMENSIONS = 1 << 17, 8
 NGRAMS = (3, 4)
 SAMPLE = 1500
 EPOCHS, RATE, BATCH, SEED = 12, 0.5, 32, 7
 THRESHOLD = 0.3
-PIECE = 2 << 20
+PIECE = 512 << 10
 
 _SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 
@@ -150,6 +150,8 @@ def learn(rows: DataFrame, sample: int = SAMPLE, text: str = "text", label: str
     chosen = known.where("y = 0").orderBy(h, "i").limit(sample).unionByName(known.where("y = 1").orderBy(h, "i").limit(sample))
     ids = spark.createDataFrame([(r.i, r.y) for r in chosen.collect()], "i long, y int")  # 2 * sample rows at most
 
+    @lean
+
     def bag(batches):
         for b in batches:
             held, labels = [], []
@@ -168,7 +170,11 @@ def learn(rows: DataFrame, sample: int = SAMPLE, text: str = "text", label: str
     if len(set(labels.tolist())) < 2:
         return flat
     bags = [tuple(np.frombuffer(f, np.int32).reshape(2, -1)) for f, _ in found]
-    return train(bags, labels, share)
+    del found
+    model = train(bags, labels, share)
+    del bags
+    release()
+    return model
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", carry: dict[str, Column] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,6 +183,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", carry: dict[str,
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in src.schema.fields[1:])
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    @lean
+
     def tell(batches):
         m = held.value
         for b in batches:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 from functools import cache
 
 import numpy as np
@@ -101,6 +103,30 @@ def only(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*[c.alias(k) for k, c in columns.items()])
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def lean(f):
+    """``f`` over batches or over one group, with ``release`` at its end."""
+    if inspect.isgeneratorfunction(f):
+        def run(batches):
+            yield from f(batches)
+            release()
+    else:
+        def run(group):
+            out = f(group)
+            release()
+            return out
+
+    return run
+
+
 def pieces(batch: pa.RecordBatch, column: str, limit: int):
     """Row ranges of ``batch`` whose ``column`` holds about ``limit`` bytes at most, one row at least."""
     lengths = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)

@@ -30,6 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.text import lean
 from tessera.session import as_uri, checkpoint_root
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -186,6 +187,7 @@ def marked(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str
 
 def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **named) -> list[str]:
     """Write the archives and return the files' paths (a path for each ``file_bytes`` or task)."""
+    @lean
     def task(batches):
         from pyarrow import fs
 
@@ -223,6 +225,7 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **named)
 
 def load(spark, paths: list[str], payloads: bool = False) -> DataFrame:
     """Records of the archives at ``paths``: page_id, payload_bytes, payload_digest, record_type, refers_to, url (, payload)."""
+    @lean
     def task(batches):
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *(["payload"] if payloads else [])]
         schema = pa.schema([pa.field(k, t) for k, t in zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()])])
