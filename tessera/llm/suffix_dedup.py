@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.exchange import MESSAGE, answers, blocks, cut, message, n_buckets, pack, received, send, table, unpack
-from tessera.llm.text import mix64
+from tessera.llm.text import lean, mix64
 from tessera.session import saved
 
 LENGTH = 100
@@ -47,7 +47,7 @@ ANCHOR = 0.28
 #: An anchor is frequent from this share of all pieces on, and at least so many; there are 1 / FREQUENT such anchors at most.
 FREQUENT, LEAST_FREQUENT = 1 / 20_000, 2000
 #: Text in a block and windows handled at once.
-BLOCK_BYTES, STEP = 16 << 20, 1 << 20
+BLOCK_BYTES, STEP = 8 << 20, 1 << 17
 ANCHORS, PIECES, TEXTS, OFTEN = 0, 1, 9, 8
 
 
@@ -80,11 +80,16 @@ def _least(key: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+#: Anchors are small hashes, being least ones; this factor spreads their names over all buckets, and its inverse gives the hash back.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+_GATHER = np.uint64(pow(int(_SPREAD), -1, 2**64))
+
+
 class Frequent:
-    """Test of membership in a bounded set of anchors."""
+    """Test of membership in a bounded set of anchors, given by their names."""
 
     def __init__(self, keys: np.ndarray):
-        self.keys = np.unique(keys)
+        self.keys = np.unique(keys * _GATHER)
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.keys >> np.uint64(44)).astype(np.int64)] = True
 
@@ -96,31 +101,40 @@ class Frequent:
         return out
 
 
-def pieces(data: np.ndarray, length: int, k: int, often: Frequent | None = None):
-    """Pieces of one document: first string, number of strings, place and hash of the anchor."""
+def pieces(data: np.ndarray, sizes: np.ndarray, length: int, k: int, often: Frequent | None = None):
+    """Pieces of documents that follow each other in ``data``: first string, number of strings, place and name of the anchor."""
     n, w = len(data) - length + 1, length - k + 1
+    ends = np.cumsum(sizes)
+    inside = np.ones(len(data), bool)
+    for e, size in zip(ends.tolist(), sizes.tolist()):
+        inside[max(e - length + 1, e - size) : e] = False
     out = []
     for lo in range(0, n, STEP):
         hi = min(n, lo + STEP)
+        own = np.flatnonzero(inside[lo:hi])
+        if not len(own):
+            continue
         h = _grams(data[lo : hi + length - 1], k)
         # order by the hash's upper bits, then by place; frequent ones last
-        key = h >> np.uint64(29) << np.uint64(28) | np.arange(len(h), dtype=np.uint64)
+        key = h >> np.uint64(21) << np.uint64(20) | np.arange(len(h), dtype=np.uint64)
         if often is not None:
             key |= often(h).astype(np.uint64) << np.uint64(63)
-        at = (_least(key, w) & np.uint64((1 << 28) - 1)).astype(np.int64)
+        at = (_least(key, w) & np.uint64((1 << 20) - 1)).astype(np.int64)[own]
         first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        out.append((first + lo, np.diff(np.r_[first, len(at)]), at[first] + lo, h[at[first]]))
+        out.append((own[first] + lo, np.diff(np.r_[first, len(at)]), at[first] + lo, h[at[first]] * _SPREAD))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
 
 
 class Block:
-    """Pieces of the documents of a block, in the order of the documents."""
+    """Pieces of the documents of a block, in the order of the documents; places count from the document's start."""
 
     def __init__(self, texts: list[bytes], length: int, k: int, often: Frequent | None):
-        parts = [pieces(np.frombuffer(t, np.uint8), length, k, often) for t in texts]
-        self.doc = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
-        empty = [np.empty(0, np.int64)] * 3 + [np.empty(0, np.uint64)]
-        self.first, self.strings, self.at, self.hash = (np.concatenate([p[i] for p in parts]) if parts else empty[i] for i in range(4))
+        sizes = np.array([len(t) for t in texts], np.int64)
+        first, self.strings, at, self.hash = pieces(np.frombuffer(b"".join(texts), np.uint8), sizes, length, k, often)
+        ends = np.cumsum(sizes)
+        self.doc = np.searchsorted(ends, first, side="right")
+        begin = (ends - sizes)[self.doc] if len(first) else first
+        self.first, self.at = first - begin, at - begin
         self.keys, self.back = np.unique(self.hash, return_inverse=True)
 
     def ask(self, block: int, buckets: int) -> list:
@@ -169,14 +183,15 @@ def repeats(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, rank: np.nd
         # one column after the other, from the last to the first
         for x in range(right - 1, -w, -1):
             there = (x >= -offset) & (x < sizes - offset)
-            symbol = np.full(m, 256, np.uint16)
+            symbol = np.zeros(m, np.uint8)
             symbol[there] = data[begin[there] + offset[there] + x]
             columns.write(symbol.tobytes())
         columns.seek(0)
         order = np.arange(m)
         common = np.zeros(m, np.uint8)
         for x in range(right - 1, -w, -1):
-            symbol = np.frombuffer(columns.read(2 * m), np.uint16)[order]
+            there = (x >= -offset) & (x < sizes - offset)
+            symbol = np.where(there, np.frombuffer(columns.read(m), np.uint8), np.uint16(256))[order]
             to = np.argsort(symbol, kind="stable")
             s = symbol[to]
             equal = np.flatnonzero((s[1:] == s[:-1]) & (s[1:] != 256)) + 1
@@ -241,6 +256,8 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
     def count(often: Frequent | None) -> DataFrame:
         held = spark.sparkContext.broadcast(often)
 
+        @lean
+
         def ask(batches):
             for block, (_, texts, _) in blocks(batches, 1, BLOCK_BYTES):
                 yield message(Block(_raw(texts), length, k, held.value).ask(block, buckets))
@@ -261,6 +278,8 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
     held = spark.sparkContext.broadcast(often)
     told = counts.where(f"block >= 0 and kind = {ANCHORS}")
 
+    @lean
+
     def texts(batches):
         for block, (rows, t, ids) in blocks(batches, 1, BLOCK_BYTES):
             raw = _raw(t)
@@ -278,6 +297,8 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
         sent, same = block.repeated(live, raw, ids, rows, length)
         return parts, raw, ids, rows, block, sent, same
 
+    @lean
+
     def gather(group: pa.Table) -> pa.Table:
         _, raw, ids, rows, b, sent, _ = opened(group)
         name, out = group.column("block")[0].as_py(), []
@@ -293,6 +314,8 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
                 })))
         return table(out)
 
+    @lean
+
     def construct(group: pa.Table) -> pa.Table:
         parts = list(received(group))
         column = lambda c: np.concatenate([x[c].astype(np.int64) for *_, x in parts])
@@ -307,6 +330,8 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
     asked = src.mapInArrow(texts, MESSAGE)
     flagged = saved(asked.unionByName(told).groupBy("block").applyInArrow(gather, MESSAGE).groupBy("bucket").applyInArrow(construct, MESSAGE), "repeats-flags")
 
+    @lean
+
     def mark(group: pa.Table) -> pa.Table:
         parts, raw, ids, rows, b, sent, same = opened(group)
         w = length - k + 1
@@ -327,7 +352,7 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
             p = np.array([x for x, _ in same])
             n = b.strings[p]
             cover(np.repeat(base[b.doc[p]] + b.first[p], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-        gone = np.cumsum(edge) > 0
+        gone = np.cumsum(edge, dtype=np.int32, out=edge) > 0
         out = [finish(rows[j], ids[j], raw[j], gone[base[j] : base[j] + size[j]]) for j in range(len(raw))]
         return pa.Table.from_pylist(out, kind)
 

@@ -50,14 +50,15 @@ def test_frequent_anchors(spark, rows, tmp_path, monkeypatch):
     assert found(suffix_dedup.summary(spark.read.parquet(path), 60)) == brute([r[:2] for r in own], 60)
 
 
-def test_long_documents_in_steps(monkeypatch):
+def test_work_in_steps_changes_nothing(monkeypatch):
     rng = np.random.default_rng(3)
-    data = rng.integers(97, 101, 5000).astype(np.uint8)
-    whole = suffix_dedup.pieces(data, 40, 11)
+    data, sizes = rng.integers(97, 101, 5000).astype(np.uint8), np.array([1000, 30, 0, 2970, 1000])
+    whole = suffix_dedup.pieces(data, sizes, 40, 11)
     monkeypatch.setattr(suffix_dedup, "STEP", 700)
-    parts = suffix_dedup.pieces(data, 40, 11)
+    parts = suffix_dedup.pieces(data, sizes, 40, 11)
     spread = lambda p: [(int(f) + j, int(a)) for f, n, a in zip(p[0], p[1], p[2]) for j in range(n)]
     assert spread(whole) == spread(parts)
+    assert len(spread(whole)) == sum(max(0, n - 39) for n in sizes)
 
 
 def test_empty_table(empty):
