@@ -150,14 +150,13 @@ def deduplicate(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     @lean
 
     def heads(batches):
-        pid, run, before, size, last = TaskContext.get().partitionId(), -1, None, 0, None
+        pid, run, before = TaskContext.get().partitionId(), -1, None
         for b in batches:
             if not b.num_rows:
                 continue
             texts = b.column(1)
             at = np.flatnonzero(_starts(texts, before))
             before = texts[b.num_rows - 1].as_py()
-            last = b.column(3)[b.num_rows - 1].as_py()
             if len(at):
                 keep = pa.array(at)
                 n = len(at)

@@ -36,6 +36,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from tessera.llm.exchange import MESSAGE, answers, blocks, cut, message, n_buckets, pack, received, send, table, unpack
 from tessera.llm.text import lean, mix64
@@ -163,10 +165,6 @@ class Block:
         return sent[np.argsort(self.hash[sent], kind="stable")], same
 
 
-def _runs(common: np.ndarray, length: int) -> np.ndarray:
-    return np.flatnonzero(common < length)
-
-
 def repeats(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, rank: np.ndarray, length: int, k: int) -> np.ndarray:
     """Which strings of which pieces stand in a piece of smaller rank too: flags[piece, anchor's offset in the string].
 
@@ -179,6 +177,7 @@ def repeats(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, rank: np.nd
     begin = np.cumsum(sizes) - sizes
     right = int((sizes - offset).max())
     lcp_most = np.uint8(min(length, 255))
+    # scratch of this task alone, without a name: gone when the task ends, however it ends
     with tempfile.TemporaryFile() as columns:
         # one column after the other, from the last to the first
         for x in range(right - 1, -w, -1):
@@ -214,7 +213,7 @@ def repeats(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, rank: np.nd
             if x <= 0:
                 d = -x
                 valid = (offset[order] >= d) & (d >= offset[order] - (sizes[order] - length))
-                runs = _runs(common, length)
+                runs = np.flatnonzero(common < length)
                 r = np.where(valid, rank[order], np.iinfo(np.int64).max)
                 earliest = np.minimum.reduceat(r, runs)
                 late = valid & (r > np.repeat(earliest, np.diff(np.r_[runs, m])))
@@ -356,9 +355,6 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
         out = [finish(rows[j], ids[j], raw[j], gone[base[j] : base[j] + size[j]]) for j in range(len(raw))]
         return pa.Table.from_pylist(out, kind)
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
     kind = to_arrow_schema(_parse_datatype_string(schema))
     return asked.unionByName(told).unionByName(flagged).groupBy("block").applyInArrow(mark, schema)
 

@@ -45,3 +45,22 @@ def test_stages_hold_against_plain_python(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns[-1] == "taken" and got.count() > 0
+
+
+def test_an_empty_table_stays_empty(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "none"))
+    none = spark.read.parquet(str(tmp_path / "none"))
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, SF).count() == 0
+
+
+def test_odd_rows_and_columns_pass_every_stage(spark, docs, tmp_path):
+    odd = docs.selectExpr("doc_id", "text", "lang", "source", "n_chars", "lang as row", "n_chars as score", "text as _t", "doc_id as id", "source as p", "lang as pattern", "n_chars as taken_before")
+    odd.write.parquet(str(tmp_path / "in"))
+    at = spark.read.parquet(str(tmp_path / "in"))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, at, SF)
+        assert out.columns[: len(odd.columns)] == odd.columns
+        out.write.parquet(str(tmp_path / name))
+        at = spark.read.parquet(str(tmp_path / name))
+    assert at.where("_t is distinct from text or id is distinct from doc_id").count() == 0
