@@ -137,7 +137,7 @@ def knn_grid(points: DataFrame, k: int, axes: Sequence[str] = XYZ, cell: float |
 
 def knn_edges(points: DataFrame, k: int = 12, axes: Sequence[str] = XYZ) -> DataFrame:
     """Exact k nearest neighbours (src, dst, d2): blocks while all points fit one, else the grid."""
-    if points.select("id").limit(BLOCK_POINTS + 1).count() <= BLOCK_POINTS // 2:
+    if points.count() <= BLOCK_POINTS // 2:
         return knn_blocks(points, k, axes)
     return knn_grid(points, k, axes)
 

@@ -97,7 +97,7 @@ def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, n
         if missing := [s for s in seeds if s not in known]:
             raise ValueError(f"not nodes of the graph: {missing}")
     if plan == "auto":
-        plan = "kernel" if edges.select("src").limit(KERNEL_EDGES + 1).count() <= KERNEL_EDGES else "loop"
+        plan = "kernel" if edges.count() <= KERNEL_EDGES else "loop"
     return _kernel(edges, seeds, most) if plan == "kernel" else _loop(edges, seeds, most, symmetric)
 
 
