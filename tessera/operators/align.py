@@ -147,21 +147,24 @@ def window_match(a: DataFrame, b: DataFrame, key: str, seq: str = "seq_id", wind
 def entity_candidates(a: DataFrame, b: DataFrame, band: int = 2, n: int = 80) -> DataFrame:
     """Entities (entity, seq array) whose lengths differ by at most ``band``, with prefix mismatches.
 
+    The length is that of seq, or the column ``length`` where seq holds only the first ``n`` codes.
     A band join as equi-join: one side is repeated for each difference in the order 0, -1, +1, -2, +2.
     """
     order = [0, *[x for w in range(1, band + 1) for x in (-w, w)]]
-    left = a.select(F.col("entity").alias("ea"), F.col("seq").alias("sa"), F.size("seq").alias("la")).withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("by")) for i, x in enumerate(order)])))
-    right = b.select(F.col("entity").alias("eb"), F.col("seq").alias("sb"), F.size("seq").alias("lb"))
-    limit = F.greatest(F.lit(8), F.floor(F.least(F.size("sa"), F.lit(n)) / 5)).cast("int")
+    size = lambda d: F.col("length").cast("int") if "length" in d.columns else F.size("seq")
+    left = a.select(F.col("entity").alias("ea"), F.slice("seq", 1, n).alias("sa"), size(a).alias("la")).withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("by")) for i, x in enumerate(order)])))
+    right = b.select(F.col("entity").alias("eb"), F.slice("seq", 1, n).alias("sb"), size(b).alias("lb"))
+    limit = F.greatest(F.lit(8), F.floor(F.least(F.col("la"), F.lit(n)) / 5)).cast("int")
     return left.withColumn("lb", F.col("la") + F.col("d.by")).join(right, "lb").select("ea", "eb", F.col("d.rank").alias("rank"), hamming_prefix(F.col("sa"), F.col("sb"), n).alias("mismatches"), limit.alias("limit"))
 
 
 def entity_match(a: DataFrame, b: DataFrame, band: int = 2, n: int = 80) -> DataFrame:
     """(ea, eb, mismatches): entities of ``a`` in order take the free candidate with the fewest mismatches.
 
-    The candidates are a distributed join; the taking is sequential, over at most a few candidates an entity.
+    The candidates are a distributed join; the taking is sequential. Candidates beyond the limit are never
+    taken and use nothing up, so they don't reach it.
     """
-    c = entity_candidates(a, b, band, n)
+    c = entity_candidates(a, b, band, n).where("mismatches <= limit").drop("limit")
 
     def take(pdf: pd.DataFrame) -> pd.DataFrame:
         used, out = set(), []
@@ -170,7 +173,7 @@ def entity_match(a: DataFrame, b: DataFrame, band: int = 2, n: int = 80) -> Data
             for r in own.itertuples():
                 if r.eb not in used and (best is None or r.mismatches < best.mismatches):
                     best = r
-            if best is not None and best.mismatches <= best.limit:
+            if best is not None:
                 used.add(best.eb)
                 out.append((ea, best.eb, best.mismatches))
         return pd.DataFrame(out, columns=["ea", "eb", "mismatches"])

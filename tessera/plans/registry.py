@@ -467,8 +467,8 @@ def lookup_left_join(spark, sf):
 
 def _entities(spark, sf, low, high):
     d = _table(spark, sf, "documents").where(F.col("text").isNotNull())
-    d = d.select(F.col("doc_id").alias("entity"), F.split(F.substring("text", 1, 200), "").alias("seq"), "n_chars")
-    return d.where((F.col("entity") % 4 >= low) & (F.col("entity") % 4 < high)).drop("n_chars")
+    d = d.select(F.col("doc_id").alias("entity"), F.split(F.substring("text", 1, 80), "").alias("seq"), F.length("text").alias("length"))  # 80 codes are compared
+    return d.where((F.col("entity") % 4 >= low) & (F.col("entity") % 4 < high))
 
 
 @query("""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT a.doc_id AS ea, b.doc_id AS eb, a.t AS sa, b.t AS sb FROM d a JOIN d b ON a.doc_id + 1 = b.doc_id)
