@@ -305,6 +305,17 @@ def windowed_prf1(spark, sf):
     return evaluate.score(evaluate.windowed_hits(pred, truth)).select("n_pred", "n_truth", "pred_hits", "truth_hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query(f"""WITH pred AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 1), truth AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 2),
+h AS (SELECT (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM pred a WHERE EXISTS (SELECT 1 FROM truth b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS pred_hits, (SELECT count(*) FROM truth a WHERE EXISTS (SELECT 1 FROM pred b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS truth_hits),
+s AS (SELECT *, {PRF} FROM h)
+SELECT n_pred, n_truth, pred_hits, truth_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0 END, 6) AS f1 FROM s""")
+def windowed_prf1_whole(spark, sf):
+    """As ``windowed_prf1``, of all rows of both sides."""
+    rows = _table(spark, sf, "lineitem").select("l_linenumber", (F.col("l_orderkey") % 50).alias("chain"), F.col("l_partkey").alias("seq"))
+    hits = evaluate.windowed_hits(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"))
+    return evaluate.score(hits).select("n_pred", "n_truth", "pred_hits", "truth_hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 COHORT = """d AS (SELECT l_suppkey AS system, avg(l_discount) - avg(l_tax) AS delta FROM lineitem GROUP BY l_suppkey)"""
 
 

@@ -1,6 +1,7 @@
 """Queries take whole inputs: fixtures on which a cut would show."""
 
 import pandas as pd
+import pytest
 
 from tessera.plans import registry
 
@@ -31,3 +32,22 @@ def test_entity_match_compares_whole_lengths(spark, tmp_path):
     texts = [start + "x" * 10, start, start + "x" * 5000, start + "y" * 11, "short", "shorter", "shart", None, "z" * 81 + "q" * 300, "ü" * 79, "z" * 70 + "w" * 311, "ü" * 77]
     got = {(r.ea, r.eb, r.mismatches) for r in _documents(spark, tmp_path, texts)}
     assert got == _plain(texts) and (0, 3, 0) in got and 2 not in {x[1] for x in got}
+
+
+def _lineitem(tmp_path, rows, names):
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet")
+    return str(tmp_path)
+
+
+def test_windowed_prf1_whole_takes_all_rows(spark, tmp_path):
+    # Order keys that are no multiples of 7 or 11; chains are order keys mod 50.
+    rows = [(1, 1, 10), (51, 1, 11), (2, 1, 10), (3, 1, 90), (1, 2, 12), (101, 2, 8), (2, 2, 13), (4, 2, 90)]
+    sf = _lineitem(tmp_path, rows, ["l_orderkey", "l_linenumber", "l_partkey"])
+    pred, truth = ({(o % 50, x) for o, n, x in rows if n == k} for k in (1, 2))
+    hit = lambda a, b: sum(any(c == d and abs(x - y) <= 2 for d, y in b) for c, x in a)
+    got = registry.windowed_prf1_whole(spark, sf).first()
+    assert (got.n_pred, got.n_truth, got.pred_hits, got.truth_hits) == (len(pred), len(truth), hit(pred, truth), hit(truth, pred)) == (4, 4, 2, 2)
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
+    assert con.sql(registry.ORACLES["windowed_prf1_whole"]).df()[got.asDict().keys()].iloc[0].tolist() == list(got)
