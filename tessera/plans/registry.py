@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import conflict, hamming_prefix, next_state, node_gradient, residue_code, segment_distance, squared_distance
@@ -455,11 +455,18 @@ def aligned_displacement_summary(spark, sf):
     return stats.describe(moved, "disp").select("n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "p90", "p95", "p99", "max")])
 
 
+def _conformers(spark, sf, where="true"):
+    """Both conformers (key, group, x, y, z); the key is the rank of the id in its group, so every point has its own."""
+    q = [(10 * F.col("embedding")[3 + i].cast("double")).alias(f"q{c}") for i, c in enumerate("xyz")]
+    p = [(10 * F.col("embedding")[i].cast("double")).alias(f"p{c}") for i, c in enumerate("xyz")]
+    rows = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), *p, *q).where(where)
+    keyed = checkpoint(rows.withColumn("key", F.row_number().over(Window.partitionBy("group").orderBy("id"))))
+    return tuple(keyed.select("key", "group", *[F.col(f"{s}{c}").alias(c) for c in "xyz"]) for s in "pq")
+
+
 @query()
 def all_pairs_rmsd(spark, sf):
-    a, b = (cloud(spark, sf, k).select((F.col("id") % 50).alias("key"), F.col("entity").alias("group"), "x", "y", "z", "id") for k in (0, 3))
-    a, b = points.last_per_key(a, ["group", "key"], "id"), points.last_per_key(b, ["group", "key"], "id")
-    return align.all_pairs_rmsd(a.where("group < 4"), b.where("group < 4"), ["key"], least=5).withColumn("rmsd", F.round("rmsd", 6))
+    return align.all_pairs_rmsd(*_conformers(spark, sf), ["key"], least=5).withColumn("rmsd", F.round("rmsd", 6))
 
 
 @query("""WITH a AS (SELECT l_orderkey AS k1, l_linenumber AS k2, max(l_partkey) AS pa FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2), b AS (SELECT l_orderkey AS k1, l_linenumber AS k2, max(l_partkey) AS pb FROM lineitem WHERE l_suppkey % 2 = 1 GROUP BY 1, 2) SELECT a.k1, a.k2, a.pa, b.pb FROM a JOIN b ON a.k1 = b.k1 AND a.k2 = b.k2""")
@@ -503,8 +510,7 @@ def window_match_greedy(spark, sf):
 
 @query()
 def assign_two_copies(spark, sf):
-    a, b = (cloud(spark, sf, k).select((F.col("id") % 50).alias("key"), F.col("entity").alias("group"), "x", "y", "z", "id").where("group < 2") for k in (0, 3))
-    a, b = points.last_per_key(a, ["group", "key"], "id"), points.last_per_key(b, ["group", "key"], "id")
+    a, b = _conformers(spark, sf, "group < 2")
     return align.assign_two(align.all_pairs_rmsd(a, b, ["key"], least=5)).withColumn("rmsd", F.round("rmsd", 6))
 
 

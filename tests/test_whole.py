@@ -1,8 +1,10 @@
 """Queries take whole inputs: fixtures on which a cut would show."""
 
+import numpy as np
 import pandas as pd
 import pytest
 
+from tessera.operators import align
 from tessera.plans import registry
 
 
@@ -51,3 +53,24 @@ def test_windowed_prf1_whole_takes_all_rows(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
     assert con.sql(registry.ORACLES["windowed_prf1_whole"]).df()[got.asDict().keys()].iloc[0].tolist() == list(got)
+
+
+def test_all_groups_and_points_are_aligned(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    sizes = [70, 60, 6, 4, 55, 8]
+    label = rng.permutation(np.repeat(np.arange(len(sizes)), sizes))
+    e = rng.normal(size=(len(label), 6)).astype(np.float32)
+    pd.DataFrame({"vec_id": np.arange(len(label)) * 50, "embedding": list(e), "label": label}).to_parquet(tmp_path / "embeddings.parquet")
+    want = {}
+    for ga in range(len(sizes)):
+        for gb in range(len(sizes)):
+            n = min(sizes[ga], sizes[gb])
+            p, q = 10 * e[label == ga][:n, :3].astype(float), 10 * e[label == gb][:n, 3:].astype(float)
+            m = align.rotation((q - q.mean(0)).T @ (p - p.mean(0)))
+            d = p - p.mean(0) - (q - q.mean(0)) @ m.T
+            want[ga, gb] = (n, 999.0 if n < 5 else np.sqrt((d**2).sum(1).mean()))
+    got = {(r.ga, r.gb): (r.n, r.rmsd) for r in registry.all_pairs_rmsd(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-5 for k in want)
+    straight, crossed = (want[0, 0][1] + want[1, 1][1], want[0, 1][1] + want[1, 0][1])
+    two = {(r.ga, r.gb): r.rmsd for r in registry.assign_two_copies(spark, str(tmp_path)).collect()}
+    assert two.keys() == ({(0, 0), (1, 1)} if straight < crossed else {(0, 1), (1, 0)}) and all(abs(x - want[k][1]) < 1e-5 for k, x in two.items())
