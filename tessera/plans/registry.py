@@ -568,6 +568,14 @@ def key_intersection(spark, sf):
     return side(0).intersect(side(1)).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT count(*) AS n FROM (SELECT l_partkey AS k FROM lineitem WHERE l_suppkey % 2 = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 2 = 1) t")
+def key_intersection_whole(spark, sf):
+    """As ``key_intersection``, with every row on one of the two sides."""
+    rows = _table(spark, sf, "lineitem")
+    side = lambda r: rows.where(F.col("l_suppkey") % 2 == r).select("l_partkey")
+    return side(0).intersect(side(1)).agg(F.count(F.lit(1)).alias("n"))
+
+
 # ---- whole pipelines
 
 

@@ -74,3 +74,8 @@ def test_all_groups_and_points_are_aligned(spark, tmp_path):
     straight, crossed = (want[0, 0][1] + want[1, 1][1], want[0, 1][1] + want[1, 0][1])
     two = {(r.ga, r.gb): r.rmsd for r in registry.assign_two_copies(spark, str(tmp_path)).collect()}
     assert two.keys() == ({(0, 0), (1, 1)} if straight < crossed else {(0, 1), (1, 0)}) and all(abs(x - want[k][1]) < 1e-5 for k, x in two.items())
+
+
+def test_key_intersection_whole_takes_all_rows(spark, tmp_path):
+    sf = _lineitem(tmp_path, [(1, 2), (1, 5), (2, 3), (2, 4), (3, 8), (3, 10), (4, 5), (4, 8), (4, 8)], ["l_partkey", "l_suppkey"])
+    assert registry.key_intersection_whole(spark, sf).first().n == 3
