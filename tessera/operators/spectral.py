@@ -1,7 +1,7 @@
 """Fiedler vectors, sign conventions and the spectral comparison of two conformers.
 
-A system is one dense eigenproblem in one task (``MOST_NODES`` nodes at most); a cohort runs its
-systems side by side.
+A system is one task, dense up to ``MOST_NODES`` nodes and by inverse iteration over its edges beyond;
+a cohort runs its systems side by side.
 """
 
 from __future__ import annotations
@@ -22,13 +22,7 @@ def fiedler_vector(src: np.ndarray, dst: np.ndarray, ids: np.ndarray) -> tuple[n
     The pair after as many smallest ones as there are components; the first entry above 1e-9 in size is positive.
     """
     n = len(ids)
-    if n > MOST_NODES:
-        raise ValueError(f"{n} nodes; a dense system has {MOST_NODES} at most")
     a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
-    lap = np.zeros((n, n))
-    lap[a, b] = -1
-    np.fill_diagonal(lap, 0)
-    np.fill_diagonal(lap, -lap.sum(axis=1))
     label = np.arange(n)
     while True:
         least = label.copy()
@@ -38,12 +32,95 @@ def fiedler_vector(src: np.ndarray, dst: np.ndarray, ids: np.ndarray) -> tuple[n
             break
         label = least
     parts = len(np.unique(label))
-    values, vectors = np.linalg.eigh(lap)
-    order = np.argsort(values, kind="stable")
-    k = parts if parts < n else next((i for i in order if values[i] > 1e-6), 0)
-    v = vectors[:, k]
+    if n > MOST_NODES:
+        v, value = sparse_pair(a, b, label)
+    else:
+        values, vectors = np.linalg.eigh(dense_laplacian(a, b, n))
+        order = np.argsort(values, kind="stable")
+        k = parts if parts < n else next((i for i in order if values[i] > 1e-6), 0)
+        v, value = vectors[:, k], values[k]
     big = np.flatnonzero(np.abs(v) > 1e-9)
-    return (-v if len(big) and v[big[0]] < 0 else v), float(values[k]), parts
+    return (-v if len(big) and v[big[0]] < 0 else v), float(value), parts
+
+
+def dense_laplacian(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    lap = np.zeros((n, n))
+    lap[a, b] = -1
+    np.fill_diagonal(lap, 0)
+    np.fill_diagonal(lap, -lap.sum(axis=1))
+    return lap
+
+
+def sparse_pair(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Vector and value of the smallest eigenvalue above 0, which is that of one of the components."""
+    keep = a != b
+    if not keep.any():
+        raise ValueError(f"{len(label)} nodes without an edge; every vector belongs to 0")
+    edges = np.unique(a[keep] * np.int64(len(label)) + b[keep])
+    a, b = edges // len(label), edges % len(label)
+    by_part = np.argsort(label[a], kind="stable")
+    a, b = a[by_part], b[by_part]
+    best = None
+    for x, y in zip(*(lambda cuts: (np.r_[0, cuts], np.r_[cuts, len(a)]))(np.flatnonzero(np.diff(label[a])) + 1)):
+        nodes, i = np.unique(a[x:y], return_inverse=True)
+        j = np.searchsorted(nodes, b[x:y])
+        if len(nodes) <= MOST_NODES:
+            values, vectors = np.linalg.eigh(dense_laplacian(i, j, len(nodes)))
+            value, w = values[1], vectors[:, 1]
+        else:
+            value, w = inverse_lanczos(i, j, len(nodes))
+        if best is None or value < best[0]:
+            best = (value, nodes, w)
+    v = np.zeros(len(label))
+    v[best[1]] = best[2]
+    return v, best[0]
+
+
+def inverse_lanczos(a: np.ndarray, b: np.ndarray, n: int, steps: int = 24, restarts: int = 40, close: float = 1e-8) -> tuple[float, np.ndarray]:
+    """Second smallest pair of a connected graph: Lanczos on the inverse of D - A across the constant vector.
+
+    ``a`` is sorted. The inverse is applied by conjugate gradients; raises ValueError if the residual stays large.
+    """
+    starts, degree = np.flatnonzero(np.r_[True, np.diff(a) > 0]), np.bincount(a, minlength=n).astype(float)
+    times = lambda x: degree * x - np.add.reduceat(x[b], starts)
+
+    def solve(rhs):
+        x, r = np.zeros(n), rhs.copy()
+        z = r / degree
+        p, rz, goal = z, r @ z, 1e-11 * np.linalg.norm(rhs)
+        for _ in range(20 * n):
+            if np.linalg.norm(r) <= goal:
+                break
+            lp = times(p)
+            step = rz / (p @ lp)
+            x, r = x + step * p, r - step * lp
+            r -= r.mean()
+            z = r / degree
+            rz, old = r @ z, rz
+            p = z + rz / old * p
+        return x - x.mean()
+
+    v = np.random.default_rng(0).normal(size=n)
+    for _ in range(restarts):
+        v -= v.mean()
+        q, images = [v / np.linalg.norm(v)], []
+        for _ in range(steps):
+            images.append(w := solve(q[-1]))
+            for _ in range(2):
+                w = w - np.array(q).T @ (np.array(q) @ w)
+            w -= w.mean()
+            if np.linalg.norm(w) <= 1e-10 * np.linalg.norm(images[-1]):
+                break
+            q.append(w / np.linalg.norm(w))
+        basis = np.array(q[: len(images)])
+        t = basis @ np.array(images).T
+        v = basis.T @ np.linalg.eigh((t + t.T) / 2)[1][:, -1]
+        v = (v - v.mean()) / np.linalg.norm(v - v.mean())
+        lv = times(v)
+        value = v @ lv
+        if np.linalg.norm(lv - value * v) <= close * max(value, 1e-4):
+            return value, v
+    raise ValueError(f"{n} nodes; inverse iteration did not converge")
 
 
 def fiedler(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:

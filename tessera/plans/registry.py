@@ -406,12 +406,15 @@ def fiedler(spark, sf):
 def spectral_pairs(spark, sf):
     """Per group: both conformers' Fiedler vectors, snap ranks, displacement after alignment, and their rank correlation."""
     a, b = cloud(spark, sf), cloud(spark, sf, 3)
-    va, vb = (spectral.fiedler(graph.radius_edges(p, 4.0, ["entity"]), p, "entity").select("entity", "id", F.col("v").alias(n)) for p, n in ((a, "va"), (b, "vb")))
+    fa, fb = (checkpoint(spectral.fiedler(graph.radius_edges(p, 4.0, ["entity"]), p, "entity")) for p in (a, b))
+    va, vb = (f.where("status = 'OK'").select("entity", "id", F.col("v").alias(n)) for f, n in ((fa, "va"), (fb, "vb")))
     snapped = spectral.snap(va.join(vb, ["entity", "id"]), "entity")
     pairs = align.pair(a, b, ["entity", "id"])
     moved = align.displacements(align.apply_transform(pairs, align.kabsch(pairs, ["entity"], 20), ["entity"]))
     rows = checkpoint(snapped.join(moved.select("entity", "id", "disp"), ["entity", "id"]))
-    return stats.with_p_value(stats.spearman(rows, "pms", "disp", ["entity"]), "rho").select("entity", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+    done = stats.with_p_value(stats.spearman(rows, "pms", "disp", ["entity"]), "rho").select("entity", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
+    status = fa.union(fb).groupBy("entity").agg(F.min_by("status", F.col("status") == "OK").alias("status"), F.max("reason").alias("reason"))
+    return status.join(done, "entity", "left").select("entity", "n", "rho", "p", "status", "reason")
 
 
 # ---- alignment

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from tessera.operators import align
+from tessera.operators import align, spectral
 from tessera.plans import registry
 
 
@@ -79,3 +79,36 @@ def test_all_groups_and_points_are_aligned(spark, tmp_path):
 def test_key_intersection_whole_takes_all_rows(spark, tmp_path):
     sf = _lineitem(tmp_path, [(1, 2), (1, 5), (2, 3), (2, 4), (3, 8), (3, 10), (4, 5), (4, 8), (4, 8)], ["l_partkey", "l_suppkey"])
     assert registry.key_intersection_whole(spark, sf).first().n == 3
+
+
+def test_large_systems_get_the_vector_of_the_dense_form(monkeypatch):
+    rng = np.random.default_rng(1)
+    xyz = np.r_[rng.normal(size=(260, 3)), rng.normal(size=(40, 3)) + 50]
+    near = ((xyz[:, None] - xyz[None]) ** 2).sum(2) < 1.2
+    src, dst = np.nonzero(near & ~np.eye(len(xyz), dtype=bool))
+    v, value, parts = spectral.fiedler_vector(src, dst, np.arange(len(xyz)))
+    monkeypatch.setattr(spectral, "MOST_NODES", 20)
+    w, other, same = spectral.fiedler_vector(src, dst, np.arange(len(xyz)))
+    assert parts == same > 1 and abs(value - other) < 1e-9 and abs(abs(v @ w) - 1) < 1e-6
+
+
+def test_a_system_beyond_the_dense_size():
+    n = 4001
+    i = np.arange(n - 1)
+    v, value, parts = spectral.fiedler_vector(np.r_[i, i + 1], np.r_[i + 1, i], np.arange(n))
+    want = np.cos(np.pi * (np.arange(n) + 0.5) / n)
+    assert parts == 1 and abs(value / (2 - 2 * np.cos(np.pi / n)) - 1) < 1e-5 and abs(v @ want / np.linalg.norm(want)) > 1 - 1e-8
+
+
+def test_spectral_pairs_keep_failed_groups(spark, tmp_path, monkeypatch):
+    e = np.random.default_rng(4).normal(size=(60, 6)).astype(np.float32) / 10
+    pd.DataFrame({"vec_id": range(60), "embedding": list(e), "label": [0] * 30 + [1] * 30}).to_parquet(tmp_path / "embeddings.parquet")
+    whole = spectral.fiedler
+
+    def failing(edges, nodes, key):
+        bad = spark.createDataFrame([(1, None, None, None, None, "PIPELINE_FAILURE", "why")], whole(edges, nodes, key).schema)
+        return whole(edges.where("entity = 0"), nodes.where("entity = 0"), key).union(bad)
+
+    monkeypatch.setattr(spectral, "fiedler", failing)
+    got = {r.entity: (r.n, r.status, r.reason) for r in registry.spectral_pairs(spark, str(tmp_path)).collect()}
+    assert got == {0: (30, "OK", None), 1: (None, "PIPELINE_FAILURE", "why")}
