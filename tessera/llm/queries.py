@@ -69,7 +69,30 @@ LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefgh
 WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 TOKENS = f"regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+')"
 
+
+
+def _templates() -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({t}, {text(label)}, {phrase}, {pairs}, {need}, {cell}, {tpos}, {text(a)}, {text(b)})" for t, label, phrase, pairs, need, cell, tpos, a, b in licenses.template_rows())
+
+
 ORACLES = {
+    "op2_license_scan": f"""
+        WITH k(t, label, phrase, pairs, need, cell, tpos, a, b) AS (VALUES {_templates()}),
+             d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+             p AS (SELECT r, w, unnest(range(1, len(w))) AS s FROM d),
+             v AS (SELECT r, t, label, phrase, pairs, need, s - 1 AS pos, tpos, CAST(floor((s - 1 - tpos) / cell) AS BIGINT) AS own FROM p JOIN k ON w[s] = a AND w[s + 1] = b),
+             e AS (SELECT *, unnest(CASE WHEN phrase THEN [own] ELSE [own - 1, own] END) AS bundle FROM v),
+             g AS (SELECT r, t, label, phrase, pairs, need, bundle, min(pos) AS first, list([tpos] ORDER BY pos, tpos DESC) AS votes FROM e GROUP BY ALL HAVING count(DISTINCT tpos) >= need),
+             c AS (SELECT *, len(list_reduce(votes, lambda x, y: list_concat(list_filter(x, lambda i: i < y[1]), y, list_filter(x, lambda i: i >= y[1])[2:]), CAST([] AS INTEGER[]))) AS n FROM g),
+             f AS (SELECT * FROM c WHERE n >= need),
+             o AS (SELECT r, CAST(count(*) FILTER (WHERE phrase) AS BIGINT) AS n_base, min(first) FILTER (WHERE phrase) AS first_word, max(first) FILTER (WHERE phrase) AS last_word,
+                          string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE phrase) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(n / pairs) AS score
+                   FROM f GROUP BY r)
+        SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(o.n_base, 0) AS n_base, CAST(o.first_word AS BIGINT) AS first_word, CAST(o.last_word AS BIGINT) AS last_word,
+               coalesce(o.base_labels, '') AS base_labels, coalesce(o.labels, '') AS labels, CAST(coalesce(o.score, 0) AS DOUBLE) AS score
+        FROM d LEFT JOIN o ON d.r = o.r
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
              g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)

@@ -1,3 +1,4 @@
+import random
 import re
 
 from tessera.llm import licenses
@@ -56,3 +57,52 @@ def test_other_columns_and_empty_tables(spark, docs, empty):
 def test_no_python_in_the_plan(docs):
     plan = licenses.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+MIT = licenses.NOTICES[0][1]
+
+
+def test_repeated_and_disordered_words_are_no_notice(spark):
+    half = len(MIT) // 2
+    rows = [(0, "of the " * 35), (1, "the license " * 25), (2, "the software " * 60 + MIT + " the software" * 60), (3, MIT[half:] + " " + MIT[:half]), (4, " ".join(reversed(words(MIT)))), (5, (MIT + " ") * 3)]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(got[i].labels, got[i].score) for i in (0, 1, 3, 4)] == [("", 0.0)] * 4
+    assert got[2].labels == "mit" and got[2].score == 1.0 and [x.start for x in got[2].spans] == [120]
+    assert got[5].labels == "mit" and [x.start for x in got[5].spans] == [len(words(MIT)) * i for i in range(3)]
+
+
+def longest(votes):
+    """Longest chain forward in both texts, by all pairs of votes."""
+    best = {}
+    for p, t in sorted(votes):
+        best[p, t] = 1 + max((n for (q, u), n in best.items() if q < p and u < t), default=0)
+    return max(best.values(), default=0)
+
+
+def method(text, notices):
+    """Labels and best share of the notices: every bundle of two cells of diagonals, by plain Python."""
+    w, out = words(text), {}
+    for label, notice in notices:
+        v = words(notice)
+        pairs, cell = len(v) - 1, max(1, licenses.DRIFT * len(v) // 100)
+        votes = [(i, j) for i in range(len(w) - 1) for j in range(pairs) if w[i : i + 2] == v[j : j + 2]]
+        for own in {(i - j) // cell - k for i, j in votes for k in (0, 1)}:
+            n = longest([(i, j) for i, j in votes if own <= (i - j) // cell <= own + 1])
+            if 100 * n >= licenses.COVER * pairs:
+                out[label] = max(out.get(label, 0), n / pairs)
+    return ",".join(sorted(out)), max(out.values(), default=0.0)
+
+
+def test_labels_equal_brute_force_on_repeating_text(spark):
+    rng = random.Random(8)
+    notices = [("one", "a b a c a b d"), ("two", "b a b a c c d a b d a"), ("three", "a a a b a a a b a a a c d b c a")]
+    rows = [(i, " ".join(rng.choice("aaabbcd") for _ in range(rng.randint(0, 60)))) for i in range(120)]
+    for i in range(120, 160):
+        cut = rng.choice(notices)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            j = rng.randrange(len(cut))
+            cut[j : j + rng.randint(0, 1)] = [rng.choice("abcde") for _ in range(rng.randint(0, 2))]
+        rows.append((i, " ".join([rng.choice("abcd") for _ in range(rng.randint(0, 20))] + cut + [rng.choice("abcd") for _ in range(rng.randint(0, 20))])))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), phrases=[], notices=notices).collect()}
+    assert got == {i: method(t, notices) for i, t in rows}
+    assert len({x for x, _ in got.values()}) > 3
