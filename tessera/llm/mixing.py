@@ -6,13 +6,15 @@ costs n-1 a token, so repetition is convex and fresh text goes first. Finally do
 in an order seeded by a hash: all of a pattern's documents get the whole number of copies, and
 those first in the order get one more until the pattern's flow is met.
 
-No group is ordered in one task: two rounds of 4,096 hash buckets narrow the cut of each pattern
-to one part in sixteen million of its rows before rows are ordered. What reaches the driver is one
-row per pattern.
+The order is that of the hash, then of the row's number in the table that is written first, so a cut
+falls inside a group of equal rows too. No group is ordered in one task: three rounds of 4,096 buckets,
+two by hash and one by row number, narrow the cut of each pattern before rows are ordered. What
+reaches the driver, and goes back to the executors, is one row per pattern; more than ``MOST_PATTERNS``
+of them, or ``MOST_NAMES`` characters of names, are refused with an error.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a
-source without words has target 0; documents of size 0 take 0; rows with equal identifier, size
-and source are interchangeable. An empty table gives an empty result.
+source without words has target 0; documents of size 0 take 0; repeated rows are documents of their
+own, of which any may be taken; other columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +25,13 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.session import checkpoint
+from tessera.session import checkpoint, saved
 
 COPIES = 3
 SEED = 20240607
 BITS = 12
+#: Patterns, and characters of their names, that the driver and each executor hold.
+MOST_PATTERNS, MOST_NAMES = 200_000, 32 << 20
 
 
 def targets(sizes: dict[str | None, float], weights: dict[str | None, float], most: float = COPIES) -> dict[str | None, float]:
@@ -130,14 +134,19 @@ def n_words(text: Column) -> Column:
 
 
 def _cuts(rows: DataFrame, level: int, left: DataFrame) -> DataFrame:
-    """For each pattern of ``left`` the hash bucket in which its remainder ends, and what is left in it."""
+    """For each pattern of ``left`` the bucket of this level in which its remainder ends, and what is left in it."""
     sums = rows.groupBy("pattern", f"b{level}").agg(F.sum("size").alias("w"))
     upto = F.sum("w").over(Window.partitionBy("pattern").orderBy(f"b{level}"))
-    run = sums.join(left, "pattern").withColumn("before", upto - F.col("w"))
+    run = sums.join(F.broadcast(left), "pattern").withColumn("before", upto - F.col("w"))  # a row per pattern, of a checked number
     # the bucket that holds the cut; none where the remainder is zero
     return run.where((F.col("before") < F.col("left")) & (F.col("before") + F.col("w") >= F.col("left"))).select("pattern", F.col(f"b{level}").alias(f"cut{level}"), (F.col("left") - F.col("before")).alias("left"))
 
 
+def _checked(found: dict, names: int) -> None:
+    if len(found) > MOST_PATTERNS or names > MOST_NAMES:
+        raise ValueError(f"{len(found)} patterns of {names} characters; the flow holds {MOST_PATTERNS} of {MOST_NAMES} at most")
+
+
 def mix(docs: DataFrame, sources: str = "source", size: Column | None = None, doc_id: str = "doc_id", weights=None, copies: int = COPIES, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """Per row: doc_id, size, source_size, target, taken, and the carried columns.
 
@@ -152,9 +161,21 @@ def mix(docs: DataFrame, sources: str = "source", size: Column | None = None, do
     # null can't be joined on: a pattern is named by its text, with a mark before each value
     name = F.concat_ws("\x1f", F.transform("member", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("-"))))
     h = F.xxhash64(F.lit(seed), "doc_id", "size", name)
-    light = rows.select("doc_id", "size", "member", name.alias("pattern"), h.alias("h"))
-    light = checkpoint(light.withColumns({"b1": F.shiftrightunsigned("h", 64 - BITS), "b2": F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND(F.lit((1 << BITS) - 1))}))
-    found = {r.pattern: (tuple(r.member), float(r.w)) for r in light.groupBy("pattern").agg(F.first("member").alias("member"), F.sum("size").alias("w")).collect()}
+    rows = rows.withColumns({"pattern": name, "h": h, "n": F.monotonically_increasing_id()})
+    mask = F.lit((1 << BITS) - 1)
+    buckets = {
+        "b1": F.shiftrightunsigned("h", 64 - BITS), "b2": F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND(mask),
+        # equal rows have equal hashes: these are told apart by a hash of their numbers
+        "r": F.xxhash64(F.lit(seed), "n"), "b3": F.shiftrightunsigned(F.xxhash64(F.lit(seed), "n"), 64 - BITS),
+    }
+    # written once, so that numbers hold in every pass
+    source = saved(rows, "mixing").withColumns(buckets)
+    light = source.select("doc_id", "size", "member", "pattern", "h", "r", "b1", "b2", "b3")
+    found, names = {}, 0
+    for x in light.groupBy("pattern").agg(F.first("member").alias("member"), F.sum("size").alias("w")).toLocalIterator():
+        found[x.pattern] = (tuple(x.member), float(x.w))
+        names += len(x.pattern)
+        _checked(found, names)
     size_of = defaultdict(float)
     for member, w in found.values():
         for s in member:
@@ -167,21 +188,24 @@ def mix(docs: DataFrame, sources: str = "source", size: Column | None = None, do
         whole = min(copies, int(flow[m] / w + 1e-9)) if w else 0
         plan.append((p, int(sum(size_of[s] for s in m)), float(sum(goal[s] for s in m)), whole, max(0.0, flow[m] - whole * w) if whole < copies else 0.0))
     plan = spark.createDataFrame(plan, "pattern string, source_size long, target double, whole int, left double")
-    first = _cuts(light, 1, plan.select("pattern", "left"))
-    inner = light.join(first.withColumnRenamed("cut1", "b1"), ["pattern", "b1"]).select("pattern", "size", "h", "doc_id", "b2", "left")
-    second = _cuts(inner.select("pattern", "b2", "size"), 2, first.select("pattern", "left"))
-    last = inner.drop("left").join(second.withColumnRenamed("cut2", "b2"), ["pattern", "b2"])
-    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    cuts, inner = [plan.select("pattern", "left")], light.drop("member")
+    for level in (1, 2, 3):
+        if level > 1:
+            inner = inner.join(F.broadcast(cuts[-1].drop("left").withColumnRenamed(f"cut{level - 1}", f"b{level - 1}")), ["pattern", f"b{level - 1}"])
+        cuts.append(checkpoint(_cuts(inner, level, cuts[-1])))
+    last = inner.join(F.broadcast(cuts[3].withColumnRenamed("cut3", "b3")), ["pattern", "b3"])
+    order = F.struct("h", "r")
+    upto = F.sum("size").over(Window.partitionBy("pattern").orderBy("h", "r").rowsBetween(Window.unboundedPreceding, 0))
     # the document in which the remainder ends is taken if half of it at least still fits
-    edge = last.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("pattern").agg(F.max(F.struct("h", "doc_id")).alias("edge"))
-    limits = checkpoint(plan.join(first.select("pattern", "cut1"), "pattern", "left").join(second.select("pattern", "cut2"), "pattern", "left").join(edge, "pattern", "left"))
-    source = rows.withColumns({"pattern": name, "h": h}) if carry else light
-    joined = source.join(limits, "pattern")
-    if carry:
-        joined = joined.withColumns({"b1": F.shiftrightunsigned("h", 64 - BITS), "b2": F.shiftrightunsigned("h", 64 - 2 * BITS).bitwiseAND(F.lit((1 << BITS) - 1))})
-    more = F.when(F.col("left") <= 0, False).otherwise(
-        F.coalesce((F.col("b1") < F.col("cut1")) | ((F.col("b1") == F.col("cut1")) & ((F.col("b2") < F.col("cut2")) | ((F.col("b2") == F.col("cut2")) & (F.struct("h", "doc_id") <= F.col("edge"))))), F.lit(False))
-    )
+    edge = last.withColumn("upto", upto).where(F.col("upto") - F.col("size") / 2 <= F.col("left")).groupBy("pattern").agg(F.max(order).alias("edge"))
+    limits = plan
+    for x in (*[c.drop("left") for c in cuts[1:]], edge):
+        limits = limits.join(x, "pattern", "left")
+    joined = source.join(F.broadcast(checkpoint(limits)), "pattern")
+    within = (F.col("b3") < F.col("cut3")) | ((F.col("b3") == F.col("cut3")) & (order <= F.col("edge")))
+    for level in (2, 1):
+        within = (F.col(f"b{level}") < F.col(f"cut{level}")) | ((F.col(f"b{level}") == F.col(f"cut{level}")) & within)
+    more = F.when(F.col("left") <= 0, False).otherwise(F.coalesce(within, F.lit(False)))
     taken = F.col("size") * (F.col("whole") + more.cast("int"))
     return joined.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *[F.col(f"_c_{c}") for c in carry or []])
 

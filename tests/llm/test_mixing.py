@@ -64,3 +64,31 @@ def test_extra_columns_and_empty_tables(spark, docs, empty):
     assert mixing.select(odd).columns == odd.columns
     assert mixing.mix(empty).count() == 0
     assert mixing.mix(docs.where(F.col("text").isNull())).first().taken == 0
+
+
+def test_the_cut_falls_inside_repeated_rows(spark):
+    equal = "w " * 10
+    rows = [(7, equal, "a", "x")] * 300 + [(1000 + i, "w " * 20, "b", "y") for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, h string")
+    got = mixing.mix(d).collect()
+    for target, taken in {(r.target, sum(x.taken for x in got if x.target == r.target)) for r in got}:
+        assert abs(taken - target) <= 10
+    assert {r.target for r in got} == {2000.0, 4000.0} and len(got) == 450
+    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(d).collect()))
+
+
+def test_the_choice_equals_one_ordered_pass(spark, docs):
+    """All of a source's whole copies, and one more of the first rows of the seeded order, to the nearest document."""
+    got = mixing.mix(docs.withColumn("i", F.monotonically_increasing_id()), carry=["i"]).collect()
+    for target in {r.target for r in got}:
+        own = [r for r in got if r.target == target]
+        whole = min(3, int(target / own[0].source_size + 1e-9)) if own[0].source_size else 0
+        more = [r for r in own if r.taken > whole * r.size]
+        assert all(r.taken in (whole * r.size, (whole + 1) * r.size) for r in own)
+        assert abs(sum(r.size for r in more) - (target - whole * own[0].source_size)) <= max(r.size for r in own) / 2 + 1e-6 or whole == 3
+
+
+def test_too_many_patterns_are_refused(spark, docs, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    with pytest.raises(ValueError, match="patterns"):
+        mixing.mix(docs)
