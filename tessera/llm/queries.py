@@ -116,21 +116,25 @@ ORACLES = {
     """,
     "op8_benchmark_decontamination": f"""
         WITH d AS (SELECT doc_id, {WORDS} AS w FROM documents),
-             b AS (SELECT item_id, {WORDS} AS v FROM benchmark),
+             b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {WORDS} AS v FROM benchmark),
              i AS (SELECT item_id, v, least(10, len(v)) AS k FROM b WHERE len(v) > 0),
              q AS (SELECT item_id, v, k, unnest(range(1, len(v) - k + 2)) AS s FROM i),
-             g AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(v, s, s + k - 1), ' ') AS gram FROM q),
+             g AS (SELECT item_id, k, s AS q, array_to_string(list_slice(v, s, s + k - 1), ' ') AS gram FROM q),
              z AS (SELECT DISTINCT k FROM g),
              p AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS s FROM d, z WHERE len(w) >= k),
              o AS (SELECT doc_id, k, s, array_to_string(list_slice(w, s, s + k - 1), ' ') AS gram FROM p),
-             h AS (SELECT o.doc_id, o.s, o.k, g.item_id FROM o JOIN g ON o.k = g.k AND o.gram = g.gram),
-             u AS (SELECT doc_id, unnest(range(s, s + k)) AS place FROM h),
+             h AS (SELECT o.doc_id, o.s, o.k, g.item_id, o.s - g.q AS diagonal FROM o JOIN g ON o.k = g.k AND o.gram = g.gram),
+             r AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY s) AS run FROM h),
+             m AS (SELECT doc_id, item_id, min(s) - 1 AS place, max(s) - min(s) + max(k) AS n FROM r GROUP BY doc_id, item_id, diagonal, run),
+             x AS (SELECT doc_id, item_id, place, n FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, item_id, place) = 1),
+             u AS (SELECT doc_id, unnest(range(s, s + k)) AS place FROM (SELECT DISTINCT doc_id, s, k FROM h) y),
              c AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM u GROUP BY doc_id),
              t AS (SELECT DISTINCT doc_id, item_id FROM h),
-             n AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS names FROM t GROUP BY doc_id)
+             n AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names FROM t GROUP BY doc_id)
         SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items,
-               sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+               sha256(coalesce(n.names, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated,
+               CAST(coalesce(x.n, 0) AS BIGINT) AS longest_words, x.item_id AS longest_item, CAST(x.place AS BIGINT) AS longest_word
+        FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN x ON x.doc_id = d.doc_id
     """,
     "op10_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
