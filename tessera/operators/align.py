@@ -6,13 +6,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import displacement, hamming_prefix, transform
 from tessera.operators.points import last_per_key
+from tessera.session import checkpoint
 
 P, Q = ("px", "py", "pz"), ("qx", "qy", "qz")
+#: Pairs of groups that are all written out.
+MOST_PAIRS = 10_000_000
 RT = [f"r{i}{j}" for i in range(3) for j in range(3)] + ["t0", "t1", "t2"]
 
 
@@ -45,20 +49,20 @@ def kabsch(pairs: DataFrame, keys: Sequence[str] = (), least: int = 1) -> DataFr
     c = covariance(pairs, keys)
 
     def solve(batches):
-        for pdf in batches:
-            rows = []
-            for r in pdf.to_dict("records"):
-                if r["n"] >= max(1, least):
-                    m = rotation(np.array([[r[f"h{i}{j}"] for j in range(3)] for i in range(3)]))
-                    t = np.array([r[f"m{x}"] for x in P]) - m @ np.array([r[f"m{x}"] for x in Q])
-                    values = [*m.ravel().tolist(), *t.tolist()]
-                else:
-                    values = [None] * 12
-                rows.append([*[r[k] for k in keys], r["n"], *values])
-            yield pd.DataFrame(rows, columns=[*keys, "n", *RT])
+        for b in batches:
+            columns = b.to_pydict()
+            values = []
+            for i, n in enumerate(columns["n"]):
+                if n < max(1, least):
+                    values.append([None] * 12)
+                    continue
+                m = rotation(np.array([[columns[f"h{r}{c}"][i] for c in range(3)] for r in range(3)]))
+                t = np.array([columns[f"m{x}"][i] for x in P]) - m @ np.array([columns[f"m{x}"][i] for x in Q])
+                values.append([*m.ravel().tolist(), *t.tolist()])
+            yield pa.record_batch([*[b.column(b.schema.get_field_index(k)) for k in (*keys, "n")], *[pa.array([v[j] for v in values], pa.float64()) for j in range(12)]], names=[*keys, "n", *RT])
 
     types = dict(c.dtypes)
-    return c.mapInPandas(solve, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n long", *[f"{x} double" for x in RT]]))
+    return c.mapInArrow(solve, ", ".join([*[f"`{k}` {types[k]}" for k in keys], "n long", *[f"{x} double" for x in RT]]))
 
 
 def apply_transform(pairs: DataFrame, rt: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -77,18 +81,24 @@ def rmsd(moved: DataFrame, keys: Sequence[str] = (), value: str = "disp") -> Dat
     return moved.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rmsd"))
 
 
-def all_pairs_rmsd(a: DataFrame, b: DataFrame, keys: Sequence[str], least: int = 100, missing: float = 999.0) -> DataFrame:
+def all_pairs_rmsd(a: DataFrame, b: DataFrame, keys: Sequence[str], least: int = 100, missing: float = 999.0, every: bool = True) -> DataFrame:
     """(ga, gb, n, rmsd) of every group of ``a`` with every group of ``b`` after alignment; ``missing`` below ``least`` shared keys.
 
-    Groups meet through their shared keys; only the table of group names is crossed.
+    Groups meet through their shared keys. The output has a row for every two groups even where they share
+    none, which is refused beyond ``MOST_PAIRS`` rows; with ``every`` false only groups that share a key have one.
     """
     left = a.select(*keys, F.col("group").alias("ga"), *[F.col(c).alias(f"p{c}") for c in "xyz"])
     right = b.select(*keys, F.col("group").alias("gb"), *[F.col(c).alias(f"q{c}") for c in "xyz"])
     both = left.join(right, list(keys))
     rt = kabsch(both, ("ga", "gb"), least)
     done = rmsd(displacements(apply_transform(both, rt, ("ga", "gb"))), ("ga", "gb"))
-    names = a.select(F.col("group").alias("ga")).distinct().crossJoin(b.select(F.col("group").alias("gb")).distinct())
-    return names.join(done, ["ga", "gb"], "left").select("ga", "gb", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) < least, F.lit(missing)).otherwise(F.coalesce("rmsd", F.lit(missing))).alias("rmsd"))
+    if every:
+        left, right = a.select(F.col("group").alias("ga")).distinct(), b.select(F.col("group").alias("gb")).distinct()
+        if (n := left.count() * right.count()) > MOST_PAIRS:
+            raise ValueError(f"{n} pairs of groups; {MOST_PAIRS} at most")
+        # the output itself, of a checked size
+        done = left.join(F.broadcast(right)).join(done, ["ga", "gb"], "left")
+    return done.select("ga", "gb", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.coalesce("n", F.lit(0)) < least, F.lit(missing)).otherwise(F.coalesce("rmsd", F.lit(missing))).alias("rmsd"))
 
 
 def assign_two(pairs: DataFrame) -> DataFrame:
@@ -105,15 +115,38 @@ def assign_two(pairs: DataFrame) -> DataFrame:
     return picked.select("ga", "gb", "rmsd", best.alias("working"))
 
 
-def assign_greedy(rows: list[tuple], limit: float = 999.0) -> list[tuple]:
-    """Pairs (ga, gb, rmsd) by rising rmsd below ``limit``, each group once."""
-    a, b, out = set(), set(), []
-    for ga, gb, r in sorted(rows, key=lambda x: (x[2], x[0], x[1])):
-        if r < limit and ga not in a and gb not in b:
-            a.add(ga)
-            b.add(gb)
-            out.append((ga, gb, r))
-    return out
+def _parts(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Adds ``_part``: names of connected parts of the bipartite graph of ``pairs``, which a greedy choice can't reach across.
+
+    Nodes are named by hashes; two that share one only put their parts together.
+    """
+    from tessera.operators.components import connected_components
+
+    named = pairs.withColumns({"_u": F.xxhash64(F.lit(0), *keys, a), "_v": F.xxhash64(F.lit(1), *keys, b)})
+    found = connected_components(named.select(F.col("_u").alias("u"), F.col("_v").alias("v"))).select(F.col("id").alias("_u"), F.col("component").alias("_part"))
+    return named.join(found, "_u").drop("_u", "_v")
+
+
+def assign_greedy(pairs: DataFrame, keys: Sequence[str] = (), limit: float = 999.0) -> DataFrame:
+    """(keys, ga, gb, rmsd): the groups of the first side in order each take the partner left with the smallest rmsd below ``limit``.
+
+    Of equals the first in order is taken. A choice depends on those before it, so each connected part of the
+    pairs below the limit is one task.
+    """
+    keys = list(keys)
+    c = checkpoint(pairs.select(*keys, "ga", "gb", "rmsd").where(F.col("rmsd") < limit))
+    types = dict(c.dtypes)
+
+    def take(pdf: pd.DataFrame) -> pd.DataFrame:
+        used, out = set(), []
+        for own, rows in pdf.sort_values([*keys, "ga", "rmsd", "gb"]).groupby([*keys, "ga"], sort=True):
+            free = next((r for r in rows.itertuples() if (*own[:-1], r.gb) not in used), None)
+            if free is not None:
+                used.add((*own[:-1], free.gb))
+                out.append((*own, free.gb, free.rmsd))
+        return pd.DataFrame(out, columns=[*keys, "ga", "gb", "rmsd"], dtype=object)
+
+    return _parts(c, "ga", "gb", keys).groupBy("_part").applyInPandas(take, ", ".join(f"`{x}` {types[x]}" for x in [*keys, "ga", "gb", "rmsd"]))
 
 
 def match_window(a: list[int], b: list[int], window: int = 2) -> list[tuple[int, int]]:
@@ -139,21 +172,26 @@ def window_match(a: DataFrame, b: DataFrame, key: str, seq: str = "seq_id", wind
     def match(k, pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = (sorted(pdf.loc[pdf["side"] == i, "s"].tolist()) for i in (0, 1))
         got = match_window(left, right, window)
-        return pd.DataFrame({key: [k[0]] * len(got), "seq_a": [left[i] for i, _ in got], "seq_b": [right[j] for _, j in got]})
+        return pd.DataFrame({key: pd.Series([k[0]] * len(got), dtype=object), "seq_a": [left[i] for i, _ in got], "seq_b": [right[j] for _, j in got]})
 
     return rows.groupBy(key).applyInPandas(match, f"`{key}` {types[key]}, seq_a long, seq_b long")
 
 
+def _size(d: DataFrame):
+    return F.col("length").cast("int") if "length" in d.columns else F.size("seq")
+
+
 def entity_candidates(a: DataFrame, b: DataFrame, band: int = 2, n: int = 80) -> DataFrame:
     """Entities (entity, seq array) whose lengths differ by at most ``band``, with prefix mismatches.
 
     The length is that of seq, or the column ``length`` where seq holds only the first ``n`` codes.
     A band join as equi-join: one side is repeated for each difference in the order 0, -1, +1, -2, +2.
+    Entities without codes have nothing to compare and meet nothing.
     """
     order = [0, *[x for w in range(1, band + 1) for x in (-w, w)]]
-    size = lambda d: F.col("length").cast("int") if "length" in d.columns else F.size("seq")
-    left = a.select(F.col("entity").alias("ea"), F.slice("seq", 1, n).alias("sa"), size(a).alias("la")).withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("by")) for i, x in enumerate(order)])))
-    right = b.select(F.col("entity").alias("eb"), F.slice("seq", 1, n).alias("sb"), size(b).alias("lb"))
+    a, b = a.where(F.size("seq") > 0), b.where(F.size("seq") > 0)
+    left = a.select(F.col("entity").alias("ea"), F.slice("seq", 1, n).alias("sa"), _size(a).alias("la")).withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("by")) for i, x in enumerate(order)])))
+    right = b.select(F.col("entity").alias("eb"), F.slice("seq", 1, n).alias("sb"), _size(b).alias("lb"))
     limit = F.greatest(F.lit(8), F.floor(F.least(F.col("la"), F.lit(n)) / 5)).cast("int")
     return left.withColumn("lb", F.col("la") + F.col("d.by")).join(right, "lb").select("ea", "eb", F.col("d.rank").alias("rank"), hamming_prefix(F.col("sa"), F.col("sb"), n).alias("mismatches"), limit.alias("limit"))
 
@@ -161,27 +199,45 @@ def entity_candidates(a: DataFrame, b: DataFrame, band: int = 2, n: int = 80) ->
 def entity_match(a: DataFrame, b: DataFrame, band: int = 2, n: int = 80) -> DataFrame:
     """(ea, eb, mismatches): entities of ``a`` in order take the free candidate with the fewest mismatches.
 
-    The candidates are a distributed join; the taking is sequential. Candidates beyond the limit are never
-    taken and use nothing up, so they don't reach it.
+    Of equals the one of the nearer length and then the first in order is taken; entities are distinct on each
+    side. Entities with equal codes and length are one class, and only classes are compared, so copies
+    don't meet in pairs. The taking is sequential within each connected part of the classes' candidates;
+    candidates beyond the limit are never taken and use nothing up, so they don't reach it.
     """
-    c = entity_candidates(a, b, band, n).where("mismatches <= limit").drop("limit")
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for ea, own in pdf.sort_values(["ea", "rank", "eb"]).groupby("ea", sort=True):
+    classes = lambda d: checkpoint(d.where(F.size("seq") > 0).groupBy(F.slice("seq", 1, n).alias("seq"), _size(d).alias("length")).agg(F.min("entity").alias("entity"), F.array_sort(F.collect_list("entity")).alias("members")))
+    left, right = classes(a), classes(b)
+    c = checkpoint(entity_candidates(left, right, band, n).where("mismatches <= limit").select("ea", "eb", "rank", "mismatches"))
+    c = checkpoint(_parts(c, "ea", "eb"))
+    held = lambda name, d, side: c.select(F.col("_part").alias("_own"), F.col(name).alias("entity")).distinct().join(d.select("entity", "members"), "entity").select("_own", F.lit(side).alias("side"), "entity", "members")
+    members = held("ea", left, 0).unionByName(held("eb", right, 1))
+
+    def take(pairs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        near: dict = {}
+        for r in pairs.itertuples():
+            near.setdefault(r.ea, []).append((r.mismatches, r.rank, r.eb))
+        free = {r.entity: list(r.members)[::-1] for r in own.itertuples() if r.side == 1}
+        out = []
+        for ea, name in sorted((x, r.entity) for r in own.itertuples() if r.side == 0 for x in r.members):
             best = None
-            for r in own.itertuples():
-                if r.eb not in used and (best is None or r.mismatches < best.mismatches):
-                    best = r
+            near[name] = sorted(x for x in near[name] if free[x[2]])
+            for m, rank, nb in near[name]:
+                if best is not None and (m, rank) > best[:2]:
+                    break
+                if best is None or free[nb][-1] < free[best[2]][-1]:
+                    best = (m, rank, nb)
             if best is not None:
-                used.add(best.eb)
-                out.append((ea, best.eb, best.mismatches))
-        return pd.DataFrame(out, columns=["ea", "eb", "mismatches"])
+                out.append((ea, free[best[2]].pop(), best[0]))
+        return pd.DataFrame(out, columns=["ea", "eb", "mismatches"], dtype=object)
 
-    return c.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(take, f"ea {dict(c.dtypes)['ea']}, eb {dict(c.dtypes)['eb']}, mismatches int")
+    return c.groupBy("_part").cogroup(members.groupBy("_own")).applyInPandas(take, f"ea {dict(a.dtypes)['entity']}, eb {dict(b.dtypes)['entity']}, mismatches int")
 
 
-def tm_score(moved: DataFrame, length: int, value: str = "disp") -> DataFrame:
-    """TM-score of a fixed alignment, normalised by ``length`` residues (no search over alignments); null when length is 0."""
-    d0 = max(0.5, 1.24 * max(length - 15, 0) ** (1 / 3) - 1.8) if length > 15 else 0.5
-    return moved.agg((F.sum(1 / (1 + (F.col(value) / d0) ** 2)) / F.lit(length if length else None)).alias("tm_score"))
+def tm_score(moved: DataFrame, length, value: str = "disp", keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, tm_score) of a fixed alignment, normalised by ``length`` residues, a number or the name of a column.
+
+    There is no search over alignments; null where the length is 0.
+    """
+    n = F.col(length) if isinstance(length, str) else F.lit(length)
+    d0 = F.when(n > 15, F.greatest(F.lit(0.5), 1.24 * F.cbrt((n - 15).cast("double")) - 1.8)).otherwise(0.5)
+    part = 1 / (1 + (F.col(value) / d0) * (F.col(value) / d0))
+    return moved.groupBy(*keys).agg((F.sum(part) / F.nullif(F.max(n), F.lit(0))).alias("tm_score"))

@@ -16,12 +16,18 @@ def cylinder(points: DataFrame, ends: DataFrame, m: DataFrame, keys: Sequence[st
     """(keys, id, dist): the m points nearest to the segment between two ends, which are left out; ties by id.
 
     ``ends``: keys, a, b and the coordinates ax..az, bx..bz; ``m``: keys, m. Without keys both are one
-    row and the choice is a global top-m by sort; with keys a rank within each key.
+    row, m is read and the choice is a global top-m, which every partition makes for itself before
+    the best of all are merged; with keys a rank within each key.
     """
-    one = ends.join(m, list(keys)) if keys else ends.join(F.broadcast(m))
+    if not keys:
+        most = m.first()
+        most = int(most.m) if most is not None and most.m is not None else 0
+    one = ends.join(m, list(keys)) if keys else ends
     p = points.join(one, list(keys)) if keys else points.join(F.broadcast(one))
     dist = segment_distance(*[[F.col(f"{s}{a}") for a in XYZ] for s in ("", "a", "b")])
     p = p.where((F.col("id") != F.col("a")) & (F.col("id") != F.col("b"))).withColumn("dist", dist)
+    if not keys:
+        return p.select("id", "dist").orderBy("dist", "id").limit(most)
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy("dist", "id"))
     return p.withColumn("_n", rank).where(F.col("_n") <= F.col("m")).select(*keys, "id", "dist")
 
@@ -80,6 +86,27 @@ def verdict(median: Column, win_pct: Column, establish: float = 0.05, win: float
     return F.when((median >= establish) & (win_pct >= win), "ESTABLISH").when((median <= reject) | (100.0 - win_pct >= lose), "REJECT").otherwise("INCONCLUSIVE")
 
 
+def correlation_verdict(rho: Column, signal: float = 0.3, weak: float = 0.15) -> Column:
+    """SIGNAL, WEAK SIGNAL or NO SIGNAL by the size of a correlation; null where there is none."""
+    size = F.abs(rho)
+    return F.when(size >= signal, "SIGNAL").when(size >= weak, "WEAK SIGNAL").when(size < weak, "NO SIGNAL")
+
+
+def pair_cohort(rows: DataFrame, least: int = 5) -> DataFrame:
+    """One row of a cohort of pair runs: n, median rho, wins (delta_rho above 0), win_pct, and the rank correlation of snaps with 1 - TM.
+
+    ``rows``: rho, delta_rho, total_snap_count, tm_score of the runs that succeeded. The last correlation needs
+    ``least`` runs with a TM-score; n_tm is their number.
+    """
+    from tessera.operators import stats
+
+    own = rows.agg(F.count("rho").alias("n"), F.median("rho").alias("median_rho"), F.count_if(F.col("delta_rho") > 0).alias("wins"))
+    own = own.withColumn("win_pct", 100.0 * F.col("wins") / F.nullif(F.col("n"), F.lit(0)))
+    scored = rows.where("tm_score is not null").select(F.col("total_snap_count").cast("double").alias("snaps"), (1 - F.col("tm_score")).alias("far"))
+    tm = stats.with_p_value(stats.spearman(scored, "snaps", "far"), "rho").select(F.col("n").alias("n_tm"), *[F.when(F.col("n") >= least, F.col(c)).alias(f"{c}_tm") for c in ("rho", "p")])
+    return own.join(F.broadcast(tm))  # one row each
+
+
 def ratio_gate(rows: DataFrame, ratio: str, bar: float) -> DataFrame:
     """Median of speed ratios and whether it passes the bar."""
     return rows.agg(F.count(F.lit(1)).alias("n"), F.median(ratio).alias("median_ratio")).withColumn("gate", F.when(F.col("median_ratio") > bar, "PASS").otherwise("FAIL"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import squared_distance, voxel
-from tessera.session import checkpoint
+from tessera.session import checkpoint, saved
 
 XYZ = ("x", "y", "z")
 #: Points that may be sent to every task; more are sent block by block.
@@ -68,8 +68,9 @@ def _top_k(src: np.ndarray, own: np.ndarray, ids: np.ndarray, coords: np.ndarray
 def knn_blocks(points: DataFrame, k: int, axes: Sequence[str] | None = None, vector: str | None = None) -> DataFrame:
     """Exact k nearest neighbours (src, dst, d2), by blocks of ``BLOCK_POINTS`` points sent to every task.
 
-    A block's rows are read to the driver and broadcast one block at a time, so memory is bounded
-    whatever the table's size; each task keeps the k best of a block, and those are merged by rank.
+    A block's rows are read to the driver and broadcast; each task keeps the k best of a block. Where
+    there are several, they are merged by rank and written before the next block is sent, so one is held at
+    a time whatever the table's size. The work is that of all distances: in few dimensions use ``knn_grid``.
     Ties go to the smaller id; a point is no neighbour of itself, told by id and not by distance.
     """
     names = list(axes or XYZ) if vector is None else [vector]
@@ -82,10 +83,11 @@ def knn_blocks(points: DataFrame, k: int, axes: Sequence[str] | None = None, vec
         coords = np.stack(pdf[vector].to_numpy()).astype(np.float64) if vector is not None and len(pdf) else pdf[names].to_numpy(np.float64) if vector is None else np.empty((0, 1))
         return ids, coords
 
-    out = None
+    spark, kind, best = points.sparkSession, "src long, dst long, d2 double", None
+    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
     for s in range(shards):
         block = p if shards == 1 else p.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == s)
-        held = points.sparkSession.sparkContext.broadcast(arrays(block.toPandas()))
+        held = spark.sparkContext.broadcast(arrays(block.toPandas()))
 
         def search(batches, held=held):
             ids, coords = held.value
@@ -95,24 +97,28 @@ def knn_blocks(points: DataFrame, k: int, axes: Sequence[str] | None = None, vec
                     a, b, d = _top_k(src, own, ids, coords, k)
                     yield pd.DataFrame({"src": a.astype(np.int64), "dst": b.astype(np.int64), "d2": d})
 
-        part = p.mapInPandas(search, "src long, dst long, d2 double")
-        out = part if out is None else out.union(part)
-    if shards == 1:
-        return out
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-    return out.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n")
+        part = p.mapInPandas(search, kind)
+        if shards == 1:
+            return part
+        # the best so far are written before the next block is sent, so that one block is held at a time
+        both = part if best is None else best.unionByName(part)
+        best = saved(both.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n"), "knn")
+        held.destroy()
+    return best
 
 
 def knn_grid(points: DataFrame, k: int, axes: Sequence[str] = XYZ, cell: float | None = None, rounds: int = 40) -> DataFrame:
     """Exact k nearest neighbours (src, dst, d2) in low dimension by growing radius joins.
 
-    The first cell width comes from the density; points whose k-th neighbour isn't within the width
-    try again with twice the width. Only unresolved points are joined again.
+    The first cell width comes from the density between the 5 % and 95 % quantiles of each axis, so that a few
+    points far away don't widen it; points whose k-th neighbour isn't within the width try again with
+    twice the width. Only unresolved points are joined again. After ``rounds`` doublings that leave
+    points open, RuntimeError is raised.
     """
-    box = points.agg(F.count(F.lit(1)).alias("n"), *[f(a).alias(f"{m}_{a}") for a in axes for m, f in (("lo", F.min), ("hi", F.max))]).first()
+    box = points.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(a, [0.0, 0.05, 0.95, 1.0], 1000).alias(a) for a in axes]).first()
     if not box.n:
         return points.sparkSession.createDataFrame([], "src long, dst long, d2 double")
-    sides = [box[f"hi_{a}"] - box[f"lo_{a}"] for a in axes]
+    sides = [box[a][2] - box[a][1] or box[a][3] - box[a][0] for a in axes]
     want = min(k, box.n - 1)
     width = cell or max(max(sides), 1e-12) * (max(1.0, 2.0 * k / box.n) ** (1 / len(axes)) if box.n <= 2 * k else (2.0 * k / box.n) ** (1 / len(axes)))
     open_, done = points.select("id", *axes), None
@@ -183,17 +189,16 @@ def csr_decode(adjacent: DataFrame) -> DataFrame:
 
 
 def random_graph(spark, n: int, density: float, seed: int = 0) -> DataFrame:
-    """Symmetric random edges: every row of the matrix draws its own columns, so no cross join is made."""
-    import random
-
+    """Symmetric random edges: every row of the matrix draws the gaps between its own columns, as many as it has edges."""
     def draw(batches):
         for pdf in batches:
-            src, dst = [], []
             for i in pdf["id"]:
-                rng = random.Random(seed * 1_000_003 + int(i))
-                hit = [j for j in range(n) if rng.random() < density]
-                src += [int(i)] * len(hit)
-                dst += hit
-            yield pd.DataFrame({"src": src, "dst": dst}, dtype=np.int64)
+                rng, last, hits = np.random.default_rng([seed, int(i)]), -1, []
+                while density > 0 and last < n:
+                    some = last + np.cumsum(rng.geometric(min(density, 1.0), max(16, int(1.2 * density * n))))
+                    hits.append(some[some < n])
+                    last = some[-1]
+                hits = np.concatenate(hits) if hits else np.empty(0, np.int64)
+                yield pd.DataFrame({"src": np.full(len(hits), i, np.int64), "dst": hits.astype(np.int64)})
 
     return symmetrize(spark.range(n).mapInPandas(draw, "src long, dst long"))

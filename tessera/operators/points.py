@@ -35,6 +35,17 @@ def last_per_key(rows: DataFrame, keys: Sequence[str], position: str) -> DataFra
     return best.select(*keys, *[F.col("_r").getField(c).alias(c) for c in rest]).select(*rows.columns)
 
 
+def select_atoms(atoms: DataFrame, least: int = 50) -> DataFrame:
+    """The CA atoms of amino acids, or only where there are none the atoms CA, P and C1'; raises ValueError below ``least`` atoms."""
+    chosen = backbone_atoms(atoms, ("CA",)).where(residue_code(F.col("residue")) != "X")
+    if chosen.isEmpty():
+        chosen = backbone_atoms(atoms)
+    n = chosen.count()
+    if n < least:
+        raise ValueError(f"{n} atoms selected; {least} at least")
+    return chosen
+
+
 def representatives(atoms: DataFrame) -> DataFrame:
     """One point for each residue: its first atom in file order among CA, P and C1'."""
     keys = [c for c in ("file", "model", "chain", "subchain", "seq_id") if c in atoms.columns]
@@ -106,7 +117,9 @@ def seed_cascade(points: DataFrame, group: str, preferred: int, others: Sequence
 
 def seed_high_degree(degrees: DataFrame, q: float = 0.99) -> DataFrame:
     """Smallest id with a degree at or above the interpolated ``q`` quantile; 0 if there is none."""
-    cut = F.broadcast(degrees.agg(F.percentile("degree", F.lit(q)).alias("cut")))
+    from tessera.operators.stats import quantiles
+
+    cut = F.broadcast(quantiles(degrees, "degree", {"cut": q}))  # one row
     return degrees.join(cut).where(F.col("degree") >= F.col("cut")).agg(F.coalesce(F.min("id"), F.lit(0)).alias("id"))
 
 

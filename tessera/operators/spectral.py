@@ -137,9 +137,10 @@ def fiedler(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
         e = pdf[pdf["dst"].notna()]
         try:
             v, value, parts = fiedler_vector(e["src"].to_numpy(np.int64), e["dst"].to_numpy(np.int64), ids)
-            return pd.DataFrame({key: k[0], "id": ids, "v": v, "eigenvalue": value, "n_components": parts, "status": "OK", "reason": None})
+            text = lambda x: pd.Series([x] * len(ids), dtype=object)
+            return pd.DataFrame({key: text(k[0]), "id": ids, "v": v, "eigenvalue": value, "n_components": parts, "status": text("OK"), "reason": text(None)})
         except (ValueError, np.linalg.LinAlgError) as error:
-            return pd.DataFrame([[k[0], None, None, None, None, "PIPELINE_FAILURE", str(error)]], columns=names)
+            return pd.DataFrame([[k[0], None, None, None, None, "PIPELINE_FAILURE", str(error)]], columns=names, dtype=object)
 
     return rows.groupBy(key).applyInPandas(solve, f"`{key}` {kind}, id long, v double, eigenvalue double, n_components int, status string, reason string")
 

@@ -5,17 +5,59 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Distinct values whose ranks are sent to every task.
+BROADCAST_VALUES = 200_000
+QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def _given(column: str):
+    """The value, or null where it is NaN."""
+    return F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
+
+
+def quantiles(rows: DataFrame, value: str, at: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
+    """(keys, a column for each name of ``at``): exact quantiles, interpolated; nulls and NaN are left out.
+
+    Counts of distinct values are cut into ranges by Spark's range partitioner; the counts before each range
+    tell which values stand at the wanted ranks. No task holds all values of a key, whatever its share.
+    """
+    from tessera.session import checkpoint
+
+    keys = list(keys)
+    counts = rows.select(*keys, _given(value).cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    ranged = checkpoint(counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))  # a row for each range, and for each key
+    whole = Window.partitionBy(*keys)
+    starts = sums.select(*keys, "_p", (F.sum("_s").over(whole.orderBy("_p")) - F.col("_s")).alias("_b"), F.sum("_s").over(whole).alias("_n"))
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v"))
+    l, r = ranged.withColumn("_u", upto).alias("l"), starts.alias("r")
+    on = [*[F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.col("l._p") == F.col("r._p")]
+    placed = l.join(r, on).select(*[F.col(f"l.{k}").alias(k) for k in keys], "_v", "_n", (F.col("_b") + F.col("_u") - F.col("_c")).alias("_lo"), (F.col("_b") + F.col("_u")).alias("_hi"))
+    picks = []
+    for name, q in at.items():
+        rank = F.lit(float(q)) * (F.col("_n") - 1)
+        for side, place in (("l", F.floor(rank)), ("r", F.ceil(rank))):
+            picks.append(F.max(F.when((F.col("_lo") <= place) & (place < F.col("_hi")), F.col("_v"))).alias(f"_{side}_{name}"))
+        picks.append(F.max(rank - F.floor(rank)).alias(f"_w_{name}"))
+    found = placed.groupBy(*keys).agg(*picks)
+    return found.select(*keys, *[(F.col(f"_l_{n}") + (F.col(f"_r_{n}") - F.col(f"_l_{n}")) * F.col(f"_w_{n}")).alias(n) for n in at])
+
+
 def describe(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n, mean, median, p90, p95, p99 (interpolated) and max; nulls are left out."""
-    v = F.col(value)
-    q = F.percentile(v, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99)]))
-    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), q.alias("_q"), F.max(v).alias("max"))
-    return out.select(*keys, "n", "mean", *[F.col("_q")[i].alias(n) for i, n in enumerate(("median", "p90", "p95", "p99"))], "max")
+    """n, mean, median, p90, p95, p99 (interpolated) and max; nulls and NaN are left out."""
+    keys, v = list(keys), _given(value)
+    out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
+    q = quantiles(rows, value, QUANTILES, keys)
+    names = ["n", "mean", *QUANTILES, "max"]
+    if not keys:
+        return out.join(F.broadcast(q)).select(*names)  # one row each
+    a, b = out.alias("a"), q.alias("b")
+    return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], *names)
 
 
 def pearson(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -34,7 +76,7 @@ def average_rank(rows: DataFrame, value: str, name: str, keys: Sequence[str] = (
     """
     from tessera.session import checkpoint
 
-    counts = rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+    counts = checkpoint(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
     order = [*[F.col(k) for k in keys], F.col(value)]
     ranged = checkpoint(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
@@ -45,6 +87,8 @@ def average_rank(rows: DataFrame, value: str, name: str, keys: Sequence[str] = (
     ranks = joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), (F.col("_b") + F.col("_w") + (F.col("_c") + 1) / 2).alias(name))
     a, b = rows.alias("a"), ranks.alias("b")
     on = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in [*keys, value]]
+    if counts.count() <= BROADCAST_VALUES:  # few values, each with many rows: the rows stay where they are
+        b = F.broadcast(b)
     return a.join(b, on).select("a.*", f"b.{name}")
 
 
@@ -57,7 +101,7 @@ def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataF
 
 def t_p_value(r: float | None, n: int) -> float | None:
     """Two-sided p of a correlation by Student's t with n - 2 degrees of freedom."""
-    if r is None or n < 3:
+    if r is None or r != r or n < 3:
         return None
     if abs(r) >= 1:
         return 0.0
@@ -92,10 +136,11 @@ def _regular(a: float, b: float, x: float) -> float:
 def with_p_value(rows: DataFrame, r: str = "r") -> DataFrame:
     """Adds p to a table of few rows with n and r."""
     def add(batches):
-        for pdf in batches:
-            yield pdf.assign(p=[t_p_value(None if pd.isna(x) else float(x), int(n)) for x, n in zip(pdf[r], pdf["n"])])
+        for b in batches:
+            p = [t_p_value(x, n) for x, n in zip(b.column(b.schema.get_field_index(r)).to_pylist(), b.column(b.schema.get_field_index("n")).to_pylist())]
+            yield pa.record_batch([*b.columns, pa.array(p, pa.float64())], names=[*b.schema.names, "p"])
 
-    return rows.mapInPandas(add, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", p double")
+    return rows.mapInArrow(add, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", p double")
 
 
 def group_summary(rows: DataFrame, key: str, frame: str, disp: str, least: int = 5, top: int = 15) -> DataFrame:
@@ -106,7 +151,7 @@ def group_summary(rows: DataFrame, key: str, frame: str, disp: str, least: int =
 
 def top_contributors(rows: DataFrame, value: str, keys: Sequence[str], q: float = 0.95, top: int = 15) -> DataFrame:
     """Groups with most rows at or above the ``q`` quantile of ``value``."""
-    cut = F.broadcast(rows.agg(F.percentile(value, F.lit(q)).alias("_cut")))  # one row
+    cut = F.broadcast(quantiles(rows, value, {"_cut": q}))  # one row
     return rows.join(cut).where(F.col(value) >= F.col("_cut")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).limit(top)
 
 

@@ -2,8 +2,9 @@
 
 Two plans give the same rows. Small graphs (a checked number of edges) go to one task per group of
 seeds, which builds arrays and expands levels with numpy. Larger ones use a loop of joins: the
-frontier meets the edges, and what earlier levels hold is taken out by an anti-join. On symmetric
-graphs a level's neighbours lie in the two levels before it or are new, so only those two are read.
+frontier meets the edges, and what earlier levels hold is taken out by an anti-join. Edges are directed
+unless ``symmetric`` says that each has its way back, which is checked: then a level's neighbours lie in
+the two levels before it or are new, so only those two are read.
 """
 
 from __future__ import annotations
@@ -63,16 +64,15 @@ def _kernel(edges: DataFrame, seeds: Sequence[int], most: int | None) -> DataFra
     return base.withColumn("g", F.explode(F.array(*[F.lit(g) for g in range(groups)]))).groupBy("g").applyInPandas(run, FRAMES)
 
 
-def _loop(edges: DataFrame, seeds: Sequence[int], most: int | None, symmetric: bool) -> DataFrame:
-    spark = edges.sparkSession
-    e = checkpoint(edges.select(F.col("src").alias("id"), "dst").repartition("id"))
-    levels = [checkpoint(spark.createDataFrame([(int(s), int(s), 0) for s in seeds], FRAMES))]
+def _loop(edges: DataFrame, front: DataFrame, most: int | None, symmetric: bool, keys: Sequence[str] = ()) -> DataFrame:
+    e = checkpoint(edges.select(*keys, F.col("src").alias("id"), "dst").repartition(*keys, "id"))
+    levels = [checkpoint(front)]
     while most is None or len(levels) <= most:
         seen = levels[-2:] if symmetric else levels
         known = seen[0]
         for x in seen[1:]:
             known = known.union(x)
-        new = levels[-1].join(e, "id").select("seed", F.col("dst").alias("id")).distinct().join(known, ["seed", "id"], "left_anti")
+        new = levels[-1].join(e, [*keys, "id"]).select(*keys, "seed", F.col("dst").alias("id")).distinct().join(known, [*keys, "seed", "id"], "left_anti")
         new = checkpoint(new.withColumn("frame", F.lit(len(levels))))
         if new.isEmpty():
             break
@@ -83,11 +83,17 @@ def _loop(edges: DataFrame, seeds: Sequence[int], most: int | None, symmetric: b
     return out
 
 
-def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, nodes: DataFrame | None = None, symmetric: bool = True, plan: str = "auto") -> DataFrame:
+def _check_symmetric(edges: DataFrame, keys: Sequence[str] = ()) -> None:
+    back = edges.select(*keys, F.col("dst").alias("src"), F.col("src").alias("dst"))
+    if not edges.select(*keys, "src", "dst").join(back, [*keys, "src", "dst"], "left_anti").isEmpty():
+        raise ValueError("not symmetric: some edges have no way back")
+
+
+def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, nodes: DataFrame | None = None, symmetric: bool = False, plan: str = "auto") -> DataFrame:
     """(seed, id, frame) of all nodes within ``most`` hops of each seed; frame 0 is the seed.
 
-    Raises ValueError for a seed that isn't among ``nodes`` (or, without ``nodes``, for null or no seeds).
-    ``plan`` is auto, kernel or loop.
+    Raises ValueError for a seed that isn't among ``nodes`` (or, without ``nodes``, for null or no seeds), and
+    where ``symmetric`` is said of edges that aren't. ``plan`` is auto, kernel or loop; the rows are the same.
     """
     seeds = list(dict.fromkeys(int(s) for s in seeds))
     if not seeds:
@@ -96,9 +102,37 @@ def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, n
         known = {r.id for r in nodes.where(F.col("id").isin(*seeds)).select("id").collect()}
         if missing := [s for s in seeds if s not in known]:
             raise ValueError(f"not nodes of the graph: {missing}")
+    if symmetric:
+        _check_symmetric(edges)
     if plan == "auto":
         plan = "kernel" if edges.count() <= KERNEL_EDGES else "loop"
-    return _kernel(edges, seeds, most) if plan == "kernel" else _loop(edges, seeds, most, symmetric)
+    if plan == "kernel":
+        return _kernel(edges, seeds, most)
+    return _loop(edges, edges.sparkSession.createDataFrame([(int(s), int(s), 0) for s in seeds], FRAMES), most, symmetric)
+
+
+def bfs_by_key(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], most: int | None = None, symmetric: bool = False, plan: str = "auto") -> DataFrame:
+    """(keys, seed, id, frame): traversals of many graphs (keys, src, dst) side by side from their seeds (keys, seed).
+
+    A graph is one task where none has more than ``KERNEL_EDGES`` edges; beyond that all graphs share the loop of joins.
+    """
+    keys = list(keys)
+    starts = seeds.select(*keys, F.col("seed").cast("long").alias("seed")).where("seed is not null").distinct()
+    e = edges.select(*keys, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    if symmetric:
+        _check_symmetric(e, keys)
+    if plan == "auto":
+        largest = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
+        plan = "kernel" if (largest or 0) <= KERNEL_EDGES else "loop"
+    if plan == "loop":
+        return _loop(e, starts.select(*keys, "seed", F.col("seed").alias("id"), F.lit(0).alias("frame")), most, symmetric, keys)
+    types = dict(starts.dtypes)
+
+    def run(key, own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:
+        s, i, f = expand(graph["src"].to_numpy(np.int64), graph["dst"].to_numpy(np.int64), own["seed"].tolist(), most)
+        return pd.DataFrame({**{k: pd.Series([v] * len(s), dtype=object) for k, v in zip(keys, key)}, "seed": s, "id": i, "frame": f})
+
+    return starts.groupBy(*keys).cogroup(e.groupBy(*keys)).applyInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {FRAMES}")
 
 
 def bfs(edges: DataFrame, seed: int, **named) -> DataFrame:

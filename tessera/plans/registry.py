@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import conflict, hamming_prefix, next_state, node_gradient, residue_code, segment_distance, squared_distance
-from tessera.operators import align, evaluate, graph, points, spectral, stats, traverse, walks
+from tessera.operators import align, evaluate, graph, points, spectral, stats, systems, traverse, walks
 from tessera.session import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,17 +81,32 @@ def _supply_edges(spark, sf):
     return graph.symmetrize(pairs)
 
 
-@query(f"WITH {KNN}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src) SELECT min(p.id) AS id FROM p JOIN d ON p.id = d.id WHERE p.entity = 3 AND d.degree > 0")
+def _cases(frames: dict[str, DataFrame]) -> DataFrame:
+    """One table of what an operator gives in several cases."""
+    out = None
+    for name, df in frames.items():
+        part = df.withColumn("case", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query(f"""WITH {RAD}, d AS (SELECT src AS id, count(*) AS degree FROM e GROUP BY src), n AS (SELECT p.id, p.entity, coalesce(degree, 0) AS degree FROM p LEFT JOIN d ON p.id = d.id)
+SELECT 'state' AS "case", min(id) AS id FROM n WHERE entity = 3 UNION ALL SELECT 'edge', min(id) FROM n WHERE degree > 0 UNION ALL SELECT 'none', id FROM n WHERE id < 0""")
 def seed_by_state(spark, sf):
-    nodes = cloud(spark, sf).join(graph.degrees(knn_graph_edges(spark, sf)), "id", "left").select("id", F.when(F.col("entity") == 3, 1).otherwise(0).alias("state"), F.coalesce("degree", F.lit(0)).alias("degree"))
-    return points.seed_by_state(nodes)
+    """A node in state 1; without one the first node with an edge; without an edge none."""
+    nodes = checkpoint(cloud(spark, sf).join(graph.degrees(radius_graph_edges(spark, sf)), "id", "left").select("id", "entity", F.coalesce("degree", F.lit(0)).alias("degree")))
+    pick = lambda state, degree: points.seed_by_state(nodes.select("id", state.alias("state"), degree.alias("degree")))
+    none = F.lit(0)
+    return _cases({"state": pick((F.col("entity") == 3).cast("int"), F.col("degree")), "edge": pick(none, F.col("degree")), "none": pick(none, none)})
 
 
-@query(f"""WITH {P}, own AS (SELECT * FROM p WHERE entity = 2), c AS (SELECT avg(x) cx, avg(y) cy, avg(z) cz FROM own)
-SELECT id FROM (SELECT id, CASE WHEN id % 50 = 49 AND id < 0 THEN 0 WHEN id IN (-1, -2) THEN 1 ELSE 2 END AS r, (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) AS d2 FROM own, c) t ORDER BY r, d2, id LIMIT 1""")
+@query(f"""WITH {P}, own AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS seq FROM p WHERE entity = 2), c AS (SELECT avg(x) cx, avg(y) cy, avg(z) cz FROM own), d AS (SELECT id, seq, (x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz) AS d2 FROM own, c)
+SELECT 'preferred' AS "case", id FROM d WHERE seq = 3 UNION ALL SELECT 'other', min(id) FROM d WHERE seq IN (9, 7) UNION ALL SELECT 'centre', id FROM (SELECT id FROM d ORDER BY d2, id LIMIT 1) t""")
 def seed_cascade(spark, sf):
-    p = cloud(spark, sf).select("id", "x", "y", "z", F.col("entity").alias("subchain"), F.col("id").alias("seq_id"))
-    return points.seed_cascade(p, 2, -3, [-1, -2])
+    """The preferred residue; without it the first of others; without those the point nearest to the centre."""
+    at = F.row_number().over(Window.partitionBy("entity").orderBy("id")) - 1
+    p = checkpoint(cloud(spark, sf).select("id", "x", "y", "z", F.col("entity").alias("subchain"), at.alias("seq_id")))
+    return _cases({"preferred": points.seed_cascade(p, 2, 3, [9, 7]), "other": points.seed_cascade(p, 2, -3, [-1, 9, 7]), "centre": points.seed_cascade(p, 2, -3, [-1, -2])})
 
 
 @query(f"WITH {P}, r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY id) AS rn FROM p) SELECT entity, id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r WHERE rn = 1")
@@ -132,10 +146,13 @@ def json_fields(spark, sf):
     return e.select(F.col("event_id").alias("id"), F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query(f"WITH {P}, c AS (SELECT entity, count(*) AS n FROM p GROUP BY entity), pick AS (SELECT min(entity) AS entity FROM c WHERE n >= 30) SELECT p.entity, p.id FROM p JOIN pick ON p.entity = pick.entity")
+@query(f"""WITH {P}, c AS (SELECT entity, count(*) AS n FROM p GROUP BY entity), pick AS (SELECT 'named' AS k, 3 AS entity UNION ALL SELECT 'first', min(entity) FROM c WHERE n >= 30 UNION ALL SELECT 'none', entity FROM c WHERE n >= 1000000000)
+SELECT k AS "case", p.entity, p.id FROM p JOIN pick ON p.entity = pick.entity""")
 def chain_with_fallback(spark, sf):
+    """The named chain; without it the first with enough points; without one no points."""
     p = cloud(spark, sf).select("id", F.lpad(F.col("entity").cast("string"), 4, "0").alias("chain"), "entity", F.struct("entity", "id").alias("position"))
-    return points.chain_or_first(p, "none such").select("entity", "id")
+    pick = lambda name, least: points.chain_or_first(p, name, least).select("entity", "id")
+    return _cases({"named": pick("0003", 30), "first": pick("none such", 30), "none": pick("none such", 1_000_000_000)})
 
 
 @query("SELECT l_partkey AS part, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT l_suppkey) AS BIGINT) AS n_suppliers FROM lineitem GROUP BY l_partkey")
@@ -214,7 +231,13 @@ def bfs_levels(spark, sf):
 
 @query(f"WITH RECURSIVE {RAD}, {bfs_sql('f', A)} SELECT p.id, coalesce(f.frame, -1) AS frame FROM p LEFT JOIN f ON p.id = f.id")
 def bfs_join_loop(spark, sf):
-    return traverse.with_unreached(traverse.bfs(radius_graph_edges(spark, sf), A, plan="loop"), cloud(spark, sf))
+    return traverse.with_unreached(traverse.bfs(radius_graph_edges(spark, sf), A, plan="loop", symmetric=True), cloud(spark, sf))
+
+
+@query(f"WITH RECURSIVE {KNN.replace('UNION SELECT dst, src FROM k', '')}, {bfs_sql('f', A)} SELECT p.id, coalesce(f.frame, -1) AS frame FROM p LEFT JOIN f ON p.id = f.id")
+def bfs_directed(spark, sf):
+    """Each point's nearest neighbours as one-way edges, by the loop of joins."""
+    return traverse.with_unreached(traverse.bfs(graph.knn_edges(cloud(spark, sf), K), A, plan="loop"), cloud(spark, sf))
 
 
 @query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', A)} SELECT frame, count(*) AS n FROM f GROUP BY frame")
@@ -262,9 +285,24 @@ def tube(spark, sf):
     return traverse.tube(knn_graph_edges(spark, sf), A, B)
 
 
-@query(f"WITH RECURSIVE {TUBE} SELECT 'OK' AS status, CAST(NULL AS VARCHAR) AS reason, max(length) AS length, count(*) AS size FROM tube")
+def _tube_status_sql(case: str, e: str, a: str, b: str, slack: int) -> str:
+    """Statement for one case, whose edges are table ``e``; a and b are SQL for the seeds."""
+    walk = lambda n, seed: f"{n}_{case}(id, frame) AS (SELECT CAST({seed} AS BIGINT), 0 UNION SELECT x.dst, {n}_{case}.frame + 1 FROM {n}_{case} JOIN {e} x ON x.src = {n}_{case}.id WHERE {n}_{case}.frame < 40), m{n}_{case} AS (SELECT id, min(frame) AS frame FROM {n}_{case} GROUP BY id)"
+    return f"""{walk('u', a)}, {walk('v', b)}, l_{case} AS (SELECT max(frame) AS l FROM mu_{case} WHERE id = {b}),
+s_{case} AS (SELECT count(*) AS size FROM mu_{case} x JOIN mv_{case} y ON x.id = y.id, l_{case} WHERE x.frame + y.frame <= l + {slack} AND x.id NOT IN ({a}, {b})),
+o_{case} AS (SELECT '{case}' AS "case", CASE WHEN l IS NULL OR size = 0 THEN 'PIPELINE_FAILURE' ELSE 'OK' END AS status, CASE WHEN l IS NULL THEN 'seeds are disconnected' WHEN size = 0 THEN 'tube is empty' END AS reason, coalesce(l, -1) AS length, size FROM l_{case}, s_{case})"""
+
+
+@query(f"""WITH RECURSIVE {KNN}, r AS (SELECT a.id AS src, b.id AS dst FROM p a JOIN p b ON a.id <> b.id WHERE a.entity = b.entity AND {D2} <= CAST({RADIUS} AS DOUBLE)*CAST({RADIUS} AS DOUBLE)),
+{_tube_status_sql('far', 'e', A, B, 1)}, {_tube_status_sql('near', 'e', A, f'(SELECT min(dst) FROM e WHERE src = {A})', 0)}, {_tube_status_sql('apart', 'r', A, f'(SELECT min(id) FROM p WHERE entity <> (SELECT entity FROM p WHERE id = {A}))', 1)}
+SELECT * FROM o_far UNION ALL SELECT * FROM o_near UNION ALL SELECT * FROM o_apart""")
 def tube_status(spark, sf):
-    return traverse.tube_status(knn_graph_edges(spark, sf), A, B)
+    """Seeds some way apart, neighbours without slack (nothing between them), and seeds of different groups."""
+    p, e, r = cloud(spark, sf), knn_graph_edges(spark, sf), radius_graph_edges(spark, sf, ["entity"]).select("src", "dst")
+    near = e.where(F.col("src") == A).agg(F.min("dst")).first()[0]
+    own = p.where(F.col("id") == A).select(F.col("entity").alias("own"))
+    apart = p.join(F.broadcast(own)).where("entity <> own").agg(F.min("id")).first()[0]
+    return _cases({"far": traverse.tube_status(e, A, B), "near": traverse.tube_status(e, A, near, slack=0), "apart": traverse.tube_status(r, A, apart)})
 
 
 def _tube_and_cylinder(spark, sf):
@@ -294,23 +332,11 @@ def tube_cylinder_partition(spark, sf):
 PRF = """CAST(CASE WHEN n_pred = 0 AND n_truth = 0 THEN 1 WHEN n_pred = 0 OR n_truth = 0 THEN 0 ELSE pred_hits / CAST(n_pred AS DOUBLE) END AS DOUBLE) AS precision, CAST(CASE WHEN n_pred = 0 AND n_truth = 0 THEN 1 WHEN n_pred = 0 OR n_truth = 0 THEN 0 ELSE truth_hits / CAST(n_truth AS DOUBLE) END AS DOUBLE) AS recall"""
 
 
-@query(f"""WITH pred AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 7 = 0), truth AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 2 AND l_orderkey % 11 = 0),
-h AS (SELECT (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM pred a WHERE EXISTS (SELECT 1 FROM truth b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS pred_hits, (SELECT count(*) FROM truth a WHERE EXISTS (SELECT 1 FROM pred b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS truth_hits),
-s AS (SELECT *, {PRF} FROM h)
-SELECT n_pred, n_truth, pred_hits, truth_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0 END, 6) AS f1 FROM s""")
-def windowed_prf1(spark, sf):
-    rows = _table(spark, sf, "lineitem").select("l_linenumber", "l_orderkey", (F.col("l_orderkey") % 50).alias("chain"), F.col("l_partkey").alias("seq"))
-    pred = rows.where((F.col("l_linenumber") == 1) & (F.col("l_orderkey") % 7 == 0))
-    truth = rows.where((F.col("l_linenumber") == 2) & (F.col("l_orderkey") % 11 == 0))
-    return evaluate.score(evaluate.windowed_hits(pred, truth)).select("n_pred", "n_truth", "pred_hits", "truth_hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
-
-
 @query(f"""WITH pred AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 1), truth AS (SELECT DISTINCT l_orderkey % 50 AS chain, CAST(l_partkey AS BIGINT) AS seq FROM lineitem WHERE l_linenumber = 2),
 h AS (SELECT (SELECT count(*) FROM pred) AS n_pred, (SELECT count(*) FROM truth) AS n_truth, (SELECT count(*) FROM pred a WHERE EXISTS (SELECT 1 FROM truth b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS pred_hits, (SELECT count(*) FROM truth a WHERE EXISTS (SELECT 1 FROM pred b WHERE a.chain = b.chain AND abs(a.seq - b.seq) <= 2)) AS truth_hits),
 s AS (SELECT *, {PRF} FROM h)
 SELECT n_pred, n_truth, pred_hits, truth_hits, round(precision, 6) AS precision, round(recall, 6) AS recall, round(CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0 END, 6) AS f1 FROM s""")
-def windowed_prf1_whole(spark, sf):
-    """As ``windowed_prf1``, of all rows of both sides."""
+def windowed_prf1(spark, sf):
     rows = _table(spark, sf, "lineitem").select("l_linenumber", (F.col("l_orderkey") % 50).alias("chain"), F.col("l_partkey").alias("seq"))
     hits = evaluate.windowed_hits(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"))
     return evaluate.score(hits).select("n_pred", "n_truth", "pred_hits", "truth_hits", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
@@ -402,19 +428,20 @@ def fiedler(spark, sf):
     return spectral.fiedler(radius_graph_edges(spark, sf, ["entity"]), cloud(spark, sf), "entity").select("entity", "id", F.round("v", 6).alias("v"), F.round("eigenvalue", 6).alias("eigenvalue"), "n_components", "status", "reason")
 
 
+PAIRED = ("lambda_a", "lambda_b", "rho", "p", "rho_euclid", "p_euclid", "delta_rho", "tm_score", "rmsd")
+
+
 @query()
 def spectral_pairs(spark, sf):
-    """Per group: both conformers' Fiedler vectors, snap ranks, displacement after alignment, and their rank correlation."""
-    a, b = cloud(spark, sf), cloud(spark, sf, 3)
-    fa, fb = (checkpoint(spectral.fiedler(graph.radius_edges(p, 4.0, ["entity"]), p, "entity")) for p in (a, b))
-    va, vb = (f.where("status = 'OK'").select("entity", "id", F.col("v").alias(n)) for f, n in ((fa, "va"), (fb, "vb")))
-    snapped = spectral.snap(va.join(vb, ["entity", "id"]), "entity")
-    pairs = align.pair(a, b, ["entity", "id"])
-    moved = align.displacements(align.apply_transform(pairs, align.kabsch(pairs, ["entity"], 20), ["entity"]))
-    rows = checkpoint(snapped.join(moved.select("entity", "id", "disp"), ["entity", "id"]))
-    done = stats.with_p_value(stats.spearman(rows, "pms", "disp", ["entity"]), "rho").select("entity", "n", F.round("rho", 6).alias("rho"), F.round("p", 6).alias("p"))
-    status = fa.union(fb).groupBy("entity").agg(F.min_by("status", F.col("status") == "OK").alias("status"), F.max("reason").alias("reason"))
-    return status.join(done, "entity", "left").select("entity", "n", "rho", "p", "status", "reason")
+    """Per group a whole run over its two conformers: window match, alignment, both graphs, vectors, snaps, both correlations, scores."""
+    a, b = (cloud(spark, sf, at).withColumnRenamed("id", "seq_id") for at in (0, 3))
+    return systems.run_pairs(a, b, "entity", 4.0).withColumns({c: F.round(c, 6) for c in PAIRED})
+
+
+@query()
+def pair_cohort(spark, sf):
+    """The reduction of the pair runs: median correlation, wins, and the correlation of snaps with 1 - TM."""
+    return evaluate.pair_cohort(checkpoint(spectral_pairs(spark, sf)).where("status = 'OK'")).withColumns({c: F.round(c, 6) for c in ("median_rho", "rho_tm", "p_tm")})
 
 
 # ---- alignment
@@ -492,20 +519,29 @@ def _entities(spark, sf, low, high):
     return d.where((F.col("entity") % 4 >= low) & (F.col("entity") % 4 < high))
 
 
-@query("""WITH d AS (SELECT doc_id, substr(text, 1, 200) AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT a.doc_id AS ea, b.doc_id AS eb, a.t AS sa, b.t AS sb FROM d a JOIN d b ON a.doc_id + 1 = b.doc_id)
+@query("""WITH d AS (SELECT doc_id, text AS t FROM documents WHERE text IS NOT NULL), c AS (SELECT a.doc_id AS ea, b.doc_id AS eb, a.t AS sa, b.t AS sb FROM d a JOIN d b ON a.doc_id + 1 = b.doc_id)
 SELECT ea, eb, CAST(list_sum(list_transform(range(1, least(80, length(sa), length(sb)) + 1), lambda i: CASE WHEN substr(sa, i, 1) <> substr(sb, i, 1) THEN 1 ELSE 0 END)) AS INTEGER) AS mismatches FROM c""")
 def hamming_prefix_codes(spark, sf):
-    d = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ea"), F.split(F.substring("text", 1, 200), "").alias("sa"))
+    d = _table(spark, sf, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("ea"), F.split(F.substring("text", 1, 80), "").alias("sa"))  # 80 codes are compared
     b = d.select((F.col("ea") - 1).alias("ea"), F.col("ea").alias("eb"), F.col("sa").alias("sb"))
     return d.join(b, "ea").select("ea", "eb", hamming_prefix(F.col("sa"), F.col("sb")).alias("mismatches"))
 
 
-@query()
+GREEDY = "list_reduce(c, lambda x, y: list_concat(x, list_filter(y, lambda i: NOT list_contains(list_transform(x, lambda j: j.b), i.b))[1:1]), [])"
+
+
+@query(f"""WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0), a AS (SELECT * FROM d WHERE doc_id % 4 < 2), b AS (SELECT * FROM d WHERE doc_id % 4 >= 2),
+j AS (SELECT a.doc_id AS a, b.doc_id AS b, abs(a.n - b.n) * 2 - CASE WHEN b.n < a.n THEN 1 ELSE 0 END AS rank, greatest(8, least(a.n, 80) // 5) AS most,
+list_sum(list_transform(range(1, least(80, a.n, b.n) + 1), lambda i: CASE WHEN substr(a.text, i, 1) <> substr(b.text, i, 1) THEN 1 ELSE 0 END)) AS m FROM a JOIN b ON b.n BETWEEN a.n - 2 AND a.n + 2),
+o AS (SELECT a, list({{'a': a, 'b': b, 'm': m}} ORDER BY m, rank, b) AS c FROM j WHERE m <= most GROUP BY a), g AS (SELECT list(c ORDER BY a) AS c FROM o), r AS (SELECT unnest({GREEDY}) AS x FROM g WHERE c IS NOT NULL)
+SELECT x.a AS ea, x.b AS eb, CAST(x.m AS INTEGER) AS mismatches FROM r""")
 def entity_match(spark, sf):
     return align.entity_match(_entities(spark, sf, 0, 2), _entities(spark, sf, 2, 4))
 
 
-@query()
+@query(f"""WITH d AS (SELECT DISTINCT l_orderkey % 97 AS chain, CAST(l_partkey AS BIGINT) AS s, l_linenumber AS side FROM lineitem), j AS (SELECT x.chain, x.s AS a, y.s AS b, CASE y.s - x.s WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN -1 THEN 2 WHEN 2 THEN 3 ELSE 4 END AS rank FROM d x JOIN d y ON x.chain = y.chain AND x.side = 1 AND y.side = 2 AND abs(x.s - y.s) <= 2),
+o AS (SELECT chain, a, list({{'a': a, 'b': b}} ORDER BY rank) AS c FROM j GROUP BY chain, a), g AS (SELECT chain, list(c ORDER BY a) AS c FROM o GROUP BY chain), r AS (SELECT chain, unnest({GREEDY}) AS x FROM g)
+SELECT chain, x.a AS seq_a, x.b AS seq_b FROM r""")
 def window_match_greedy(spark, sf):
     rows = _table(spark, sf, "lineitem").select((F.col("l_orderkey") % 97).alias("chain"), F.col("l_partkey").alias("seq_id"), "l_linenumber").distinct()
     return align.window_match(rows.where("l_linenumber = 1"), rows.where("l_linenumber = 2"), "chain")
@@ -517,6 +553,27 @@ def assign_two_copies(spark, sf):
     return align.assign_two(align.all_pairs_rmsd(a, b, ["key"], least=5)).withColumn("rmsd", F.round("rmsd", 6))
 
 
+@query(f"""WITH {P}, {P2}, a AS (SELECT entity AS ga, avg(x) x, avg(y) y, avg(z) z FROM p GROUP BY entity), b AS (SELECT entity AS gb, avg(x) x, avg(y) y, avg(z) z FROM q GROUP BY entity),
+j AS (SELECT ga, gb, round(sqrt({D2}), 9) AS m FROM a JOIN b ON true), o AS (SELECT ga, list({{'a': ga, 'b': gb, 'm': m}} ORDER BY m, gb) AS c FROM j WHERE m < 3 GROUP BY ga), g AS (SELECT list(c ORDER BY ga) AS c FROM o), r AS (SELECT unnest({GREEDY}) AS x FROM g)
+SELECT x.a AS ga, x.b AS gb, round(x.m, 6) AS rmsd FROM r""")
+def assign_greedy(spark, sf):
+    """Groups of one conformer in order take the nearest group of the other that is left, below a limit."""
+    a = points.centroid(cloud(spark, sf), ["entity"]).select(F.col("entity").alias("ga"), "cx", "cy", "cz")
+    b = points.centroid(cloud(spark, sf, 3), ["entity"]).select(F.col("entity").alias("gb"), *[F.col(f"c{c}").alias(f"d{c}") for c in "xyz"])
+    far = F.sqrt(squared_distance([F.col(f"c{c}") for c in "xyz"], [F.col(f"d{c}") for c in "xyz"]))
+    pairs = a.join(F.broadcast(b)).select("ga", "gb", F.round(far, 9).alias("rmsd"))  # a row for every two groups is the input asked for
+    return align.assign_greedy(pairs, limit=3.0).withColumn("rmsd", F.round("rmsd", 6))
+
+
+@query(f"WITH {P}, {P2}, d AS (SELECT p.entity, {D2.replace('a.', 'p.').replace('b.', 'q.')} AS d2 FROM p JOIN q ON p.id = q.id), n AS (SELECT entity, count(*) AS n FROM d GROUP BY entity), s AS (SELECT d.entity, n, d2, CASE WHEN n > 15 THEN greatest(0.5, 1.24 * cbrt(n - 15) - 1.8) ELSE 0.5 END AS d0 FROM d JOIN n ON d.entity = n.entity) SELECT entity, round(sum(1 / (1 + d2 / (d0 * d0))) / max(n), 6) AS tm_score FROM s GROUP BY entity")
+def tm_score_fixed(spark, sf):
+    """TM-score of both conformers as they lie, per group and normalised by its size."""
+    p = align.pair(cloud(spark, sf), cloud(spark, sf, 3), ["entity", "id"])
+    d = p.withColumn("disp", F.sqrt(squared_distance([F.col(c) for c in align.P], [F.col(c) for c in align.Q])))
+    n = d.groupBy("entity").agg(F.count(F.lit(1)).alias("n"))
+    return align.tm_score(d.join(n, "entity"), "n", keys=["entity"]).withColumn("tm_score", F.round("tm_score", 6))
+
+
 # ---- statistics
 
 
@@ -546,6 +603,14 @@ def spearman(spark, sf):
     return stats.spearman(_table(spark, sf, "lineitem"), "l_quantity", "l_extendedprice").withColumn("rho", F.round("rho", 6))
 
 
+@query("""WITH c AS (SELECT l_suppkey AS system, corr(l_quantity, l_extendedprice) / 3 + corr(l_discount, l_tax) AS rho FROM lineitem GROUP BY l_suppkey)
+SELECT system, CASE WHEN abs(rho) >= 0.3 THEN 'SIGNAL' WHEN abs(rho) >= 0.15 THEN 'WEAK SIGNAL' ELSE 'NO SIGNAL' END AS verdict FROM c WHERE rho IS NOT NULL""")
+def correlation_verdict(spark, sf):
+    rows = _table(spark, sf, "lineitem").withColumnRenamed("l_suppkey", "system")
+    a, b = (stats.pearson(rows, x, y, ["system"]).select("system", F.col("r").alias(n)) for x, y, n in (("l_quantity", "l_extendedprice", "ra"), ("l_discount", "l_tax", "rb")))
+    return a.join(b, "system").withColumn("rho", F.col("ra") / 3 + F.col("rb")).where("rho is not null").select("system", evaluate.correlation_verdict(F.col("rho")).alias("verdict"))
+
+
 @query()
 def correlation_p_values(spark, sf):
     rows = _table(spark, sf, "lineitem")
@@ -564,16 +629,8 @@ def coverage_counts(spark, sf):
     return _table(spark, sf, "lineitem").select("l_orderkey").join(o, "l_orderkey", "left").agg(F.count(F.lit(1)).alias("n"), F.count("o_totalprice").alias("matched"), F.count_if(F.col("o_totalprice") > 100000).alias("large"))
 
 
-@query(f"SELECT count(*) AS n FROM (SELECT l_partkey AS k FROM lineitem WHERE l_suppkey % 3 = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 3 = 1) t")
-def key_intersection(spark, sf):
-    rows = _table(spark, sf, "lineitem")
-    side = lambda r: rows.where(F.col("l_suppkey") % 3 == r).select("l_partkey")
-    return side(0).intersect(side(1)).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("SELECT count(*) AS n FROM (SELECT l_partkey AS k FROM lineitem WHERE l_suppkey % 2 = 0 INTERSECT SELECT l_partkey FROM lineitem WHERE l_suppkey % 2 = 1) t")
-def key_intersection_whole(spark, sf):
-    """As ``key_intersection``, with every row on one of the two sides."""
+def key_intersection(spark, sf):
     rows = _table(spark, sf, "lineitem")
     side = lambda r: rows.where(F.col("l_suppkey") % 2 == r).select("l_partkey")
     return side(0).intersect(side(1)).agg(F.count(F.lit(1)).alias("n"))
@@ -582,42 +639,57 @@ def key_intersection_whole(spark, sf):
 # ---- whole pipelines
 
 
-@query()
+SYSTEM_RADIUS = 4.0
+CODES = "ACDEFGHIKLMNPQRSTVWY"
+SYSTEMS = f"""{P}, pt AS (SELECT entity AS system, id, 'A' AS chain, id AS seq, substr('{CODES}', CAST(id % 20 AS INTEGER) + 1, 1) AS code, x, y, z FROM p),
+lim AS (SELECT system, min(id) AS lo, max(id) AS hi FROM pt GROUP BY system),
+sd AS (SELECT system, CASE WHEN system = 8 THEN -1 ELSE lo END AS sa, hi AS sb, substr('{CODES}', CAST(lo % 20 AS INTEGER) + 1, 1) AS ca, CASE WHEN system = 9 THEN 'X' ELSE substr('{CODES}', CAST(hi % 20 AS INTEGER) + 1, 1) END AS cb FROM lim),
+en AS (SELECT sd.system, a.id AS a, b.id AS b FROM sd LEFT JOIN pt a ON a.system = sd.system AND a.seq = sa AND a.code = ca LEFT JOIN pt b ON b.system = sd.system AND b.seq = sb AND b.code = cb),
+kn AS (SELECT * FROM en WHERE a IS NOT NULL AND b IS NOT NULL),
+tr AS (SELECT system, chain, seq FROM pt WHERE x > 0 AND y > 0),
+ow AS (SELECT pt.* FROM pt JOIN kn ON pt.system = kn.system),
+ed AS (SELECT a.system, a.id AS src, b.id AS dst FROM ow a JOIN ow b ON a.system = b.system AND a.id <> b.id WHERE {D2} <= CAST({SYSTEM_RADIUS} AS DOUBLE)*CAST({SYSTEM_RADIUS} AS DOUBLE)),
+wa(system, id, frame) AS (SELECT system, a, 0 FROM kn UNION SELECT ed.system, ed.dst, wa.frame + 1 FROM wa JOIN ed ON ed.system = wa.system AND ed.src = wa.id WHERE wa.frame < 40),
+wb(system, id, frame) AS (SELECT system, b, 0 FROM kn UNION SELECT ed.system, ed.dst, wb.frame + 1 FROM wb JOIN ed ON ed.system = wb.system AND ed.src = wb.id WHERE wb.frame < 40),
+fa AS (SELECT system, id, min(frame) AS f FROM wa GROUP BY 1, 2), fb AS (SELECT system, id, min(frame) AS f FROM wb GROUP BY 1, 2),
+le AS (SELECT fa.system, f AS length FROM fa JOIN kn ON kn.system = fa.system AND kn.b = fa.id),
+tu AS (SELECT fa.system, fa.id FROM fa JOIN fb ON fa.system = fb.system AND fa.id = fb.id JOIN le ON le.system = fa.system JOIN kn ON kn.system = fa.system WHERE fa.f + fb.f <= length + 1 AND fa.id NOT IN (a, b)),
+si AS (SELECT system, count(*) AS m FROM tu GROUP BY system),
+lc AS (SELECT o.system, o.id, o.x, o.y, o.z, a.x AS ax, a.y AS ay, a.z AS az, b.x - a.x AS ux, b.y - a.y AS uy, b.z - a.z AS uz FROM ow o JOIN kn ON kn.system = o.system JOIN ow a ON a.system = kn.system AND a.id = kn.a JOIN ow b ON b.system = kn.system AND b.id = kn.b WHERE o.id NOT IN (kn.a, kn.b)),
+lt AS (SELECT *, greatest(0.0, least(1.0, ((x-ax)*ux+(y-ay)*uy+(z-az)*uz) / (ux*ux+uy*uy+uz*uz))) AS t FROM lc),
+ld AS (SELECT system, id, sqrt((x-(ax+t*ux))*(x-(ax+t*ux))+(y-(ay+t*uy))*(y-(ay+t*uy))+(z-(az+t*uz))*(z-(az+t*uz))) AS dist FROM lt),
+cy AS (SELECT d.system, d.id FROM (SELECT *, row_number() OVER (PARTITION BY system ORDER BY dist, id) AS rn FROM ld) d JOIN si ON si.system = d.system WHERE rn <= m),
+pr AS (SELECT 'tube' AS kind, tu.system, pt.chain, pt.seq FROM tu JOIN pt ON pt.system = tu.system AND pt.id = tu.id UNION ALL SELECT 'cylinder', cy.system, pt.chain, pt.seq FROM cy JOIN pt ON pt.system = cy.system AND pt.id = cy.id),
+hi AS (SELECT kind, si.system, (SELECT count(*) FROM pr WHERE pr.kind = k.kind AND pr.system = si.system) AS n_pred, (SELECT count(*) FROM tr WHERE tr.system = si.system) AS n_truth,
+(SELECT count(*) FROM pr WHERE pr.kind = k.kind AND pr.system = si.system AND EXISTS (SELECT 1 FROM tr WHERE tr.system = pr.system AND tr.chain = pr.chain AND abs(tr.seq - pr.seq) <= 2)) AS pred_hits,
+(SELECT count(*) FROM tr WHERE tr.system = si.system AND EXISTS (SELECT 1 FROM pr WHERE pr.kind = k.kind AND tr.system = pr.system AND tr.chain = pr.chain AND abs(tr.seq - pr.seq) <= 2)) AS truth_hits FROM si, (SELECT 'tube' AS kind UNION ALL SELECT 'cylinder') k),
+sc AS (SELECT *, {PRF} FROM hi), f1 AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2*precision*recall/(precision+recall) ELSE 0 END AS f1 FROM sc),
+nn AS (SELECT system, count(*) AS n FROM ow GROUP BY system), ne AS (SELECT system, count(*) AS n_edges FROM ed GROUP BY system),
+ou AS (SELECT en.system, CASE WHEN en.a IS NULL OR en.b IS NULL THEN 'seed not found or name mismatch' WHEN length IS NULL THEN 'seed A and B in different components' WHEN m IS NULL THEN 'empty tube' END AS reason, n, coalesce(n_edges, 0) AS n_edges, length, m,
+t.precision AS tube_precision, t.recall AS tube_recall, t.f1 AS tube_f1, c.precision AS cylinder_precision, c.recall AS cylinder_recall, c.f1 AS cylinder_f1, t.f1 - c.f1 AS delta
+FROM en LEFT JOIN nn ON nn.system = en.system LEFT JOIN ne ON ne.system = en.system LEFT JOIN le ON le.system = en.system LEFT JOIN si ON si.system = en.system LEFT JOIN f1 t ON t.system = en.system AND t.kind = 'tube' LEFT JOIN f1 c ON c.system = en.system AND c.kind = 'cylinder')"""
+SCORES = ("tube_precision", "tube_recall", "tube_f1", "cylinder_precision", "cylinder_recall", "cylinder_f1", "delta")
+
+
+def _systems(spark, sf) -> DataFrame:
+    """Ten systems by label; one names a seed that isn't there and one a seed of another code."""
+    code = lambda i: F.substring(F.lit(CODES), (i % 20).cast("int") + 1, F.lit(1))
+    p = checkpoint(cloud(spark, sf).select(F.col("entity").alias("system"), "id", F.lit("A").alias("chain"), F.col("id").alias("seq_id"), code(F.col("id")).alias("code"), "x", "y", "z"))
+    ends = p.groupBy("system").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+    seeds = ends.select(
+        "system", F.lit("A").alias("chain_a"), F.when(F.col("system") == 8, -1).otherwise(F.col("lo")).alias("seq_id_a"), code(F.col("lo")).alias("code_a"),
+        F.lit("A").alias("chain_b"), F.col("hi").alias("seq_id_b"), F.when(F.col("system") == 9, "X").otherwise(code(F.col("hi"))).alias("code_b"),
+    )
+    return systems.run_systems(p, seeds, p.where("x > 0 and y > 0").select("system", "chain", "seq_id"), SYSTEM_RADIUS)
+
+
+@query(f"WITH RECURSIVE {SYSTEMS} SELECT system, CASE WHEN reason IS NULL THEN 'OK' ELSE 'PIPELINE_FAILURE' END AS status, reason, {', '.join(f'CASE WHEN reason IS NULL THEN {c} END AS {c}' for c in ('n', 'n_edges', 'length', 'm'))}, {', '.join(f'CASE WHEN reason IS NULL THEN round({c}, 6) END AS {c}' for c in SCORES)} FROM ou")
 def system_cohort(spark, sf):
-    """Ten systems by label: kNN graph, tube and cylinder between two seeds, windowed F1 of each, per system."""
-    p = checkpoint(cloud(spark, sf))
-    seeds = p.groupBy("entity").agg(F.min("id").alias("a"), F.max("id").alias("b"))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        ids, xyz = pdf["id"].to_numpy(np.int64), pdf[["x", "y", "z"]].to_numpy()
-        s, d, _ = graph._top_k(ids, xyz, ids, xyz, min(6, len(ids) - 1)) if len(ids) > 1 else [np.empty(0, np.int64)] * 3
-        src, dst = np.r_[s, d].astype(np.int64), np.r_[d, s].astype(np.int64)
-        a, b = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0])
-        seed, node, frame = traverse.expand(src, dst, [a, b])
-        fa, fb = dict(zip(node[seed == a], frame[seed == a])), dict(zip(node[seed == b], frame[seed == b]))
-        if b not in fa:
-            return pd.DataFrame([[key[0], -1, "PIPELINE_FAILURE", "seeds are disconnected"]], columns=["entity", "id", "status", "reason"])
-        hit = [n for n in fa if n in fb and fa[n] + fb[n] <= fa[b] + 1 and n not in (a, b)]
-        if not hit:
-            return pd.DataFrame([[key[0], -1, "PIPELINE_FAILURE", "tube is empty"]], columns=["entity", "id", "status", "reason"])
-        return pd.DataFrame({"entity": key[0], "id": hit, "status": "OK", "reason": None})
-
-    tubes = checkpoint(p.join(seeds, "entity").groupBy("entity").applyInPandas(run, "entity int, id long, status string, reason string"))
-    ok = tubes.where("status = 'OK'")
-    ends = seeds
-    for s in "ab":
-        ends = ends.join(p.select(F.col("id").alias(s), *[F.col(c).alias(f"{s}{c}") for c in "xyz"]), s)
-    cyl = evaluate.cylinder(p, ends, ok.groupBy("entity").agg(F.count(F.lit(1)).alias("m")), ["entity"])
-    truth = p.where("id % 7 = 0").select("entity", F.lit(0).alias("chain"), F.col("id").alias("seq"))
-    f1 = lambda d, n: evaluate.score(evaluate.windowed_hits(d.select("entity", F.lit(0).alias("chain"), F.col("id").alias("seq")), truth.join(ok.select("entity").distinct(), "entity", "left_semi"), 2, ["entity"])).select("entity", F.col("f1").alias(n))
-    scores = f1(ok, "f1_tube").join(f1(cyl, "f1_cylinder"), "entity")
-    status = tubes.groupBy("entity").agg(F.max("status").alias("status"), F.max("reason").alias("reason"), F.count_if(F.col("status") == "OK").alias("m"))
-    out = status.join(scores, "entity", "left")
-    return out.select("entity", "status", "reason", "m", *[F.round(c, 6).alias(c) for c in ("f1_tube", "f1_cylinder")], F.round(F.col("f1_tube") - F.col("f1_cylinder"), 6).alias("delta"))
+    """Per system a whole run: radius graph, seeds with their check, tube and cylinder, both scores."""
+    return _systems(spark, sf).withColumns({c: F.round(c, 6) for c in SCORES})
 
 
-@query()
+@query(f"""WITH RECURSIVE {SYSTEMS}, c AS (SELECT count(*) AS n, median(delta) AS m, count(*) FILTER (WHERE delta > 0) AS wins FROM ou WHERE reason IS NULL), w AS (SELECT *, 100.0 * wins / n AS win_pct FROM c)
+SELECT n, round(m, 6) AS median_delta, wins, n - wins AS losses, round(CAST(win_pct AS DOUBLE), 6) AS win_pct, CASE WHEN m >= 0.05 AND win_pct >= 70 THEN 'ESTABLISH' WHEN m <= 0.01 OR 100 - win_pct >= 50 THEN 'REJECT' ELSE 'INCONCLUSIVE' END AS verdict FROM w""")
 def system_cohort_verdict(spark, sf):
-    return evaluate.cohort(system_cohort(spark, sf)).withColumns({c: F.round(c, 6) for c in ("median_delta", "win_pct")})
+    return evaluate.cohort(_systems(spark, sf)).withColumns({c: F.round(c, 6) for c in ("median_delta", "win_pct")})

@@ -29,8 +29,31 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:
-    """By ending: .mtx is Matrix Market, anything else an edge list."""
-    return matrix_market(spark, path) if path.endswith(".mtx") else snap_edges(spark, path)
+    """(src, dst) of a file, or of the graph in a folder: the first Matrix Market file there or one folder down, else an edge list.
+
+    In a folder files are told by .mtx, and .txt, .el, .tsv or .edges, each with .gz or without; a file that ends
+    otherwise is an edge list. Raises ValueError where there is none.
+    """
+    if (kind := _kind(path)) is not None:
+        return matrix_market(spark, path) if kind == 0 else snap_edges(spark, path)
+    if _files(spark, path):
+        return snap_edges(spark, path)
+    found = _files(spark, f"{path}/*") + _files(spark, f"{path}/*/*")
+    named = sorted((_kind(f), f) for f in found if _kind(f) is not None)
+    if not named:
+        raise ValueError(f"no graph file under {path}")
+    return read_edges(spark, named[0][1])
+
+
+def _files(spark: SparkSession, pattern: str) -> list[str]:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    listed = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return [f.getPath().toString() for f in listed or [] if f.isFile()]
+
+
+def _kind(path: str) -> int | None:
+    name = path.removesuffix(".gz")
+    return 0 if name.endswith(".mtx") else 1 if name.endswith((".txt", ".el", ".tsv", ".edges")) else None
 
 
 def n_nodes(edges: DataFrame) -> DataFrame:

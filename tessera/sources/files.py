@@ -13,6 +13,37 @@ def file_lengths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
 
 
+def csr_size(spark: SparkSession, folder: str) -> DataFrame:
+    """One row: n_nodes from the size of ``offsets.bin``, and n_entries of ``indices.bin``, from metadata only.
+
+    Raises ValueError where a file is missing, the offsets are no whole number of entries or too few, or
+    ``states.bin`` isn't one byte a node.
+    """
+    sizes = {r.name: r.length for r in file_lengths(spark, folder).where(F.col("name").isin(*CSR_FILES)).collect()}
+    if missing := [f for f in CSR_FILES if f not in sizes]:
+        raise ValueError(f"missing in {folder}: {missing}")
+    n = sizes["offsets.bin"] // 4 - 1
+    if sizes["offsets.bin"] % 4 or n < 1 or sizes["indices.bin"] % 4 or sizes["states.bin"] != n:
+        raise ValueError(f"sizes don't fit together: {sizes}")
+    return spark.createDataFrame([(n, sizes["indices.bin"] // 4)], "n_nodes long, n_entries long")
+
+
+CSR_FILES = ("states.bin", "offsets.bin", "indices.bin")
+
+
+def _csr(spark: SparkSession, folder: str, names: tuple, decode, schema: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
+    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "content").where(F.col("name").isin(*names))
+    return files.groupBy("folder").applyInPandas(decode, schema)
+
+
+def _offsets(held: dict) -> np.ndarray:
+    raw = held.get("offsets.bin", b"")
+    if len(raw) % 4 or len(raw) < 8:
+        raise ValueError("offsets.bin is missing or too small")
+    return np.frombuffer(raw, "<i4").astype(np.int64)
+
+
 def csr_binary(spark: SparkSession, folder: str) -> DataFrame:
     """(src, dst) of ``offsets.bin`` and ``indices.bin`` (int32, little-endian) in ``folder``.
 
@@ -20,14 +51,46 @@ def csr_binary(spark: SparkSession, folder: str) -> DataFrame:
     """
     def decode(key, pdf: pd.DataFrame) -> pd.DataFrame:
         held = dict(zip(pdf["name"], pdf["content"]))
-        offsets, indices = (np.frombuffer(held[n], "<i4").astype(np.int64) for n in ("offsets.bin", "indices.bin"))
-        if len(held["offsets.bin"]) % 4 or not len(offsets) or offsets[-1] != len(indices) or not len(indices):
+        offsets, indices = _offsets(held), np.frombuffer(held.get("indices.bin", b""), "<i4").astype(np.int64)
+        if offsets[-1] != len(indices) or not len(indices):
             raise ValueError("offsets and indices don't fit together")
         return pd.DataFrame({"src": np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), "dst": indices})
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "content").where(F.col("name").isin("offsets.bin", "indices.bin"))
-    return files.groupBy("folder").applyInPandas(decode, "src long, dst long")
+    return _csr(spark, folder, ("offsets.bin", "indices.bin"), decode, "src long, dst long")
+
+
+def csr_nodes(spark: SparkSession, folder: str) -> DataFrame:
+    """(id, state, degree) of ``states.bin`` (int8) and ``offsets.bin``; fails unless there is one state a node.
+
+    ``points.seed_by_state`` finds the seed of a walk among them.
+    """
+    def decode(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        held = dict(zip(pdf["name"], pdf["content"]))
+        offsets, states = _offsets(held), np.frombuffer(held.get("states.bin", b""), np.int8)
+        if len(states) != len(offsets) - 1:
+            raise ValueError(f"{len(states)} states for {len(offsets) - 1} nodes")
+        return pd.DataFrame({"id": np.arange(len(states)), "state": states.astype(np.int32), "degree": np.diff(offsets)})
+
+    return _csr(spark, folder, ("offsets.bin", "states.bin"), decode, "id long, state int, degree long")
+
+
+def walk_document(spark: SparkSession, path: str) -> DataFrame:
+    """Residues of a walk document, one row each: arrival from both seeds (-1 where not reached) and displacement."""
+    residue = "struct<resid:int,ffA:int,ffB:int,disp:double>"
+    schema = f"pdb string, seed_A_resid int, seed_B_resid int, n int, walk_A_depth int, walk_B_depth int, disp_max double, residues array<{residue}>"
+    return spark.read.schema(schema).json(path, multiLine=True).select("pdb", "seed_A_resid", "seed_B_resid", "n", "walk_A_depth", "walk_B_depth", "disp_max", F.explode("residues").alias("r")).select("pdb", "seed_A_resid", "seed_B_resid", "n", "walk_A_depth", "walk_B_depth", "disp_max", "r.*")
+
+
+PAIR_RESULT = (
+    "id string, status string, reason string, n_matched int, n_edges_A int, n_edges_B int, n_components_A int, n_components_B int, lambda_2_A double, lambda_2_B double, "
+    "hinge_seed_index int, total_snap_count int, reached_count int, rho_snap_vs_disp double, rho_euclid_vs_disp double, delta_rho double, tm_score double, rmsd_kabsch_A double"
+)
+
+
+def pair_results(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a result document of pair runs (``{"note": ..., "rows": [...]}``); fields that a failure lacks are null."""
+    fields = ",".join(f"{n}:{t}" for n, t in (f.split() for f in PAIR_RESULT.split(", ")))
+    return spark.read.schema(f"note string, rows array<struct<{fields}>>").json(path, multiLine=True).select("note", F.explode("rows").alias("r")).select("note", "r.*")
 
 
 def residue_index(spark: SparkSession, path: str) -> DataFrame:

@@ -50,8 +50,10 @@ def export_csr(nodes: DataFrame, edges: DataFrame, folder: str, seed: int | None
     states.tofile(f"{folder}/states.bin")
 
 
-def markdown(rows: DataFrame, title: str, most: int = 200) -> str:
-    """A small table as Markdown."""
-    head = rows.limit(most).collect()
+def markdown(rows: DataFrame, title: str, most: int = 10_000) -> str:
+    """A table as Markdown, with every row; raises ValueError where there are more than ``most``."""
+    head = rows.limit(most + 1).collect()
+    if len(head) > most:
+        raise ValueError(f"more than {most} rows; a report has {most} at most")
     lines = [f"# {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
     return "\n".join([*lines, *["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in head], ""])

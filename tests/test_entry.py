@@ -28,3 +28,15 @@ def test_queries_equal_their_sql(spark, name):
     names = sorted(got.columns)
     want = con.sql(entry.oracle_sql()[name]).df()[names]
     assert sorted(want.itertuples(index=False, name=None)) == sorted(tuple(r) for r in got.select(*[f"`{n}`" for n in names]).collect())
+
+
+def test_queries_without_optional_packages(monkeypatch):
+    import sys
+
+    whole = set(entry.queries())
+    for name in [m for m in sys.modules if m.startswith("tessera.llm")] + ["corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name, raising=False)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.warns(UserWarning, match="left out"):
+        left = set(entry.queries())
+    assert left <= whole and "knn_graph" in left and "op10_warc" not in left

@@ -1,7 +1,10 @@
 import gzip
+import json
+
+import pytest
 
 from tessera.operators import points
-from tessera.sources import atoms, read_edges, residue_index, snap_edges
+from tessera.sources import atoms, csr_nodes, csr_size, pair_results, read_edges, residue_index, snap_edges, walk_document
 from tessera.sources.edges import n_nodes
 from tessera.sources.sinks import markdown, write_document, write_frames, write_graph, write_ledger
 from tessera.sources.structure import parse
@@ -77,3 +80,55 @@ def test_sinks_round_trip(spark, tmp_path):
     write_document(f, str(tmp_path / "d"))
     assert spark.read.parquet(str(tmp_path / "f")).count() == spark.read.json(str(tmp_path / "l")).count() == spark.read.json(str(tmp_path / "d")).count() == 2
     assert markdown(f, "T").startswith("# T\n\n| id | frame |\n|---|---|\n| ")
+
+
+def test_reports_are_whole_or_refused(spark):
+    assert markdown(spark.range(300), "T").count("\n| ") == 301
+    with pytest.raises(ValueError, match="more than 5 rows"):
+        markdown(spark.range(6), "T", 5)
+
+
+def test_graphs_are_found_in_folders(spark, tmp_path):
+    (tmp_path / "g").mkdir()
+    with pytest.raises(ValueError, match="no graph file"):
+        read_edges(spark, str(tmp_path))
+    (tmp_path / "g.txt").write_text("7 8\n")
+    assert [tuple(r) for r in read_edges(spark, str(tmp_path)).collect()] == [(7, 8)]
+    (tmp_path / "g" / "g.mtx").write_text("%%MatrixMarket\n3 3 1\n1 2\n")
+    assert [tuple(r) for r in read_edges(spark, str(tmp_path)).collect()] == [(0, 1)]
+
+
+def test_graph_folders_with_states(spark, tmp_path):
+    from tessera.sources.sinks import export_csr
+
+    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2), (2, 1)], "src long, dst long")
+    export_csr(spark.range(4), e, str(tmp_path), seed=2)
+    nodes = csr_nodes(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in nodes.collect()) == [(0, 0, 1), (1, 0, 2), (2, 1, 1), (3, 0, 0)]
+    assert points.seed_by_state(nodes).first().id == 2
+    assert tuple(csr_size(spark, str(tmp_path)).first()) == (4, 4)
+    (tmp_path / "states.bin").write_bytes(b"\0\0")
+    with pytest.raises(ValueError, match="fit together"):
+        csr_size(spark, str(tmp_path))
+    with pytest.raises(Exception, match="2 states for 4 nodes"):
+        csr_nodes(spark, str(tmp_path)).collect()
+    (tmp_path / "states.bin").unlink()
+    with pytest.raises(ValueError, match="missing"):
+        csr_size(spark, str(tmp_path))
+
+
+def test_atom_selection_falls_back_only_if_empty(spark):
+    rows = [("CA", "GLY", i) for i in range(3)] + [("P", "U", i) for i in range(9)] + [("CA", "CA", 99)]
+    a = spark.createDataFrame(rows, "atom string, residue string, position long")
+    assert points.select_atoms(a, 3).count() == 3
+    assert points.select_atoms(a.where("residue <> 'GLY'"), 10).count() == 10
+    with pytest.raises(ValueError, match="3 atoms"):
+        points.select_atoms(a)
+
+
+def test_walk_and_result_documents(spark, tmp_path):
+    (tmp_path / "w.json").write_text(json.dumps({"pdb": "4AKE", "n": 2, "disp_max": 3.5, "residues": [{"resid": 1, "ffA": 0, "ffB": -1, "disp": 0.5}, {"resid": 2, "ffA": 1, "ffB": 2, "disp": None}]}, indent=1))
+    got = walk_document(spark, str(tmp_path / "w.json")).collect()
+    assert [(r.pdb, r.resid, r.ffA, r.ffB, r.disp) for r in got] == [("4AKE", 1, 0, -1, 0.5), ("4AKE", 2, 1, 2, None)]
+    (tmp_path / "p.json").write_text(json.dumps({"note": "x", "rows": [{"id": "a", "status": "OK", "total_snap_count": 4, "tm_score": 0.5}, {"id": "b", "status": "PIPELINE_FAILURE", "reason": "too few atoms"}]}))
+    assert [(r.id, r.status, r.reason, r.total_snap_count) for r in pair_results(spark, str(tmp_path / "p.json")).collect()] == [("a", "OK", None, 4), ("b", "PIPELINE_FAILURE", "too few atoms", None)]

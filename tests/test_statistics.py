@@ -107,7 +107,80 @@ def test_assignments(spark):
     rows = [("a", "x", 1.0), ("a", "y", 0.5), ("b", "x", 0.6), ("b", "y", 1.0)]
     got = align.assign_two(spark.createDataFrame(rows, "ga string, gb string, rmsd double")).collect()
     assert {(r.ga, r.gb, r.working) for r in got} == {("a", "y", True), ("b", "x", False)}
-    assert align.assign_greedy(rows) == [("a", "y", 0.5), ("b", "x", 0.6)]
+
+
+def test_greedy_assignment_goes_through_the_first_side_in_order(spark):
+    rows = [("k", "a1", "x", 0.5), ("k", "a1", "y", 0.6), ("k", "a2", "x", 0.1), ("k", "a2", "y", 0.9), ("k", "a3", "z", 999.0), ("l", "a2", "x", 0.1), ("l", "a1", "z", 3.0), ("l", "a1", "y", 3.0)]
+    got = align.assign_greedy(spark.createDataFrame(rows, "key string, ga string, gb string, rmsd double"), ["key"]).collect()
+    assert {tuple(r) for r in got} == {("k", "a1", "x", 0.5), ("k", "a2", "y", 0.9), ("l", "a2", "x", 0.1), ("l", "a1", "y", 3.0)}
+
+
+def test_entities_without_codes_meet_nothing(spark):
+    a = spark.createDataFrame([("e1", []), ("e2", ["A"])], "entity string, seq array<string>")
+    b = spark.createDataFrame([("f1", ["A", "B"]), ("f2", []), ("f3", ["B"])], "entity string, seq array<string>")
+    assert [tuple(r) for r in align.entity_match(a, b).collect()] == [("e2", "f1", 0)]
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_entity_matching_equals_the_plain_greedy_choice(spark, seed):
+    r = random.Random(seed)
+    own = ["".join(r.choice("AB") for _ in range(r.randint(1, 14))) for _ in range(12)]
+    say = lambda: list(r.choice(own)[: r.randint(1, 14)])
+    a, b = ([(i * 3 + side, say()) for i in range(60)] for side in (0, 1))
+    used, want = set(), []
+    for ea, s in sorted(a):
+        best = None
+        for by in (0, -1, 1, -2, 2):
+            for eb, t in sorted(b):
+                if len(t) == len(s) + by and eb not in used:
+                    m = sum(x != y for x, y in zip(s, t))
+                    if best is None or m < best[1]:
+                        best = (eb, m)
+        if best is not None and best[1] <= max(8, len(s) // 5):
+            used.add(best[0])
+            want.append((ea, *best))
+    table = lambda rows: spark.createDataFrame(rows, "entity long, seq array<string>")
+    assert sorted(tuple(x) for x in align.entity_match(table(a), table(b)).collect()) == want
+
+
+def test_nan_is_left_out_of_summaries(spark):
+    d = spark.createDataFrame([(1.0,), (float("nan"),), (3.0,), (None,)], "v double")
+    assert stats.describe(d, "v").first().asDict() == {"n": 2, "mean": 2.0, "median": 2.0, "p90": 2.8, "p95": 2.9, "p99": 2.98, "max": 3.0}
+
+
+def test_quantiles_by_key_equal_numpy(spark):
+    r = random.Random(4)
+    rows = [(k, float(r.randint(0, 9))) for k in ("a", None, "b") for _ in range(r.randint(1, 40))] + [("none", None)]
+    got = {x.k: x for x in stats.describe(spark.createDataFrame(rows, "k string, v double"), "v", ["k"]).collect()}
+    for k in ("a", None, "b"):
+        v = [x for j, x in rows if j == k]
+        assert got[k].n == len(v) and all(math.isclose(got[k][n], np.percentile(v, q)) for n, q in (("median", 50), ("p90", 90), ("p95", 95), ("p99", 99)))
+    assert got["none"].n == 0 and got["none"].median is None
+    assert stats.quantiles(spark.createDataFrame([], "v double"), "v", {"q": 0.5}).first().q is None
+
+
+def test_no_single_partition_in_the_plans(spark):
+    rows = spark.range(1000).selectExpr("id", "cast(id as double) as x", "cast(id % 7 as double) as y", "cast(0 as double) as z")
+    ends = spark.createDataFrame([(0, 0.0, 0.0, 0.0, 9, 9.0, 2.0, 0.0)], "a long, ax double, ay double, az double, b long, bx double, by double, bz double")
+    plan = evaluate.cylinder(rows, ends, spark.createDataFrame([(5,)], "m int"))._jdf.queryExecution().toString()
+    assert "TakeOrderedAndProject" in plan and "Window" not in plan
+
+
+def test_correlation_ladder(spark):
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([(0.3,), (-0.31,), (0.15,), (-0.2,), (0.149,), (None,)], "rho double")
+    assert [x[0] for x in d.select(evaluate.correlation_verdict(F.col("rho"))).collect()] == ["SIGNAL", "SIGNAL", "WEAK SIGNAL", "WEAK SIGNAL", "NO SIGNAL", None]
+
+
+def test_all_pairs_are_bounded(spark, monkeypatch):
+    t = spark.createDataFrame([(k, g, 0.1 * k, 0.2 * k * k, 0.3) for g in "mnop" for k in range(8)], "key int, `group` string, x double, y double, z double")
+    far = t.withColumn("key", t["key"] + 100)
+    assert align.all_pairs_rmsd(t, far, ["key"], least=5).count() == 16
+    assert align.all_pairs_rmsd(t, far, ["key"], least=5, every=False).count() == 0
+    monkeypatch.setattr(align, "MOST_PAIRS", 15)
+    with pytest.raises(ValueError, match="pairs of groups"):
+        align.all_pairs_rmsd(t, far, ["key"], least=5)
 
 
 def test_all_pairs_rmsd_needs_shared_keys(spark):

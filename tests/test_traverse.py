@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera.operators import graph, traverse
@@ -52,6 +54,39 @@ def test_directed_graph(spark, plan):
     assert frames(traverse.bfs(e, 0, plan=plan, symmetric=False)) == {0: 0, 1: 1, 2: 2, 3: 3}
 
 
+@pytest.mark.parametrize("plan", ["kernel", "loop"])
+def test_directed_rings_end(spark, plan):
+    e = spark.createDataFrame([(i, (i + 1) % 5) for i in range(5)], "src long, dst long")
+    assert frames(traverse.bfs(e, 0, plan=plan)) == frames(traverse.bfs(e, 0, plan=plan, most=12)) == {i: i for i in range(5)}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_both_plans_agree_on_directed_graphs(spark, seed):
+    r = random.Random(seed)
+    e = spark.createDataFrame([(r.randrange(30), r.randrange(30)) for _ in range(45)], "src long, dst long")
+    for most in (None, 2):
+        kernel, loop = (frames(traverse.bfs(e, 3, plan=p, most=most)) for p in ("kernel", "loop"))
+        assert kernel == loop
+
+
+def test_symmetric_is_checked(spark):
+    e = spark.createDataFrame([(0, 1), (1, 0), (1, 2)], "src long, dst long")
+    for plan in ("kernel", "loop"):
+        with pytest.raises(ValueError, match="way back"):
+            traverse.bfs(e, 0, plan=plan, symmetric=True)
+
+
+@pytest.mark.parametrize("plan", ["kernel", "loop"])
+def test_graphs_by_key_equal_single_ones(spark, plan):
+    r = random.Random(5)
+    rows = [(k, r.randrange(12), r.randrange(12)) for k in "xyz" for _ in range(14)]
+    seeds = [("x", 1), ("x", 4), ("y", 2), ("w", 9), ("z", None)]
+    e = spark.createDataFrame(rows, "k string, src long, dst long")
+    got = traverse.bfs_by_key(e, spark.createDataFrame(seeds, "k string, seed long"), ["k"], plan=plan).collect()
+    want = {(k, s, n, f) for k, s in seeds if s is not None for n, f in frames(traverse.bfs(e.where(e.k == k), s, plan="kernel")).items()}
+    assert {(x.k, x.seed, x.id, x.frame) for x in got} == want and len(got) == len(want)
+
+
 @pytest.mark.parametrize("plan", ["kernel", "loop"])
 def test_k_hop_and_subgraph(spark, plan):
     e = edges(spark, PATH)

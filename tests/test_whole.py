@@ -41,18 +41,18 @@ def _lineitem(tmp_path, rows, names):
     return str(tmp_path)
 
 
-def test_windowed_prf1_whole_takes_all_rows(spark, tmp_path):
+def test_windowed_prf1_takes_all_rows(spark, tmp_path):
     # Order keys that are no multiples of 7 or 11; chains are order keys mod 50.
     rows = [(1, 1, 10), (51, 1, 11), (2, 1, 10), (3, 1, 90), (1, 2, 12), (101, 2, 8), (2, 2, 13), (4, 2, 90)]
     sf = _lineitem(tmp_path, rows, ["l_orderkey", "l_linenumber", "l_partkey"])
     pred, truth = ({(o % 50, x) for o, n, x in rows if n == k} for k in (1, 2))
     hit = lambda a, b: sum(any(c == d and abs(x - y) <= 2 for d, y in b) for c, x in a)
-    got = registry.windowed_prf1_whole(spark, sf).first()
+    got = registry.windowed_prf1(spark, sf).first()
     assert (got.n_pred, got.n_truth, got.pred_hits, got.truth_hits) == (len(pred), len(truth), hit(pred, truth), hit(truth, pred)) == (4, 4, 2, 2)
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{sf}/lineitem.parquet')")
-    assert con.sql(registry.ORACLES["windowed_prf1_whole"]).df()[got.asDict().keys()].iloc[0].tolist() == list(got)
+    assert con.sql(registry.ORACLES["windowed_prf1"]).df()[got.asDict().keys()].iloc[0].tolist() == list(got)
 
 
 def test_all_groups_and_points_are_aligned(spark, tmp_path):
@@ -76,9 +76,9 @@ def test_all_groups_and_points_are_aligned(spark, tmp_path):
     assert two.keys() == ({(0, 0), (1, 1)} if straight < crossed else {(0, 1), (1, 0)}) and all(abs(x - want[k][1]) < 1e-5 for k, x in two.items())
 
 
-def test_key_intersection_whole_takes_all_rows(spark, tmp_path):
+def test_key_intersection_takes_all_rows(spark, tmp_path):
     sf = _lineitem(tmp_path, [(1, 2), (1, 5), (2, 3), (2, 4), (3, 8), (3, 10), (4, 5), (4, 8), (4, 8)], ["l_partkey", "l_suppkey"])
-    assert registry.key_intersection_whole(spark, sf).first().n == 3
+    assert registry.key_intersection(spark, sf).first().n == 3
 
 
 def test_large_systems_get_the_vector_of_the_dense_form(monkeypatch):
