@@ -49,9 +49,48 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Removes the shuffle files of a plan once it has been run.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SAVED: dict[str, list[str]] = {}
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and return the table that was written."""
+    """Write ``df`` as Parquet below the shared folder and return the table that was written.
+
+    The table goes when the driver ends, or by ``drop_saved``; the shuffle files of ``df`` go at once.
+    """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    temporary(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def temporary(spark: SparkSession, path: str) -> None:
+    """Note that ``path`` may go when the driver ends."""
+    at, store = _file_system(spark, path)
+    store.deleteOnExit(at)
+    _SAVED.setdefault(spark.sparkContext.applicationId, []).append(path)
+
+
+def n_saved(spark: SparkSession) -> int:
+    """How many tables this application has saved so far."""
+    return len(_SAVED.get(spark.sparkContext.applicationId, []))
+
+
+def drop_saved(spark: SparkSession, first: int, last: int) -> None:
+    """Remove the tables that were saved as numbers ``first`` to ``last - 1``; nothing may read them any more."""
+    held = _SAVED.get(spark.sparkContext.applicationId, [])
+    for path in held[first:last]:
+        at, store = _file_system(spark, path)
+        store.delete(at, True)

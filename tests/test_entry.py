@@ -40,3 +40,18 @@ def test_queries_without_optional_packages(monkeypatch):
     with pytest.warns(UserWarning, match="left out"):
         left = set(entry.queries())
     assert left <= whole and "knn_graph" in left and "op10_warc" not in left
+
+
+def test_saved_tables_go(spark):
+    from pyspark.errors import AnalysisException
+
+    from tessera.session import CLEANUP, drop_saved, n_saved, saved
+
+    n = n_saved(spark)
+    a, b = saved(spark.range(10).repartition(3), "one"), saved(spark.range(5), "two")
+    assert n_saved(spark) == n + 2 and a.count() == 10 and spark.conf.get(CLEANUP) == "false"
+    drop_saved(spark, n, n + 1)
+    path = a.inputFiles()[0].rsplit("/", 1)[0]
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
+    assert b.count() == 5
