@@ -7,8 +7,8 @@ version line, headers, lengths, record end and digests.
 
 Files go to the shared folder through a file system named by URI, first under a temporary name
 that is then renamed; names hold the attempt, and only the files of attempts that succeeded are
-read, so a task that is lost and run again adds no record twice. Spark's binaryFile source reads
-them back. A file is closed at ``file_bytes``, so each fits one task.
+in the manifest, so a task that is lost and run again adds no record twice. Tasks read the files that
+the manifest, a table, names. A file is closed at ``file_bytes``, so each fits one task.
 
 Defined results: a null html is an empty payload; a null url is written without a target; a null
 page_id ranks lowest. Of equal payloads of at least ``least`` bytes the largest page_id is the
@@ -31,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.text import lean
-from tessera.session import as_uri, checkpoint_root
+from tessera.session import as_uri, checkpoint_root, saved, temporary
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
 FILE_BYTES = 16 << 20
+#: Tasks that read archives.
+MOST_TASKS = 20_000
 DICTIONARY_BYTES, SAMPLES = 64 << 10, 400
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
@@ -185,8 +187,8 @@ def marked(pages: DataFrame, least: int = 0, page_id: str = "page_id", url: str
     return p.join(kept, "key", "left").select("page_id", "url", "html", "keep_id")
 
 
-def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **named) -> list[str]:
-    """Write the archives and return the files' paths (a path for each ``file_bytes`` or task)."""
+def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **named) -> DataFrame:
+    """Write the archives and return their manifest: a saved table of the files' paths (one for each ``file_bytes`` or task)."""
     @lean
     def task(batches):
         from pyarrow import fs
@@ -220,34 +222,42 @@ def write(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES, **named)
         if out:
             yield pa.record_batch([[close()]], names=["path"])
 
-    return [r.path for r in marked(pages, **named).mapInArrow(task, "path string").collect()]
+    # a row stands only for a file of an attempt that succeeded
+    return saved(marked(pages, **named).mapInArrow(task, "path string"), "warc-files")
 
 
-def load(spark, paths: list[str], payloads: bool = False) -> DataFrame:
-    """Records of the archives at ``paths``: page_id, payload_bytes, payload_digest, record_type, refers_to, url (, payload)."""
+def load(files: DataFrame, payloads: bool = False) -> DataFrame:
+    """Records of the archives that the manifest ``files`` names: page_id, payload_bytes, payload_digest, record_type, refers_to, url (, payload)."""
+    kind = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads
+    names = [f.split()[0] for f in kind.split(", ")]
+    schema = pa.schema([pa.field(k, t) for k, t in zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()])])
+
     @lean
     def task(batches):
-        names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", *(["payload"] if payloads else [])]
-        schema = pa.schema([pa.field(k, t) for k, t in zip(names, [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.binary()])])
+        from pyarrow import fs
+
         for b in batches:
-            for i in range(b.num_rows):
+            for path in b.column(0).to_pylist():
+                store, at = fs.FileSystem.from_uri(path)
+                with store.open_input_file(at) as f:
+                    data = f.read()
                 held = []
-                for r in read(b.column(0)[i].as_buffer()):
+                for r in read(data):
                     held.append({k: r[k] for k in names})
                     if len(held) >= 5000 or payloads and len(held) >= 200:
                         yield pa.RecordBatch.from_pylist(held, schema)
                         held = []
                 yield pa.RecordBatch.from_pylist(held, schema)
 
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("content").mapInArrow(task, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string" + ", payload binary" * payloads)
+    # a task for each file, as far as that many tasks make sense
+    tasks = max(1, min(files.count(), MOST_TASKS))
+    return files.select("path").repartition(tasks, "path").mapInArrow(task, kind)
 
 
 def round_trip(pages: DataFrame, least: int = 0, **named) -> DataFrame:
     """Write the archives below the shared folder and read them back."""
     spark = pages.sparkSession
-    root = checkpoint_root(spark)
-    paths = write(pages, f"{as_uri(root)}/tessera/warc-{uuid.uuid4().hex}", least=least, **named)
-    if not paths:
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return load(spark, paths).drop("url")
+    folder = f"{as_uri(checkpoint_root(spark))}/tessera/warc-{uuid.uuid4().hex}"
+    files = write(pages, folder, least=least, **named)
+    temporary(spark, folder)
+    return load(files).drop("url")
