@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import content_sort, decontaminate, mixing, ngram_join, quality
-from tessera.session import saved
+from tessera.session import drop_saved, n_saved, saved
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,8 +58,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written below the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``, each written below the shared folder and read again.
+
+    Once a stage is written, what it saved on the way and its predecessor's table go.
+    """
+    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), n_saved(spark)
     for name, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        last = n_saved(spark) - 1
+        drop_saved(spark, first, last)
+        first = last
     return docs
