@@ -1,20 +1,24 @@
-"""Language-model scoring: a Katz backoff bigram model with Good-Turing discounts.
-
-Tokens are whitespace-separated words in lower case, then one end; the history of the first token is
-a start mark. Counts of words and word pairs come from all learning rows. P(w) is the discounted
-count of w over all, and what the discounts leave goes to one unknown word, so the unigram
-distribution sums to one over the vocabulary and the unknown word. P(w | h) is the discounted count of
-(h, w) over that of h where the pair was seen, else alpha(h) P(w); alpha(h) is what the discounts
-leave over what the unseen words hold, so each history's distribution sums to one as well. A history
-whose counts are all too large to be discounted gets one more in its denominator, which leaves mass.
+"""Language-model scoring: a Katz backoff model of any order with Good-Turing discounts.
+
+Tokens are whitespace-separated words in lower case, then one end; before the first token stands a
+start mark, and histories go back to it at most. Counts of words and n-grams up to the order come from all
+learning rows. P(w) is the discounted count of w over all, and what the discounts leave goes to one
+unknown word, so the unigram distribution sums to one over the vocabulary and the unknown word. P(w | h)
+is the discounted count of (h, w) over that of h where the n-gram was seen, else alpha(h) P(w | h') with
+h' the history without its first token; alpha(h) is what the discounts leave over what the unseen words
+hold, so each history's distribution sums to one at every order. A history that was never seen has
+alpha 1. One whose counts are all too large to be discounted gets one more in its denominator, which
+leaves mass.
 
 Counts and backoff weights are tables partitioned by hash ranges of their keys; blocks of documents
-ask them for what their distinct words, pairs and histories need (see ``exchange``) and score every
-token from the answers: the pair if it was seen, else the word, else the unknown word.
+ask them for what their distinct n-grams and histories need (see ``exchange``). The weights of an order
+need the probabilities of the one below, so they are made order by order. Every token is then scored by
+recursion through the orders.
 
 Defined results: a null or empty text is one end token. Without learning rows every token is the
 unknown word with probability 1, so scores are 0. Discounts that the counts of counts can't give
-(empty or rising) fall back to absolute discounting, ``_discounts``.
+(empty or rising) fall back to absolute discounting, ``_discounts``. Repeated rows count each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +36,9 @@ from tessera.session import saved
 K = 5
 #: Hashes of the end and the start mark; the start sorts after all tokens.
 END, START = np.uint64(2**64 - 2), np.uint64(2**64 - 1)
-WORD, PAIR, HISTORY, TEXTS = 0, 1, 2, 9
+ORDER = 3
+#: Kinds of messages: n-grams go by their order, histories by that and HISTORY, texts by TEXTS.
+HISTORY, TEXTS = 100, 999
 BLOCK_BYTES = 12 << 20
 
 
@@ -47,8 +53,19 @@ def _discounts(n: list[int]) -> np.ndarray:
     return np.array(out)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct values, a place of each, and the number of the value at every place."""
+    order = np.argsort(h)
+    s = h[order]
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    back = np.empty(len(h), np.int32)
+    back[order] = np.cumsum(new, dtype=np.int32) - 1
+    return s[new], order[new], back
+
+
 class Block:
-    """Numbered tokens of a block of documents; the start mark is the last number and no token."""
+    """Tokens of a block of documents by number, and its distinct n-grams by order."""
 
     def __init__(self, texts: list[str | None], held: list[bool]):
         tokens, n = token_hashes(texts)
@@ -57,38 +74,59 @@ class Block:
         inner = np.ones(len(flat), bool)
         inner[np.cumsum(self.sizes) - 1] = False
         flat[inner] = tokens
-        self.keys, words = np.unique(flat, return_inverse=True)
-        self._finish(words, np.array(held, bool))
+        keys, some, words = _distinct(flat)
+        self._finish(keys, some, words, np.array(held, bool))
 
-    def _finish(self, words: np.ndarray, held: np.ndarray) -> None:
-        self.words, self.text_held = words, held
-        self.hash = np.r_[self.keys, START]
-        self.histories = np.empty_like(words)
-        self.histories[1:] = words[:-1]
-        self.histories[np.cumsum(self.sizes) - self.sizes] = len(self.keys)
-        self.held = np.repeat(held, self.sizes)
+    def _finish(self, keys: np.ndarray, some: np.ndarray | None, words: np.ndarray, held: np.ndarray) -> None:
+        self.text_held, self.held = held, np.repeat(held, self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(words), dtype=np.int32) - np.repeat(self.first, self.sizes).astype(np.int32)
+        #: By order: distinct hashes, a token of each, the number at every token (-1 where the history would pass the start).
+        self.grams = {1: (keys, some, words)}
+        self.last = self.hash = keys[words]
 
     def columns(self) -> dict:
-        return {"words": self.words, "sizes": self.sizes, "held": self.text_held.astype(np.uint8), "sorted": self.keys}
+        keys, _, words = self.grams[1]
+        return {"words": words, "sizes": self.sizes, "held": self.text_held.astype(np.uint8), "sorted": keys}
 
     @classmethod
     def load(cls, x: dict) -> Block:
         b = cls.__new__(cls)
-        b.keys, b.sizes = x["sorted"], x["sizes"].astype(np.int64)
-        b._finish(x["words"].astype(np.int64), x["held"].astype(bool))
+        b.sizes = x["sizes"].astype(np.int64)
+        b._finish(x["sorted"], None, x["words"].astype(np.int32), x["held"].astype(bool))
         return b
 
-    def pairs(self):
-        """Sorted hashes of the distinct pairs, where each stands first, and the pair at every token."""
-        return np.unique(mix64(self.hash[self.histories] * np.uint64(0x9E3779B97F4A7C15) + self.hash[self.words]), return_index=True, return_inverse=True)
+    def order(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The n-grams of order ``m``: the tokens whose history reaches back m - 1 places, the start mark included."""
+        if m not in self.grams:
+            self.order(m - 1)
+            before = np.empty_like(self.last)
+            before[1:] = self.last[:-1]
+            if m == 2:
+                before[self.first] = START
+            self.last = mix64(before * np.uint64(0x9E3779B97F4A7C15) + self.hash)
+            own = np.flatnonzero(self.place >= m - 2)
+            keys, some, back = _distinct(self.last[own])
+            at = np.full(len(self.last), -1, np.int32)
+            at[own] = back
+            self.grams[m] = keys, own[some], at
+        return self.grams[m]
+
+    def histories(self, m: int) -> np.ndarray:
+        """Number of each token's history among the n-grams of order m - 1; the start mark comes after all words."""
+        keys, _, at = self.grams[m - 1]
+        out = np.empty_like(at)
+        out[1:] = at[:-1]
+        out[self.first] = len(keys) if m == 2 else -1
+        return out
 
 
 def _count(group: pa.Table) -> pa.Table:
-    """Counts of the keys of a bucket, back to every block; the first block that learns a pair owns it."""
+    """Counts of the keys of a bucket, back to every block; the first block that learns an n-gram owns it."""
     parts = list(received(group))
     keys = np.concatenate([x["sorted"] for *_, x in parts])
     n = np.concatenate([x["n"] for *_, x in parts]).astype(np.int64)
-    u, back = np.unique(keys, return_inverse=True)
+    u, _, back = _distinct(keys)
     total = np.bincount(back, weights=n, minlength=len(u)).astype(np.int64)
     seen = np.flatnonzero(n > 0)[::-1]
     owner = np.zeros(len(n), bool)
@@ -106,126 +144,165 @@ def _count(group: pa.Table) -> pa.Table:
     return table(rows)
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    buckets = n_buckets(docs)
-    src = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"), F.coalesce(held_out, F.lit(False)).alias("h"), F.spark_partition_id().alias("p"))
+def _weigh(group: pa.Table) -> pa.Table:
+    """Backoff weights of a bucket's histories: whether the denominator has one more, and alpha where it is asked for."""
+    parts = list(received(group))
+    column = lambda c: np.concatenate([x[c] for *_, x in parts])
+    u, _, back = _distinct(column("sorted"))
+    n = np.zeros(len(u))
+    n[back] = column("n")  # the same in every block
+    kept, held = (np.bincount(back, weights=column(c), minlength=len(u)) for c in ("kept", "held"))
+    more = n - kept <= 1e-9 * np.maximum(n, 1)
+    full = n + more
+    alpha = (full - kept) / np.maximum(full, 1) / np.maximum(1 - held, 1e-300)
+    rows, lo = [], 0
+    for kind, bucket, block, x in parts:
+        own = back[lo : lo + len(x["sorted"])]
+        rows.append((kind, bucket, block, pack({"more": more[own].astype(np.uint8), "alpha": alpha[own[x["need"].astype(bool)]]})))
+        lo += len(own)
+    return table(rows)
 
-    @lean
 
+class Model:
+    """Discounts by order, and the sizes that the unigram distribution needs."""
+
+    def __init__(self, of: dict[int, list[int]], total: int, kinds: int, starts: int):
+        self.total, self.kinds, self.starts = total, kinds, starts
+        self.discounts = {m: _discounts(x) for m, x in of.items()}
+        small = sum(r * of[1][r] for r in range(1, K + 1))
+        kept = sum(self.discounts[1][r] * r * of[1][r] for r in range(1, K + 1)) + total - small
+        self.whole = total if total - kept > 1e-9 * max(1, total) else total + 1
+        self.unknown = (self.whole - kept) / self.whole if total else 1.0
+
+    def discounted(self, n: np.ndarray, m: int) -> np.ndarray:
+        return n * np.where(n <= K, self.discounts[m][np.minimum(n, K)], 1.0)
+
+    def words(self, n: np.ndarray) -> np.ndarray:
+        return np.where(n > 0, self.discounted(n, 1) / max(1, self.whole), self.unknown)
+
+
+class Opened:
+    """A block with the answers it got, and the probabilities of its tokens by recursion through the orders."""
+
+    def __init__(self, group: pa.Table, model: Model):
+        self.parts, self.model = list(received(group)), model
+        self.texts = next(x for k, _, _, x in self.parts if k == TEXTS)
+        self.block, self.held = Block.load(self.texts), {}
+
+    def counts(self, m: int) -> np.ndarray:
+        """Counts of the block's n-grams of order ``m``; of the words, then of the start mark."""
+        if m not in self.held:
+            n = answers(self.parts, m)["n"].astype(np.int64)
+            self.held[m] = np.r_[n, self.model.starts] if m == 1 else n
+        return self.held[m]
+
+    def asked(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the seen histories of order ``m`` in the block, and which of them have an unseen token."""
+        _, _, at = self.block.order(m)
+        h, n = self.block.histories(m), self.counts(m - 1)
+        own = np.flatnonzero(at >= 0)
+        there, need = np.zeros(len(n), bool), np.zeros(len(n), bool)
+        there[h[own]] = True
+        there &= n > 0
+        need[h[own[self.counts(m)[at[own]] == 0]]] = True
+        asked = np.flatnonzero(there)
+        return asked, need[asked]
+
+    def probabilities(self, m: int) -> np.ndarray:
+        """P of every token with the histories of order ``m``."""
+        if m == 1:
+            return self.model.words(self.counts(1)[self.block.grams[1][2]])
+        p = self.probabilities(m - 1)
+        _, _, at = self.block.order(m)
+        asked, need = self.asked(m)
+        got = answers(self.parts, HISTORY + m)
+        n = self.counts(m - 1)
+        full, alpha = n.astype(float), np.ones(len(n))
+        if len(asked):
+            full[asked] += got["more"]
+            alpha[asked[need]] = got["alpha"]
+        own = np.flatnonzero(at >= 0)
+        h, r = self.block.histories(m)[own], self.counts(m)[at[own]]
+        p[own] = np.where(r > 0, self.model.discounted(r, m) / np.maximum(full[h], 1), alpha[h] * p[own])
+        return p
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "doc_id", order: int = ORDER) -> DataFrame:
+    """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; n-grams have up to ``order`` tokens."""
+    if order < 1:
+        raise ValueError("the order is 1 at least")
+    buckets, orders = n_buckets(docs), range(1, order + 1)
+    held_out = F.coalesce(held_out, F.lit(False))
+    src = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"), held_out.alias("h"), F.spark_partition_id().alias("p"))
+
+    @lean
     def ask(batches):
         for block, (_, texts, held) in blocks(batches, 1, BLOCK_BYTES):
             b = Block(texts, held)
-            rows = list(send(WORD, block, buckets, b.keys, n=np.bincount(b.words[~b.held], minlength=len(b.keys))))
-            # the starts of learning texts are counted as a history, not as a token
-            starts = int((~b.text_held).sum())
-            keys, _, at = b.pairs()
-            rows += send(PAIR, block, buckets, keys, n=np.bincount(at[~b.held], minlength=len(keys)))
-            rows.append((TEXTS, -1, block, pack({"starts": np.array([starts])})))
-            yield message(rows)
-
-    @lean
-
-    def tally(group: pa.Table) -> pa.Table:
-        if group.column("kind")[0].as_py() != TEXTS:
-            return _count(group)
-        return table([(TEXTS, -1, -1, pack({"starts": np.array([sum(int(x["starts"][0]) for *_, x in received(group))])}))])
-
-    counts = saved(src.mapInArrow(ask, MESSAGE).groupBy("kind", "bucket").applyInArrow(tally, MESSAGE), "lm-counts")
-    of, total, kinds, starts = {WORD: [0] * (K + 3), PAIR: [0] * (K + 3)}, 0, 0, 0
-    for r in counts.where("block = -1").toLocalIterator():  # three numbers a bucket
+            for m in orders:
+                keys, _, at = b.order(m)
+                learnt = at[~b.held & (at >= 0)]
+                yield message(list(send(m, block, buckets, keys, n=np.bincount(learnt, minlength=len(keys)))))
+
+    counts = saved(src.mapInArrow(ask, MESSAGE).groupBy("kind", "bucket").applyInArrow(lean(_count), MESSAGE), "lm-counts")
+    # every learning text is counted as a history by its start
+    starts = docs.where(~held_out).count()
+    of, total, kinds = {m: [0] * (K + 3) for m in orders}, 0, 0
+    for r in counts.where("block = -1").toLocalIterator():  # a few numbers a bucket
         x = unpack(bytes(r.payload))
-        if r.kind == TEXTS:
-            starts += int(x["starts"][0])
-            continue
         of[r.kind] = [a + int(b) for a, b in zip(of[r.kind], x["of"])]
-        if r.kind == WORD:
+        if r.kind == 1:
             total, kinds = total + int(x["sum"][0]), kinds + int(x["sum"][1])
-    d_word, d_pair = _discounts(of[WORD]), _discounts(of[PAIR])
-    kept = sum(d_word[r] * r * of[WORD][r] for r in range(1, K + 1)) + (total - sum(r * of[WORD][r] for r in range(1, K + 1)))
-    whole = total if total - kept > 1e-9 * max(1, total) else total + 1
-    unknown = (whole - kept) / whole if total else 1.0
-
-    def discounted(n: np.ndarray, d: np.ndarray) -> np.ndarray:
-        return n * np.where(n <= K, d[np.minimum(n, K)], 1.0)
-
-    def word_probability(n: np.ndarray) -> np.ndarray:
-        return np.where(n > 0, discounted(n, d_word) / max(1, whole), unknown)
+    model = Model(of, total, kinds, starts)
 
     @lean
-
     def texts(batches):
         for block, (ids, t, held) in blocks(batches, 1, BLOCK_BYTES):
-            b = Block(t, held)
             null = np.array([i is None for i in ids], np.uint8)
-            yield message([(TEXTS, 0, block, pack(b.columns() | {"null": null, "id": np.array([i or 0 for i in ids], np.int64)}))])
-
-    def opened(group: pa.Table):
-        parts = list(received(group))
-        x = next(x for k, _, _, x in parts if k == TEXTS)
-        b = Block.load(x)
-        return parts, x, b, np.r_[answers(parts, WORD)["n"].astype(np.int64), starts]
-
-    @lean
-
-    def gather(group: pa.Table) -> pa.Table:
-        parts, _, b, n = opened(group)
-        _, first, _ = b.pairs()
-        got = answers(parts, PAIR)
-        own = got["own"].astype(bool)
-        h, w, r = b.histories[first][own], b.words[first][own], got["n"][own].astype(np.int64)
-        asked = np.unique(b.histories)
-        kept = np.bincount(h, weights=discounted(r, d_pair), minlength=len(n))[asked]
-        held = np.bincount(h, weights=word_probability(n[w]), minlength=len(n))[asked]
-        return table(list(send(HISTORY, group.column("block")[0].as_py(), buckets, b.hash[asked], n=n[asked], kept=kept, held=held)))
-
-    @lean
-
-    def weigh(group: pa.Table) -> pa.Table:
-        """Backoff weights of a bucket's histories; negative where the denominator has one more."""
-        parts = list(received(group))
-        u, back = np.unique(np.concatenate([x["sorted"] for *_, x in parts]), return_inverse=True)
-        n = np.zeros(len(u))
-        np.maximum.at(n, back, np.concatenate([x["n"] for *_, x in parts]).astype(float))
-        kept = np.bincount(back, weights=np.concatenate([x["kept"] for *_, x in parts]), minlength=len(u))
-        held = np.bincount(back, weights=np.concatenate([x["held"] for *_, x in parts]), minlength=len(u))
-        more = n - kept <= 1e-9 * np.maximum(n, 1)
-        full = np.where(more, n + 1, n)
-        alpha = np.where(n > 0, (full - kept) / np.maximum(full, 1) / np.maximum(1 - held, 1e-300), 1.0)
-        alpha = np.where(more & (n > 0), -alpha, alpha)
-        rows, lo = [], 0
-        for kind, bucket, block, x in parts:
-            hi = lo + len(x["sorted"])
-            rows.append((kind, bucket, block, pack({"alpha": alpha[back[lo:hi]]})))
-            lo = hi
-        return table(rows)
+            yield message([(TEXTS, 0, block, pack(Block(t, held).columns() | {"null": null, "id": np.array([i or 0 for i in ids], np.int64)}))])
+
+    def gatherer(m: int):
+        @lean
+        def gather(group: pa.Table) -> pa.Table:
+            o = Opened(group, model)
+            p = o.probabilities(m - 1)
+            _, some, _ = o.block.order(m)
+            got = answers(o.parts, m)
+            own = got["own"].astype(bool)
+            first, r = some[own], got["n"][own].astype(np.int64)
+            n, h = o.counts(m - 1), o.block.histories(m)[first]
+            asked, need = o.asked(m)
+            kept = np.bincount(h, weights=model.discounted(r, m), minlength=len(n))[asked]
+            held = np.bincount(h, weights=p[first], minlength=len(n))[asked]
+            keys = o.block.grams[m - 1][0]
+            keys = np.r_[keys, START] if m == 2 else keys
+            return table(list(send(HISTORY + m, group.column("block")[0].as_py(), buckets, keys[asked], n=n[asked], kept=kept, held=held, need=need.astype(np.uint8))))
+
+        return gather
 
     asked = src.mapInArrow(texts, MESSAGE)
     told = counts.where("block >= 0")
-    weights = saved(asked.unionByName(told).groupBy("block").applyInArrow(gather, MESSAGE).groupBy("bucket").applyInArrow(weigh, MESSAGE), "lm-weights")
+    known = told.where("kind <= 2")
+    for m in orders[1:]:
+        parts = asked.unionByName(known).groupBy("block").applyInArrow(gatherer(m), MESSAGE)
+        known = told.where(f"kind <= {m + 1}") if m == 2 else known.unionByName(told.where(f"kind = {m + 1}"))
+        known = known.unionByName(saved(parts.groupBy("bucket").applyInArrow(lean(_weigh), MESSAGE), "lm-weights"))
 
     @lean
-
     def judge(group: pa.Table) -> pa.Table:
-        parts, x, b, n = opened(group)
-        _, _, at = b.pairs()
-        r = answers(parts, PAIR)["n"].astype(np.int64)[at]
-        alpha = np.ones(len(n))
-        alpha[np.unique(b.histories)] = answers(parts, HISTORY)["alpha"]
-        h = b.histories
-        full = n[h] + (alpha[h] < 0)
-        p = np.where(r > 0, discounted(r, d_pair) / np.maximum(full, 1), np.abs(alpha[h]) * word_probability(n[b.words]))
-        doc = np.repeat(np.arange(len(b.sizes)), b.sizes)
-        sums = lambda a: np.bincount(doc, weights=a, minlength=len(b.sizes))
-        base = sums(np.log10((n[b.words] + 1) / (total + kinds + 1)))
+        o = Opened(group, model)
+        p, n, sizes = o.probabilities(order), o.counts(1)[o.block.grams[1][2]], o.block.sizes
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sums = lambda a: np.bincount(doc, weights=a, minlength=len(sizes))
+        base = sums(np.log10((n + 1) / (total + kinds + 1)))
         return pa.table([
-            pa.array(x["id"].astype(np.int64), mask=x["null"].astype(bool)), pa.array(x["held"].astype(bool)), pa.array(b.sizes), pa.array(sums(n[b.words] > 0).astype(np.int64)),
-            pa.array(np.full(len(b.sizes), total, np.int64)), pa.array(base), pa.array(sums(np.log10(p))),
+            pa.array(o.texts["id"].astype(np.int64), mask=o.texts["null"].astype(bool)), pa.array(o.block.text_held), pa.array(sizes), pa.array(sums(n > 0).astype(np.int64)),
+            pa.array(np.full(len(sizes), total, np.int64)), pa.array(base), pa.array(sums(np.log10(p))),
         ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    return asked.unionByName(told).unionByName(weights).groupBy("block").applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return asked.unionByName(known).groupBy("block").applyInArrow(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def evaluate(docs: DataFrame, folds: int = 7, fold: int = 2) -> DataFrame:
+def evaluate(docs: DataFrame, folds: int = 7, fold: int = 2, order: int = ORDER) -> DataFrame:
     """Scores of all rows; rows of the held-out fold teach nothing."""
-    return score(docs, remainder(docs["doc_id"], folds) == fold)
+    return score(docs, remainder(docs["doc_id"], folds) == fold, order=order)
