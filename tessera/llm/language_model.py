@@ -11,9 +11,10 @@ alpha 1. One whose counts are all too large to be discounted gets one more in it
 leaves mass.
 
 Counts and backoff weights are tables partitioned by hash ranges of their keys; blocks of documents
-ask them for what their distinct n-grams and histories need (see ``exchange``). The weights of an order
-need the probabilities of the one below, so they are made order by order. Every token is then scored by
-recursion through the orders.
+ask them for what their distinct n-grams and histories need (see ``exchange``). The words seen after a
+history h were all seen after h' too, where they have discounted counts over one denominator; so sums of
+counts make the weights of all orders in one round, and the blocks divide. Every token is then scored
+by recursion through the orders.
 
 Defined results: a null or empty text is one end token. Without learning rows every token is the
 unknown word with probability 1, so scores are 0. Discounts that the counts of counts can't give
@@ -39,7 +40,7 @@ END, START = np.uint64(2**64 - 2), np.uint64(2**64 - 1)
 ORDER = 3
 #: Kinds of messages: n-grams go by their order, histories by that and HISTORY, texts by TEXTS.
 HISTORY, TEXTS = 100, 999
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def _discounts(n: list[int]) -> np.ndarray:
@@ -105,6 +106,9 @@ class Block:
             if m == 2:
                 before[self.first] = START
             self.last = mix64(before * np.uint64(0x9E3779B97F4A7C15) + self.hash)
+            if m == 2:
+                self.grams[m] = _distinct(self.last)
+                return self.grams[m]
             own = np.flatnonzero(self.place >= m - 2)
             keys, some, back = _distinct(self.last[own])
             at = np.full(len(self.last), -1, np.int32)
@@ -144,23 +148,38 @@ def _count(group: pa.Table) -> pa.Table:
     return table(rows)
 
 
-def _weigh(group: pa.Table) -> pa.Table:
-    """Backoff weights of a bucket's histories: whether the denominator has one more, and alpha where it is asked for."""
-    parts = list(received(group))
-    column = lambda c: np.concatenate([x[c] for *_, x in parts])
-    u, _, back = _distinct(column("sorted"))
-    n = np.zeros(len(u))
-    n[back] = column("n")  # the same in every block
-    kept, held = (np.bincount(back, weights=column(c), minlength=len(u)) for c in ("kept", "held"))
-    more = n - kept <= 1e-9 * np.maximum(n, 1)
-    full = n + more
-    alpha = (full - kept) / np.maximum(full, 1) / np.maximum(1 - held, 1e-300)
-    rows, lo = [], 0
-    for kind, bucket, block, x in parts:
-        own = back[lo : lo + len(x["sorted"])]
-        rows.append((kind, bucket, block, pack({"more": more[own].astype(np.uint8), "alpha": alpha[own[x["need"].astype(bool)]]})))
-        lo += len(own)
-    return table(rows)
+def _by_count(key: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """How many of the counts ``n`` of each key are 1, 2 and so on to K."""
+    small = n <= K
+    return np.bincount(key[small] * K + n[small] - 1, minlength=length * K).reshape(length, K)
+
+
+#: What the n-grams after a history add to its sums, in whole numbers: their counts of counts to K, those of the order below, and the sum of larger ones.
+SUMS = [*[f"own{r}" for r in range(1, K + 1)], *[f"below{r}" for r in range(1, K + 1)], "large"]
+
+
+def _weigher(model: Model):
+    """Sums over what was seen after a bucket's histories: whether nothing was discounted, and where it is asked for the mass left and ``below``."""
+
+    def weigh(group: pa.Table) -> pa.Table:
+        parts = list(received(group))
+        m = parts[0][0] - HISTORY
+        column = lambda c: np.concatenate([x[c] for *_, x in parts])
+        u, _, back = _distinct(column("sorted"))
+        total = lambda c: np.bincount(back, weights=column(c), minlength=len(u))
+        small = np.arange(1, K + 1)
+        lost = sum(total(f"own{r}") * x for r, x in zip(small, small * (1 - model.discounts[m][1:])))
+        below = total("large") + sum(total(f"below{r}") * x for r, x in zip(small, small * model.discounts[m - 1][1:]))
+        more = lost == 0
+        rows, lo = [], 0
+        for kind, bucket, block, x in parts:
+            own = back[lo : lo + len(x["sorted"])]
+            need = own[x["need"].astype(bool)]
+            rows.append((kind, bucket, block, pack({"more": more[own].astype(np.uint8), "mass": (lost + more)[need], "below": below[need]})))
+            lo += len(own)
+        return table(rows)
+
+    return lean(weigh)
 
 
 class Model:
@@ -208,22 +227,42 @@ class Opened:
         asked = np.flatnonzero(there)
         return asked, need[asked]
 
-    def probabilities(self, m: int) -> np.ndarray:
-        """P of every token with the histories of order ``m``."""
-        if m == 1:
-            return self.model.words(self.counts(1)[self.block.grams[1][2]])
-        p = self.probabilities(m - 1)
-        _, _, at = self.block.order(m)
+    def sums(self, m: int) -> tuple[np.ndarray, dict]:
+        """Numbers of the histories to ask about; what the block's own n-grams add to their sums, and which of them have an unseen token."""
+        _, some, _ = self.block.order(m)
+        got = answers(self.parts, m)
+        own = got["own"].astype(bool)
+        first, r = some[own], got["n"][own].astype(np.int64)
+        h, n = self.block.histories(m)[first], self.counts(m - 1)
+        lower = n[self.block.grams[m - 1][2][first]]
         asked, need = self.asked(m)
-        got = answers(self.parts, HISTORY + m)
-        n = self.counts(m - 1)
-        full, alpha = n.astype(float), np.ones(len(n))
-        if len(asked):
-            full[asked] += got["more"]
-            alpha[asked[need]] = got["alpha"]
-        own = np.flatnonzero(at >= 0)
-        h, r = self.block.histories(m)[own], self.counts(m)[at[own]]
-        p[own] = np.where(r > 0, self.model.discounted(r, m) / np.maximum(full[h], 1), alpha[h] * p[own])
+        place = np.zeros(len(n), np.int64)
+        place[asked] = np.arange(len(asked))
+        key, large = place[h], np.where(lower > K, lower, 0)
+        columns = [*_by_count(key, r, len(asked)).T, *_by_count(key, lower, len(asked)).T, np.bincount(key, weights=large, minlength=len(asked)).astype(np.int64)]
+        return asked, dict(zip(SUMS, columns)) | {"need": need.astype(np.uint8)}
+
+    def probabilities(self, order: int) -> np.ndarray:
+        """P of every token with the histories of the order."""
+        p = self.model.words(self.counts(1)[self.block.grams[1][2]])
+        under = np.full(len(p), float(max(1, self.model.whole)))  # denominator at the order before
+        for m in range(2, order + 1):
+            _, _, at = self.block.order(m)
+            asked, need = self.asked(m)
+            got, n = answers(self.parts, HISTORY + m), self.counts(m - 1)
+            full, mass, below = n.astype(float), np.zeros(len(n)), np.zeros(len(n))
+            if len(asked):
+                full[asked] += got["more"]
+                mass[asked[need]], below[asked[need]] = got["mass"], got["below"]
+            own = np.flatnonzero(at >= 0)
+            h, r = self.block.histories(m)[own], self.counts(m)[at[own]]
+            whole = full[h]
+            new = p[own]
+            seen = r > 0
+            new[seen] = self.model.discounted(r[seen], m) / whole[seen]
+            back = np.flatnonzero(~seen & (n[h] > 0))
+            new[back] *= mass[h[back]] / whole[back] / np.maximum(1 - below[h[back]] / under[own[back]], 1e-300)
+            p[own], under[own] = new, np.maximum(whole, 1)
         return p
 
 
@@ -261,32 +300,21 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
             null = np.array([i is None for i in ids], np.uint8)
             yield message([(TEXTS, 0, block, pack(Block(t, held).columns() | {"null": null, "id": np.array([i or 0 for i in ids], np.int64)}))])
 
-    def gatherer(m: int):
-        @lean
-        def gather(group: pa.Table) -> pa.Table:
-            o = Opened(group, model)
-            p = o.probabilities(m - 1)
-            _, some, _ = o.block.order(m)
-            got = answers(o.parts, m)
-            own = got["own"].astype(bool)
-            first, r = some[own], got["n"][own].astype(np.int64)
-            n, h = o.counts(m - 1), o.block.histories(m)[first]
-            asked, need = o.asked(m)
-            kept = np.bincount(h, weights=model.discounted(r, m), minlength=len(n))[asked]
-            held = np.bincount(h, weights=p[first], minlength=len(n))[asked]
+    @lean
+    def gather(group: pa.Table) -> pa.Table:
+        o, rows = Opened(group, model), []
+        for m in orders[1:]:
+            asked, sums = o.sums(m)
             keys = o.block.grams[m - 1][0]
             keys = np.r_[keys, START] if m == 2 else keys
-            return table(list(send(HISTORY + m, group.column("block")[0].as_py(), buckets, keys[asked], n=n[asked], kept=kept, held=held, need=need.astype(np.uint8))))
-
-        return gather
+            rows += send(HISTORY + m, group.column("block")[0].as_py(), buckets, keys[asked], **sums)
+        return table(rows)
 
     asked = src.mapInArrow(texts, MESSAGE)
-    told = counts.where("block >= 0")
-    known = told.where("kind <= 2")
-    for m in orders[1:]:
-        parts = asked.unionByName(known).groupBy("block").applyInArrow(gatherer(m), MESSAGE)
-        known = told.where(f"kind <= {m + 1}") if m == 2 else known.unionByName(told.where(f"kind = {m + 1}"))
-        known = known.unionByName(saved(parts.groupBy("bucket").applyInArrow(lean(_weigh), MESSAGE), "lm-weights"))
+    known = counts.where("block >= 0")
+    if order > 1:
+        sums = asked.unionByName(known).groupBy("block").applyInArrow(gather, MESSAGE)
+        known = known.unionByName(saved(sums.groupBy("kind", "bucket").applyInArrow(_weigher(model), MESSAGE), "lm-weights"))
 
     @lean
     def judge(group: pa.Table) -> pa.Table:
