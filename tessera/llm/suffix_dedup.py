@@ -14,10 +14,12 @@ into short overlapping pieces in such a way that equal strings always meet at th
 2. Construction. Pieces with a repeated anchor go to the anchor's bucket, aligned at the anchor;
    pieces of a block with equal bytes go once. From the last column to the first, every round
    inserts one symbol of each piece in front of its suffix: a stable distribution by symbol gives the
-   new order of the suffixes of the collection, as in the Burrows-Wheeler transform, and the common
-   prefix of neighbours is one more than the least between their old places, or nothing where symbols
-   differ. Columns are written to a file once and read in sequence. Only suffixes that start in the
-   same column need ordering against each other, as equal strings start in the same column.
+   new order of the suffixes of the collection, and the common prefix of neighbours is one more than
+   the least between their old places, or nothing where symbols differ. Only suffixes that start in
+   the same column need ordering against each other, as equal strings start in the same column; so a
+   round holds one column, one order and one array of common prefixes, in memory, and no transform over
+   all columns is kept. A bucket's pieces are in one task; anchors are spread over buckets by hash, and
+   the pieces of one anchor are bounded by step 1.
 3. Where neighbours have ``length`` symbols in common, all but the earliest are repeats. The
    answers go back to the blocks, which mark the bytes and cut them out.
 
@@ -30,7 +32,6 @@ character; ``deduplicate`` drops the incomplete bytes when it returns text.
 from __future__ import annotations
 
 import hashlib
-import tempfile
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +47,8 @@ from tessera.session import saved
 LENGTH = 100
 #: Bytes of an anchor, as a share of the length.
 ANCHOR = 0.28
-#: An anchor is frequent from this share of all pieces on, and at least so many; there are 1 / FREQUENT such anchors at most.
-FREQUENT, LEAST_FREQUENT = 1 / 20_000, 2000
+#: An anchor is frequent from this share of all pieces on, and at least so many; 1 / FREQUENT such anchors at most are broadcast, 8 bytes each.
+FREQUENT, LEAST_FREQUENT = 1 / 2_000_000, 2000
 #: Text in a block and windows handled at once.
 BLOCK_BYTES, STEP = 8 << 20, 1 << 17
 ANCHORS, PIECES, TEXTS, OFTEN = 0, 1, 9, 8
@@ -92,11 +93,13 @@ class Frequent:
 
     def __init__(self, keys: np.ndarray):
         self.keys = np.unique(keys * _GATHER)
-        self.table = np.zeros(1 << 20, bool)
-        self.table[(self.keys >> np.uint64(44)).astype(np.int64)] = True
+        bits = max(16, min(24, 4 + len(self.keys).bit_length()))
+        self.shift = np.uint64(64 - bits)
+        self.table = np.zeros(1 << bits, bool)
+        self.table[(self.keys >> self.shift).astype(np.int64)] = True
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
-        out = self.table[(h >> np.uint64(44)).astype(np.int64)]
+        out = self.table[(h >> self.shift).astype(np.int64)]
         at = np.flatnonzero(out)
         spot = np.minimum(np.searchsorted(self.keys, h[at]), len(self.keys) - 1)
         out[at] = self.keys[spot] == h[at]
@@ -177,47 +180,41 @@ def repeats(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, rank: np.nd
     begin = np.cumsum(sizes) - sizes
     right = int((sizes - offset).max())
     lcp_most = np.uint8(min(length, 255))
-    # scratch of this task alone, without a name: gone when the task ends, however it ends
-    with tempfile.TemporaryFile() as columns:
-        # one column after the other, from the last to the first
-        for x in range(right - 1, -w, -1):
-            there = (x >= -offset) & (x < sizes - offset)
-            symbol = np.zeros(m, np.uint8)
-            symbol[there] = data[begin[there] + offset[there] + x]
-            columns.write(symbol.tobytes())
-        columns.seek(0)
-        order = np.arange(m)
-        common = np.zeros(m, np.uint8)
-        for x in range(right - 1, -w, -1):
-            there = (x >= -offset) & (x < sizes - offset)
-            symbol = np.where(there, np.frombuffer(columns.read(m), np.uint8), np.uint16(256))[order]
-            to = np.argsort(symbol, kind="stable")
-            s = symbol[to]
-            equal = np.flatnonzero((s[1:] == s[:-1]) & (s[1:] != 256)) + 1
-            lo, hi = to[equal - 1] + 1, to[equal]
-            fresh = np.zeros(m, np.uint8)
-            if len(equal):
-                least = common[hi].copy()
-                wide = np.flatnonzero(hi > lo)
-                if len(wide):
-                    level = np.log2(hi[wide] - lo[wide] + 1).astype(np.int64)
-                    steps = [common]
-                    for j in range(int(level.max())):
-                        t = steps[-1].copy()
-                        np.minimum(t[: m - (1 << j)], steps[-1][1 << j :], out=t[: m - (1 << j)])
-                        steps.append(t)
-                    steps = np.stack(steps)
-                    least[wide] = np.minimum(steps[level, lo[wide]], steps[level, hi[wide] - (1 << level) + 1])
-                fresh[equal] = np.minimum(least, lcp_most - np.uint8(1)) + np.uint8(1)
-            order, common = order[to], fresh
-            if x <= 0:
-                d = -x
-                valid = (offset[order] >= d) & (d >= offset[order] - (sizes[order] - length))
-                runs = np.flatnonzero(common < length)
-                r = np.where(valid, rank[order], np.iinfo(np.int64).max)
-                earliest = np.minimum.reduceat(r, runs)
-                late = valid & (r > np.repeat(earliest, np.diff(np.r_[runs, m])))
-                flags[order[late], d] = True
+    order = np.arange(m)
+    common = np.zeros(m, np.uint8)
+    # one column after the other, from the last to the first
+    for x in range(right - 1, -w, -1):
+        there = (x >= -offset) & (x < sizes - offset)
+        symbol = np.full(m, 256, np.uint16)
+        symbol[there] = data[begin[there] + offset[there] + x]
+        symbol = symbol[order]
+        to = np.argsort(symbol, kind="stable")
+        s = symbol[to]
+        equal = np.flatnonzero((s[1:] == s[:-1]) & (s[1:] != 256)) + 1
+        lo, hi = to[equal - 1] + 1, to[equal]
+        fresh = np.zeros(m, np.uint8)
+        if len(equal):
+            least = common[hi].copy()
+            wide = np.flatnonzero(hi > lo)
+            if len(wide):
+                level = np.log2(hi[wide] - lo[wide] + 1).astype(np.int64)
+                steps = [common]
+                for j in range(int(level.max())):
+                    t = steps[-1].copy()
+                    np.minimum(t[: m - (1 << j)], steps[-1][1 << j :], out=t[: m - (1 << j)])
+                    steps.append(t)
+                steps = np.stack(steps)
+                least[wide] = np.minimum(steps[level, lo[wide]], steps[level, hi[wide] - (1 << level) + 1])
+            fresh[equal] = np.minimum(least, lcp_most - np.uint8(1)) + np.uint8(1)
+        order, common = order[to], fresh
+        if x <= 0:
+            d = -x
+            valid = (offset[order] >= d) & (d >= offset[order] - (sizes[order] - length))
+            runs = np.flatnonzero(common < length)
+            r = np.where(valid, rank[order], np.iinfo(np.int64).max)
+            earliest = np.minimum.reduceat(r, runs)
+            late = valid & (r > np.repeat(earliest, np.diff(np.r_[runs, m])))
+            flags[order[late], d] = True
     return flags
 
 
@@ -241,10 +238,23 @@ def _count(group: pa.Table) -> pa.Table:
         rows.append((kind, bucket, block, pack({"live": (total[back[lo:hi]] > 1).astype(np.uint8)})))
         lo = hi
     often = total >= LEAST_FREQUENT
-    rows.append((OFTEN, parts[0][1], -1, pack({"sorted": u[often], "n": total[often], "sum": np.array([total.sum()])})))
+    rows.append((OFTEN, parts[0][1], -1, pack({"sorted": u[often], "n": total[often]})))
+    rows.append((PIECES, parts[0][1], -1, pack({"sum": np.array([total.sum()])})))
     return table(rows)
 
 
+def _above(least: float):
+    """Of the anchors that stand very often those that stand ``least`` times."""
+
+    def keep(batches):
+        for b in batches:
+            for payload in b.column(0):
+                x = unpack(payload.as_py())
+                yield pa.record_batch([pa.array(x["sorted"][x["n"] >= least].view(np.int64))], names=["anchor"])
+
+    return keep
+
+
 def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: str = "doc_id", finish=None, schema: str = "") -> DataFrame:
     """``finish(row, id, bytes, removed mask)`` of every row, as rows of ``schema``."""
     k = max(4, int(length * ANCHOR))
@@ -264,13 +274,11 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
         return saved(src.mapInArrow(ask, MESSAGE).groupBy("bucket").applyInArrow(_count, MESSAGE), "repeats-anchors")
 
     counts = count(None)
-    total, found = 0, []
-    for r in counts.where("block = -1").toLocalIterator():
-        x = unpack(bytes(r.payload))
-        total += int(x["sum"][0])
-        found.append((x["sorted"], x["n"]))
+    final = counts.where("block = -1")
+    total = sum(int(unpack(bytes(r.payload))["sum"][0]) for r in final.where(f"kind = {PIECES}").toLocalIterator())  # a number a bucket
     least = max(LEAST_FREQUENT, total * FREQUENT)
-    frequent = np.concatenate([u[n >= least] for u, n in found]) if found else np.empty(0, np.uint64)
+    frequent = final.where(f"kind = {OFTEN}").select("payload").mapInArrow(_above(least), "anchor long").toArrow()  # 1 / FREQUENT at most
+    frequent = frequent.column(0).to_numpy().view(np.uint64)
     often = Frequent(frequent) if len(frequent) else None
     if often is not None:
         counts = count(often)

@@ -68,3 +68,27 @@ def test_empty_table(empty):
 def test_text_that_is_left(docs):
     for r in suffix_dedup.deduplicate(docs).collect():
         assert sum(s.stop - s.start for s in r.spans) >= 0 and r.text is not None
+
+
+def test_small_blocks_and_other_columns_change_nothing(spark, rows, tmp_path, monkeypatch):
+    own = unique(rows)
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame(own, "doc_id long, text string, bucket string, row string, block long").repartition(3).write.parquet(path)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    assert found(suffix_dedup.summary(spark.read.parquet(path), 50)) == brute([r[:2] for r in own], 50)
+
+
+def test_repeated_rows_keep_one_of_each(spark, tmp_path):
+    text = "".join(chr(97 + (i * i) % 23) for i in range(150))
+    path = str(tmp_path / "d.parquet")
+    spark.createDataFrame([(7, text)] * 4 + [(3, "z" + text), (None, text)], "doc_id long, text string").repartition(2).write.parquet(path)
+    got = found(suffix_dedup.summary(spark.read.parquet(path)))
+    assert [(x[0], x[1], x[3]) for x in got] == [(False, 3, 0)] + [(False, 7, 150)] * 4 + [(True, 0, 150)]
+
+
+def test_frequent_sets_of_any_size():
+    rng = np.random.default_rng(1)
+    h = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    for n in (1, 100, 3000):
+        often = suffix_dedup.Frequent(h[:n] * suffix_dedup._SPREAD)
+        assert (often(h) == (np.arange(len(h)) < n)).all()
