@@ -10,7 +10,9 @@ Counting and labelling are map-only passes over whole texts; between them the co
 (language, bucket), at most ``BUCKETS`` rows a language, which bounds what is broadcast.
 
 Defined results: a text that is null or has no letter gets ``und`` and score 0; so does every text
-where nothing could be learned. Rows with null language or null text teach nothing. Otherwise the
+where nothing could be learned. Rows with null language or null text teach nothing; repeated rows teach
+once each; other columns are ignored. More than ``MOST_LANGUAGES`` languages are refused. Texts are
+handled in pieces of bounded size, a text longer than that by itself. Otherwise the
 score is the share of the text's letters that the predicted language labels. Ties go to the
 language that sorts first.
 """
@@ -30,12 +32,12 @@ from tessera.llm.text import lean, pieces, remainder
 #: Trigrams are hashed to the first half of the buckets and words to the second.
 BUCKETS = 1 << 17
 HALF = BUCKETS // 2
-#: Cost of a switch in nats, weight of the word beside its trigrams, added to each count, least share of a script in a language's words.
-PENALTY, WORD_WEIGHT, SMOOTH, LEAST_SHARE = 8.0, 1.0, 0.2, 0.002
+#: Cost of a switch in nats, weight of the word beside its trigrams, added to each count.
+PENALTY, WORD_WEIGHT, SMOOTH = 8.0, 1.0, 0.2
 #: More languages than this are refused: the model is sent to every executor.
-MOST_LANGUAGES = 512
-#: Bytes of text handled at once in a worker.
-PIECE = 512 << 10
+MOST_LANGUAGES = 256
+#: Bytes of text handled at once in a worker, and scores (words times languages) that a piece of several texts may have.
+PIECE, MOST_SCORES = 512 << 10, 4 << 20
 
 # First and last code points of scripts' main blocks.
 SCRIPTS = [
@@ -146,12 +148,14 @@ class Model:
         self.languages = languages
         table = np.empty((BUCKETS, len(languages)), np.float32)
         for half in (slice(0, HALF), slice(HALF, BUCKETS)):
-            c = counts[:, half] + SMOOTH
-            table[half] = np.log(c / c.sum(axis=1, keepdims=True)).T
+            for i in range(len(languages)):
+                c = counts[i, half].astype(np.float64) + SMOOTH
+                table[half, i] = np.log(c / c.sum())
         table[HALF:] *= WORD_WEIGHT
         self.table = table
-        self.uses = scripts / np.maximum(scripts.sum(axis=1, keepdims=True), 1) >= LEAST_SHARE
-        self.prior = np.log((texts + 1) / (texts + 1).sum())
+        self.uses = scripts > 0
+        texts = texts.astype(np.float64) + 1
+        self.prior = np.log(texts / texts.sum())
 
     def scores(self, w: Words) -> np.ndarray:
         """Per word and language; a script that no language uses tells nothing."""
@@ -221,17 +225,22 @@ def learn(rows: DataFrame, text: str = "text", lang: str = "lang") -> Model | No
             at = np.flatnonzero(c)
             yield pa.record_batch([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "bucket", "n"])
 
+    def dense(group: pa.Table) -> pa.Table:
+        c = np.zeros(BUCKETS + len(NAMES) + 1, np.float32)
+        c[group.column("bucket").to_numpy()] = group.column("n").to_numpy()
+        return pa.table([group.column("lang").slice(0, 1).combine_chunks(), pa.array([c.tobytes()], pa.binary())], names=["lang", "counts"])
+
     given = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"))
     sums = given.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    found = sums.toArrow()
-    languages = sorted(set(found.column("lang").to_pylist()), key=lambda x: x.encode())
-    if not languages:
+    found = {}
+    for r in sums.groupBy("lang").applyInArrow(dense, "lang string, counts binary").toLocalIterator():  # a row of half a megabyte for each language
+        found[r.lang] = np.frombuffer(r.counts, np.float32)
+        if len(found) > MOST_LANGUAGES:
+            raise ValueError(f"more than {MOST_LANGUAGES} languages; the model holds no more")
+    if not found:
         return None
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"{len(languages)} languages; the model holds {MOST_LANGUAGES} at most")
-    counts = np.zeros((len(languages), BUCKETS + len(NAMES) + 1))
-    at = {x: i for i, x in enumerate(languages)}
-    counts[[at[x] for x in found.column("lang").to_pylist()], found.column("bucket").to_numpy()] = found.column("n").to_numpy()
+    languages = sorted(found, key=lambda x: x.encode())
+    counts = np.stack([found[x] for x in languages])
     return Model(languages, counts[:, :BUCKETS], counts[:, BUCKETS:-1], counts[:, -1])
 
 
@@ -269,24 +278,27 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: dic
 
     def tell(batches):
         m = held.value
-        for b in batches:
-            names, scores, found = ["und"] * b.num_rows, [0.0] * b.num_rows, [[] for _ in range(b.num_rows)]
-            if m is not None and b.num_rows:
-                k = len(m.languages)
-                parts, lengths, labels = label(m, b.column(0).to_pylist())
-                letters = np.concatenate([w.letters for w in parts])
-                doc = np.repeat(np.arange(len(lengths)), lengths)
-                share = np.bincount(doc * k + labels, weights=letters, minlength=b.num_rows * k).reshape(-1, k)
-                total = share.sum(axis=1)
-                top = share.argmax(axis=1)
-                for i in np.flatnonzero(total):
-                    names[i], scores[i] = m.languages[top[i]], float(share[i, top[i]] / total[i])
-                if spans:
-                    at, stop = np.concatenate([w.at for w in parts]), np.concatenate([w.stop for w in parts])
-                    new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])]) if len(doc) else []
-                    for x, y in zip(new, np.r_[new[1:], len(doc)] if len(doc) else []):
-                        found[doc[x]].append({"start": int(at[x]), "stop": int(stop[y - 1]), "lang": m.languages[labels[x]]})
-            yield pa.record_batch([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([pa.array(found, kind)] if spans else [])], names=[*b.schema.names[1:], "lang_pred", "score", *(["spans"] if spans else [])])
+        limit = PIECE if m is None else min(PIECE, MOST_SCORES // len(m.languages))
+        for whole in batches:
+            for lo, hi in pieces(whole, "_t", limit):
+                b = whole.slice(lo, hi - lo)
+                names, scores, found = ["und"] * b.num_rows, [0.0] * b.num_rows, [[] for _ in range(b.num_rows)]
+                if m is not None:
+                    k = len(m.languages)
+                    parts, lengths, labels = label(m, b.column(0).to_pylist())
+                    letters = np.concatenate([w.letters for w in parts])
+                    doc = np.repeat(np.arange(len(lengths)), lengths)
+                    share = np.bincount(doc * k + labels, weights=letters, minlength=b.num_rows * k).reshape(-1, k)
+                    total = share.sum(axis=1)
+                    top = share.argmax(axis=1)
+                    for i in np.flatnonzero(total):
+                        names[i], scores[i] = m.languages[top[i]], float(share[i, top[i]] / total[i])
+                    if spans:
+                        at, stop = np.concatenate([w.at for w in parts]), np.concatenate([w.stop for w in parts])
+                        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (labels[1:] != labels[:-1])]) if len(doc) else []
+                        for x, y in zip(new, np.r_[new[1:], len(doc)] if len(doc) else []):
+                            found[doc[x]].append({"start": int(at[x]), "stop": int(stop[y - 1]), "lang": m.languages[labels[x]]})
+                yield pa.record_batch([*b.columns[1:], pa.array(names, pa.string()), pa.array(scores, pa.float64()), *([pa.array(found, kind)] if spans else [])], names=[*b.schema.names[1:], "lang_pred", "score", *(["spans"] if spans else [])])
 
     return src.mapInArrow(tell, fields + "lang_pred string, score double" + ", spans array<struct<start:long,stop:long,lang:string>>" * spans)
 
