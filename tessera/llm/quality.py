@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every text becomes the average of learned vectors of its features: words, neighbouring equal words
-and byte n-grams, each hashed to a bucket. A softmax layer on the average gives the classes. Vectors
+Every text becomes the average of learned vectors of its features: words, pairs of neighbouring words
+and n-grams of the characters of words, each hashed to a bucket. A softmax layer on the average gives the classes. Vectors
 and layer are trained together by numpy stochastic gradient descent on a bounded sample of labelled
 rows (``SAMPLE`` rows of each class, those with the smallest hash of the identifier). As the layer is
 linear, a bucket's vector and the layer fold into one number a bucket for scoring, so what is
@@ -9,7 +9,7 @@ broadcast has ``BUCKETS`` numbers whatever the input.
 
 Defined results: null and empty texts have no features and get the softmax of the layer's bias.
 Labels that are null or of documents without text teach nothing; of repeated labels of one document
-the larger counts. Where no row, or only one class, can be learned, the score is the share of label 1
+the larger counts; repeated documents teach once for each row. Other columns are ignored. Where no row, or only one class, can be learned, the score is the share of label 1
 among the labels, or 0.5 without labels. Scoring reads the text only and works row by row.
 """
 
@@ -32,9 +32,6 @@ EPOCHS, RATE, BATCH, SEED = 12, 0.5, 32, 7
 THRESHOLD = 0.3
 PIECE = 512 << 10
 
-_SPACE = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
-
-
 @cache
 def _powers() -> np.ndarray:
     out = np.ones(1024, np.uint64)
@@ -48,36 +45,45 @@ def _bucket(x: np.ndarray, kind: int) -> np.ndarray:
 
 
 def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(bucket, row) of every feature occurrence of the texts."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    size = np.array([len(r) for r in raw], np.int64)
-    data = np.frombuffer(b" ".join([*raw, b""]) if raw else b"", np.uint8)
-    owner = np.repeat(np.arange(len(raw), dtype=np.int32), size + 1)[: len(data)]
-    b = data.astype(np.uint64) + np.uint64(1)
+    """(bucket, row) of every feature occurrence of the texts: words, pairs of neighbouring words, and n-grams of characters.
+
+    An n-gram lies in one word, whose ends count as a character of their own. A pair of equal words is one feature more,
+    whichever word it is.
+    """
+    held = [t or "" for t in texts]
+    size = np.array([len(t) for t in held], np.int64)
+    code = np.frombuffer(" ".join(["", *held, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
+    owner = np.repeat(np.arange(len(held), dtype=np.int32), size + 1)
+    owner = np.r_[owner[:1] * 0, owner][: len(code)] if len(owner) else np.zeros(len(code), np.int32)
+    inside = (code != 32) & ((code < 9) | (code > 13))
+    c = np.where(inside, code + np.uint32(1), np.uint32(0)).astype(np.uint64)
     out, rows = [], []
     for n in NGRAMS:
-        if len(data) < n:
+        if len(code) < n:
             continue
-        x = b[: len(b) - n + 1].copy()
+        m = len(code) - n + 1
+        own = inside[1 : m + 1].copy()
+        for k in range(2, n - 1):
+            own &= inside[k : m + k]
+        at = np.flatnonzero(own)
+        x = c[at]
         for k in range(1, n):
-            x = x * np.uint64(257) + b[k : len(b) - n + 1 + k]
-        own = owner[: len(x)] == owner[n - 1 :]
-        out.append(_bucket(x[own], n))
-        rows.append(owner[: len(x)][own])
-    inside = ~_SPACE[data]
-    start = inside & np.r_[True, ~inside[:-1]]
+            x = x * np.uint64(0x100000001B3) + c[at + k]
+        out.append(_bucket(x, n))
+        rows.append(owner[at + 1])
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
     at = np.flatnonzero(inside)
     if len(at):
         heads = np.searchsorted(at, np.flatnonzero(start))
         word = np.cumsum(start)[at] - 1
         place = np.minimum(np.arange(len(at)) - heads[word], 1023)
-        h = np.add.reduceat(b[at] * _powers()[place], heads)
-        rows_w = owner[at[heads]]
-        out.append(_bucket(h, 1))
-        rows.append(rows_w)
-        same = np.flatnonzero((h[1:] == h[:-1]) & (rows_w[1:] == rows_w[:-1]))
-        out.append(_bucket(np.zeros(len(same), np.uint64), 2))
-        rows.append(rows_w[1:][same])
+        h = np.add.reduceat(c[at] * _powers()[place], heads)
+        of = owner[at[heads]]
+        pair = np.flatnonzero(of[1:] == of[:-1])
+        same = pair[h[pair] == h[pair + 1]]
+        out += [_bucket(h, 1), _bucket(h[pair] * np.uint64(0xC2B2AE3D27D4EB4F) + h[pair + 1], 2), _bucket(np.zeros(len(same), np.uint64), 5)]
+        rows += [of, of[pair], of[same]]
     if not out:
         return np.empty(0, np.int32), np.empty(0, np.int32)
     return np.concatenate(out), np.concatenate(rows)

@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -47,3 +49,28 @@ def test_one_class_or_none(spark, tables, empty):
     assert len({r.score for r in only}) == 1 and only[0].score > 0.99
     assert {r.score for r in quality.classify(docs, labels.where("quality > 1")).collect()} == {0.5}
     assert quality.classify(empty, labels).count() == 0
+
+
+def plain_features(text):
+    """Words, pairs, equal pairs and n-grams of a text, one by one."""
+    w = [x for x in re.split("[ \t-\r]+", text or "") if x]
+    out = [("word", x) for x in w] + [("pair", *x) for x in zip(w, w[1:])] + [("same",) for x in zip(w, w[1:]) if x[0] == x[1]]
+    for x in w:
+        x = f" {x} "
+        out += [("gram", n, x[i : i + n]) for n in quality.NGRAMS for i in range(len(x) - n + 1)]
+    return out
+
+
+def test_features_equal_plain_ones():
+    texts = [None, "", "  ", "a", "a a\ta", "the cat sat on the mat mat", "été été 日本語 x" * 3, "word " * 40, "\U0001f600\U0001f600 \U0001f600"]
+    bucket, row = quality.features(texts)
+    known = {}
+    for i, t in enumerate(texts):
+        own = sorted(bucket[row == i].tolist())
+        assert own == sorted(quality.features([t])[0].tolist())
+        want = Counter(plain_features(t))
+        assert len(own) == sum(want.values())
+        assert sorted(Counter(own).values()) == sorted(want.values())
+        known[i] = want
+    a, b = (Counter(bucket[row == i].tolist()) for i in (3, 4))
+    assert sum((a & b).values()) == sum((known[3] & known[4]).values())
