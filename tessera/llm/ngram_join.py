@@ -10,16 +10,21 @@
    connected components of these stars are the neighbourhoods in which partners can be.
 4. A neighbourhood's ordered sets go into a prefix tree in one task. A search through the
    documents not reached yet starts from each new one: the walk down the tree shares the overlap
-   of common beginnings and leaves out subtrees whose remaining lengths can't reach the bound. A
-   neighbourhood that is too large for a task is cut into parts, and every two parts form a task.
-5. The links found give the components.
+   of common beginnings and leaves out subtrees whose remaining lengths can't reach the bound.
+5. Neighbourhoods grow together as the corpus grows. One that is too large for a task is searched by
+   shingle instead, as linked documents share one of their prefixes: first the documents of each
+   rarest shingle and of each commonest one, which ties copies together at one row a document each, then
+   those of every shingle whose documents are still of several components. There the documents outside
+   the largest component ask all others. Documents of one shingle that are too many for a task are cut
+   into parts that share some of them; in the last round each part gets all that ask.
+6. The links found give the components.
 
 Only links between documents not connected yet are searched for, so a dense group costs about one
 comparison a member, and no link between components is lost.
 
 Defined results: a document of fewer words than a shingle is one shingle of all its words; one
 without words, or with null text, has an empty set and is linked with nothing. Null identifiers rank
-last within a group. Repeated rows are documents of their own with equal sets.
+last within a group. Repeated rows are documents of their own with equal sets. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +40,8 @@ from tessera.operators.components import connected_components
 from tessera.session import checkpoint, saved
 
 WORDS, PERCENT = 5, 80
-#: Documents of a neighbourhood in one task, and in a part of a larger one.
-TASK_DOCS, PART_DOCS = 6000, 3000
+#: Documents of a neighbourhood or a shingle in one task, in a part of a larger one, and those that parts share.
+TASK_DOCS, PART_DOCS, SHARED_DOCS = 1000, 500, 32
 SHINGLES, TEXTS, FIRST = 0, 9, 8
 BLOCK_BYTES = 8 << 20
 #: Odd multipliers by place in a shingle.
@@ -168,6 +173,119 @@ def link(sets: list[np.ndarray], sizes: list[int], percent: int = PERCENT) -> np
     return label
 
 
+def connect(sets: list[np.ndarray], sizes: list[int], component: list[int], own: np.ndarray, ask: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join known components: each document of ``ask`` searches the ``own`` ones of other components."""
+    label = np.unique(component, return_inverse=True)[1]
+    sizes = np.asarray(sizes, np.int64)
+    mask = np.zeros(max((int(s[-1]) for s in sets if len(s)), default=0) + 1, bool)
+    tree, alive, whole, out = Tree(sets, sizes, np.flatnonzero(own)), own.copy(), own.all(), []
+    for q in np.flatnonzero(ask):
+        open_ = alive & (label != label[q])
+        if open_.any():
+            for j in tree.search(sets[q], int(sizes[q]), percent, open_, mask):
+                if label[j] != label[q]:
+                    out.append((int(q), j))
+                    label[label == label[j]] = label[q]
+        if whole:  # all have been compared with it
+            alive[q] = False
+    return out
+
+
+def _ranked(held: list[dict]) -> list[np.ndarray]:
+    """Shared shingles of some documents by their rank in the common order, rare ones first."""
+    h = np.concatenate([x["h"] for x in held])
+    f = np.concatenate([x["f"] for x in held])
+    u, first, back = np.unique(h, return_index=True, return_inverse=True)
+    rank = np.empty(len(u), np.int64)
+    rank[np.lexsort((u, f[first]))] = np.arange(len(u))
+    return np.split(rank[back], np.cumsum([len(x["h"]) for x in held])[:-1])
+
+
+def _groups(group: pa.Table, names: tuple):
+    """Rows of a task by the columns ``names``, in order of the row: place in the table of each."""
+    keys = sorted(zip(*[group.column(c).to_pylist() for c in (*names, "row")], range(group.num_rows)))
+    lo = 0
+    for hi in range(1, len(keys) + 1):
+        if hi == len(keys) or keys[hi][: len(names)] != keys[lo][: len(names)]:
+            yield [k[-1] for k in keys[lo:hi]]
+            lo = hi
+
+
+def _edges(found: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([e[i] for e in found], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+
+def _by_neighbourhood(sets: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Links (u, v) of documents (component, row, n, shared), a neighbourhood in one task."""
+
+    @lean
+    def join(group: pa.Table) -> pa.Table:
+        out, row, n, shared = [], group.column("row").to_pylist(), group.column("n").to_pylist(), group.column("shared")
+        for at in _groups(group, ("component",)):
+            label = link(_ranked([unpack(shared[i].as_py()) for i in at]), [n[i] for i in at], percent)
+            out += [(row[at[i]], row[at[j]]) for i, j in enumerate(label) if j != i]
+        return _edges(out)
+
+    shard = F.pmod(F.xxhash64("component"), F.lit(8 * buckets))
+    return sets.select(shard.alias("shard"), "component", "row", "n", "shared").groupBy("shard").applyInArrow(join, "u long, v long")
+
+
+def _by_shingle(groups: DataFrame, sets: DataFrame, known: DataFrame | None, every: bool, buckets: int, percent: int) -> DataFrame:
+    """Links (u, v) between components of the documents of each group (g, k, row); with ``every`` all that there are.
+
+    ``known``: (id, component) of documents that were linked before.
+    """
+    m = groups if known is None else groups.join(known.withColumnRenamed("id", "row"), "row", "left")
+    m = m.withColumn("component", F.col("row") if known is None else F.coalesce("component", "row"))
+    main = m.groupBy("g", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("g").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
+    m = m.join(main, "g").withColumn("ask", F.col("component") != F.col("main"))
+    m = m.withColumn("parts", F.when(F.col("k") > TASK_DOCS, F.ceil(F.col("k") / PART_DOCS)).otherwise(1).cast("int"))
+    m = m.withColumn("home", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    copied = F.col("ask") if every else F.pmod(F.xxhash64(F.lit(1), "row"), F.col("k")) < SHARED_DOCS
+    m = m.withColumn("part", F.explode(F.when(copied, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("home"))))
+    own = (F.col("part") == F.col("home")) | F.lit(not every)
+    shard = F.pmod(F.xxhash64("g", "part"), F.lit(8 * buckets))
+    m = m.select("g", "part", "row", "component", "ask", own.alias("own"), shard.alias("shard")).join(sets.select("row", "n", "shared"), "row")
+
+    @lean
+    def join(group: pa.Table) -> pa.Table:
+        out, shared = [], group.column("shared")
+        row, n, component, own, ask = (group.column(c).to_pylist() for c in ("row", "n", "component", "own", "ask"))
+        for at in _groups(group, ("g", "part")):
+            flags = [np.array([x[i] for i in at], bool) for x in (own, ask)]
+            found = connect(_ranked([unpack(shared[i].as_py()) for i in at]), [n[i] for i in at], [component[i] for i in at], *flags, percent)
+            out += [(row[at[i]], row[at[j]]) for i, j in found]
+        return _edges(out)
+
+    return m.groupBy("shard").applyInArrow(join, "u long, v long")
+
+
+def _links(sets: DataFrame, tokens: DataFrame, buckets: int, percent: int) -> DataFrame:
+    """Links (u, v) that give the components of documents (component, k, row, n, shared) with their prefixes (u, token)."""
+    links = saved(_by_neighbourhood(sets.where(F.col("k") <= TASK_DOCS), buckets, percent), "jaccard-links")
+    large = sets.where(F.col("k") > TASK_DOCS).select("row", "n", "shared")
+    if large.isEmpty():
+        return links
+    large = saved(large, "jaccard-large")
+    own = tokens.join(large.select(F.col("row").alias("u")), "u", "left_semi")
+    sizes = own.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    own = saved(own.join(sizes, "token").select(F.col("token").alias("g"), "k", F.col("u").alias("row")), "jaccard-tokens")
+    found = None
+    for pick in (F.min_by, F.max_by):
+        known = None if found is None else connected_components(found)
+        one = own.groupBy("row").agg(pick(F.struct("g", "k"), F.struct("k", "g")).alias("x")).select("x.g", "row")
+        one = one.join(one.groupBy("g").agg(F.count(F.lit(1)).alias("k")), "g")
+        part = saved(_by_shingle(one, large, known, False, buckets, percent), "jaccard-links")
+        found = part if found is None else found.unionByName(part)
+    known = connected_components(found)
+    left = own.join(known.withColumnRenamed("id", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    # shingles with the same documents need one search
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "row")).alias(f"x{i}") for i in (1, 2)]
+    left = left.groupBy("g", "k").agg(F.min("component").alias("a"), F.max("component").alias("b"), *hashes).where("a <> b").groupBy("k", "x1", "x2").agg(F.min("g").alias("g"))
+    part = saved(_by_shingle(own.join(left.select("g"), "g", "left_semi"), large, known, True, buckets, percent), "jaccard-links")
+    return links.unionByName(found).unionByName(part)
+
+
 def _ask(src: DataFrame, words: int, buckets: int) -> DataFrame:
     @lean
     def ask(batches):
@@ -270,40 +388,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
     near = connected_components(tokens.join(stars, "token").where("u <> v").select("u", "v"))
     sized = near.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
     sets = chosen.select("row", "n", "shared").join(near.withColumnRenamed("id", "row"), "row").join(sized, "component")
-    part = F.when(F.col("k") > TASK_DOCS, F.ceil(F.col("k") / PART_DOCS)).otherwise(1).cast("int")
-    sets = sets.withColumn("parts", part).withColumn("own", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    # a neighbourhood of one part is one task; else each document goes to the tasks of its part with every part
-    sets = sets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    sets = sets.withColumns({"a": F.least("own", "other"), "b": F.greatest("own", "other")})
-    sets = sets.withColumn("shard", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(8 * buckets))).otherwise(F.xxhash64("component", "a", "b")))
-
-    @lean
-
-    def join(group: pa.Table) -> pa.Table:
-        edges = [[], []]
-        keys = sorted(zip(*[group.column(c).to_pylist() for c in ("component", "a", "b", "row")], range(group.num_rows)))
-        sizes, shared = group.column("n").to_pylist(), group.column("shared")
-        lo = 0
-        while lo < len(keys):
-            hi = lo
-            while hi < len(keys) and keys[hi][:3] == keys[lo][:3]:
-                hi += 1
-            held = [unpack(shared[k[4]].as_py()) for k in keys[lo:hi]]
-            h = np.concatenate([x["h"] for x in held])
-            f = np.concatenate([x["f"] for x in held])
-            u, first, back = np.unique(h, return_index=True, return_inverse=True)
-            rank = np.empty(len(u), np.int64)
-            rank[np.lexsort((u, f[first]))] = np.arange(len(u))
-            at = np.cumsum([len(x["h"]) for x in held])[:-1]
-            label = link(np.split(rank[back], at), [sizes[k[4]] for k in keys[lo:hi]], percent)
-            for i, l in enumerate(label):
-                if l != i:
-                    edges[0].append(keys[lo + i][3])
-                    edges[1].append(keys[lo + l][3])
-            lo = hi
-        return pa.table([pa.array(e, pa.int64()) for e in edges], names=["u", "v"])
-
-    links = sets.select("shard", "component", "a", "b", "row", "n", "shared").groupBy("shard").applyInArrow(join, "u long, v long")
+    links = _links(sets, tokens, buckets, percent)
     groups = connected_components(links)
     named = classes.join(groups.withColumnRenamed("id", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     least = named.groupBy("component").agg(F.min(F.struct(F.col("class_id").isNull().alias("none"), F.col("class_id"), F.col("class"))).alias("first"))
