@@ -36,8 +36,8 @@ HALF = BUCKETS // 2
 PENALTY, WORD_WEIGHT, SMOOTH = 8.0, 1.0, 0.2
 #: More languages than this are refused: the model is sent to every executor.
 MOST_LANGUAGES = 256
-#: Bytes of text handled at once in a worker, and scores (words times languages) that a piece of several texts may have.
-PIECE, MOST_SCORES = 512 << 10, 4 << 20
+#: Bytes of text whose words are scored at once in a worker, and bytes times languages of texts whose labels are found side by side.
+PIECE, MOST_SCORES = 512 << 10, 32 << 20
 
 # First and last code points of scripts' main blocks.
 SCRIPTS = [
@@ -278,7 +278,7 @@ def predict(docs: DataFrame, model: Model | None, text: str = "text", carry: dic
 
     def tell(batches):
         m = held.value
-        limit = PIECE if m is None else min(PIECE, MOST_SCORES // len(m.languages))
+        limit = MOST_SCORES // (1 if m is None else len(m.languages))
         for whole in batches:
             for lo, hi in pieces(whole, "_t", limit):
                 b = whole.slice(lo, hi - lo)
