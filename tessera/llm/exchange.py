@@ -7,8 +7,8 @@ corpus costs one entry a block; the bucket answers with one array in the same or
 binary columns of ordinary rows, moved by groupBy; nothing is gathered on the driver.
 
 Blocks are cut inside scan partitions by bytes of text and named by partition and place, so a task
-that is run again sends the same messages. The table given to an operator must therefore come from a
-scan (Parquet files, a checkpoint), not from a plan whose row order can change between runs.
+that is run again sends the same messages. That needs rows that come in the same order each time, as those of
+a scan do; ``steady`` writes any other plan to a table first.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from tessera.session import saved
+
 #: Bytes of text in a block.
 BLOCK_BYTES = 32 << 20
 MESSAGE = "kind int, bucket int, block long, payload binary"
@@ -114,6 +116,12 @@ def answers(parts: list[tuple], kind: int) -> dict[str, np.ndarray]:
     return {c: np.concatenate([x[c] for x in own]) for c in own[0]} if own else {}
 
 
+def steady(df: DataFrame) -> DataFrame:
+    """``df``, or a saved table of it where its plan moves rows, whose order could then change between runs."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return saved(df, "input") if "Exchange" in plan or "Coalesce" in plan else df
+
+
 def n_buckets(df: DataFrame) -> int:
     """About one bucket for each scan partition, so a bucket holds about what a block does."""
     return min(20_000, max(df.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))

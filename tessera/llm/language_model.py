@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, table, unpack
+from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, steady, table, unpack
 from tessera.llm.text import lean, mix64, remainder, token_hashes
 from tessera.session import saved
 
@@ -270,9 +270,10 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; n-grams have up to ``order`` tokens."""
     if order < 1:
         raise ValueError("the order is 1 at least")
-    buckets, orders = n_buckets(docs), range(1, order + 1)
-    held_out = F.coalesce(held_out, F.lit(False))
-    src = docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"), held_out.alias("h"), F.spark_partition_id().alias("p"))
+    src = steady(docs.select(docs[doc_id].cast("long").alias("i"), docs[text].alias("t"), F.coalesce(held_out, F.lit(False)).alias("h")))
+    # every learning text is counted as a history by its start
+    starts = src.where("not h").count()
+    src, buckets, orders = src.withColumn("p", F.spark_partition_id()), n_buckets(src), range(1, order + 1)
 
     @lean
     def ask(batches):
@@ -284,8 +285,6 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", doc_id: str = "
                 yield message(list(send(m, block, buckets, keys, n=np.bincount(learnt, minlength=len(keys)))))
 
     counts = saved(src.mapInArrow(ask, MESSAGE).groupBy("kind", "bucket").applyInArrow(lean(_count), MESSAGE), "lm-counts")
-    # every learning text is counted as a history by its start
-    starts = docs.where(~held_out).count()
     of, total, kinds = {m: [0] * (K + 3) for m in orders}, 0, 0
     for r in counts.where("block = -1").toLocalIterator():  # a few numbers a bucket
         x = unpack(bytes(r.payload))

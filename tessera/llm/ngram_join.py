@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, table, unpack
+from tessera.llm.exchange import MESSAGE, answers, blocks, message, n_buckets, pack, received, send, steady, table, unpack
 from tessera.llm.text import lean, mix64, token_hashes
 from tessera.operators.components import connected_components
 from tessera.session import checkpoint, saved
@@ -327,8 +327,9 @@ def signatures(src: DataFrame, words: int) -> DataFrame:
 
 def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per row of ``docs``: row, doc_id, n_shingles, component_id, first (the row that stands for its group)."""
-    buckets = n_buckets(docs)
-    src = docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("t"), docs[doc_id].cast("long").alias("doc_id"), F.spark_partition_id().alias("p"))
+    own = steady(docs.select(docs[text].alias("t"), docs[doc_id].cast("long").alias("doc_id")))
+    buckets = n_buckets(own)
+    src = own.select(F.monotonically_increasing_id().alias("row"), "t", "doc_id", F.spark_partition_id().alias("p"))
     marked = saved(signatures(src, words), "jaccard-rows")
     # the first member of a class: smallest doc_id, nulls last, then the first row
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
@@ -400,7 +401,7 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, text
 
 def keep_first(docs: DataFrame, **named) -> DataFrame:
     """One row of each group of ``docs``, with their own columns: that with the smallest identifier."""
-    names = docs.columns
+    docs, names = steady(docs), docs.columns
     stay = components(docs, **named).where("first").select("row")
     own = docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*[docs[c] for c in names]).alias("_c"))
     return own.join(stay, "row", "left_semi").select(*[F.col("_c").getField(c).alias(c) for c in names])

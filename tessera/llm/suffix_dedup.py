@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from tessera.llm.exchange import MESSAGE, answers, blocks, cut, message, n_buckets, pack, received, send, table, unpack
+from tessera.llm.exchange import MESSAGE, answers, blocks, cut, message, n_buckets, pack, received, send, steady, table, unpack
 from tessera.llm.text import lean, mix64
 from tessera.session import saved
 
@@ -219,7 +219,8 @@ def repeats(data: np.ndarray, sizes: np.ndarray, offset: np.ndarray, rank: np.nd
 
 
 def _source(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), docs[text].alias("t"), docs[doc_id].cast("long").alias("i"), F.spark_partition_id().alias("p"))
+    own = steady(docs.select(docs[text].alias("t"), docs[doc_id].cast("long").alias("i")))
+    return own.select(F.monotonically_increasing_id().alias("row"), "t", "i", F.spark_partition_id().alias("p"))
 
 
 def _raw(texts: list[str | None]) -> list[bytes]:
@@ -260,7 +261,8 @@ def marked(docs: DataFrame, length: int = LENGTH, text: str = "text", doc_id: st
     k = max(4, int(length * ANCHOR))
     if length > 255:
         raise ValueError("common prefixes are held in one byte: length is 255 at most")
-    spark, buckets, src = docs.sparkSession, n_buckets(docs), _source(docs, text, doc_id)
+    spark, src = docs.sparkSession, _source(docs, text, doc_id)
+    buckets = n_buckets(src)
 
     def count(often: Frequent | None) -> DataFrame:
         held = spark.sparkContext.broadcast(often)
@@ -386,5 +388,5 @@ def _text(row, i, raw: bytes, gone: np.ndarray) -> dict:
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, **named) -> DataFrame:
-    """One row per row of ``docs``: row (of the scan), doc_id, the text that is left and the byte spans that went."""
+    """One row per row of ``docs``: row (its number in the scan), doc_id, the text that is left and the byte spans that went."""
     return marked(docs, length, finish=_text, schema="row long, doc_id long, text string, spans array<struct<start:long,stop:long>>", **named)

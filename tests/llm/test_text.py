@@ -70,3 +70,15 @@ def test_frequent_anchors_are_avoided():
     often = suffix_dedup.Frequent(name[:10])
     *_, other = suffix_dedup.pieces(data, np.array([2000]), 40, 11, often)
     assert not set(other.tolist()) & set(name[:10].tolist())
+
+
+def test_plans_that_move_rows_are_written_first(docs, rows):
+    from tessera.llm import language_model, ngram_join, suffix_dedup
+    from tessera.llm.exchange import steady
+
+    moved = docs.repartition(5, "text")
+    assert steady(docs) is docs and "Exchange" not in steady(moved)._jdf.queryExecution().executedPlan().toString()
+    key = lambda r: str(tuple(r))
+    for f in (lambda d: language_model.evaluate(d).drop("score", "base_score"), lambda d: ngram_join.components(d).drop("row", "first"), lambda d: suffix_dedup.summary(d).select("doc_id", "n_bytes")):
+        assert sorted(map(key, f(moved).collect())) == sorted(map(key, f(docs).collect()))
+    assert len(ngram_join.keep_first(moved).collect()) == len(ngram_join.keep_first(docs).collect())
