@@ -25,7 +25,8 @@ into short overlapping pieces in such a way that equal strings always meet at th
 
 Exact: bytes decide, hashes only choose and route. Defined results: a null text is empty; earlier
 means smaller doc_id (nulls last), then the earlier row of the scan, then the earlier start; texts
-shorter than ``length`` have no repeats. Kept bytes are joined as bytes, so a cut may split a
+shorter than ``length`` have no repeats; of repeated rows the first of the scan keeps the text; other
+columns are ignored, and an empty table gives no rows. Kept bytes are joined as bytes, so a cut may split a
 character; ``deduplicate`` drops the incomplete bytes when it returns text.
 """
 
