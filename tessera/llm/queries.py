@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import content_sort, decontaminate, langid, language_model, licenses, mixing, ngram_join, quality, suffix_dedup, warc
+from tessera.llm import centroids, content_sort, decontaminate, langid, language_model, licenses, mixing, ngram_join, quality, rules, suffix_dedup, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -52,6 +52,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_read(spark, sf_dir, "pages"))
 
 
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"))
+
+
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.judge(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -63,10 +71,13 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_warc": op10_warc,
+    "op11_centroid_clustering": op11_centroid_clustering,
+    "op12_quality_rules": op12_quality_rules,
 }
 
 LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = f"regexp_extract_all({LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SPACED = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 TOKENS = f"regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+')"
 
 
@@ -76,6 +87,28 @@ def _templates() -> str:
     return ", ".join(f"({t}, {text(label)}, {phrase}, {pairs}, {need}, {cell}, {tpos}, {text(a)}, {text(b)})" for t, label, phrase, pairs, need, cell, tpos, a, b in licenses.template_rows())
 
 
+def _lloyd(k: int = 16, rounds: int = 3, size: int = 64) -> str:
+    """CTEs c0 to c<rounds> (k, q) and a0 to a<rounds> (r, vec_id, q, k, d) over p (r, vec_id, q)."""
+    out = [f"c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(CAST(vec_id AS VARCHAR), '')), q) - 1 AS k, q FROM p QUALIFY k < {k})"]
+    for i in range(rounds + 1):
+        d = f"list_sum(list_transform(range(1, {size + 1}), lambda i: (p.q[i] - c.q[i]) * (p.q[i] - c.q[i])))"
+        out.append(f"a{i} AS (SELECT r, vec_id, q, k, d FROM (SELECT p.r, p.vec_id, p.q, c.k, CAST({d} AS BIGINT) AS d FROM p, c{i} c) t QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if i < rounds:
+            out.append(f"s{i} AS (SELECT k, j, sum(x) AS s, count(*) AS n FROM (SELECT k, unnest(range(1, {size + 1})) AS j, unnest(q) AS x FROM a{i}) t GROUP BY k, j)")
+            out.append(f"m{i} AS (SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS q FROM s{i} GROUP BY k)")
+            out.append(f"c{i + 1} AS (SELECT c.k, coalesce(m.q, c.q) AS q FROM c{i} c LEFT JOIN m{i} m ON m.k = c.k)")
+    return ",\n             ".join(out)
+
+
+def _fail_bits() -> str:
+    """The rules of ``rules.RULES``, in SQL; tests hold both against each other."""
+    rules_sql = [
+        "n_words < 20", "100 * n_repeat_words > 30 * n_words", "10 * n_symbols > n_words", "100 * n_dup_lines > 30 * n_lines",
+        "word_chars < 3 * n_words OR word_chars > 10 * n_words", "100 * n_capitals > 40 * word_chars", "100 * n_bullet_lines > 90 * n_lines",
+    ]
+    return " + ".join(f"CASE WHEN {x} THEN {1 << i} ELSE 0 END" for i, x in enumerate(rules_sql))
+
+
 ORACLES = {
     "op2_license_scan": f"""
         WITH k(t, label, phrase, pairs, need, cell, tpos, a, b) AS (VALUES {_templates()}),
@@ -147,4 +180,31 @@ ORACLES = {
                CASE WHEN page_id = keep THEN NULL ELSE keep END AS refers_to
         FROM b
     """,
+    "op11_centroid_clustering": f"""
+        WITH e AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+             p AS (SELECT r, vec_id, list_transform(v, lambda x: CAST(floor(64 * x) AS BIGINT)) AS q FROM e
+                   WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+             {_lloyd()},
+             i AS (SELECT k, CAST(sum(d) AS BIGINT) AS cluster_inertia FROM a3 GROUP BY k),
+             w AS (SELECT q, count(*) AS copies FROM p GROUP BY q)
+        SELECT a.vec_id, CAST(a.k AS INTEGER) AS cluster, a.d AS distance, i.cluster_inertia, CAST((SELECT sum(d) FROM a3) AS BIGINT) AS inertia,
+               sha256(array_to_string(c.q, ',')) AS centroid_sha256, CAST(w.copies AS BIGINT) AS copies
+        FROM a3 a JOIN c3 c ON c.k = a.k JOIN i ON i.k = a.k JOIN w ON w.q = a.q
+    """,
+    "op12_quality_rules": f"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, {SPACED} AS w FROM documents),
+             l AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+             n AS (SELECT r, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (WHERE regexp_matches(line, '^[\\x20\\x09-\\x0D]*[-*•]')) AS n_bullet_lines
+                   FROM l WHERE regexp_matches(line, '[^\\x20\\x09-\\x0D]') GROUP BY r),
+             g AS (SELECT r, unnest(range(1, len(w) - 6)) AS s, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(list_slice(w, i, i + 7), ' '))) AS gram FROM d),
+             x AS (SELECT r, s, count(*) OVER (PARTITION BY r, gram) AS c FROM g),
+             y AS (SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(s, s + 8)) AS p FROM x WHERE c > 1) u GROUP BY r),
+             m AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+                          CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(n_lines, 0) AS n_lines, coalesce(n_dup_lines, 0) AS n_dup_lines,
+                          coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, CAST(len(regexp_extract_all(t, '[A-Z]')) AS BIGINT) AS n_capitals
+                   FROM d LEFT JOIN n ON n.r = d.r LEFT JOIN y ON y.r = d.r),
+             b AS (SELECT *, CAST({_fail_bits()} AS BIGINT) AS fail_bits FROM m)
+        SELECT *, {rules.RULES_VERSION} AS rules_version, fail_bits & {rules.BASE} <> 0 AS base_failed, CAST(fail_bits & {rules.POLICIES[rules.CURRENT]} AS BIGINT) AS failed_bits, fail_bits & {rules.POLICIES[rules.CURRENT]} = 0 AS kept
+        FROM b
+    """,
 }
