@@ -117,7 +117,8 @@ def bfs_by_key(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], most: in
     A graph is one task where none has more than ``KERNEL_EDGES`` edges; beyond that all graphs share the loop of joins.
     """
     keys = list(keys)
-    starts = seeds.select(*keys, F.col("seed").cast("long").alias("seed")).where("seed is not null").distinct()
+    # new names, so that seeds which come from the same edges can stand beside them
+    starts = seeds.select(*[F.col(k).alias(k) for k in keys], F.col("seed").cast("long").alias("seed")).where("seed is not null").distinct()
     e = edges.select(*keys, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
     if symmetric:
         _check_symmetric(e, keys)
