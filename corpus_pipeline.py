@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import content_sort, decontaminate, mixing, ngram_join, quality
-from tessera.session import drop_saved, n_saved, saved
+from tessera.session import remove, scratch, stored
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,12 +60,13 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written below the shared folder and read again.
 
-    Once a stage is written, what it saved on the way and its predecessor's table go.
+    Once a stage is written, what it saved on the way and its predecessor's table go; tables of others stay.
     """
-    docs, first = spark.read.parquet(f"{sf_dir}/documents.parquet"), n_saved(spark)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"pipeline-{name}")
-        last = n_saved(spark) - 1
-        drop_saved(spark, first, last)
-        first = last
+        with scratch(spark):
+            docs, path = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            remove(spark, before)
+        before = path
     return docs

@@ -5,7 +5,10 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,24 +54,64 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 #: Removes the shuffle files of a plan once it has been run.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-_SAVED: dict[str, list[str]] = {}
+_LOCK = threading.Lock()
+#: How many writes of a session hold CLEANUP, and what it was before the first of them.
+_HELD: dict[str, tuple[int, str]] = {}
+#: The tables saved within the innermost ``scratch`` of this thread.
+_OWN: ContextVar[list[str] | None] = ContextVar("saved tables", default=None)
+
+
+@contextmanager
+def _cleaning(spark: SparkSession):
+    """CLEANUP is on within; the last of several threads to leave puts back what there was before the first."""
+    key = str(spark._jsparkSession.sessionUUID())
+    with _LOCK:
+        n, before = _HELD.get(key, (0, spark.conf.get(CLEANUP, "false")))
+        _HELD[key] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _HELD.pop(key)
+            if n > 1:
+                _HELD[key] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet below the shared folder and return the table that was written.
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet below the shared folder; the table that was written, and its path.
 
-    The table goes when the driver ends, or by ``drop_saved``; the shuffle files of ``df`` go at once.
+    The table goes when the driver ends, or by ``remove``; the shuffle files of ``df`` go at once.
     """
     spark = df.sparkSession
     path = f"{checkpoint_root(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaning(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     temporary(spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def saved(df: DataFrame, name: str) -> DataFrame:
+    """The table of ``stored``; it goes at the end of the ``scratch`` around it, if there is one."""
+    out, path = stored(df, name)
+    if (own := _OWN.get()) is not None:
+        own.append(path)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that this thread saves within go at its end, and no others; other threads may save meanwhile."""
+    own: list[str] = []
+    token = _OWN.set(own)
+    try:
+        yield
+    finally:
+        _OWN.reset(token)
+        for path in own:
+            remove(spark, path)
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -80,17 +123,9 @@ def temporary(spark: SparkSession, path: str) -> None:
     """Note that ``path`` may go when the driver ends."""
     at, store = _file_system(spark, path)
     store.deleteOnExit(at)
-    _SAVED.setdefault(spark.sparkContext.applicationId, []).append(path)
 
 
-def n_saved(spark: SparkSession) -> int:
-    """How many tables this application has saved so far."""
-    return len(_SAVED.get(spark.sparkContext.applicationId, []))
-
-
-def drop_saved(spark: SparkSession, first: int, last: int) -> None:
-    """Remove the tables that were saved as numbers ``first`` to ``last - 1``; nothing may read them any more."""
-    held = _SAVED.get(spark.sparkContext.applicationId, [])
-    for path in held[first:last]:
-        at, store = _file_system(spark, path)
-        store.delete(at, True)
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a table that was stored; nothing may read it any more."""
+    at, store = _file_system(spark, path)
+    store.delete(at, True)

@@ -42,16 +42,61 @@ def test_queries_without_optional_packages(monkeypatch):
     assert left <= whole and "knn_graph" in left and "op10_warc" not in left
 
 
-def test_saved_tables_go(spark):
+def test_saved_tables_go_with_their_scope_only(spark):
+    """A second thread saves while the first one's scope is open, within its own and without one."""
+    import threading
+
+    from pyspark.errors import AnalysisException
+
+    from tessera.session import CLEANUP, saved, scratch, stored
+
+    before, inside, seen = spark.conf.get(CLEANUP, "false"), threading.Barrier(2, timeout=120), {}
+
+    def other():
+        seen["free"] = saved(spark.range(7), "free")
+        with scratch(spark):
+            seen["own"] = saved(spark.range(3).repartition(2), "own")
+            inside.wait()
+            inside.wait()  # the first one's scope has ended meanwhile
+            seen["count"] = seen["own"].count()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with scratch(spark):
+        a = saved(spark.range(10).repartition(3), "one")
+        kept, path = stored(a.where("id < 4"), "kept")
+        assert a.count() == 10
+        inside.wait()
+    inside.wait()
+    thread.join()
+    assert seen["count"] == 3 and seen["free"].count() == 7 and kept.count() == 4 and path
+    for gone in (a, seen["own"]):
+        with pytest.raises(AnalysisException):
+            spark.read.parquet(gone.inputFiles()[0].rsplit("/", 1)[0])
+    assert spark.conf.get(CLEANUP, "false") == before
+
+
+def test_a_scope_that_fails_leaves_nothing(spark):
     from pyspark.errors import AnalysisException
 
-    from tessera.session import CLEANUP, drop_saved, n_saved, saved
+    from tessera.session import saved, scratch
 
-    n = n_saved(spark)
-    a, b = saved(spark.range(10).repartition(3), "one"), saved(spark.range(5), "two")
-    assert n_saved(spark) == n + 2 and a.count() == 10 and spark.conf.get(CLEANUP) == "false"
-    drop_saved(spark, n, n + 1)
-    path = a.inputFiles()[0].rsplit("/", 1)[0]
+    with pytest.raises(RuntimeError), scratch(spark):
+        a = saved(spark.range(10), "one")
+        raise RuntimeError
     with pytest.raises(AnalysisException):
-        spark.read.parquet(path)
-    assert b.count() == 5
+        spark.read.parquet(a.inputFiles()[0].rsplit("/", 1)[0])
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_cleaning_ends_with_its_last_thread(spark):
+    from tessera.session import CLEANUP, _cleaning
+
+    before = spark.conf.get(CLEANUP, "false")
+    one, two = _cleaning(spark), _cleaning(spark)
+    one.__enter__()
+    two.__enter__()
+    one.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == "true"
+    two.__exit__(None, None, None)
+    assert spark.conf.get(CLEANUP) == before
