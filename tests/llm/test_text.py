@@ -1,8 +1,10 @@
 import re
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import exchange, suffix_dedup, text
 
@@ -72,12 +74,36 @@ def test_frequent_anchors_are_avoided():
     assert not set(other.tolist()) & set(name[:10].tolist())
 
 
-def test_plans_that_move_rows_are_written_first(docs, rows):
-    from tessera.llm import language_model, ngram_join, suffix_dedup
+def _plans(docs):
+    """The same rows by plans of several kinds."""
+    n = docs.count()
+    return {
+        "moved": docs.repartition(5, "text"),
+        "limit": docs.limit(n),
+        "ordered limit": docs.orderBy("source", "lang").limit(n),
+        "ordered": docs.orderBy("lang"),
+        "rdd": docs.sparkSession.createDataFrame(docs.rdd.repartition(4), docs.schema),
+        "drawn": docs.where(F.rand() < 0.999999),
+        "joined": docs.join(docs.sparkSession.range(1).withColumnRenamed("id", "_one"), F.lit(True)).drop("_one"),
+    }
+
+
+def test_only_plans_of_scans_are_read_again(docs):
     from tessera.llm.exchange import steady
 
-    moved = docs.repartition(5, "text")
-    assert steady(docs) is docs and "Exchange" not in steady(moved)._jdf.queryExecution().executedPlan().toString()
+    half = F.coalesce(F.col("doc_id"), F.lit(0)) % 2 == 0
+    for fixed in (docs, docs.select("doc_id", "text").where("doc_id > 3"), docs.where(half).unionByName(docs.where(~half))):
+        assert steady(fixed) is fixed
+    for kind, df in _plans(docs).items():
+        written = steady(df)
+        assert written is not df and steady(written) is written, kind
+
+
+@pytest.mark.parametrize("kind", ["moved", "limit", "ordered limit", "rdd"])
+def test_plans_that_move_rows_are_written_first(docs, kind):
+    from tessera.llm import language_model, ngram_join, suffix_dedup
+
+    moved = _plans(docs)[kind]
     key = lambda r: str(tuple(r))
     for f in (lambda d: language_model.evaluate(d).drop("score", "base_score"), lambda d: ngram_join.components(d).drop("row", "first"), lambda d: suffix_dedup.summary(d).select("doc_id", "n_bytes")):
         assert sorted(map(key, f(moved).collect())) == sorted(map(key, f(docs).collect()))
