@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import segment_distance
+from tessera.operators import stats
 
 XYZ = ("x", "y", "z")
 
@@ -74,21 +75,32 @@ def partition_sets(a: DataFrame, b: DataFrame, names: Sequence[str] = ("A_ONLY",
 
 
 def cohort(rows: DataFrame, delta: str = "delta") -> DataFrame:
-    """n, median of the differences, wins (above 0; ties count as losses), losses, win_pct and the verdict."""
-    d = F.col(delta)
-    out = rows.where(d.isNotNull()).agg(F.count(F.lit(1)).alias("n"), F.median(d).alias("median_delta"), F.count_if(d > 0).alias("wins"))
-    out = out.withColumns({"losses": F.col("n") - F.col("wins"), "win_pct": 100.0 * F.col("wins") / F.nullif(F.col("n"), F.lit(0))})
+    """n, median of the differences, wins (above 0; ties count as losses), losses, win_pct and the verdict.
+
+    Nulls and NaN are no cases.
+    """
+    d = stats.given(delta)
+    out = rows.agg(F.count(d).alias("n"), F.count_if(d > 0).alias("wins")).join(F.broadcast(stats.quantiles(rows, delta, {"median_delta": 0.5})))  # one row each
+    out = out.select("n", "median_delta", "wins").withColumns({"losses": F.col("n") - F.col("wins"), "win_pct": 100.0 * F.col("wins") / F.nullif(F.col("n"), F.lit(0))})
     return out.withColumn("verdict", verdict(F.col("median_delta"), F.col("win_pct")))
 
 
+# The words and bars of both ladders.
+
+
 def verdict(median: Column, win_pct: Column, establish: float = 0.05, win: float = 70.0, reject: float = 0.01, lose: float = 50.0) -> Column:
-    """ESTABLISH from both bars on; REJECT at or below the lower bar or with half the cases lost; else INCONCLUSIVE."""
-    return F.when((median >= establish) & (win_pct >= win), "ESTABLISH").when((median <= reject) | (100.0 - win_pct >= lose), "REJECT").otherwise("INCONCLUSIVE")
+    """ESTABLISH from both bars on; REJECT at or below the lower bar or with half the cases lost; else INCONCLUSIVE.
+
+    Null where either figure is null or NaN.
+    """
+    m, w = stats.given(median), stats.given(win_pct)
+    ladder = F.when((m >= establish) & (w >= win), "ESTABLISH").when((m <= reject) | (100.0 - w >= lose), "REJECT").otherwise("INCONCLUSIVE")
+    return F.when(m.isNotNull() & w.isNotNull(), ladder)
 
 
 def correlation_verdict(rho: Column, signal: float = 0.3, weak: float = 0.15) -> Column:
-    """SIGNAL, WEAK SIGNAL or NO SIGNAL by the size of a correlation; null where there is none."""
-    size = F.abs(rho)
+    """SIGNAL, WEAK SIGNAL or NO SIGNAL by the size of a correlation; null where it is null or NaN."""
+    size = F.abs(stats.given(rho))
     return F.when(size >= signal, "SIGNAL").when(size >= weak, "WEAK SIGNAL").when(size < weak, "NO SIGNAL")
 
 
@@ -96,17 +108,16 @@ def pair_cohort(rows: DataFrame, least: int = 5) -> DataFrame:
     """One row of a cohort of pair runs: n, median rho, wins (delta_rho above 0), win_pct, and the rank correlation of snaps with 1 - TM.
 
     ``rows``: rho, delta_rho, total_snap_count, tm_score of the runs that succeeded. The last correlation needs
-    ``least`` runs with a TM-score; n_tm is their number.
+    ``least`` runs with a TM-score; n_tm is their number. Nulls and NaN are left out.
     """
-    from tessera.operators import stats
-
-    own = rows.agg(F.count("rho").alias("n"), F.median("rho").alias("median_rho"), F.count_if(F.col("delta_rho") > 0).alias("wins"))
-    own = own.withColumn("win_pct", 100.0 * F.col("wins") / F.nullif(F.col("n"), F.lit(0)))
-    scored = rows.where("tm_score is not null").select(F.col("total_snap_count").cast("double").alias("snaps"), (1 - F.col("tm_score")).alias("far"))
+    own = rows.agg(F.count(stats.given("rho")).alias("n"), F.count_if(stats.given("delta_rho") > 0).alias("wins")).join(F.broadcast(stats.quantiles(rows, "rho", {"median_rho": 0.5})))  # one row each
+    own = own.select("n", "median_rho", "wins").withColumn("win_pct", 100.0 * F.col("wins") / F.nullif(F.col("n"), F.lit(0)))
+    scored = rows.where(stats.given("tm_score").isNotNull()).select(F.col("total_snap_count").cast("double").alias("snaps"), (1 - F.col("tm_score")).alias("far"))
     tm = stats.with_p_value(stats.spearman(scored, "snaps", "far"), "rho").select(F.col("n").alias("n_tm"), *[F.when(F.col("n") >= least, F.col(c)).alias(f"{c}_tm") for c in ("rho", "p")])
     return own.join(F.broadcast(tm))  # one row each
 
 
 def ratio_gate(rows: DataFrame, ratio: str, bar: float) -> DataFrame:
-    """Median of speed ratios and whether it passes the bar."""
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.median(ratio).alias("median_ratio")).withColumn("gate", F.when(F.col("median_ratio") > bar, "PASS").otherwise("FAIL"))
+    """Median of speed ratios and whether it passes the bar; nulls and NaN are left out, and no ratios don't pass."""
+    out = rows.agg(F.count(stats.given(ratio)).alias("n")).join(F.broadcast(stats.quantiles(rows, ratio, {"median_ratio": 0.5})))  # one row each
+    return out.withColumn("gate", F.when(F.col("median_ratio") > bar, "PASS").otherwise("FAIL"))

@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -15,9 +15,10 @@ BROADCAST_VALUES = 200_000
 QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def _given(column: str):
-    """The value, or null where it is NaN."""
-    return F.when(~F.isnan(F.col(column).cast("double")), F.col(column))
+def given(column: str | Column) -> Column:
+    """The value, or null where it is NaN: no statistic counts either, and Spark would order NaN above all numbers."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.when(~F.isnan(c.cast("double")), c)
 
 
 def quantiles(rows: DataFrame, value: str, at: dict[str, float], keys: Sequence[str] = ()) -> DataFrame:
@@ -29,7 +30,7 @@ def quantiles(rows: DataFrame, value: str, at: dict[str, float], keys: Sequence[
     from tessera.session import checkpoint
 
     keys = list(keys)
-    counts = rows.select(*keys, _given(value).cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    counts = rows.select(*keys, given(value).cast("double").alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
     ranged = checkpoint(counts.repartitionByRange(*[F.col(k) for k in keys], F.col("_v")).withColumn("_p", F.spark_partition_id()))
     sums = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))  # a row for each range, and for each key
     whole = Window.partitionBy(*keys)
@@ -50,7 +51,7 @@ def quantiles(rows: DataFrame, value: str, at: dict[str, float], keys: Sequence[
 
 def describe(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, mean, median, p90, p95, p99 (interpolated) and max; nulls and NaN are left out."""
-    keys, v = list(keys), _given(value)
+    keys, v = list(keys), given(value)
     out = rows.groupBy(*keys).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.max(v).alias("max"))
     q = quantiles(rows, value, QUANTILES, keys)
     names = ["n", "mean", *QUANTILES, "max"]
@@ -61,40 +62,58 @@ def describe(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame
 
 
 def pearson(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n and r over rows with both values; null where one side is constant."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    """n and r over rows with both values; nulls and NaN are left out; null where one side is constant."""
+    both = rows.where(given(x).isNotNull() & given(y).isNotNull())
     # corr() itself divides by zero where a side is constant
     spread = F.stddev_pop(x) * F.stddev_pop(y)
     return both.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), (F.covar_pop(x, y) / F.nullif(spread, F.lit(0.0))).alias("r"))
 
 
+def _ranks(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Adds the mean rank to counts (keys, _v, _p, _c), _p being ranges in the order of keys and _v.
+
+    A value may stand in several ranges, one after the other. Only a row for each range (and key) passes through one task.
+    """
+    sums = counts.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
+    whole = Window.partitionBy(*keys)
+    before = F.coalesce(F.sum("_s").over(whole.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sums.select(*keys, "_p", before.alias("_b"))
+    within = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    l, r = counts.withColumn("_w", within).alias("l"), starts.alias("r")
+    joined = l.join(r, [*[F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.col("l._p") == F.col("r._p")])
+    placed = joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], "_v", F.col("l._p").alias("_p"), "_c", (F.col("_b") + F.col("_w")).alias("_b"))
+    one = Window.partitionBy(*keys, "_v")  # as many rows as ranges hold the value
+    return placed.withColumn(name, F.min("_b").over(one) + (F.sum("_c").over(one) + 1) / 2).drop("_b", "_c")
+
+
 def average_rank(rows: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Adds the rank from 1, ties sharing their mean rank.
+    """Adds the rank from 1, ties sharing their mean rank; null where the value is null or NaN, which aren't ranked.
 
-    Ranks come from the counts of distinct values: those are summed in order, in ranges of the sorted
-    values, so rows never pass through one task; only a count per range does.
+    Ranks come from counts of the distinct values. Where those are few they are sent to the rows. Else the rows are cut into
+    ranges of the sorted values, which a value with many rows may fill several of, and meet their ranks by value and
+    range: no key of that join has more rows than a range.
     """
     from tessera.session import checkpoint
 
-    counts = checkpoint(rows.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c")))
-    order = [*[F.col(k) for k in keys], F.col(value)]
-    ranged = checkpoint(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    sums = ranged.groupBy(*keys, "_p").agg(F.sum("_c").alias("_s"))
-    before = F.coalesce(F.sum("_s").over(Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sums.select(*keys, "_p", before.alias("_b"))
-    within = F.coalesce(F.sum("_c").over(Window.partitionBy(*keys, "_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = ranged.withColumn("_w", within).alias("l").join(starts.alias("r"), [*[F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys], F.col("l._p") == F.col("r._p")])
-    ranks = joined.select(*[F.col(f"l.{k}").alias(k) for k in keys], F.col(f"l.{value}").alias(value), (F.col("_b") + F.col("_w") + (F.col("_c") + 1) / 2).alias(name))
-    a, b = rows.alias("a"), ranks.alias("b")
-    on = [F.col(f"a.`{c}`").eqNullSafe(F.col(f"b.`{c}`")) for c in [*keys, value]]
-    if counts.count() <= BROADCAST_VALUES:  # few values, each with many rows: the rows stay where they are
-        b = F.broadcast(b)
-    return a.join(b, on).select("a.*", f"b.{name}")
+    keys = list(keys)
+    v = given(value)
+    counts = checkpoint(rows.select(*keys, v.alias("_v")).where("_v is not null").groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")))
+    order = [*[F.col(k) for k in keys], F.col("_v")]
+    few = counts.count() <= BROADCAST_VALUES
+    if few:
+        src = rows.withColumn("_v", v)
+        ranks = F.broadcast(_ranks(checkpoint(counts.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())), keys, name).drop("_p"))
+    else:
+        src = checkpoint(rows.withColumns({"_v": v, "_t": F.monotonically_increasing_id()}).repartitionByRange(*order, F.col("_t")).withColumn("_p", F.spark_partition_id()))
+        ranks = _ranks(src.where("_v is not null").groupBy(*keys, "_v", "_p").agg(F.count(F.lit(1)).alias("_c")), keys, name)
+    a, b = src.alias("a"), ranks.alias("b")
+    on = [*[F.col(f"a.`{k}`").eqNullSafe(F.col(f"b.`{k}`")) for k in keys], *[F.col(f"a.{c}") == F.col(f"b.{c}") for c in (["_v"] if few else ["_v", "_p"])]]
+    return a.join(b, on, "left").select(*[f"a.`{c}`" for c in rows.columns], f"b.{name}")
 
 
 def spearman(rows: DataFrame, x: str, y: str, keys: Sequence[str] = ()) -> DataFrame:
-    """n and rho: Pearson's r of the average ranks."""
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    """n and rho: Pearson's r of the average ranks of the rows with both values; nulls and NaN are left out."""
+    both = rows.select(*keys, given(x).alias("_x"), given(y).alias("_y")).where("_x is not null and _y is not null")
     ranked = average_rank(average_rank(both, "_x", "_rx", keys), "_y", "_ry", keys)
     return pearson(ranked, "_rx", "_ry", keys).withColumnRenamed("r", "rho")
 
@@ -144,16 +163,24 @@ def with_p_value(rows: DataFrame, r: str = "r") -> DataFrame:
 
 
 def group_summary(rows: DataFrame, key: str, frame: str, disp: str, least: int = 5, top: int = 15) -> DataFrame:
-    """Per key n, median frame, median and mean value, for keys with ``least`` rows; the ``top`` by mean."""
-    out = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.median(frame).alias("median_frame"), F.median(disp).alias("median_disp"), F.avg(disp).alias("mean_disp"))
-    return out.where(F.col("n") >= least).orderBy(F.desc("mean_disp"), key).limit(top)
+    """Per key n, median frame, median and mean value, for keys with ``least`` rows; the ``top`` by mean.
+
+    Rows count that have both values; nulls and NaN are left out.
+    """
+    own = rows.select(key, given(frame).alias("_f"), given(disp).alias("_d")).where("_f is not null and _d is not null")
+    out = own.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.avg("_d").alias("mean_disp")).where(F.col("n") >= least)
+    for value, name in (("_f", "median_frame"), ("_d", "median_disp")):
+        q = quantiles(own, value, {name: 0.5}, [key]).withColumnRenamed(key, "_k")
+        out = out.join(q, F.col(key).eqNullSafe(F.col("_k"))).drop("_k")
+    return out.select(key, "n", "median_frame", "median_disp", "mean_disp").orderBy(F.desc("mean_disp"), key).limit(top)
 
 
 def top_contributors(rows: DataFrame, value: str, keys: Sequence[str], q: float = 0.95, top: int = 15) -> DataFrame:
-    """Groups with most rows at or above the ``q`` quantile of ``value``."""
+    """Groups with most rows at or above the ``q`` quantile of ``value``; nulls and NaN are left out."""
     cut = F.broadcast(quantiles(rows, value, {"_cut": q}))  # one row
-    return rows.join(cut).where(F.col(value) >= F.col("_cut")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).limit(top)
+    return rows.join(cut).where(given(value) >= F.col("_cut")).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), *keys).limit(top)
 
 
 def top_movers(rows: DataFrame, value: str, tie: Sequence[str], top: int = 30) -> DataFrame:
-    return rows.orderBy(F.desc(value), *tie).limit(top)
+    """The ``top`` rows by value; nulls and NaN are left out."""
+    return rows.where(given(value).isNotNull()).orderBy(F.desc(value), *tie).limit(top)

@@ -253,7 +253,10 @@ def bfs_reach(spark, sf):
 @query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', A)} SELECT p.entity, count(*) AS n, round(avg(frame), 6) AS mean_frame, round(median(frame), 6) AS median_frame, max(frame) AS max_frame FROM f JOIN p ON p.id = f.id GROUP BY p.entity")
 def bfs_group_summary(spark, sf):
     f = traverse.bfs(knn_graph_edges(spark, sf), A).join(cloud(spark, sf).select("id", "entity"), "id")
-    return f.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("frame"), 6).alias("mean_frame"), F.round(F.median("frame"), 6).alias("median_frame"), F.max("frame").alias("max_frame"))
+    f = checkpoint(f)
+    own = f.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("frame"), 6).alias("mean_frame"), F.max("frame").alias("max_frame"))
+    middle = stats.quantiles(f, "frame", {"median_frame": 0.5}, ["entity"])
+    return own.join(middle, "entity").select("entity", "n", "mean_frame", F.round("median_frame", 6).alias("median_frame"), "max_frame")
 
 
 @query(f"WITH RECURSIVE {KNN}, {bfs_sql('fa', A)}, {bfs_sql('fb', B)}, {bfs_sql('fc', 7)} SELECT CAST({A} AS BIGINT) AS seed, id, frame FROM fa UNION ALL SELECT CAST({B} AS BIGINT), id, frame FROM fb UNION ALL SELECT CAST(7 AS BIGINT), id, frame FROM fc")
