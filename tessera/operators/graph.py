@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import squared_distance, voxel
-from tessera.session import checkpoint, saved
+from tessera.operators.neighbours import knn_metric
+from tessera.session import checkpoint
 
 XYZ = ("x", "y", "z")
-#: Points that may be sent to every task; more are sent block by block.
+#: Points that may be sent to every task.
 BLOCK_POINTS = 50_000
 
 
@@ -66,45 +67,32 @@ def _top_k(src: np.ndarray, own: np.ndarray, ids: np.ndarray, coords: np.ndarray
 
 
 def knn_blocks(points: DataFrame, k: int, axes: Sequence[str] | None = None, vector: str | None = None) -> DataFrame:
-    """Exact k nearest neighbours (src, dst, d2), by blocks of ``BLOCK_POINTS`` points sent to every task.
+    """Exact k nearest neighbours (src, dst, d2): one block of all points where they are few, else the metric index.
 
-    A block's rows are read to the driver and broadcast; each task keeps the k best of a block. Where
-    there are several, they are merged by rank and written before the next block is sent, so one is held at
-    a time whatever the table's size. The work is that of all distances: in few dimensions use ``knn_grid``.
-    Ties go to the smaller id; a point is no neighbour of itself, told by id and not by distance.
+    ``BLOCK_POINTS`` points are sent to every task at most. Ties go to the smaller id; a point is no neighbour of itself,
+    told by id and not by distance.
     """
     names = list(axes or XYZ) if vector is None else [vector]
     p = points.select(F.col("id").cast("long").alias("id"), *names)
-    n = p.count()
-    shards = -(-n // BLOCK_POINTS) or 1
+    if p.count() > BLOCK_POINTS:
+        return knn_metric(p if vector is not None else p.select("id", F.array(*names).alias("_v")), k, vector or "_v")[0]
 
     def arrays(pdf: pd.DataFrame):
         ids = pdf["id"].to_numpy(np.int64)
         coords = np.stack(pdf[vector].to_numpy()).astype(np.float64) if vector is not None and len(pdf) else pdf[names].to_numpy(np.float64) if vector is None else np.empty((0, 1))
         return ids, coords
 
-    spark, kind, best = points.sparkSession, "src long, dst long, d2 double", None
-    rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-    for s in range(shards):
-        block = p if shards == 1 else p.where(F.pmod(F.xxhash64("id"), F.lit(shards)) == s)
-        held = spark.sparkContext.broadcast(arrays(block.toPandas()))
-
-        def search(batches, held=held):
-            ids, coords = held.value
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    src, own = arrays(pdf)
-                    a, b, d = _top_k(src, own, ids, coords, k)
-                    yield pd.DataFrame({"src": a.astype(np.int64), "dst": b.astype(np.int64), "d2": d})
-
-        part = p.mapInPandas(search, kind)
-        if shards == 1:
-            return part
-        # the best so far are written before the next block is sent, so that one block is held at a time
-        both = part if best is None else best.unionByName(part)
-        best = saved(both.withColumn("_n", rank).where(F.col("_n") <= k).drop("_n"), "knn")
-        held.destroy()
-    return best
+    held = points.sparkSession.sparkContext.broadcast(arrays(p.toPandas()))
+
+    def search(batches):
+        ids, coords = held.value
+        for pdf in batches:
+            if len(pdf) and len(ids):
+                src, own = arrays(pdf)
+                a, b, d = _top_k(src, own, ids, coords, k)
+                yield pd.DataFrame({"src": a.astype(np.int64), "dst": b.astype(np.int64), "d2": d})
+
+    return p.mapInPandas(search, "src long, dst long, d2 double")
 
 
 def knn_grid(points: DataFrame, k: int, axes: Sequence[str] = XYZ, cell: float | None = None, rounds: int = 40) -> DataFrame:
@@ -142,7 +130,7 @@ def knn_grid(points: DataFrame, k: int, axes: Sequence[str] = XYZ, cell: float |
 
 
 def knn_edges(points: DataFrame, k: int = 12, axes: Sequence[str] = XYZ) -> DataFrame:
-    """Exact k nearest neighbours (src, dst, d2): blocks while all points fit one, else the grid."""
+    """Exact k nearest neighbours (src, dst, d2): one block while all points fit it, else the grid."""
     if points.count() <= BLOCK_POINTS // 2:
         return knn_blocks(points, k, axes)
     return knn_grid(points, k, axes)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import conflict, hamming_prefix, next_state, node_gradient, residue_code, segment_distance, squared_distance
-from tessera.operators import align, evaluate, graph, points, spectral, stats, systems, traverse, walks
+from tessera.operators import align, evaluate, graph, neighbours, points, spectral, stats, systems, traverse, walks
 from tessera.session import checkpoint
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,7 +177,7 @@ def knn_growing_grid(spark, sf):
 SELECT src, dst FROM near WHERE rn <= {K}""")
 def knn_wide_vectors(spark, sf):
     e = _table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return graph.knn_blocks(e, K, vector="embedding").select("src", "dst")
+    return neighbours.knn_metric(e, K)[0].select("src", "dst")
 
 
 @query(f"WITH {RAD} SELECT src, dst FROM e")
