@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import displacement, hamming_prefix, transform
+from tessera.operators.matching import take_in_order
 from tessera.operators.points import last_per_key
 from tessera.session import checkpoint
 
@@ -130,23 +131,11 @@ def _parts(pairs: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFr
 def assign_greedy(pairs: DataFrame, keys: Sequence[str] = (), limit: float = 999.0) -> DataFrame:
     """(keys, ga, gb, rmsd): the groups of the first side in order each take the partner left with the smallest rmsd below ``limit``.
 
-    Of equals the first in order is taken. A choice depends on those before it, so each connected part of the
-    pairs below the limit is one task.
+    Of equals the first in order is taken; pairs are distinct.
     """
     keys = list(keys)
-    c = checkpoint(pairs.select(*keys, "ga", "gb", "rmsd").where(F.col("rmsd") < limit))
-    types = dict(c.dtypes)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for own, rows in pdf.sort_values([*keys, "ga", "rmsd", "gb"]).groupby([*keys, "ga"], sort=True):
-            free = next((r for r in rows.itertuples() if (*own[:-1], r.gb) not in used), None)
-            if free is not None:
-                used.add((*own[:-1], free.gb))
-                out.append((*own, free.gb, free.rmsd))
-        return pd.DataFrame(out, columns=[*keys, "ga", "gb", "rmsd"], dtype=object)
-
-    return _parts(c, "ga", "gb", keys).groupBy("_part").applyInPandas(take, ", ".join(f"`{x}` {types[x]}" for x in [*keys, "ga", "gb", "rmsd"]))
+    c = pairs.select(*keys, "ga", "gb", "rmsd").where((F.col("rmsd") < limit) & ~F.isnan(F.col("rmsd").cast("double")))
+    return take_in_order(c, keys, "ga", "gb", ["rmsd"])[0].drop("taken")
 
 
 def match_window(a: list[int], b: list[int], window: int = 2) -> list[tuple[int, int]]:
@@ -165,16 +154,18 @@ def match_window(a: list[int], b: list[int], window: int = 2) -> list[tuple[int,
 
 
 def window_match(a: DataFrame, b: DataFrame, key: str, seq: str = "seq_id", window: int = 2) -> DataFrame:
-    """(key, seq_a, seq_b) by ``match_window`` in each key, in order of ``seq``; sequential within a key."""
-    types = dict(a.dtypes)
-    rows = a.select(key, F.col(seq).cast("long").alias("s"), F.lit(0).alias("side")).union(b.select(key, F.col(seq).cast("long").alias("s"), F.lit(1).alias("side")))
-
-    def match(k, pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = (sorted(pdf.loc[pdf["side"] == i, "s"].tolist()) for i in (0, 1))
-        got = match_window(left, right, window)
-        return pd.DataFrame({key: pd.Series([k[0]] * len(got), dtype=object), "seq_a": [left[i] for i, _ in got], "seq_b": [right[j] for _, j in got]})
+    """(key, seq_a, seq_b) by ``match_window`` in each key, in order of ``seq``; a row for each pair, also of equal positions.
 
-    return rows.groupBy(key).applyInPandas(match, f"`{key}` {types[key]}, seq_a long, seq_b long")
+    Equal positions are one row with their number; those of the first side follow each other, so they take together.
+    Rows without a position are left out; null is a key.
+    """
+    count = lambda d, own, n: d.select(F.col(key).alias(f"_{own}"), F.col(seq).cast("long").alias(own)).where(F.col(own).isNotNull()).groupBy(f"_{own}", own).agg(F.count(F.lit(1)).alias(n))
+    order = [0, *[x for w in range(1, window + 1) for x in (w, -w)]]
+    left = count(a, "seq_a", "n").withColumn("d", F.explode(F.array(*[F.struct(F.lit(i).alias("rank"), F.lit(x).alias("by")) for i, x in enumerate(order)])))
+    near = left.join(count(b, "seq_b", "c"), F.col("_seq_a").eqNullSafe(F.col("_seq_b")) & (F.col("seq_a") + F.col("d.by") == F.col("seq_b")))
+    pairs = near.select(F.col("_seq_a").alias(key), "seq_a", "seq_b", F.col("d.rank").alias("rank"), "n", "c")
+    taken = take_in_order(pairs, [key], "seq_a", "seq_b", ["rank"], "n", "c")[0]
+    return taken.select(key, "seq_a", "seq_b", F.explode(F.sequence(F.lit(1).cast("long"), "taken"))).select(key, "seq_a", "seq_b")
 
 
 def _size(d: DataFrame):
