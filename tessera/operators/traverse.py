@@ -1,27 +1,34 @@
 """Breadth-first traversals: one seed, many seeds, k hops, tubes between two seeds.
 
 Two plans give the same rows. Small graphs (a checked number of edges) go to one task per group of
-seeds, which builds arrays and expands levels with numpy. Larger ones use a loop of joins: the
-frontier meets the edges, and what earlier levels hold is taken out by an anti-join. Edges are directed
-unless ``symmetric`` says that each has its way back, which is checked: then a level's neighbours lie in
-the two levels before it or are new, so only those two are read.
+seeds, which builds arrays and expands levels with numpy. Larger ones use a loop of joins: the edges are written
+once in buckets by source, the front moves to them, and what earlier levels hold is taken out. Up to 64 seeds
+are bits of one number and share each expansion. Edges are directed unless ``symmetric`` says that each has its
+way back, which is checked: then a level's neighbours lie in the two levels before it or are new, so only those
+two are read.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import symmetrize
-from tessera.session import checkpoint
+from tessera.session import checkpoint, checkpoint_root, remove, saved, temporary
 
-#: Edges up to which the graph goes to one task (two arrays of 8 bytes an edge).
-KERNEL_EDGES = 4_000_000
+#: Edges up to which the graph goes to one task: two arrays of 8 bytes an edge, 8 MB, as little as Spark would send everywhere.
+KERNEL_EDGES = 500_000
 FRAMES = "seed long, id long, frame int"
+#: A node with more than one in so many edges is a hub, whose edges are spread over so many salts.
+HUBS, SALTS = 1000, 16
+#: Levels that are kept apart before they are put together.
+MERGE = 16
 
 
 def expand(src: np.ndarray, dst: np.ndarray, seeds: Sequence[int], most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -64,23 +71,88 @@ def _kernel(edges: DataFrame, seeds: Sequence[int], most: int | None) -> DataFra
     return base.withColumn("g", F.explode(F.array(*[F.lit(g) for g in range(groups)]))).groupBy("g").applyInPandas(run, FRAMES)
 
 
-def _loop(edges: DataFrame, front: DataFrame, most: int | None, symmetric: bool, keys: Sequence[str] = ()) -> DataFrame:
-    e = checkpoint(edges.select(*keys, F.col("src").alias("id"), "dst").repartition(*keys, "id"))
-    levels = [checkpoint(front)]
-    while most is None or len(levels) <= most:
-        seen = levels[-2:] if symmetric else levels
-        known = seen[0]
-        for x in seen[1:]:
-            known = known.union(x)
-        new = levels[-1].join(e, [*keys, "id"]).select(*keys, "seed", F.col("dst").alias("id")).distinct().join(known, [*keys, "seed", "id"], "left_anti")
-        new = checkpoint(new.withColumn("frame", F.lit(len(levels))))
-        if new.isEmpty():
-            break
-        levels.append(new)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.union(x)
-    return out
+def _bucketed(df: DataFrame, by: Sequence[str], n: int, name: str) -> tuple[DataFrame, str, str]:
+    """``df`` as a table in ``n`` buckets of ``by``, its name and its path: a join on ``by`` moves none of its rows."""
+    spark = df.sparkSession
+    table = f"tessera_{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark).rstrip('/')}/tessera/{table}"
+    df.repartition(n, *by).write.bucketBy(n, *by).option("path", path).format("parquet").saveAsTable(table)
+    temporary(spark, path)
+    return spark.table(table), table, path
+
+
+def _forget(spark, table: str, path: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    remove(spark, path)
+
+
+def spread(edges: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Edges (keys, id, dst) with a ``salt`` that spreads the edges of each hub, and the hubs (keys, id, salts).
+
+    A hub has more than one in ``HUBS`` of all edges, so there are at most so many.
+    """
+    total = edges.count()
+    own = [*keys, "id"]
+    hubs = checkpoint(edges.groupBy(*own).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") * HUBS > total).select(*own, F.lit(SALTS).alias("salts")))
+    salted = edges.join(F.broadcast(hubs), own, "left").select(*own, "dst", F.when(F.col("salts").isNull(), 0).otherwise(F.pmod(F.xxhash64("dst"), F.lit(SALTS))).cast("int").alias("salt"))
+    return salted, hubs
+
+
+def step(front: DataFrame, edges: DataFrame, hubs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, part, id, mask) of the nodes that edges lead to from ``front``; masks of one node are put together.
+
+    The front moves to the edges' buckets; the edges stay where they are.
+    """
+    own = [*keys, "id"]
+    salted = front.join(F.broadcast(hubs), own, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    near = salted.hint("shuffle_hash").join(edges, [*own, "salt"])
+    return near.groupBy(*keys, "part", F.col("dst").alias("id")).agg(F.bit_or("mask").alias("mask"))
+
+
+def _loop(edges: DataFrame, seeds: DataFrame, most: int | None, symmetric: bool, keys: Sequence[str] = ()) -> DataFrame:
+    """Traversals from ``seeds`` (keys, seed, part, bit): 64 seeds are the bits of one row of a node, and share each expansion.
+
+    The edges are written once, by source. What was visited is a snapshot by node and the levels since; every
+    ``MERGE`` levels those are put into the next snapshot.
+    """
+    spark, keys = edges.sparkSession, list(keys)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own, held = [*keys, "part", "id"], []
+    salted, hubs = spread(edges.select(*keys, F.col("src").alias("id"), "dst"), keys)
+    e, *at = _bucketed(salted, [*keys, "id", "salt"], n, "edges")
+    held.append(at)
+    front = saved(seeds.groupBy(*keys, "part", F.col("seed").cast("long").alias("id")).agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask")), "level")
+    logs, recent, snapshot, frame = [], [front.withColumn("frame", F.lit(0))], None, 0
+    try:
+        while most is None or frame < most:
+            frame += 1
+            near = step(front, e, hubs, keys)
+            since = recent[-2:] if symmetric else recent  # of symmetric edges a level's neighbours lie in the two levels before or are new
+            known = reduce(DataFrame.unionByName, [x.select(*own, "mask") for x in since]).groupBy(*own).agg(F.bit_or("mask").alias("_m"))
+            new = near.join(known, own, "left")
+            seen = F.coalesce("_m", F.lit(0).cast("long"))
+            if snapshot is not None and not symmetric:
+                new = new.join(snapshot, own, "left")
+                seen = seen.bitwiseOR(F.coalesce("_s", F.lit(0).cast("long")))
+            new = new.select(*own, F.col("mask").bitwiseAND(F.bitwise_not(seen)).alias("mask")).where("mask <> 0")
+            front = saved(new, "level")
+            if front.isEmpty():
+                break
+            recent.append(front.withColumn("frame", F.lit(frame)))
+            if len(recent) > MERGE:
+                old, recent = recent[:-2], recent[-2:]
+                logs.append(saved(reduce(DataFrame.unionByName, old), "levels"))
+                if not symmetric:
+                    all_ = logs[-1].select(*own, "mask") if snapshot is None else logs[-1].select(*own, "mask").unionByName(snapshot.withColumnRenamed("_s", "mask"))
+                    snapshot, *at = _bucketed(all_.groupBy(*own).agg(F.bit_or("mask").alias("_s")), own, n, "visited")
+                    held.append(at)
+                    if len(held) > 2:
+                        _forget(spark, *held.pop(1))
+        found = reduce(DataFrame.unionByName, [*logs, *recent]).withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)))
+        return found.join(seeds.select(*keys, "part", "bit", "seed"), [*keys, "part", "bit"]).select(*keys, "seed", "id", "frame")
+    finally:
+        for at in held:
+            _forget(spark, *at)
 
 
 def _check_symmetric(edges: DataFrame, keys: Sequence[str] = ()) -> None:
@@ -108,7 +180,8 @@ def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, n
         plan = "kernel" if edges.count() <= KERNEL_EDGES else "loop"
     if plan == "kernel":
         return _kernel(edges, seeds, most)
-    return _loop(edges, edges.sparkSession.createDataFrame([(int(s), int(s), 0) for s in seeds], FRAMES), most, symmetric)
+    numbered = edges.sparkSession.createDataFrame([(s, i // 64, i % 64) for i, s in enumerate(seeds)], "seed long, part int, bit int")
+    return _loop(edges, numbered, most, symmetric)
 
 
 def bfs_by_key(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], most: int | None = None, symmetric: bool = False, plan: str = "auto") -> DataFrame:
@@ -126,7 +199,9 @@ def bfs_by_key(edges: DataFrame, seeds: DataFrame, keys: Sequence[str], most: in
         largest = e.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first().n
         plan = "kernel" if (largest or 0) <= KERNEL_EDGES else "loop"
     if plan == "loop":
-        return _loop(e, starts.select(*keys, "seed", F.col("seed").alias("id"), F.lit(0).alias("frame")), most, symmetric, keys)
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("seed")) - 1
+        numbered = checkpoint(starts.withColumn("_n", place).select(*keys, "seed", F.floor(F.col("_n") / 64).cast("int").alias("part"), (F.col("_n") % 64).cast("int").alias("bit")))
+        return _loop(e, numbered, most, symmetric, keys)
     types = dict(starts.dtypes)
 
     def run(key, own: pd.DataFrame, graph: pd.DataFrame) -> pd.DataFrame:

@@ -264,6 +264,22 @@ def bfs_multi_seed(spark, sf):
     return traverse.bfs_multi(knn_graph_edges(spark, sf), [A, B, 7])
 
 
+SUPPLY = "pr AS (SELECT DISTINCT l_partkey AS s, l_suppkey + 10000000 AS t FROM lineitem), e AS (SELECT s AS src, t AS dst FROM pr UNION ALL SELECT t, s FROM pr)"
+
+
+@query(f"WITH RECURSIVE {SUPPLY}, {bfs_sql('f', 10_000_001)} SELECT id, frame FROM f")
+def bfs_supply_graph(spark, sf):
+    """Parts and suppliers, joined by every line of an order, from the first supplier: more than a million edges at sf0.1, by joins."""
+    return traverse.bfs(_supply_edges(spark, sf), 10_000_001, plan="loop", symmetric=True)
+
+
+@query(f"""WITH RECURSIVE {SUPPLY}, w(seed, id, frame) AS (SELECT seed, seed, 0 FROM (SELECT unnest(range(10000001, 10000065)) AS seed) x UNION SELECT w.seed, e.dst, w.frame + 1 FROM w JOIN e ON e.src = w.id WHERE w.frame < 12)
+SELECT seed, id, min(frame) AS frame FROM w GROUP BY seed, id""")
+def bfs_many_seeds(spark, sf):
+    """The same graph from 64 suppliers at once, which share every expansion."""
+    return traverse.bfs_multi(_supply_edges(spark, sf), range(10_000_001, 10_000_065), plan="loop")
+
+
 @query(f"WITH RECURSIVE {KNN}, {bfs_sql('f', 5, 2)} SELECT id, frame FROM f")
 def k_hop(spark, sf):
     return traverse.k_hop(knn_graph_edges(spark, sf), 5, 2)
