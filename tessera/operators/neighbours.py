@@ -23,7 +23,7 @@ from tessera.session import saved
 #: Rows that a cell is to have; at most so many pivots, chosen among at most so many rows.
 CELL_ROWS, MOST_PIVOTS, SAMPLE_ROWS = 2048, 4096, 16_384
 #: Rows of either side that meet in one group of a task.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 8192
 #: An equal vector with more than one in so many points is sent to the points; so there are at most so many.
 HEAVY = 1000
 #: Rounding that bounds on distances allow for, as a share of the vectors' lengths.
