@@ -20,19 +20,25 @@ def ratchet(src: np.ndarray, dst: np.ndarray, seed: int) -> tuple[list[tuple], s
     """Ledger (f, n, s, t, g, a) of a walk and why it halted.
 
     The best node of the queue (largest gain, then degree, then first) turns from 0 to 1 once; its
-    neighbours with a gain other than 0 form the next queue.
+    neighbours with a gain other than 0 form the next queue. Sums over neighbours are made once; a node that
+    turns changes those of the nodes that lead to it only, so a step's work is that of the degrees it touches.
     """
     near: dict[int, list[int]] = {}
     for a, b in sorted(zip(src.tolist(), dst.tolist())):
         near.setdefault(a, []).append(b)
     degree = {n: len(x) for n, x in near.items()}
+    back: dict[int, list[int]] = {}
+    whole: dict[int, int] = {}
+    for a, x in near.items():
+        whole[a] = sum(degree.get(b, 0) for b in x)
+        for b in x:
+            back.setdefault(b, []).append(a)
     turned: set[int] = set()
+    on: dict[int, int] = {}
 
     def gain(n: int) -> int:
-        on = sum(degree.get(j, 0) for j in near.get(n, ()) if j in turned)
-        off = sum(degree.get(j, 0) for j in near.get(n, ()) if j not in turned)
         # a turned node would leave state 1 for -1, which no neighbour has
-        return on if n in turned else off - on
+        return on.get(n, 0) if n in turned else whole.get(n, 0) - 2 * on.get(n, 0)
 
     queue, ledger = [seed], []
     while True:
@@ -46,6 +52,8 @@ def ratchet(src: np.ndarray, dst: np.ndarray, seed: int) -> tuple[list[tuple], s
         if best in turned:
             return ledger, "best already flipped"
         turned.add(best)
+        for j in back.get(best, ()):
+            on[j] = on.get(j, 0) + degree.get(best, 0)
         queue = [j for j in near.get(best, ()) if gain(j) != 0]
         ledger.append((len(ledger), best, 0, 1, float(top[0]), len(queue)))
 

@@ -93,3 +93,50 @@ def test_ledger_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {r.n: r.f for r in spark.table("flips").collect()} == {1: 2, 2: 7}
+
+
+def _summed_anew(edges, seed):
+    """The walk with every gain added up over all neighbours at each step."""
+    near = {}
+    for a, b in sorted(edges):
+        near.setdefault(a, []).append(b)
+    degree, turned, queue, out = {n: len(x) for n, x in near.items()}, set(), [seed], []
+
+    def gain(n):
+        on = sum(degree.get(j, 0) for j in near.get(n, ()) if j in turned)
+        off = sum(degree.get(j, 0) for j in near.get(n, ()) if j not in turned)
+        return on if n in turned else off - on
+
+    while True:
+        ranked = [(gain(n), degree.get(n, 0), -i, n) for i, n in enumerate(queue)]
+        best = max((x for x in ranked if x[0] > 0), default=None)
+        if best is None or best[3] in turned:
+            return out
+        turned.add(best[3])
+        queue = [j for j in near.get(best[3], ()) if gain(j) != 0]
+        out.append((best[3], float(best[0]), len(queue)))
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_kept_gains_equal_those_summed_anew(seed):
+    r = random.Random(seed)
+    n = r.randint(2, 25)
+    edges = [(r.randrange(n), r.randrange(n)) for _ in range(r.randint(1, 60))]  # one-way edges, loops and repeats too
+    if seed % 2:
+        edges = sorted({(a, b) for a, b in edges} | {(b, a) for a, b in edges})
+    src, dst = (np.array(x) for x in zip(*edges))
+    got, _ = walks.ratchet(src, dst, edges[0][0])
+    assert [(x[1], x[4], x[5]) for x in got] == _summed_anew(edges, edges[0][0])
+
+
+def test_a_hub_of_many_leaves_is_walked_at_once():
+    """Steps between hubs touch the leaves once each; summed anew they would be added up for every leaf of every queue."""
+    import time
+
+    leaves = 100_000
+    a = np.r_[np.zeros(leaves, np.int64), np.arange(leaves) + 10]
+    b = np.r_[np.arange(leaves) + 10, np.zeros(leaves, np.int64)]
+    chain = np.array([(0, 1), (1, 0), (1, 2), (2, 1), (2, 3), (3, 2)])
+    start = time.time()
+    ledger, _ = walks.ratchet(np.r_[a, chain[:, 0]], np.r_[b, chain[:, 1]], 3)
+    assert ledger[0][1] == 3 and 0 in {x[1] for x in ledger} and time.time() - start < 20
