@@ -1,19 +1,24 @@
 """Fiedler vectors, sign conventions and the spectral comparison of two conformers.
 
-A system is one task, dense up to ``MOST_NODES`` nodes and by inverse iteration over its edges beyond;
-a cohort runs its systems side by side.
+A system is one task up to ``TASK_EDGES`` edges, dense up to ``MOST_NODES`` nodes and by inverse iteration over its
+edges beyond; a cohort runs its systems side by side. A larger system is spread over all tasks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.lanczos import fiedler_large
 from tessera.operators.walks import sign_align, snap_ranks
 
 MOST_NODES = 4000
+#: Entries of ``edges`` that one task takes: 16 bytes each, 80 MB.
+TASK_EDGES = 5_000_000
 
 
 def fiedler_vector(src: np.ndarray, dst: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, float, int]:
@@ -126,9 +131,18 @@ def inverse_lanczos(a: np.ndarray, b: np.ndarray, n: int, steps: int = 24, resta
 def fiedler(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     """(key, id, v, eigenvalue, n_components, status, reason) of every node of every system.
 
-    A system that fails becomes one row with status PIPELINE_FAILURE and the reason; the others go on.
+    A system that fails becomes one row with status PIPELINE_FAILURE and the reason; the others go on. Systems of more
+    than ``TASK_EDGES`` edges are solved by ``fiedler_large``, one after the other, and never grouped.
     """
     kind = dict(nodes.dtypes)[key]
+    large = [r[0] for r in edges.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > TASK_EDGES).select(key).collect()]
+    if large:
+        solved = []
+        for k in large:
+            own = F.col(key).eqNullSafe(F.lit(k))
+            solved.append(fiedler_large(edges.where(own), nodes.where(own).select("id")).select(F.lit(k).cast(kind).alias(key), "*"))
+            edges, nodes = edges.where(~own), nodes.where(~own)
+        return reduce(DataFrame.unionByName, [*solved, fiedler(edges, nodes, key)])
     rows = nodes.select(key, F.col("id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst")).unionByName(edges.select(key, F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")))
     names = [key, "id", "v", "eigenvalue", "n_components", "status", "reason"]
 
