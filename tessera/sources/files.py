@@ -1,9 +1,7 @@
-"""Binary CSR folders, file sizes and nested JSON."""
+"""File sizes and nested JSON."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,49 +29,6 @@ def csr_size(spark: SparkSession, folder: str) -> DataFrame:
 CSR_FILES = ("states.bin", "offsets.bin", "indices.bin")
 
 
-def _csr(spark: SparkSession, folder: str, names: tuple, decode, schema: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.bin").load(folder)
-    files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.element_at(F.split("path", "/"), -2).alias("folder"), "content").where(F.col("name").isin(*names))
-    return files.groupBy("folder").applyInPandas(decode, schema)
-
-
-def _offsets(held: dict) -> np.ndarray:
-    raw = held.get("offsets.bin", b"")
-    if len(raw) % 4 or len(raw) < 8:
-        raise ValueError("offsets.bin is missing or too small")
-    return np.frombuffer(raw, "<i4").astype(np.int64)
-
-
-def csr_binary(spark: SparkSession, folder: str) -> DataFrame:
-    """(src, dst) of ``offsets.bin`` and ``indices.bin`` (int32, little-endian) in ``folder``.
-
-    Fails where the number of indices isn't the last offset, or where there are none.
-    """
-    def decode(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = dict(zip(pdf["name"], pdf["content"]))
-        offsets, indices = _offsets(held), np.frombuffer(held.get("indices.bin", b""), "<i4").astype(np.int64)
-        if offsets[-1] != len(indices) or not len(indices):
-            raise ValueError("offsets and indices don't fit together")
-        return pd.DataFrame({"src": np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), "dst": indices})
-
-    return _csr(spark, folder, ("offsets.bin", "indices.bin"), decode, "src long, dst long")
-
-
-def csr_nodes(spark: SparkSession, folder: str) -> DataFrame:
-    """(id, state, degree) of ``states.bin`` (int8) and ``offsets.bin``; fails unless there is one state a node.
-
-    ``points.seed_by_state`` finds the seed of a walk among them.
-    """
-    def decode(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = dict(zip(pdf["name"], pdf["content"]))
-        offsets, states = _offsets(held), np.frombuffer(held.get("states.bin", b""), np.int8)
-        if len(states) != len(offsets) - 1:
-            raise ValueError(f"{len(states)} states for {len(offsets) - 1} nodes")
-        return pd.DataFrame({"id": np.arange(len(states)), "state": states.astype(np.int32), "degree": np.diff(offsets)})
-
-    return _csr(spark, folder, ("offsets.bin", "states.bin"), decode, "id long, state int, degree long")
-
-
 def walk_document(spark: SparkSession, path: str) -> DataFrame:
     """Residues of a walk document, one row each: arrival from both seeds (-1 where not reached) and displacement."""
     residue = "struct<resid:int,ffA:int,ffB:int,disp:double>"

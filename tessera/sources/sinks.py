@@ -1,16 +1,10 @@
-"""Writers: Parquet tables, JSON lines, CSR binaries and a Markdown report."""
+"""Writers: Parquet tables, JSON lines, a Markdown report, and the CSR export."""
 
 from __future__ import annotations
 
-import os
-
-import numpy as np
 from pyspark.sql import DataFrame
 
-from tessera.operators.graph import csr_offsets
-
-#: A CSR export passes through the driver, so it is refused for graphs beyond this many edges.
-MOST_EDGES = 50_000_000
+from tessera.sources.csr import export_csr  # noqa: F401
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, folder: str) -> None:
@@ -32,24 +26,6 @@ def write_document(rows: DataFrame, path: str) -> None:
     rows.coalesce(1).write.mode("overwrite").json(path)
 
 
-def export_csr(nodes: DataFrame, edges: DataFrame, folder: str, seed: int | None = None) -> None:
-    """``states.bin`` (int8), ``offsets.bin`` and ``indices.bin`` (int32) in a local folder, for nodes 0..n-1."""
-    n_edges = edges.count()
-    if n_edges > MOST_EDGES:
-        raise ValueError(f"{n_edges} edges; an export has {MOST_EDGES} at most")
-    offsets = csr_offsets(edges, nodes).orderBy("id").toPandas()
-    if len(offsets) and (offsets["id"].to_numpy() != np.arange(len(offsets))).any():
-        raise ValueError("node ids aren't 0..n-1")
-    pairs = edges.orderBy("src", "dst").select("dst").toPandas()
-    os.makedirs(folder, exist_ok=True)
-    np.r_[offsets["offset"].to_numpy(), len(pairs)].astype("<i4").tofile(f"{folder}/offsets.bin")
-    pairs["dst"].to_numpy().astype("<i4").tofile(f"{folder}/indices.bin")
-    states = np.zeros(len(offsets), np.int8)
-    if seed is not None:
-        states[seed] = 1
-    states.tofile(f"{folder}/states.bin")
-
-
 def markdown(rows: DataFrame, title: str, most: int = 10_000) -> str:
     """A table as Markdown, with every row; raises ValueError where there are more than ``most``."""
     head = rows.limit(most + 1).collect()
