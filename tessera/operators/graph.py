@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import squared_distance, voxel
+from tessera.operators import tiles
 from tessera.operators.neighbours import knn_metric
 from tessera.session import checkpoint
 
@@ -29,12 +30,24 @@ def undirected(edges: DataFrame) -> DataFrame:
     return edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
 
-def radius_edges(points: DataFrame, r: float, keys: Sequence[str] = (), axes: Sequence[str] = XYZ) -> DataFrame:
+def radius_edges(points: DataFrame, r: float, keys: Sequence[str] = (), axes: Sequence[str] = XYZ, most: int = tiles.CELL_POINTS) -> DataFrame:
     """Directed edges between points at most ``r`` apart (inclusive), both ways, within equal ``keys``.
 
     A grid of cells of width r: each point looks into the 27 cells around its own. The search is an
-    equi-join on cell numbers with the distance as residual condition, never a cross join.
+    equi-join on cell numbers with the distance as residual condition, never a cross join. Cells of more
+    than ``most`` points, and what lies around them, meet tile by tile instead (``tiles``), so points that crowd
+    in one cell, or in one place, are no hot key. The cells are counted first, which reads the points once more.
     """
+    dense = checkpoint(tiles.crowded(points, r, keys, axes, most))
+    if not (n := dense.count()):
+        return _cell_edges(points, r, keys, axes)
+    cells = [f"_{a}" for a in axes]
+    named = points.select(*keys, "id", *axes, *[voxel(F.col(a), r).alias(f"_{a}") for a in axes])
+    thin = named.join(F.broadcast(dense) if n <= tiles.MOST_SENT else dense, [*keys, *cells], "left_anti").drop(*cells)
+    return _cell_edges(thin, r, keys, axes).unionByName(tiles.crowded_edges(points, dense, r, keys, axes, most))
+
+
+def _cell_edges(points: DataFrame, r: float, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
     cells = [voxel(F.col(a), r).alias(f"_{a}") for a in axes]
     left = points.select(*keys, F.col("id").alias("src"), *[F.col(a).alias(f"s{a}") for a in axes], *cells)
     for a in axes:
