@@ -19,7 +19,6 @@ own, of which any may be taken; other columns are ignored. An empty table gives
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -53,19 +52,24 @@ def cyclic_weights(sources) -> dict[str | None, float]:
     return {s: float(i % 3 + 1) for i, s in enumerate(order)}
 
 
+def _in_order(pattern: tuple) -> tuple:
+    return tuple((s is None, s or "") for s in pattern)
+
+
 def route(capacity: dict[tuple, float], quota: dict[str | None, float], copies: int = COPIES) -> dict[tuple, float]:
     """Tokens to take of each pattern: min-cost flow from patterns over sources to the quotas.
 
-    Successive cheapest paths over the residual graph; a pattern has ``copies`` parallel arcs of
-    its size with costs 0, 1, 2 and so on. Parts of the graph that share no source are solved by
-    themselves, so disjoint sources cost a few steps each.
+    A pattern's n-th copy of its tokens costs n - 1, all else costs nothing; so a cheapest path costs what its first arc
+    does, and the flow is filled cost by cost: the greatest flow with one copy, raised to the greatest with two, and so on.
+    Each is found by blocking flows over shortest paths. Parts of the graph that share no source are solved by
+    themselves. The order of ``capacity`` doesn't matter.
     """
     of = defaultdict(list)
-    for p in capacity:
+    for p in sorted(capacity, key=_in_order):
         for s in p:
             of[s].append(p)
     seen, taken = set(), {}
-    for root in capacity:
+    for root in sorted(capacity, key=_in_order):
         if root in seen:
             continue
         part, todo = [], [root]
@@ -74,7 +78,8 @@ def route(capacity: dict[tuple, float], quota: dict[str | None, float], copies:
             p = todo.pop()
             part.append(p)
             for s in p:
-                for q in of[s]:
+                # a source's patterns are looked at once
+                for q in of.pop(s, ()):
                     if q not in seen:
                         seen.add(q)
                         todo.append(q)
@@ -83,49 +88,91 @@ def route(capacity: dict[tuple, float], quota: dict[str | None, float], copies:
 
 
 def _flow(capacity: dict[tuple, float], quota: dict, copies: int) -> dict[tuple, float]:
-    names = [("start",), ("end",), *[("p", p) for p in capacity], *[("s", s) for s in quota]]
-    at = {n: i for i, n in enumerate(names)}
-    head, room, cost, out = [], [], [], [[] for _ in names]
-
-    def arc(a, b, c, w):
-        for x, y, r, v in ((a, b, c, w), (b, a, 0.0, -w)):
-            out[x].append(len(head))
-            head.append(y)
-            room.append(r)
-            cost.append(v)
-
-    for p, c in capacity.items():
-        for k in range(copies):
-            arc(0, at["p", p], float(c), k)
-        for s in p:
-            arc(at["p", p], at["s", s], float("inf"), 0)
-    for s, q in quota.items():
-        arc(at["s", s], 1, float(q), 0)
+    """Flow of each pattern in one part. Only free capacity of patterns, room of sources and flow on arcs are kept."""
+    patterns, sources = list(capacity), list(quota)
+    at = {s: i for i, s in enumerate(sources)}
+    to = [[at[s] for s in p] for p in patterns]
+    back: list[list[int]] = [[] for _ in sources]
+    free, room = [0.0] * len(patterns), [float(quota[s]) for s in sources]
+    flow = [dict.fromkeys(t, 0.0) for t in to]
+    for i, t in enumerate(to):
+        for s in t:
+            back[s].append(i)
     tiny = 1e-9 * max([1.0, *quota.values()])
-    height = [0.0] * len(names)
-    while True:
-        far, by, heap = [float("inf")] * len(names), [-1] * len(names), [(0.0, 0)]
-        far[0] = 0.0
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > far[u]:
-                continue
-            for e in out[u]:
-                if room[e] > tiny and (n := d + cost[e] + height[u] - height[head[e]]) < far[head[e]] - 1e-12:
-                    far[head[e]], by[head[e]] = n, e
-                    heapq.heappush(heap, (n, head[e]))
-        if far[1] == float("inf"):
-            break
-        height = [h + min(d, far[1]) for h, d in zip(height, far)]
-        path, v = [], 1
-        while v:
-            path.append(by[v])
-            v = head[by[v] ^ 1]
-        push = min(room[e] for e in path)
-        for e in path:
-            room[e] -= push
-            room[e ^ 1] += push
-    return {p: sum(room[e ^ 1] for e in out[0] if head[e] == at["p", p]) for p in capacity}
+    for _ in range(copies):
+        free = [f + float(capacity[p]) for f, p in zip(free, patterns)]
+        while _blocking(to, back, free, room, flow, tiny):
+            pass
+    return {p: sum(flow[i].values()) for i, p in enumerate(patterns)}
+
+
+def _blocking(to, back, free, room, flow, tiny) -> bool:
+    """Fill all shortest ways from patterns with free tokens to sources with room; False if there are none.
+
+    A way goes from a pattern to a source of its own, and from a source back to a pattern that could send elsewhere
+    what it sends there.
+    """
+    far_p, far_s = [-1] * len(to), [-1] * len(back)
+    layer = [i for i, f in enumerate(free) if f > tiny]
+    for i in layer:
+        far_p[i] = 0
+    depth, ends = 0, False
+    while layer and not ends:
+        hit = []
+        for i in layer:
+            for s in to[i]:
+                if far_s[s] < 0:
+                    far_s[s] = depth + 1
+                    hit.append(s)
+        ends = any(room[s] > tiny for s in hit)
+        layer = []
+        for s in hit if not ends else ():
+            for i in back[s]:
+                if far_p[i] < 0 and flow[i][s] > tiny:
+                    far_p[i] = depth + 2
+                    layer.append(i)
+        depth += 2
+    if not ends:
+        return False
+    next_p, next_s = [0] * len(to), [0] * len(back)
+    for start in range(len(to)):
+        while far_p[start] == 0 and free[start] > tiny:
+            # way: pattern, source, pattern, ..., source; each position goes on from where it last stopped
+            way = [start]
+            while way:
+                u = way[-1]
+                if len(way) % 2:
+                    if next_p[u] == len(to[u]):
+                        way.pop()
+                        if way:
+                            next_s[way[-1]] += 1
+                    elif far_s[s := to[u][next_p[u]]] == far_p[u] + 1:
+                        way.append(s)
+                    else:
+                        next_p[u] += 1
+                elif far_s[u] == depth - 1:
+                    # of the last layer: an end or nothing
+                    if room[u] > tiny:
+                        break
+                    way.pop()
+                    next_p[way[-1]] += 1
+                elif next_s[u] == len(back[u]):
+                    way.pop()
+                    next_p[way[-1]] += 1
+                elif far_p[i := back[u][next_s[u]]] == far_s[u] + 1 and flow[i][u] > tiny:
+                    way.append(i)
+                else:
+                    next_s[u] += 1
+            if not way:
+                break
+            push = min([free[start], room[way[-1]], *[flow[way[k]][way[k - 1]] for k in range(2, len(way), 2)]])
+            for k in range(0, len(way), 2):
+                flow[way[k]][way[k + 1]] += push
+                if k:
+                    flow[way[k]][way[k - 1]] -= push
+            free[start] -= push
+            room[way[-1]] -= push
+    return True
 
 
 def n_words(text: Column) -> Column:

@@ -1,6 +1,7 @@
 import itertools
 import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -26,16 +27,38 @@ def test_flow_fills_quotas_at_least_cost():
     assert math.isclose(cost, 4)
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_flow_equals_the_greatest_flow(seed):
+def best(patterns, quota, copies=3):
+    """(greatest flow, its least cost): each level's greatest flow is the least over cuts of sources."""
+    cuts = [set(c) for n in range(len(quota) + 1) for c in itertools.combinations(quota, n)]
+    top = [min(sum(quota[s] for s in cut) + sum(k * c for p, c in patterns.items() if set(p) - cut) for cut in cuts) for k in range(copies + 1)]
+    return top[-1], sum(k * (top[k + 1] - top[k]) for k in range(copies))
+
+
+def cost_of(taken, patterns, copies=3):
+    return sum(min(max(taken[p] - k * c, 0), c) * k for p, c in patterns.items() for k in range(copies))
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_flow_is_greatest_and_cheapest(seed):
     r = random.Random(seed)
-    names = "abcd"
-    patterns = {p: float(r.randint(1, 20)) for n in (1, 2, 3) for p in itertools.combinations(names, n) if r.random() < 0.6}
-    quota = {s: float(r.randint(1, 40)) for s in names}
-    got = mixing.route(patterns, {s: q for s, q in quota.items()}, 3)
-    # greatest flow: the least over cuts of sources
-    best = min(sum(quota[s] for s in cut) + sum(3 * c for p, c in patterns.items() if set(p) - set(cut)) for n in range(5) for cut in itertools.combinations(names, n))
-    assert math.isclose(sum(got.values()), best) and all(f <= 3 * patterns[p] + 1e-9 for p, f in got.items())
+    names = ["a", "b", "c", None, "d"][: 1 + seed % 5]
+    patterns = {p: float(r.choice([0, r.randint(1, 20)])) for n in (1, 2, 3) for p in itertools.combinations(names, n) if r.random() < 0.6}
+    quota = {s: float(r.randint(0, 40)) for s in names}
+    got = mixing.route(patterns, quota, 3)
+    flow, cost = best(patterns, quota)
+    assert math.isclose(sum(got.values()), flow, abs_tol=1e-6) and all(0 <= f <= 3 * patterns[p] + 1e-9 for p, f in got.items())
+    assert math.isclose(cost_of(got, patterns), cost, abs_tol=1e-6)
+    assert mixing.route(dict(reversed(patterns.items())), quota, 3) == got
+
+
+def test_flow_of_many_overlapping_patterns_ends_soon():
+    r = random.Random(5)
+    patterns = {tuple(sorted(r.sample(range(60), 3))): 0.0 for _ in range(6000)}
+    patterns = {tuple(f"s{x:02}" for x in p): float(r.randint(1, 1000)) for p in patterns}
+    quota = {f"s{x:02}": sum(patterns.values()) * r.random() / 30 for x in range(60)}
+    start = time.process_time()
+    got = mixing.route(patterns, quota)
+    assert time.process_time() - start < 10 and math.isclose(sum(got.values()), min(sum(quota.values()), 3 * sum(patterns.values())), rel_tol=1e-9)
 
 
 def test_every_source_comes_near_its_target(spark, docs, rows):
@@ -53,10 +76,44 @@ def test_every_source_comes_near_its_target(spark, docs, rows):
 
 
 def test_documents_of_several_sources(spark):
-    rows = [(i, "w " * (1 + i % 5), [["a"], ["a", "b"], ["b", None], []][i % 4]) for i in range(200)]
+    names = [("a",), ("a", "b"), (None, "b"), ()]
+    rows = [(i, "w " * (1 + i % 5), list(names[i % 4])) for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
-    got = mixing.mix(d, weights={"a": 1.0, "b": 1.0, None: 1.0}).collect()
-    assert len(got) == 200 and all(r.taken <= 3 * r.size for r in got) and sum(r.taken for r in got) > 0
+    weights = {"a": 1.0, "b": 2.0, None: 4.0}
+    got = {r.doc_id: r for r in mixing.mix(d, weights=weights).collect()}
+    assert len(got) == 400 and all(r.taken <= 3 * r.size for r in got.values())
+    own = {p: sum(1 + i % 5 for i in range(400) if names[i % 4] == p) for p in names}
+    size = {s: float(sum(w for p, w in own.items() if s in p)) for s in weights}
+    quota = mixing.targets(size, weights)
+    patterns = {p: float(w) for p, w in own.items() if p}
+    taken = {p: float(sum(r.taken for i, r in got.items() if names[i % 4] == p)) for p in patterns}
+    flow, cost = best(patterns, quota)
+    # each pattern's choice ends within half a document
+    slack = 2.5 * len(patterns)
+    assert abs(sum(taken.values()) - flow) <= slack and abs(cost_of(taken, patterns) - cost) <= 2 * slack
+    for n in range(1, 4):
+        for some in itertools.combinations(weights, n):
+            assert sum(t for p, t in taken.items() if set(p) <= set(some)) <= sum(quota[s] for s in some) + slack
+    assert all(got[i].taken == 0 and got[i].target == 0 for i in range(3, 400, 4))
+    assert all(math.isclose(got[i].target, sum(quota[s] for s in names[i % 4])) for i in range(400))
+
+
+def test_what_is_taken_once_more_is_first_in_the_seeded_order(spark):
+    rows = [(i, "w " * (1 + i % 9), "ab"[i % 3 == 0]) for i in range(300)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    h = F.xxhash64(F.lit(mixing.SEED), "doc_id", mixing.n_words(F.col("text")), F.concat(F.lit("="), "source"))
+    order = {r.doc_id: r.h % 2**64 >> 40 for r in d.select("doc_id", h.alias("h")).collect()}
+    assert len(set(order.values())) == 300
+    got = mixing.mix(d, carry=["source"]).collect()
+    for s in "ab":
+        own = sorted((r for r in got if r._c_source == s), key=lambda r: order[r.doc_id])
+        total = sum(r.size for r in own)
+        whole = min(3, int(own[0].target / total + 1e-9))
+        left, upto, want = own[0].target - whole * total, 0, []
+        ends = [k for k, r in enumerate(own) if (upto := upto + r.size) - r.size / 2 <= left] if left > 1e-9 else []
+        want = [whole + (bool(ends) and k <= ends[-1]) for k in range(len(own))]
+        assert [r.taken for r in own] == [w * r.size for w, r in zip(want, own)]
+        assert 0 < sum(w > whole for w in want) < len(own) or whole == 3
 
 
 def test_extra_columns_and_empty_tables(spark, docs, empty):
