@@ -1,10 +1,13 @@
 import gzip
 import json
+import random
+from collections import Counter
 
 import pytest
 
 from tessera.operators import points
 from tessera.sources import atoms, csr_nodes, csr_size, pair_results, read_edges, residue_index, snap_edges, walk_document
+from tessera.sources import structure
 from tessera.sources.edges import n_nodes
 from tessera.sources.sinks import markdown, write_document, write_frames, write_graph, write_ledger
 from tessera.sources.structure import parse
@@ -55,6 +58,36 @@ def test_structures_as_tables(spark, tmp_path):
     assert points.representatives(a.where("group = 'ATOM'")).count() == 6
 
 
+def odd_structures():
+    """Texts with what the format allows and what it doesn't."""
+    r = random.Random(3)
+    long = CIF.split("ATOM")[0] + "".join(f"ATOM {i} {r.choice(['CA', 'N', 'P'])} GLY {r.choice('AB')} 1 {r.choice([str(i), '.', '2.0', '99999999999'])} {r.choice(['1.5', '-2e1', '.5', '?', 'nan', '1d', '1e999'])} {i} 0.25\n{r.choice(['', '', 'loop_ '])}\n" for i in range(400)) + "# end\nATOM 1 CA GLY A 1 9 1 1 1\n"
+    shuffled = "# first\nloop_\n_other.a\n_atom_site.label_atom_id old\nloop_\n_atom_site.Cartn_z\n_atom_site.Cartn_y\n_atom_site.Cartn_x\n_atom_site.label_atom_id\n_atom_site.group_PDB\n_atom_site.auth_asym_id\n_atom_site.B_iso_or_equiv\n"
+    shuffled += "".join(f"  {k}ATOM 1 2 \"CA\" ATOM Q 7.5\t\n" for k in ("", "HET")) + "ATOM 2 3 CB ATOM\nloop_\n_atom_site.group_PDB\nATOM 4 5 . ATOM ? .\n"
+    return {"long.cif": long, "shuffled.cif": shuffled, "bare.cif": "ATOM 1 x CA . GLY A 1 1 . 1.5 2.5 3.5\nATOM 1\n", "none.cif": "data_X\n# nothing\n", "empty.cif": ""}
+
+
+@pytest.mark.parametrize("sent", [200_000, 0])
+def test_structures_in_splits_equal_the_text_at_once(spark, tmp_path, monkeypatch, sent):
+    monkeypatch.setattr(structure, "MOST_SENT", sent)
+    texts = odd_structures()
+    for n, t in texts.items():
+        (tmp_path / n).write_text(t)
+    names = [f.split()[0] for f in structure.ATOMS.split(", ")]
+    want = Counter(tuple(({"file": n} | row)[k] for k in names) for n, t in texts.items() for row in parse(t))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        got = atoms(spark, str(tmp_path))
+        assert Counter(map(tuple, got.collect())) == want and len(want) > 150 and got.columns == names
+        plain = atoms(spark, str(tmp_path), numbered=False)
+        assert Counter(map(tuple, plain.collect())) == Counter(w[:1] + w[2:] for w in want.elements())
+        plan = plain.where("atom = 'CA'")._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Window" not in plan and (not sent or "Exchange hashpartitioning" not in plan)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_edge_lists(spark, tmp_path):
     with gzip.open(tmp_path / "e.txt.gz", "wt") as f:
         f.write("# comment\n\n0\t1\n5 2\n")
