@@ -63,6 +63,7 @@ def run_systems(nodes: DataFrame, seeds: DataFrame, truth: DataFrame, radius: fl
     for part in (counts, entries, length, size, scored(tube, "tube"), scored(cylinder, "cylinder")):
         out = out.join(part, "system", "left")
     out = out.withColumn("delta", F.col("tube_f1") - F.col("cylinder_f1")).withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
+    # The words of the reasons.
     reason = F.when(F.col("a").isNull() | F.col("b").isNull(), "seed not found or name mismatch").when(F.col("length").isNull(), "seed A and B in different components").when(F.col("m").isNull(), "empty tube")
     return _status(out, reason, ["n", "n_edges", "length", "m", *[f"{x}_{c}" for x in ("tube", "cylinder") for c in ("precision", "recall", "f1")], "delta"], "system")
 
@@ -115,6 +116,7 @@ def run_pairs(a: DataFrame, b: DataFrame, key: str, radius: float = 5.0, least:
     count = F.coalesce("n", F.lit(0))
     few = F.least(F.coalesce("n_a", F.lit(0)), F.coalesce("n_b", F.lit(0))) < least
     empty = F.col("n_edges_a").isNull() | F.col("n_edges_b").isNull()
+    # The words of the reasons.
     reason = F.when(few, "too few atoms").when(count < least, F.concat(F.lit("only "), count.cast("string"), F.lit(" matched residues")))
     reason = F.coalesce(reason, *reasons, F.when(empty, f"empty graph at {radius:g}"))
     return _status(out, reason, PAIR, key)

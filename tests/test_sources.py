@@ -12,6 +12,7 @@ from tessera.sources.edges import n_nodes
 from tessera.sources.sinks import markdown, write_document, write_frames, write_graph, write_ledger
 from tessera.sources.structure import parse
 
+# Item names of the atom_site loop.
 CIF = """data_X
 loop_
 _atom_site.group_PDB
