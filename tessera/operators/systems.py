@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import squared_distance
-from tessera.operators import align, evaluate, graph, points, spectral, stats, traverse
+from tessera.operators import align, contacts, evaluate, graph, points, spectral, stats
 from tessera.session import checkpoint
 
 FAILED = "PIPELINE_FAILURE"
@@ -39,9 +39,9 @@ def run_systems(nodes: DataFrame, seeds: DataFrame, truth: DataFrame, radius: fl
     ends = checkpoint(ends.select("system", "a", "b"))
     known = ends.where("a is not null and b is not null")
     own = nodes.join(known, "system", "left_semi")
-    edges = checkpoint(graph.radius_edges(own, radius, key).select("system", "src", "dst"))
+    # points move and pairs don't: near-complete graphs have too many edges for rows
     starts = known.select("system", F.explode(F.array("a", "b")).alias("seed"))
-    frames = checkpoint(traverse.bfs_by_key(edges, starts, key, symmetric=True)).join(known, "system")
+    frames = checkpoint(contacts.bfs(own, starts, radius, key)).join(known, "system")
     da = frames.where("seed = a").select("system", "a", "b", "id", F.col("frame").alias("d_a"))
     db = frames.where("seed = b").select("system", "id", F.col("frame").alias("d_b"))
     length = da.where("id = b").select("system", F.col("d_a").alias("length"))
@@ -58,7 +58,7 @@ def run_systems(nodes: DataFrame, seeds: DataFrame, truth: DataFrame, radius: fl
         return evaluate.score(evaluate.windowed_hits(places, right, window, key)).select("system", *[F.col(c).alias(f"{name}_{c}") for c in ("precision", "recall", "f1")])
 
     counts = own.groupBy("system").agg(F.count(F.lit(1)).alias("n"))
-    entries = edges.groupBy("system").agg(F.count(F.lit(1)).alias("n_edges"))
+    entries = contacts.degrees(own, radius, key).groupBy("system").agg(F.sum("degree").alias("n_edges"))
     out = ends
     for part in (counts, entries, length, size, scored(tube, "tube"), scored(cylinder, "cylinder")):
         out = out.join(part, "system", "left")
