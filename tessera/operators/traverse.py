@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.graph import symmetrize
+from tessera.operators.tiles import MOST_SENT
 from tessera.session import checkpoint, checkpoint_root, remove, saved, temporary
 
 #: Edges up to which the graph goes to one task: two arrays of 8 bytes an edge, 8 MB, as little as Spark would send everywhere.
@@ -149,7 +150,10 @@ def _loop(edges: DataFrame, seeds: DataFrame, most: int | None, symmetric: bool,
                     if len(held) > 2:
                         _forget(spark, *held.pop(1))
         found = reduce(DataFrame.unionByName, [*logs, *recent]).withColumn("bit", F.explode(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i)) != 0)))
-        return found.join(seeds.select(*keys, "part", "bit", "seed"), [*keys, "part", "bit"]).select(*keys, "seed", "id", "frame")
+        # the levels' files are small beside what their bits unfold to, so Spark must not choose which side is sent
+        named = seeds.select(*keys, "part", "bit", "seed")
+        found = found.join(F.broadcast(named), [*keys, "part", "bit"]) if seeds.count() <= MOST_SENT else found.hint("merge").join(named, [*keys, "part", "bit"])
+        return found.select(*keys, "seed", "id", "frame")
     finally:
         for at in held:
             _forget(spark, *at)
@@ -246,7 +250,11 @@ def tube(edges: DataFrame, a: int, b: int, slack: int = 1, **named) -> DataFrame
 
     No row where b isn't reached from a.
     """
-    both = checkpoint(bfs_multi(edges, [a, b], **named))
+    return tube_of(checkpoint(bfs_multi(edges, [a, b], **named)), a, b, slack)
+
+
+def tube_of(both: DataFrame, a: int, b: int, slack: int = 1) -> DataFrame:
+    """The tube by the frames (seed, id, frame) of both its seeds."""
     left = both.where(F.col("seed") == a).select("id", F.col("frame").alias("d_a"))
     right = both.where(F.col("seed") == b).select("id", F.col("frame").alias("d_b"))
     length = F.broadcast(left.where(F.col("id") == b).select(F.col("d_a").alias("length")))  # one row at most
@@ -255,9 +263,13 @@ def tube(edges: DataFrame, a: int, b: int, slack: int = 1, **named) -> DataFrame
 
 def tube_status(edges: DataFrame, a: int, b: int, slack: int = 1, **named) -> DataFrame:
     """One row: status OK or PIPELINE_FAILURE with its reason, path length and tube size."""
-    frames = checkpoint(bfs_multi(edges, [a], **named))
-    length = frames.where(F.col("id") == b).agg(F.max("frame").alias("length"))
-    size = tube(edges, a, b, slack, **named).agg(F.count(F.lit(1)).alias("size"))
+    return status_of(checkpoint(bfs_multi(edges, [a, b], **named)), a, b, slack)
+
+
+def status_of(both: DataFrame, a: int, b: int, slack: int = 1) -> DataFrame:
+    """The row of ``tube_status`` by the frames (seed, id, frame) of both its seeds."""
+    length = both.where((F.col("seed") == a) & (F.col("id") == b)).agg(F.max("frame").alias("length"))
+    size = tube_of(both, a, b, slack).agg(F.count(F.lit(1)).alias("size"))
     reason = F.when(F.col("length").isNull(), "seeds are disconnected").when(F.col("size") == 0, "tube is empty")
     return length.join(F.broadcast(size)).select(F.when(reason.isNull(), "OK").otherwise("PIPELINE_FAILURE").alias("status"), reason.alias("reason"), F.coalesce("length", F.lit(-1)).alias("length"), "size")
 

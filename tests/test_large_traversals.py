@@ -93,3 +93,10 @@ def test_seeds_by_key(spark):
 
 def test_removing_what_is_gone_does_no_harm(spark, tmp_path):
     remove(spark, f"file://{tmp_path}/none")
+
+
+def test_levels_are_not_sent_for_their_seeds(spark):
+    """The files of the levels look small; only the seeds may go through the driver to all tasks."""
+    found = traverse.bfs_multi(edges(spark), range(64), plan="loop")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan
