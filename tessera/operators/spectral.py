@@ -6,6 +6,7 @@ edges beyond; a cohort runs its systems side by side. A larger system is spread
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
@@ -13,10 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.contacts import squared
+from tessera.operators.graph import radius_edges
 from tessera.operators.lanczos import fiedler_large
 from tessera.operators.walks import sign_align, snap_ranks
+from tessera.session import checkpoint
 
 MOST_NODES = 4000
+#: Nodes of a system whose pairs one task holds as bits, 50 MB; rows of bits that are unfolded at once.
+TASK_POINTS, ROWS = 20_000, 256
+#: Nodes up to which a system goes by its edges, of which it has few.
+FEW_POINTS = 500
 #: Entries of ``edges`` that one task takes: 16 bytes each, 80 MB.
 TASK_EDGES = 5_000_000
 
@@ -81,13 +89,19 @@ def sparse_pair(a: np.ndarray, b: np.ndarray, label: np.ndarray) -> tuple[np.nda
     return v, best[0]
 
 
-def inverse_lanczos(a: np.ndarray, b: np.ndarray, n: int, steps: int = 24, restarts: int = 40, close: float = 1e-8) -> tuple[float, np.ndarray]:
-    """Second smallest pair of a connected graph: Lanczos on the inverse of D - A across the constant vector.
+def inverse_lanczos(a: np.ndarray, b: np.ndarray, n: int, **named) -> tuple[float, np.ndarray]:
+    """``inverse_pair`` of a connected graph by its edges; ``a`` is sorted."""
+    starts, degree = np.flatnonzero(np.r_[True, np.diff(a) > 0]), np.bincount(a, minlength=n).astype(float)
+    return inverse_pair(lambda x: degree * x - np.add.reduceat(x[b], starts), degree, **named)
+
 
-    ``a`` is sorted. The inverse is applied by conjugate gradients; raises ValueError if the residual stays large.
+def inverse_pair(times: Callable, degree: np.ndarray, steps: int = 24, restarts: int = 40, close: float = 1e-8, enough: float = 0.0) -> tuple[float, np.ndarray]:
+    """Second smallest pair of a connected graph: Lanczos on the inverse of D - A, which ``times`` applies, across the constant vector.
+
+    The inverse is applied by conjugate gradients; a round ends early when its best pair is within ``enough`` of the
+    inverse's. Raises ValueError if the residual stays large.
     """
-    starts, degree = np.flatnonzero(np.r_[True, np.diff(a) > 0]), np.bincount(a, minlength=n).astype(float)
-    times = lambda x: degree * x - np.add.reduceat(x[b], starts)
+    n = len(degree)
 
     def solve(rhs):
         x, r = np.zeros(n), rhs.copy()
@@ -114,8 +128,14 @@ def inverse_lanczos(a: np.ndarray, b: np.ndarray, n: int, steps: int = 24, resta
             for _ in range(2):
                 w = w - np.array(q).T @ (np.array(q) @ w)
             w -= w.mean()
-            if np.linalg.norm(w) <= 1e-10 * np.linalg.norm(images[-1]):
+            norm = np.linalg.norm(w)
+            if norm <= 1e-10 * np.linalg.norm(images[-1]):
                 break
+            if enough:
+                t = np.array(q) @ np.array(images).T
+                values, vectors = np.linalg.eigh((t + t.T) / 2)
+                if norm * abs(vectors[-1, -1]) <= enough * values[-1]:
+                    break
             q.append(w / np.linalg.norm(w))
         basis = np.array(q[: len(images)])
         t = basis @ np.array(images).T
@@ -159,6 +179,103 @@ def fiedler(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(solve, f"`{key}` {kind}, id long, v double, eigenvalue double, n_components int, status string, reason string")
 
 
+def _bits(xyz: Sequence[np.ndarray], r2: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which points are near which, a bit each, and how many are near each."""
+    n = len(xyz[0])
+    bits, degree = np.empty((n, (n + 7) // 8), np.uint8), np.empty(n, np.int64)
+    for lo in range(0, n, ROWS):
+        near = squared([x[lo : lo + ROWS, None] for x in xyz], xyz) <= r2
+        near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
+        bits[lo : lo + ROWS], degree[lo : lo + ROWS] = np.packbits(near, axis=1), np.count_nonzero(near, axis=1)
+    return bits, degree
+
+
+def _labels(bits: np.ndarray, n: int) -> np.ndarray:
+    """The smallest node of each node's component."""
+    label = np.full(n, -1)
+    for s in range(n):
+        front = np.array([s]) if label[s] < 0 else ()
+        while len(front):
+            label[front] = s
+            front = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits[front], axis=0), count=n).view(bool) & (label < 0))
+    return label
+
+
+def fiedler_near(xyz: Sequence[np.ndarray], r: float) -> tuple[np.ndarray, float, int, int]:
+    """``fiedler_vector`` of the radius graph of points, and its edges; a pair takes one bit."""
+    n = len(xyz[0])
+    bits, degree = _bits(xyz, float(r) * float(r))
+    rows = lambda at: np.unpackbits(bits[at], axis=1, count=n)
+    edges, label = int(degree.sum()) // 2, _labels(bits, n)
+    parts = len(np.unique(label))
+
+    def lowest(nodes: np.ndarray, k: Callable) -> tuple[float, np.ndarray]:
+        lap = -rows(nodes)[:, nodes].astype(float)
+        np.fill_diagonal(lap, degree[nodes])
+        values, vectors = np.linalg.eigh(lap)
+        i = k(values)
+        return values[i], vectors[:, i]
+
+    def spread(nodes: np.ndarray) -> tuple[float, np.ndarray]:
+        own = degree[nodes].astype(float)
+
+        def times(x: np.ndarray) -> np.ndarray:
+            z = np.zeros(n)
+            z[nodes] = x
+            return own * x - np.concatenate([rows(slice(lo, lo + ROWS)).astype(float) @ z for lo in range(0, n, ROWS)])[nodes]
+
+        return inverse_pair(times, own, enough=1e-11)
+
+    if n <= MOST_NODES:
+        value, v = lowest(np.arange(n), lambda values: parts if parts < n else next((i for i in range(n) if values[i] > 1e-6), 0))
+    else:
+        names, sizes = np.unique(label, return_counts=True)
+        if sizes.max() == 1:
+            raise ValueError(f"{n} nodes without an edge; every vector belongs to 0")
+        found = []
+        for name, size in zip(names[sizes > 1], sizes[sizes > 1]):
+            nodes = np.flatnonzero(label == name)
+            found.append((*(lowest(nodes, lambda _: 1) if size <= MOST_NODES else spread(nodes)), nodes))
+        value, w, nodes = min(found, key=lambda x: x[0])
+        v = np.zeros(n)
+        v[nodes] = w
+    big = np.flatnonzero(np.abs(v) > 1e-9)
+    return (-v if len(big) and v[big[0]] < 0 else v), float(value), parts, edges
+
+
+def fiedler_of_points(nodes: DataFrame, r: float, key: str) -> DataFrame:
+    """``fiedler`` of the radius graphs of nodes (key, id, x, y, z), with n_edges; no row for a system without an edge.
+
+    A system of more than ``FEW_POINTS`` nodes is one task up to ``TASK_POINTS``, with a bit for each pair and no row for
+    any edge. Smaller and larger systems go by their edges.
+    """
+    kind = dict(nodes.dtypes)[key]
+    sizes = nodes.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    listed = F.broadcast(checkpoint(sizes.where(~F.col("_n").between(FEW_POINTS + 1, TASK_POINTS)).select(key)))
+    names = [key, "id", "v", "eigenvalue", "n_components", "status", "reason", "n_edges"]
+
+    def solve(k, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        xyz = [pdf[a].to_numpy(np.float64) for a in "xyz"]
+        text = lambda x: pd.Series([x] * len(pdf), dtype=object)
+        try:
+            v, value, parts, edges = fiedler_near(xyz, r)
+        except (ValueError, np.linalg.LinAlgError) as error:
+            edges = int(_bits(xyz, float(r) * float(r))[1].sum()) // 2
+            return pd.DataFrame([[k[0], None, None, None, None, "PIPELINE_FAILURE", str(error), edges]] if edges else [], columns=names, dtype=object)
+        out = pd.DataFrame({key: text(k[0]), "id": pdf["id"].to_numpy(), "v": v, "eigenvalue": value, "n_components": parts, "status": text("OK"), "reason": text(None), "n_edges": edges})
+        return out if edges else out.iloc[:0]
+
+    middle = nodes.join(listed, key, "left_anti").select(key, F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
+    out = middle.groupBy(key).applyInPandas(solve, f"`{key}` {kind}, id long, v double, eigenvalue double, n_components int, status string, reason string, n_edges long")
+    if listed.isEmpty():
+        return out
+    rest = nodes.join(listed, key, "left_semi")
+    edges = checkpoint(radius_edges(rest, r, [key]).select(key, "src", "dst"))
+    count = edges.groupBy(key).agg((F.count(F.lit(1)) / 2).cast("long").alias("n_edges"))
+    return out.unionByName(fiedler(edges, rest.join(count, key, "left_semi"), key).join(count, key))
+
+
 def snap(values: DataFrame, key: str) -> DataFrame:
     """Snap ranks and scores of (key, id, va, vb): the second vector is turned to point along the first, dv = vb - va."""
     dot = values.groupBy(key).agg(F.sum(F.col("va") * F.col("vb")).alias("_dot"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import squared_distance
-from tessera.operators import align, contacts, evaluate, graph, points, spectral, stats
+from tessera.operators import align, contacts, evaluate, points, spectral, stats
 from tessera.session import checkpoint
 
 FAILED = "PIPELINE_FAILURE"
@@ -94,9 +94,8 @@ def run_pairs(a: DataFrame, b: DataFrame, key: str, radius: float = 5.0, least:
     out, values, reasons = sizes.join(n, key, "left"), None, []
     for s, axes in (("a", align.P), ("b", ("ax", "ay", "az"))):
         nodes = moved.select(key, "id", *[F.col(c).alias(x) for c, x in zip(axes, "xyz")])
-        edges = checkpoint(graph.radius_edges(nodes, radius, [key]).select(key, "src", "dst"))
-        count = edges.groupBy(key).agg((F.count(F.lit(1)) / 2).cast("long").alias(f"n_edges_{s}"))
-        solved = checkpoint(spectral.fiedler(edges, nodes.join(count, key, "left_semi"), key))
+        solved = checkpoint(spectral.fiedler_of_points(nodes, radius, key))
+        count = solved.groupBy(key).agg(F.first("n_edges").alias(f"n_edges_{s}"))
         told = solved.groupBy(key).agg(F.first("n_components").alias(f"n_components_{s}"), F.first("eigenvalue").alias(f"lambda_{s}"), F.max(F.when(F.col("status") != "OK", F.col("reason"))).alias(f"_why_{s}"))
         out = out.join(count, key, "left").join(told, key, "left")
         reasons.append(F.col(f"_why_{s}"))

@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import contacts, graph, traverse
+from tessera.operators import contacts, graph, spectral, traverse
 
 
 def cloud(spark, n=70, seed=3):
@@ -35,3 +36,25 @@ def test_degrees_and_frames_equal_those_of_the_edges(spark, monkeypatch, keys, m
     else:
         seeds = spark.createDataFrame([(0,), (904,), (777,)], "seed long")
         assert rows(contacts.bfs(p, seeds, 1.0)) == rows(traverse.bfs_multi(e, [0, 904, 777]))
+
+
+def test_pairs_as_bits_give_the_vector_of_the_edges(monkeypatch):
+    monkeypatch.setattr(spectral, "MOST_NODES", 50)
+    for n, r in ((120, 4.0), (120, 1.3), (40, 1.0)):
+        p = np.random.default_rng(n).normal(size=(n, 3)) * 1.26
+        near = ((p[:, None] - p[None]) ** 2).sum(2) <= r * r
+        np.fill_diagonal(near, False)
+        v, value, parts = spectral.fiedler_vector(*np.nonzero(near), np.arange(n))
+        w, got, components, edges = spectral.fiedler_near(list(p.T), r)
+        assert (components, edges) == (parts, near.sum() // 2) and got == pytest.approx(value, abs=1e-9) and np.abs(v - w).max() < 1e-7
+
+
+def test_spectral_runs_make_no_row_for_an_edge(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("edges were made")
+
+    p = cloud(spark, 50).where("id < 100")
+    want = rows(spectral.fiedler(graph.radius_edges(p, 2.0, ["system"]), p, "system").select("system", "id", F.round("v", 6)))
+    monkeypatch.setattr(spectral, "radius_edges", refuse)
+    monkeypatch.setattr(spectral, "FEW_POINTS", 5)
+    assert rows(spectral.fiedler_of_points(p, 2.0, "system").select("system", "id", F.round("v", 6))) == want
