@@ -6,56 +6,80 @@ seeds run side by side by key.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from itertools import product
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.contacts import degrees_around, squared
+
 LEDGER = "f long, n long, s byte, t byte, g double, a int"
 
 
-def ratchet(src: np.ndarray, dst: np.ndarray, seed: int) -> tuple[list[tuple], str]:
-    """Ledger (f, n, s, t, g, a) of a walk and why it halted.
+def _walk(ids: np.ndarray, degree: np.ndarray, whole: np.ndarray, near: Callable, back: Callable, seed: int) -> tuple[list[tuple], str]:
+    """Ledger (f, n, s, t, g, a) of a walk over sorted ``ids``, and why it halted.
 
     The best node of the queue (largest gain, then degree, then first) turns from 0 to 1 once; its
-    neighbours with a gain other than 0 form the next queue. Sums over neighbours are made once; a node that
-    turns changes those of the nodes that lead to it only, so a step's work is that of the degrees it touches.
+    neighbours with a gain other than 0 form the next queue. ``whole`` are a node's neighbours' degrees, added up; a node that
+    turns changes the sums of the nodes that lead to it only, so a step's work is that of the degrees it touches.
     """
-    near: dict[int, list[int]] = {}
-    for a, b in sorted(zip(src.tolist(), dst.tolist())):
-        near.setdefault(a, []).append(b)
-    degree = {n: len(x) for n, x in near.items()}
-    back: dict[int, list[int]] = {}
-    whole: dict[int, int] = {}
-    for a, x in near.items():
-        whole[a] = sum(degree.get(b, 0) for b in x)
-        for b in x:
-            back.setdefault(b, []).append(a)
-    turned: set[int] = set()
-    on: dict[int, int] = {}
-
-    def gain(n: int) -> int:
+    at = int(np.searchsorted(ids, seed))
+    queue = np.array([at] if at < len(ids) and ids[at] == seed else [], np.int64)
+    turned, on, ledger = np.zeros(len(ids), bool), np.zeros(len(ids), np.int64), []
+
+    def gain(n: np.ndarray) -> np.ndarray:
         # a turned node would leave state 1 for -1, which no neighbour has
-        return on.get(n, 0) if n in turned else whole.get(n, 0) - 2 * on.get(n, 0)
+        return np.where(turned[n], on[n], whole[n] - 2 * on[n])
 
-    queue, ledger = [seed], []
     while True:
-        best, top = None, (0, -1)
-        for n in queue:
-            g = gain(n)
-            if g > 0 and (g, degree.get(n, 0)) > top:
-                best, top = n, (g, degree.get(n, 0))
-        if best is None:
+        g = gain(queue)
+        if not len(queue) or g.max() <= 0:
             return ledger, "no positive gradient"
-        if best in turned:
+        top = int(g.max())
+        best = queue[g == top]
+        best = int(best[degree[best].argmax()])
+        if turned[best]:
             return ledger, "best already flipped"
-        turned.add(best)
-        for j in back.get(best, ()):
-            on[j] = on.get(j, 0) + degree.get(best, 0)
-        queue = [j for j in near.get(best, ()) if gain(j) != 0]
-        ledger.append((len(ledger), best, 0, 1, float(top[0]), len(queue)))
+        turned[best] = True
+        np.add.at(on, back(best), degree[best])
+        queue = near(best)
+        queue = queue[gain(queue) != 0]
+        ledger.append((len(ledger), int(ids[best]), 0, 1, float(top), len(queue)))
+
+
+def ratchet(src: np.ndarray, dst: np.ndarray, seed: int) -> tuple[list[tuple], str]:
+    """The walk over edges, which are held as arrays."""
+    ids = np.unique(np.concatenate([src, dst, np.array([seed], np.int64)]))
+    a, b = np.searchsorted(ids, src), np.searchsorted(ids, dst)
+
+    def rows(x: np.ndarray, y: np.ndarray) -> tuple[Callable, np.ndarray]:
+        order, cut = np.lexsort((y, x)), np.r_[0, np.cumsum(np.bincount(x, minlength=len(ids)))]
+        y = y[order]
+        return lambda i: y[cut[i] : cut[i + 1]], np.diff(cut)
+
+    (near, degree), (back, _) = rows(a, b), rows(b, a)
+    whole = np.zeros(len(ids), np.int64)
+    np.add.at(whole, a, degree[b])
+    return _walk(ids, degree, whole, near, back, seed)
+
+
+def ratchet_near(ids: np.ndarray, xyz: Sequence[np.ndarray], degree: np.ndarray, whole: np.ndarray, seed: int, r: float) -> tuple[list[tuple], str]:
+    """The walk over the radius graph of points: a node's neighbours are looked up in a grid when it turns, and no edge is held."""
+    order = np.argsort(ids, kind="stable")
+    ids, degree, whole, xyz = ids[order], degree[order], whole[order], [x[order] for x in xyz]
+    cell = np.stack([np.floor(x / float(r)) for x in xyz], axis=1)
+    places, of = np.unique(cell, axis=0, return_inverse=True)
+    held = dict(zip(map(tuple, places.tolist()), np.split(np.argsort(of.ravel(), kind="stable"), np.cumsum(np.bincount(of.ravel(), minlength=len(places)))[:-1])))
+
+    def near(i: int) -> np.ndarray:
+        own = [held[c] for c in product(*[(c - 1, c, c + 1) for c in cell[i].tolist()]) if c in held]
+        j = np.sort(np.concatenate(own))
+        return j[(squared([x[i] for x in xyz], [x[j] for x in xyz]) <= float(r) * float(r)) & (j != i)]
+
+    return _walk(ids, degree, whole, near, near, seed)
 
 
 def ratchet_walk(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -83,6 +107,26 @@ def ratchet_walk(edges: DataFrame, seeds: DataFrame, keys: Sequence[str] = ()) -
     return out.drop("_all")
 
 
+def ratchet_walk_near(points: DataFrame, r: float, keys: Sequence[str]) -> DataFrame:
+    """``ratchet_walk`` of the radius graph of points (keys, id, x, y, z) within equal keys, from the smallest id with a neighbour.
+
+    The task of a graph holds its points, of whose edges no row is made; degrees and their sums come from blocks of all tasks.
+    """
+    rows = degrees_around(points, r, keys)
+    types = ", ".join(f"{k} {dict(rows.dtypes)[k]}" for k in keys)
+
+    def walk(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        linked = pdf["id"][pdf["degree"] > 0]
+        ledger, why = ratchet_near(*([pdf["id"].to_numpy(), [pdf[a].to_numpy() for a in "xyz"], pdf["degree"].to_numpy(), pdf["around"].to_numpy()]), int(linked.min()), r) if len(linked) else ([], "no seed")
+        out = pd.DataFrame(ledger, columns=["f", "n", "s", "t", "g", "a"])
+        for k, v in zip(keys, key):
+            out[k] = v
+        out["halt"] = why
+        return out
+
+    return rows.groupBy(*keys).applyInPandas(walk, f"{LEDGER}, {types}, halt string")
+
+
 def first_flip(ledger: DataFrame) -> DataFrame:
     """(n, f): the first frame in which each node turned."""
     return ledger.groupBy("n").agg(F.min("f").alias("f"))

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.operators import graph, spectral, walks
+from tessera.operators import contacts, graph, spectral, walks
 
 
 def arrays(pairs):
@@ -140,3 +141,17 @@ def test_a_hub_of_many_leaves_is_walked_at_once():
     start = time.time()
     ledger, _ = walks.ratchet(np.r_[a, chain[:, 0]], np.r_[b, chain[:, 1]], 3)
     assert ledger[0][1] == 3 and 0 in {x[1] for x in ledger} and time.time() - start < 20
+
+
+def test_a_ratchet_walk_over_points_equals_that_over_edges_and_makes_none(spark, monkeypatch):
+    from tessera.operators import graph
+
+    r = random.Random(5)
+    p = spark.createDataFrame([(i % 3, i, *[r.gauss(0, 1) for _ in "xyz"]) for i in range(240)] + [(3, 300, 0.0, 0.0, 0.0), (4, 400, 1.0, 1.0, 1.0), (4, 401, 1.0, 1.0, 1.0)], "entity int, id long, x double, y double, z double")
+    e = graph.radius_edges(p, 0.8, ["entity"]).select("entity", "src", "dst").persist()
+    want = walks.ratchet_walk(e, e.groupBy("entity").agg(F.min("src").alias("seed")), ["entity"])
+    rows = lambda d: sorted(tuple(x) for x in d.select("entity", "f", "n", "g", "a", "halt").collect())
+    want = rows(want)
+    monkeypatch.setattr(graph, "radius_edges", None)
+    monkeypatch.setattr(contacts, "OWN_ROWS", 7)
+    assert rows(walks.ratchet_walk_near(p, 0.8, ["entity"])) == want and len(want) > 5
