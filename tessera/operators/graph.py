@@ -6,11 +6,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import squared_distance, voxel
-from tessera.operators import tiles
+from tessera.operators import contacts, tiles
 from tessera.operators.neighbours import knn_metric
 from tessera.session import checkpoint
 
@@ -58,16 +59,19 @@ def _cell_edges(points: DataFrame, r: float, keys: Sequence[str], axes: Sequence
     return near.select(*keys, "src", "dst", d2.alias("d2"))
 
 
-def _top_k(src: np.ndarray, own: np.ndarray, ids: np.ndarray, coords: np.ndarray, k: int):
-    """k nearest of a block by (distance, id); distances add up the axes in order."""
-    out = []
-    for lo in range(0, len(src), 512):
-        a = own[lo : lo + 512]
+def _top_k(src: np.ndarray, own: np.ndarray, ids: np.ndarray, coords: np.ndarray, k: int, rows: int = 512, names: np.ndarray | None = None):
+    """k nearest of a block by (distance, id), ``rows`` rows at a time; distances add up the axes in order.
+
+    ``names`` are the rows' own ids where ``src`` are others.
+    """
+    out, names = [], src if names is None else names
+    for lo in range(0, len(src), rows):
+        a = own[lo : lo + rows]
         d2 = np.zeros((len(a), len(ids)))
         for j in range(coords.shape[1]):
             diff = a[:, j, None] - coords[None, :, j]
             d2 += diff * diff
-        d2[src[lo : lo + 512, None] == ids[None]] = np.inf
+        d2[names[lo : lo + rows, None] == ids[None]] = np.inf
         m = min(k, len(ids))
         cut = np.partition(d2, m - 1, axis=1)[:, m - 1]
         i, j = np.nonzero(d2 <= cut[:, None])
@@ -75,7 +79,7 @@ def _top_k(src: np.ndarray, own: np.ndarray, ids: np.ndarray, coords: np.ndarray
         i, j = i[order], j[order]
         place = np.arange(len(i)) - np.searchsorted(i, i)
         ok = (place < k) & np.isfinite(d2[i, j])
-        out.append((src[lo : lo + 512][i[ok]], ids[j[ok]], d2[i[ok], j[ok]]))
+        out.append((src[lo : lo + rows][i[ok]], ids[j[ok]], d2[i[ok], j[ok]]))
     return [np.concatenate(x) for x in zip(*out)] if out else [np.empty(0)] * 3
 
 
@@ -108,35 +112,54 @@ def knn_blocks(points: DataFrame, k: int, axes: Sequence[str] | None = None, vec
     return p.mapInPandas(search, "src long, dst long, d2 double")
 
 
+def _best_of(k: int, most: float):
+    """Kernel of ``Blocks.meet``: the ``k`` nearest of a block by (distance, id), at most ``most`` away, for each of its own points."""
+
+    def kernel(rows, ids, own, others, near):
+        step = max(1, contacts.PAIRS // max(1, len(others)))
+        a, b = np.stack(own, axis=1) if len(ids) else np.empty((0, len(own))), np.stack(near, axis=1)
+        src, dst, d2 = _top_k(np.arange(len(ids)), a, others, b, k, step, ids) if len(ids) and len(others) else [np.empty(0)] * 3
+        src, dst, d2 = (x[d2 <= most] for x in (src, dst, d2))
+        return rows.take(pa.array(src.astype(np.int64))).append_column("dst", pa.array(dst.astype(np.int64))).append_column("d2", pa.array(d2.astype(np.float64)))
+
+    return kernel
+
+
 def knn_grid(points: DataFrame, k: int, axes: Sequence[str] = XYZ, cell: float | None = None, rounds: int = 40) -> DataFrame:
-    """Exact k nearest neighbours (src, dst, d2) in low dimension by growing radius joins.
+    """Exact k nearest neighbours (src, dst, d2) in low dimension by growing cells, without a row for any other pair.
 
     The first cell width comes from the density between the 5 % and 95 % quantiles of each axis, so that a few
     points far away don't widen it; points whose k-th neighbour isn't within the width try again with
-    twice the width. Only unresolved points are joined again. After ``rounds`` doublings that leave
-    points open, RuntimeError is raised.
+    twice the width. Only unresolved points meet the others again, in blocks of bounded size (``contacts``), which give ``k`` rows
+    a point. Points with a coordinate that isn't a finite number are left out. After ``rounds`` doublings that leave points
+    open, RuntimeError is raised.
     """
+    finite = F.forall(F.array(*[F.col(a).cast("double") for a in axes]), lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))  # NaN is above it
+    points = checkpoint(points.where(finite).select(F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in axes]))
     box = points.agg(F.count(F.lit(1)).alias("n"), *[F.percentile_approx(a, [0.0, 0.05, 0.95, 1.0], 1000).alias(a) for a in axes]).first()
-    if not box.n:
+    want = min(k, box.n - 1)
+    if want < 1:
         return points.sparkSession.createDataFrame([], "src long, dst long, d2 double")
     sides = [box[a][2] - box[a][1] or box[a][3] - box[a][0] for a in axes]
-    want = min(k, box.n - 1)
     width = cell or max(max(sides), 1e-12) * (max(1.0, 2.0 * k / box.n) ** (1 / len(axes)) if box.n <= 2 * k else (2.0 * k / box.n) ** (1 / len(axes)))
-    open_, done = points.select("id", *axes), None
+    open_, done, at = points.select("id"), None, [f"_{a}" for a in axes]
     for _ in range(rounds):
-        left = open_.select(F.col("id").alias("src"), *[F.col(a).alias(f"s{a}") for a in axes], *[voxel(F.col(a), width).alias(f"_{a}") for a in axes])
-        for a in axes:
-            left = left.withColumn(f"_{a}", F.explode(F.array(*[F.col(f"_{a}") + d for d in (-1, 0, 1)])))
-        right = points.select(F.col("id").alias("dst"), *[F.col(a).alias(f"t{a}") for a in axes], *[voxel(F.col(a), width).alias(f"_{a}") for a in axes])
-        d2 = squared_distance([F.col(f"s{a}") for a in axes], [F.col(f"t{a}") for a in axes])
-        near = left.join(right, [f"_{a}" for a in axes]).where("src <> dst").select("src", "dst", d2.alias("d2"))
+        named = contacts._in_cells(points, width, (), axes).withColumn("_walk", F.lit(0).cast("long"))
+        asking = checkpoint(named.join(open_, "id", "left_semi") if done is not None else named)
+        cells = tiles._around(asking.select(*at).distinct(), at).distinct()
+        # only what lies around the open points is near them
+        near = named if done is None else named.join(tiles._sent(checkpoint(cells)), at, "left_semi")
+        met = contacts.Blocks(near, (), axes).meet(asking, near, _best_of(want, width * width), ", dst long, d2 double")
+        found = checkpoint(met.select(F.col("id").alias("src"), "dst", "d2"))
+        # all that lie within the width were met; a point that met them in several blocks has the best of each
+        sure = checkpoint(found.groupBy("src").agg(F.count(F.lit(1)).alias("_m")).where(F.col("_m") >= want))
+        rows = found.join(sure, "src")
         rank = F.row_number().over(Window.partitionBy("src").orderBy("d2", "dst"))
-        best = checkpoint(near.withColumn("_n", rank).where(F.col("_n") <= want))
-        sure = best.where((F.col("_n") == want) & (F.col("d2") <= width * width)).select("src")
-        kept = best.join(sure, "src", "left_semi").select("src", "dst", "d2")
-        done = kept if done is None else done.union(kept)
-        open_ = checkpoint(open_.join(sure.withColumnRenamed("src", "id"), "id", "left_anti"))
-        if want == 0 or open_.isEmpty():
+        many = rows.where(F.col("_m") > want).withColumn("_n", rank).where(F.col("_n") <= want)
+        kept = rows.where(F.col("_m") == want).select("src", "dst", "d2").unionByName(many.select("src", "dst", "d2"))
+        done = kept if done is None else done.unionByName(kept)
+        open_ = checkpoint(asking.select("id").join(sure.select(F.col("src").alias("id")), "id", "left_anti"))
+        if open_.isEmpty():
             return done
         width *= 2
     raise RuntimeError("points are left without neighbours")

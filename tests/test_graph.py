@@ -101,3 +101,16 @@ def test_seeds(spark):
     assert points.seed_by_state(nodes.where("state = 0")).first().id == 1
     assert points.seed_by_state(nodes.where("id = 0")).count() == 0
     assert points.seed_largest(spark.createDataFrame([(1, -2.0), (2, 2.0), (3, 1.0)], "id long, v double")).first().id == 1
+
+
+def test_the_grid_meets_in_blocks_and_leaves_out_what_is_no_point(spark, monkeypatch):
+    from tessera.operators import contacts
+
+    monkeypatch.setattr(contacts, "OWN_ROWS", 5)
+    monkeypatch.setattr(contacts, "NEAR_ROWS", 11)
+    r = random.Random(8)
+    rows = [(i, *[r.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(100 + i, 0.25, 0.25, 0.25) for i in range(20)] + [(200, 5.0, 0.0, 0.0)]
+    missing = [(300, float("nan"), 0.0, 0.0), (301, None, 0.0, 0.0), (302, float("inf"), 0.0, 0.0)]
+    points = spark.createDataFrame(rows + missing, "id long, x double, y double, z double")
+    want = {(a[0], b[0]) for a in rows for b in sorted((x for x in rows if x[0] != a[0]), key=lambda x: (sum((p - q) ** 2 for p, q in zip(a[1:], x[1:])), x[0]))[:4]}
+    assert {(x.src, x.dst) for x in graph.knn_grid(points, 4).collect()} == want
