@@ -1,11 +1,11 @@
 """Breadth-first traversals: one seed, many seeds, k hops, tubes between two seeds.
 
-Two plans give the same rows. Small graphs (a checked number of edges) go to one task per group of
+These plans give the same rows. Small graphs (a checked number of edges) go to one task per group of
 seeds, which builds arrays and expands levels with numpy. Larger ones use a loop of joins: the edges are written
 once in buckets by source, the front moves to them, and what earlier levels hold is taken out. Up to 64 seeds
 are bits of one number and share each expansion. Edges are directed unless ``symmetric`` says that each has its
 way back, which is checked: then a level's neighbours lie in the two levels before it or are new, so only those
-two are read.
+two are read. Where nodes' places are known, large graphs go zone by zone instead (``zones``).
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.graph import symmetrize
 from tessera.operators.tiles import MOST_SENT
+from tessera.operators.zones import bfs_zones, zones
 from tessera.session import checkpoint, checkpoint_root, remove, saved, temporary
 
 #: Edges up to which the graph goes to one task: two arrays of 8 bytes an edge, 8 MB, as little as Spark would send everywhere.
@@ -165,11 +166,12 @@ def _check_symmetric(edges: DataFrame, keys: Sequence[str] = ()) -> None:
         raise ValueError("not symmetric: some edges have no way back")
 
 
-def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, nodes: DataFrame | None = None, symmetric: bool = False, plan: str = "auto") -> DataFrame:
+def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, nodes: DataFrame | None = None, symmetric: bool = False, plan: str = "auto", places: DataFrame | None = None) -> DataFrame:
     """(seed, id, frame) of all nodes within ``most`` hops of each seed; frame 0 is the seed.
 
     Raises ValueError for a seed that isn't among ``nodes`` (or, without ``nodes``, for null or no seeds), and
-    where ``symmetric`` is said of edges that aren't. ``plan`` is auto, kernel or loop; the rows are the same.
+    where ``symmetric`` is said of edges that aren't. ``plan`` is auto, kernel, zones or loop; the rows are the same.
+    ``places`` (id, x, y, z) tell where the nodes are, if edges are short there; then large graphs go zone by zone (``zones``).
     """
     seeds = list(dict.fromkeys(int(s) for s in seeds))
     if not seeds:
@@ -181,9 +183,11 @@ def bfs_multi(edges: DataFrame, seeds: Sequence[int], most: int | None = None, n
     if symmetric:
         _check_symmetric(edges)
     if plan == "auto":
-        plan = "kernel" if edges.count() <= KERNEL_EDGES else "loop"
+        plan = "kernel" if edges.count() <= KERNEL_EDGES else "loop" if places is None else "zones"
     if plan == "kernel":
         return _kernel(edges, seeds, most)
+    if plan == "zones":
+        return bfs_zones(edges, zones(places), seeds, most)
     numbered = edges.sparkSession.createDataFrame([(s, i // 64, i % 64) for i, s in enumerate(seeds)], "seed long, part int, bit int")
     return _loop(edges, numbered, most, symmetric)
 
