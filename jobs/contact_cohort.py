@@ -30,11 +30,15 @@ from pyspark.sql import functions as F
 from jobs.common import below, command_line, counted, settings
 from tessera.functions import squared_distance
 from tessera.operators import align, evaluate, graph, stats, traverse
+from tessera.operators import contacts as near
+from tessera.session import checkpoint
 
 LOG = logging.getLogger("contact_cohort")
 #: ``align``: none where conformers lie in one frame, kabsch to move the second onto the first, system by system.
 DEFAULTS = {"input": None, "output": None, "format": "parquet", "id": "vec_id", "system": "label", "vector": "embedding", "first": 0, "second": 3, "scale": 10.0, "radius": 0.8, "align": "none", "systems": []}
 AXES = ("x", "y", "z")
+#: Contacts of a system, on average, from which they are written where they are made: a file for each task and system, but no exchange.
+LARGE = 1_000_000
 
 
 def points_of(spark: SparkSession, config: dict) -> tuple[DataFrame, DataFrame]:
@@ -62,9 +66,9 @@ def displaced(points: DataFrame, how: str) -> DataFrame:
     return pairs.select("system", "id", F.sqrt(squared_distance([F.col(c) for c in align.P], [F.col(c) for c in align.Q])).alias("disp"))
 
 
-def _write(df: DataFrame, path: str, keys: list[str], kind: str = "parquet") -> int:
-    """Replace the systems' partitions; a system that holds most rows is cut into ranges of ``keys``."""
-    rows, seen = counted(df.repartitionByRange(*keys))
+def _write(df: DataFrame, path: str, keys: list[str], kind: str = "parquet", stay: bool = False) -> int:
+    """Replace the systems' partitions; a system that holds most rows is cut into ranges of ``keys``, unless rows are to ``stay``."""
+    rows, seen = counted(df if stay else df.repartitionByRange(*keys))
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("system").format(kind).save(path)
     n = seen.get["n"]
     LOG.info("wrote %d rows to %s", n, path)
@@ -84,14 +88,19 @@ def run(spark: SparkSession, config: dict) -> DataFrame:
     LOG.info("read %d points of %s, %d left out", n.n, c["input"], n.n - n.good)
     systems = points.select("system").distinct()
 
+    # of large systems degrees and frames come from the points, so contacts are made once, to be written, and never read or moved
+    degree = checkpoint(near.degrees(points, c["radius"], ["system"]).where("degree > 0"))
+    size = degree.groupBy("system").agg(F.sum("degree").alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.count(F.lit(1)).alias("systems")).first()
     contacts = graph.radius_edges(points, c["radius"], ["system"]).select("system", "src", "dst", "d2")
-    _write(contacts, below(c["output"], "contacts"), ["system", "src", "dst"])
-    # partitions of systems that this run doesn't read are not its own
-    edges = _read(spark, contacts, below(c["output"], "contacts")).join(systems, "system", "left_semi")
+    _write(contacts, below(c["output"], "contacts"), ["system", "src", "dst"], stay=(size.n or 0) > LARGE * size.systems)
 
-    degree = edges.groupBy("system", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     seeds = degree.groupBy("system").agg(F.min_by("id", F.struct(-F.col("degree"), "id")).alias("seed"))
-    frames = traverse.bfs_by_key(edges.select("system", "src", "dst"), seeds, ["system"], symmetric=True).select("system", "id", "frame")
+    if (size.most or 0) <= traverse.KERNEL_EDGES:
+        # partitions of systems that this run doesn't read are not its own
+        edges = _read(spark, contacts, below(c["output"], "contacts")).join(systems, "system", "left_semi")
+        frames = traverse.bfs_by_key(edges.select("system", "src", "dst"), seeds, ["system"], symmetric=True, plan="kernel").select("system", "id", "frame")
+    else:
+        frames = near.bfs(points, seeds, c["radius"], ["system"]).select("system", "id", "frame")
     nodes = points.select("system", "id").join(degree, ["system", "id"], "left").join(frames, ["system", "id"], "left").join(displaced(points, c["align"]), ["system", "id"])
     nodes = nodes.select("system", "id", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("frame", F.lit(-1)).alias("frame"), F.round("disp", 6).alias("disp"))
     _write(nodes, below(c["output"], "nodes"), ["system", "id"])

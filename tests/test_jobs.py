@@ -68,6 +68,22 @@ def test_cohort_equals_plain_one_and_runs_again(spark, tmp_path, caplog):
     assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == before
 
 
+def test_cohort_of_large_systems_neither_moves_nor_reads_contacts(spark, tmp_path, monkeypatch):
+    from tessera.operators import traverse
+
+    rows, bad = cloud()
+    spark.createDataFrame(rows + bad, POINTS).write.parquet(str(tmp_path / "points"))
+    stays, written, read = [], contact_cohort._write, []
+    monkeypatch.setattr(contact_cohort, "_write", lambda df, path, keys, kind="parquet", stay=False: (stays.append((os.path.basename(path), stay)), written(df, path, keys, kind, stay))[1])
+    monkeypatch.setattr(contact_cohort, "_read", lambda spark, df, path, *kind, f=contact_cohort._read: (read.append(os.path.basename(path)), f(spark, df, path, *kind))[1])
+    monkeypatch.setattr(contact_cohort, "LARGE", 1)
+    monkeypatch.setattr(traverse, "KERNEL_EDGES", 1)
+    config = {"input": str(tmp_path / "points"), "output": str(tmp_path / "out")}
+    assert got_cohort(contact_cohort.run(spark, config)) == plain_cohort(rows)
+    assert stays == [("contacts", True), ("nodes", False), ("report", False)] and read == ["nodes", "report"]
+    assert spark.read.parquet(str(tmp_path / "out" / "contacts")).count() == sum(n for *_, n in {(k[0], v[4]) for k, v in plain_cohort(rows).items()})
+
+
 def test_cohort_aligns_where_asked(spark, tmp_path):
     rows, _ = cloud(40)
     turned = [(i, [*v[:3], -v[1] + 3, v[0] - 2, v[2] + 1], s) for i, v, s in rows]
