@@ -1,7 +1,7 @@
 """Fiedler vectors, sign conventions and the spectral comparison of two conformers.
 
-A system is one task up to ``TASK_EDGES`` edges, dense up to ``MOST_NODES`` nodes and by inverse iteration over its
-edges beyond; a cohort runs its systems side by side. A larger system is spread over all tasks.
+A system of points is one task that makes no edges (``near``). Of edges, it is one task up to ``TASK_EDGES``, dense up to
+``MOST_NODES`` nodes and by inverse iteration beyond; a larger system is spread over all tasks. A cohort runs its systems side by side.
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators.contacts import squared
 from tessera.operators.graph import radius_edges
 from tessera.operators.lanczos import fiedler_large
+from tessera.operators.near import Near, second_pair
 from tessera.operators.walks import sign_align, snap_ranks
 from tessera.session import checkpoint
 
 MOST_NODES = 4000
-#: Nodes of a system whose pairs one task holds as bits, 50 MB; rows of bits that are unfolded at once.
-TASK_POINTS, ROWS = 20_000, 256
+#: Points of a system of which nothing but them and a bounded number of bits is held by a task; nodes that are dense there.
+TASK_POINTS, DENSE_POINTS = 1_000_000, 1_500
+#: Partitions of systems of points, most of them empty where systems are few.
+SYSTEM_PARTS = 400
 #: Nodes up to which a system goes by its edges, of which it has few.
 FEW_POINTS = 500
 #: Entries of ``edges`` that one task takes: 16 bytes each, 80 MB.
@@ -179,63 +181,37 @@ def fiedler(edges: DataFrame, nodes: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandas(solve, f"`{key}` {kind}, id long, v double, eigenvalue double, n_components int, status string, reason string")
 
 
-def _bits(xyz: Sequence[np.ndarray], r2: float) -> tuple[np.ndarray, np.ndarray]:
-    """Which points are near which, a bit each, and how many are near each."""
-    n = len(xyz[0])
-    bits, degree = np.empty((n, (n + 7) // 8), np.uint8), np.empty(n, np.int64)
-    for lo in range(0, n, ROWS):
-        near = squared([x[lo : lo + ROWS, None] for x in xyz], xyz) <= r2
-        near[np.arange(len(near)), np.arange(lo, lo + len(near))] = False
-        bits[lo : lo + ROWS], degree[lo : lo + ROWS] = np.packbits(near, axis=1), np.count_nonzero(near, axis=1)
-    return bits, degree
-
-
-def _labels(bits: np.ndarray, n: int) -> np.ndarray:
-    """The smallest node of each node's component."""
-    label = np.full(n, -1)
-    for s in range(n):
-        front = np.array([s]) if label[s] < 0 else ()
-        while len(front):
-            label[front] = s
-            front = np.flatnonzero(np.unpackbits(np.bitwise_or.reduce(bits[front], axis=0), count=n).view(bool) & (label < 0))
-    return label
+def fiedler_near(xyz: Sequence[np.ndarray], r: float) -> tuple[np.ndarray, float, int, int]:
+    """``fiedler_vector`` of the radius graph of points, and its edges, none of which is made."""
+    return _fiedler_of(Near(xyz, r))
 
 
-def fiedler_near(xyz: Sequence[np.ndarray], r: float) -> tuple[np.ndarray, float, int, int]:
-    """``fiedler_vector`` of the radius graph of points, and its edges; a pair takes one bit."""
-    n = len(xyz[0])
-    bits, degree = _bits(xyz, float(r) * float(r))
-    rows = lambda at: np.unpackbits(bits[at], axis=1, count=n)
-    edges, label = int(degree.sum()) // 2, _labels(bits, n)
-    parts = len(np.unique(label))
+def _fiedler_of(near: Near) -> tuple[np.ndarray, float, int, int]:
+    n, label, dense = near.n, near.labels(), min(MOST_NODES, DENSE_POINTS)
+    edges, parts = int(near.degree.sum()) // 2, len(np.unique(label))
 
     def lowest(nodes: np.ndarray, k: Callable) -> tuple[float, np.ndarray]:
-        lap = -rows(nodes)[:, nodes].astype(float)
-        np.fill_diagonal(lap, degree[nodes])
-        values, vectors = np.linalg.eigh(lap)
+        values, vectors = np.linalg.eigh(near.laplacian(nodes))
         i = k(values)
         return values[i], vectors[:, i]
 
     def spread(nodes: np.ndarray) -> tuple[float, np.ndarray]:
-        own = degree[nodes].astype(float)
-
         def times(x: np.ndarray) -> np.ndarray:
-            z = np.zeros(n)
+            z = np.zeros((n, x.shape[1]))
             z[nodes] = x
-            return own * x - np.concatenate([rows(slice(lo, lo + ROWS)).astype(float) @ z for lo in range(0, n, ROWS)])[nodes]
+            return near.times(z)[nodes]
 
-        return inverse_pair(times, own, enough=1e-11)
+        return second_pair(times, near.degree[nodes].astype(float))
 
-    if n <= MOST_NODES:
+    if n <= dense:
         value, v = lowest(np.arange(n), lambda values: parts if parts < n else next((i for i in range(n) if values[i] > 1e-6), 0))
+    elif parts == n:
+        raise ValueError(f"{n} nodes without an edge; every vector belongs to 0")
     else:
-        names, sizes = np.unique(label, return_counts=True)
-        if sizes.max() == 1:
-            raise ValueError(f"{n} nodes without an edge; every vector belongs to 0")
-        found = []
-        for name, size in zip(names[sizes > 1], sizes[sizes > 1]):
-            nodes = np.flatnonzero(label == name)
-            found.append((*(lowest(nodes, lambda _: 1) if size <= MOST_NODES else spread(nodes)), nodes))
+        found, names = [], np.argsort(label, kind="stable")
+        for nodes in np.split(names, np.flatnonzero(np.diff(label[names])) + 1):
+            if len(nodes) > 1:
+                found.append((*(lowest(nodes, lambda _: 1) if len(nodes) <= dense else spread(nodes)), nodes))
         value, w, nodes = min(found, key=lambda x: x[0])
         v = np.zeros(n)
         v[nodes] = w
@@ -243,10 +219,10 @@ def fiedler_near(xyz: Sequence[np.ndarray], r: float) -> tuple[np.ndarray, float
     return (-v if len(big) and v[big[0]] < 0 else v), float(value), parts, edges
 
 
-def fiedler_of_points(nodes: DataFrame, r: float, key: str) -> DataFrame:
-    """``fiedler`` of the radius graphs of nodes (key, id, x, y, z), with n_edges; no row for a system without an edge.
+def fiedler_of_points(nodes: DataFrame, r: float, key: str, every: bool = False) -> DataFrame:
+    """``fiedler`` of the radius graphs of nodes (key, id, x, y, z), with n_edges; rows for a system without an edge only with ``every``.
 
-    A system of more than ``FEW_POINTS`` nodes is one task up to ``TASK_POINTS``, with a bit for each pair and no row for
+    A system of more than ``FEW_POINTS`` nodes is one task up to ``TASK_POINTS``, which holds the points and no row for
     any edge. Smaller and larger systems go by their edges.
     """
     kind = dict(nodes.dtypes)[key]
@@ -258,22 +234,27 @@ def fiedler_of_points(nodes: DataFrame, r: float, key: str) -> DataFrame:
         pdf = pdf.sort_values("id")
         xyz = [pdf[a].to_numpy(np.float64) for a in "xyz"]
         text = lambda x: pd.Series([x] * len(pdf), dtype=object)
+        near = Near(xyz, r)
         try:
-            v, value, parts, edges = fiedler_near(xyz, r)
+            v, value, parts, edges = _fiedler_of(near)
         except (ValueError, np.linalg.LinAlgError) as error:
-            edges = int(_bits(xyz, float(r) * float(r))[1].sum()) // 2
-            return pd.DataFrame([[k[0], None, None, None, None, "PIPELINE_FAILURE", str(error), edges]] if edges else [], columns=names, dtype=object)
+            edges = int(near.degree.sum()) // 2
+            return pd.DataFrame([[k[0], None, None, None, None, "PIPELINE_FAILURE", str(error), edges]] if edges or every else [], columns=names, dtype=object)
         out = pd.DataFrame({key: text(k[0]), "id": pdf["id"].to_numpy(), "v": v, "eigenvalue": value, "n_components": parts, "status": text("OK"), "reason": text(None), "n_edges": edges})
-        return out if edges else out.iloc[:0]
+        return out if edges or every else out.iloc[:0]
 
     middle = nodes.join(listed, key, "left_anti").select(key, F.col("id").cast("long").alias("id"), *[F.col(a).cast("double").alias(a) for a in "xyz"])
-    out = middle.groupBy(key).applyInPandas(solve, f"`{key}` {kind}, id long, v double, eigenvalue double, n_components int, status string, reason string, n_edges long")
+    # a system is little data and much work: by number, the partitions stay as many as there are
+    spread = max(SYSTEM_PARTS, int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    out = middle.repartition(spread, key).groupBy(key).applyInPandas(solve, f"`{key}` {kind}, id long, v double, eigenvalue double, n_components int, status string, reason string, n_edges long")
     if listed.isEmpty():
         return out
     rest = nodes.join(listed, key, "left_semi")
     edges = checkpoint(radius_edges(rest, r, [key]).select(key, "src", "dst"))
     count = edges.groupBy(key).agg((F.count(F.lit(1)) / 2).cast("long").alias("n_edges"))
-    return out.unionByName(fiedler(edges, rest.join(count, key, "left_semi"), key).join(count, key))
+    if not every:
+        return out.unionByName(fiedler(edges, rest.join(count, key, "left_semi"), key).join(count, key))
+    return out.unionByName(fiedler(edges, rest, key).join(count, key, "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0))))
 
 
 def snap(values: DataFrame, key: str) -> DataFrame:
